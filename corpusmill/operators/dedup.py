@@ -14,7 +14,7 @@ from corpusmill.config import DEDUP_THRESHOLD, NUM_PERM
 from corpusmill.functions.minhash import band_keys, band_shape, minhash
 from corpusmill.functions.text import digest, normalize
 from corpusmill.operators.ordered import global_index
-from corpusmill.scratch import materialize, new_path
+from corpusmill.scratch import materialize, new_path, spread
 
 SALTS = 64  # pieces a hot band key is cut into
 
@@ -38,7 +38,8 @@ def fingerprints(
     docs: DataFrame, threshold: float = DEDUP_THRESHOLD, num_perm: int = NUM_PERM
 ) -> DataFrame:
     """``(ord, digest, keys)``: one pass over the texts, written once."""
-    normal = docs.select("ord", normalize(F.col("text")).alias("text"))
+    texts = spread(docs.select("ord", "text"), "ord")
+    normal = texts.select("ord", normalize(F.col("text")).alias("text"))
     signed = normal.select(
         "ord", digest(F.col("text")).alias("digest"), minhash(F.col("text"), num_perm).alias("sig")
     )

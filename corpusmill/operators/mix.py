@@ -19,6 +19,7 @@ from corpusmill.operators.ordered import global_index
 from corpusmill.scratch import materialize
 
 DRAW_RANGE = 1 << 32
+_OUTER = ""  # name of the outer mixture
 
 
 def thresholds(weights: Mapping[str, float]) -> list[tuple[str, int]]:
@@ -62,74 +63,64 @@ def draws_needed(sizes: Mapping[str, int], weights: Mapping[str, float]) -> tupl
     return likely, sure
 
 
-def _draw_table(
-    spark: SparkSession, steps: Mapping[int, int], base_seed: int, weights: Mapping[str, float]
+def _draws(
+    spark: SparkSession,
+    mixes: Mapping[str, tuple[Mapping[str, float], int]],
+    base_seed: int,
+    epochs: list[int],
 ) -> DataFrame:
-    """``(epoch, step, source, k)`` with ``k`` counting each source's draws from 1."""
+    """``(mix, epoch, step, source, k)`` with ``k`` counting each source's draws from 1.
+
+    ``mixes`` gives the weights of each mixture and its number of steps per epoch.
+    """
     table = None
-    for epoch, count in steps.items():
-        part = spark.range(count).select(
-            F.lit(epoch).alias("epoch"),
-            F.col("id").alias("step"),
-            drawn_source(draw_value(F.lit(base_seed + epoch), F.col("id")), weights).alias("source"),
+    listed = F.array(*[F.lit(e) for e in epochs])
+    for name, (weights, steps) in mixes.items():
+        ids = spark.range(steps * len(epochs))
+        placed = ids.select(
+            F.lit(name).alias("mix"),
+            F.element_at(listed, F.floor(F.col("id") / steps).cast("int") + 1).alias("epoch"),
+            (F.col("id") % steps).alias("step"),
+        )
+        value = draw_value(F.lit(base_seed) + F.col("epoch"), F.col("step"))
+        drawn = placed.withColumn("value", value).select(
+            "mix", "epoch", "step", drawn_source(F.col("value"), weights).alias("source")
         )
-        table = part if table is None else table.unionByName(part)
-    numbered = global_index(table, "step", ["epoch", "source"], "k")
+        table = drawn if table is None else table.unionByName(drawn)
+    numbered = global_index(table, "step", ["mix", "epoch", "source"], "k")
     return materialize(numbered.withColumn("k", F.col("k") + 1), "draws")
 
 
-def _last_steps(draws: DataFrame, sizes: Mapping[int, Mapping[str, int]]) -> dict[int, int]:
-    """Per epoch, the step at which the first source gives its last record.
+def _last_steps(
+    draws: DataFrame, sizes: Mapping[tuple[str, int, str], int]
+) -> dict[tuple[str, int], int]:
+    """Per mixture and epoch, the step at which the first source gives its last record.
 
     An empty source ends the mixture at its first draw.
     """
-    spark = draws.sparkSession
-    ends = spark.createDataFrame(
-        [(e, s, max(n, 1)) for e, by_source in sizes.items() for s, n in by_source.items()],
-        "epoch int, source string, k bigint",
-    )  # epochs x sources rows
-    last = draws.join(F.broadcast(ends), ["epoch", "source", "k"])
-    return {r.epoch: r.last for r in last.groupBy("epoch").agg(F.min("step").alias("last")).collect()}
+    ends = draws.sparkSession.createDataFrame(
+        [(m, e, s, max(n, 1)) for (m, e, s), n in sizes.items()],
+        "mix string, epoch int, source string, k bigint",
+    )  # one row per mixture, epoch and source
+    last = draws.join(F.broadcast(ends), ["mix", "epoch", "source", "k"])
+    rows = last.groupBy("mix", "epoch").agg(F.min("step").alias("last")).collect()
+    return {(r.mix, r.epoch): r.last for r in rows}
 
 
-def interleave_steps(
-    spark: SparkSession,
-    sizes: Mapping[int, Mapping[str, int]],
-    weights: Mapping[str, float],
-    base_seed: int,
-) -> tuple[DataFrame, dict[int, int]]:
-    """Draws ``(epoch, step, source, k)`` up to each epoch's end, and those ends.
+def source_keys(docs: DataFrame, names: Iterable[str]) -> DataFrame:
+    """``(source, ord)`` of the named sources, written once.
 
-    ``sizes`` gives the number of records per epoch and source.
+    Whatever decided which records are in ``docs`` (such as a hash of the text) is
+    evaluated in this one pass.
     """
-    weights = {s: w for s, w in weights.items() if w > 0}
-    sizes = {e: {s: n.get(s, 0) for s in weights} for e, n in sizes.items()}
-    steps = {e: draws_needed(n, weights)[0] for e, n in sizes.items()}
-    draws = _draw_table(spark, steps, base_seed, weights)
-    last = _last_steps(draws, sizes)
-    if len(last) < len(sizes):  # an unlikely streak: use the certain number
-        steps = {e: draws_needed(n, weights)[1] for e, n in sizes.items()}
-        draws = _draw_table(spark, steps, base_seed, weights)
-        last = _last_steps(draws, sizes)
-    ends = spark.createDataFrame(list(last.items()), "epoch int, last bigint")
-    kept = draws.join(F.broadcast(ends), "epoch").where(F.col("step") <= F.col("last"))
-    return kept.drop("last"), last
-
-
-def number_sources(docs: DataFrame) -> DataFrame:
-    """``(source, ord, k)`` for every record, written once; ``k`` starts at 1.
-
-    Only keys are kept. Whatever decided which records are in ``docs`` (such as a hash
-    of the text) is evaluated in this one pass.
-    """
-    keys = materialize(docs.select("source", "ord"), "mix_keys")
-    numbered = global_index(keys, "ord", ["source"], "k")
-    return materialize(numbered.withColumn("k", F.col("k") + 1), "mix_ranks")
+    wanted = docs.where(F.col("source").isin(*names))
+    return materialize(wanted.select("source", "ord"), "mix_keys")
 
 
-def source_sizes(ranked: DataFrame) -> dict[str, int]:
+def source_sizes(keys: DataFrame) -> dict[str, int]:
     """Records per source (one row per source reaches the driver)."""
-    return {r.source: r.n for r in ranked.groupBy("source").agg(F.max("k").alias("n")).collect()}
+    counts = keys.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return {r.source: r.n for r in counts.collect()}
 
 
 def weighted_interleave(
@@ -139,24 +130,13 @@ def weighted_interleave(
     epochs: Iterable[int] = (0,),
 ) -> DataFrame:
     """Mix ``docs (source, ord, ...)`` into ``(epoch, pos, source, ord)``."""
-    ranked = number_sources(docs.where(F.col("source").isin(*weights)))
-    sizes = source_sizes(ranked)
-    steps, _ = interleave_steps(
-        docs.sparkSession, {e: sizes for e in epochs}, weights, base_seed
-    )
-    return _emit(steps, ranked)
-
-
-def _emit(steps: DataFrame, ranked: DataFrame) -> DataFrame:
-    return steps.join(ranked, ["source", "k"]).select(
-        "epoch", F.col("step").alias("pos"), "source", "ord"
-    )
+    return nested_interleave(docs, MixConfig(dict(weights), {}), base_seed, epochs)
 
 
 def nested_interleave(
     docs: DataFrame,
     config: MixConfig | None = None,
-    split: str = "train",
+    base_seed: int = SPLIT_SEEDS["train"],
     epochs: Iterable[int] = (0,),
 ) -> DataFrame:
     """Mix sources some of which are mixtures: ``(epoch, pos, source, ord)``.
@@ -165,36 +145,60 @@ def nested_interleave(
     source, and then counts as one source of the outer mixture.
     """
     config = config or MixConfig()
-    base_seed, epochs = SPLIT_SEEDS[split], list(epochs)
+    epochs = list(epochs)
     spark = docs.sparkSession
-    leaves = [s for s in config.weights if s not in config.nested]
-    leaves += [s for inner in config.nested.values() for s in inner]
-    ranked = number_sources(docs.where(F.col("source").isin(*leaves)))
-    sizes = source_sizes(ranked)
-
-    outer_sizes = {e: {s: sizes.get(s, 0) for s in config.weights} for e in epochs}
-    inner_steps = []
-    for name, inner in config.nested.items():
-        steps, last = interleave_steps(spark, {e: sizes for e in epochs}, inner, base_seed)
-        empty = any(sizes.get(s, 0) == 0 for s, w in inner.items() if w > 0)
-        for e in epochs:
-            # With an empty source the last draw found nothing.
-            outer_sizes[e][name] = last[e] + (0 if empty else 1)
-        inner_steps.append(
-            steps.select(
-                "epoch",
-                F.lit(name).alias("outer"),
-                (F.col("step") + 1).alias("outer_k"),
-                "source",
-                "k",
-            )
+    mixes = {_OUTER: config.weights, **config.nested}
+    mixes = {m: {s: w for s, w in ws.items() if w > 0} for m, ws in mixes.items()}
+    leaves = {s for ws in mixes.values() for s in ws} - set(config.nested)
+    keys = source_keys(docs, leaves)
+    sizes = source_sizes(keys)
+    # An inner mixture has at most the records of its sources.
+    bound = {m: sum(sizes.get(s, 0) for s in ws) for m, ws in config.nested.items()}
+
+    for likely in (True, False):  # the second number of draws is always enough
+        needed = {m: draws_needed(sizes | bound, ws)[0 if likely else 1] for m, ws in mixes.items()}
+        draws = _draws(spark, {m: (ws, needed[m]) for m, ws in mixes.items()}, base_seed, epochs)
+        last = _mix_ends(draws, mixes, sizes, epochs)
+        if len(last) == len(mixes) * len(epochs):
+            break
+    ends = spark.createDataFrame(
+        [(m, e, n) for (m, e), n in last.items()], "mix string, epoch int, last bigint"
+    )  # one row per mixture and epoch
+    steps = draws.join(F.broadcast(ends), ["mix", "epoch"]).where(F.col("step") <= F.col("last"))
+    outer = steps.where(F.col("mix") == _OUTER).select("epoch", "step", "source", "k")
+    drawn = outer
+    if config.nested:
+        drawn = outer.where(~F.col("source").isin(*config.nested))
+        inner = steps.where(F.col("mix") != _OUTER).select(
+            "epoch", F.col("mix"), (F.col("step") + 1).alias("mix_k"), "source", "k"
         )
-    outer, _ = interleave_steps(spark, outer_sizes, config.weights, base_seed)
-    nested = list(config.nested)
-    drawn = outer.where(~F.col("source").isin(*nested)).select("epoch", "step", "source", "k")
-    for steps in inner_steps:
         picked = outer.select(
-            "epoch", "step", F.col("source").alias("outer"), F.col("k").alias("outer_k")
-        ).join(steps, ["epoch", "outer", "outer_k"])
+            "epoch", "step", F.col("source").alias("mix"), F.col("k").alias("mix_k")
+        ).join(inner, ["epoch", "mix", "mix_k"])
         drawn = drawn.unionByName(picked.select("epoch", "step", "source", "k"))
-    return _emit(drawn, ranked)
+    ranked = global_index(keys, "ord", ["source"], "k").withColumn("k", F.col("k") + 1)
+    return drawn.join(ranked, ["source", "k"]).select(
+        "epoch", F.col("step").alias("pos"), "source", "ord"
+    )
+
+
+def _mix_ends(
+    draws: DataFrame,
+    mixes: Mapping[str, Mapping[str, float]],
+    sizes: Mapping[str, int],
+    epochs: list[int],
+) -> dict[tuple[str, int], int]:
+    """Last step per mixture and epoch: inner mixtures first, they size the outer one."""
+    inner = {m: ws for m, ws in mixes.items() if m != _OUTER}
+    wanted = {(m, e, s): sizes.get(s, 0) for m, ws in inner.items() for e in epochs for s in ws}
+    last = _last_steps(draws, wanted) if wanted else {}
+    outer = {}
+    for epoch in epochs:
+        for source in mixes[_OUTER]:
+            if source not in inner:
+                outer[_OUTER, epoch, source] = sizes.get(source, 0)
+            elif (source, epoch) in last:
+                # With an empty source, the last draw found nothing.
+                empty = any(sizes.get(s, 0) == 0 for s in inner[source])
+                outer[_OUTER, epoch, source] = last[source, epoch] + (0 if empty else 1)
+    return last | _last_steps(draws, outer)

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.config import BLOCK_SIZE, MixConfig
+from corpusmill.config import BLOCK_SIZE, SPLIT_SEEDS, MixConfig
 from corpusmill.functions.split import in_split
 from corpusmill.functions.text import length_ok
 from corpusmill.functions.tokens import VocabTokenizer, words
@@ -15,7 +15,7 @@ from corpusmill.operators.mix import nested_interleave
 from corpusmill.operators.ordered import global_index
 from corpusmill.operators.pack import assemble, layout, pack
 from corpusmill.operators.vocab import build_vocab, count_tokens, unigram_scores
-from corpusmill.scratch import materialize
+from corpusmill.scratch import materialize, spread
 
 
 class Lexicon:
@@ -40,7 +40,8 @@ def mixed_keys(
     docs: DataFrame, split: str, epochs: Iterable[int], config: MixConfig | None = None
 ) -> DataFrame:
     """``(epoch, pos, source, ord)`` of one split of ``docs (source, ord, text)``."""
-    return nested_interleave(docs.where(in_split(F.col("text"), split)), config, split, epochs)
+    chosen = docs.where(in_split(F.col("text"), split))
+    return nested_interleave(chosen, config, SPLIT_SEEDS[split], epochs)
 
 
 def text_corpus(
@@ -75,6 +76,7 @@ def packed_corpus(
     """
     keys = mixed_keys(docs, split, epochs, config)
     fitting = docs.where(in_split(F.col("text"), split) & length_ok(F.col("text")))
+    fitting = spread(fitting.select("source", "ord", "text"), "ord")
     coded = materialize(
         fitting.select("source", "ord", tokenizer.encode(F.col("text")).alias("tokens")).withColumn(
             "n", F.size("tokens")
@@ -98,7 +100,8 @@ def pack_in_order(
     lossless: bool = True,
 ) -> DataFrame:
     """Tokenise ``docs (ord, text)`` and pack them in ``ord`` order as one epoch."""
-    coded = docs.where(length_ok(F.col("text"))).select(
+    fitting = spread(docs.where(length_ok(F.col("text"))).select("ord", "text"), "ord")
+    coded = fitting.select(
         F.lit(0).alias("epoch"),
         F.col("ord").alias("pos"),
         tokenizer.encode(F.col("text")).alias("tokens"),
