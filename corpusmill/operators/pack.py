@@ -36,6 +36,14 @@ GROUP_BITS = 12  # chunks per group, and groups per epoch: 2**12 each
 
 def run_table(lengths: np.ndarray, block_size: int, lossless: bool) -> tuple[np.ndarray, np.ndarray]:
     """End state and emitted blocks of a run of documents, for every start state."""
+    if lossless:
+        # A full buffer acts like an empty one of the next block, so one running
+        # position says all: a document moves it by its length, plus one unless aligned.
+        place = np.arange(block_size + 1, dtype=np.int64)
+        for n in lengths.tolist():
+            place += place % block_size != 0
+            place += n
+        return place % block_size, place // block_size
     state = np.arange(block_size + 1, dtype=np.int64)
     blocks = np.zeros(block_size + 1, dtype=np.int64)
     for n in lengths.tolist():
@@ -43,9 +51,7 @@ def run_table(lengths: np.ndarray, block_size: int, lossless: bool) -> tuple[np.
         room = block_size - begin
         spill = n > room
         left = n - np.maximum(room, 0)
-        emitted = left // block_size
-        emitted += 1 if lossless else (state > 0)
-        blocks += np.where(spill, emitted, 0)
+        blocks += np.where(spill, left // block_size + (state > 0), 0)
         state = np.where(spill, left % block_size, begin + n)
     return state, blocks
 
@@ -54,7 +60,14 @@ def start_states(
     lengths: np.ndarray, block_size: int, lossless: bool, state: int, block: int
 ) -> tuple[np.ndarray, np.ndarray]:
     """Buffer size and block number in front of each document, from a known start."""
-    states, blocks = np.empty(len(lengths), np.int32), np.empty(len(lengths), np.int64)
+    count = len(lengths)
+    if lossless:
+        places, place = np.empty(count, np.int64), block * block_size + state
+        for i, n in enumerate(lengths.tolist()):
+            places[i] = place
+            place += n + (place % block_size != 0)
+        return (places % block_size).astype(np.int32), places // block_size
+    states, blocks = np.empty(count, np.int32), np.empty(count, np.int64)
     for i, n in enumerate(lengths.tolist()):
         states[i], blocks[i] = state, block
         begin = state + 1 if state else 0
@@ -63,7 +76,7 @@ def start_states(
             state = begin + n
         else:
             left = n - max(room, 0)
-            block += left // block_size + (1 if lossless or state else 0)
+            block += left // block_size + (1 if state else 0)
             state = left % block_size
     return states, blocks
 

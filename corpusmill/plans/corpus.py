@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusmill.config import BLOCK_SIZE, SPLIT_SEEDS, MixConfig
 from corpusmill.functions.split import in_split
 from corpusmill.functions.text import length_ok
-from corpusmill.functions.tokens import VocabTokenizer, words
+from corpusmill.functions.tokens import Tokenizer, VocabTokenizer, words
 from corpusmill.operators.mix import nested_interleave
 from corpusmill.operators.ordered import global_index
 from corpusmill.operators.pack import assemble, layout, pack
@@ -31,6 +31,12 @@ class Lexicon:
         return unigram_scores(self.counts, self.vocab)
 
 
+def tokenize(docs: DataFrame, tokenizer: Tokenizer, *keys: str) -> DataFrame:
+    """``(keys..., tokens)`` of ``docs (keys..., text)``; all cores take part."""
+    texts = spread(docs.select(*keys, "text"), keys[-1])
+    return texts.select(*keys, tokenizer.encode(F.col("text")).alias("tokens"))
+
+
 def training_texts(docs: DataFrame) -> DataFrame:
     """Texts of fitting length in the training split."""
     return docs.where(in_split(F.col("text"), "train") & length_ok(F.col("text")))
@@ -61,7 +67,7 @@ def text_corpus(
 
 def packed_corpus(
     docs: DataFrame,
-    tokenizer: VocabTokenizer,
+    tokenizer: Tokenizer,
     split: str = "train",
     epochs: Iterable[int] = (0,),
     block_size: int = BLOCK_SIZE,
@@ -76,13 +82,8 @@ def packed_corpus(
     """
     keys = mixed_keys(docs, split, epochs, config)
     fitting = docs.where(in_split(F.col("text"), split) & length_ok(F.col("text")))
-    fitting = spread(fitting.select("source", "ord", "text"), "ord")
-    coded = materialize(
-        fitting.select("source", "ord", tokenizer.encode(F.col("text")).alias("tokens")).withColumn(
-            "n", F.size("tokens")
-        ),
-        "tokens",
-    )
+    coded = tokenize(fitting, tokenizer, "source", "ord").withColumn("n", F.size("tokens"))
+    coded = materialize(coded, "tokens")
     placed_lengths = materialize(
         keys.join(coded.select("source", "ord", "n"), ["source", "ord"]), "mixed"
     )
@@ -95,17 +96,13 @@ def packed_corpus(
 
 def pack_in_order(
     docs: DataFrame,
-    tokenizer: VocabTokenizer,
+    tokenizer: Tokenizer,
     block_size: int = BLOCK_SIZE,
     lossless: bool = True,
 ) -> DataFrame:
     """Tokenise ``docs (ord, text)`` and pack them in ``ord`` order as one epoch."""
-    fitting = spread(docs.where(length_ok(F.col("text"))).select("ord", "text"), "ord")
-    coded = fitting.select(
-        F.lit(0).alias("epoch"),
-        F.col("ord").alias("pos"),
-        tokenizer.encode(F.col("text")).alias("tokens"),
-    )
+    coded = tokenize(docs.where(length_ok(F.col("text"))), tokenizer, "ord")
+    coded = coded.select(F.lit(0).alias("epoch"), F.col("ord").alias("pos"), "tokens")
     return pack(materialize(coded, "tokens"), block_size, lossless)
 
 

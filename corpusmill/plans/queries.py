@@ -280,22 +280,22 @@ def build_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encode = _lexicon(spark, sf_dir).tokenizer.encode
-    coded = _fitting(spark, sf_dir).select("doc_id", encode(F.col("text")).alias("tokens"))
+    tokenizer = _lexicon(spark, sf_dir).tokenizer
+    coded = corpus.tokenize(_fitting(spark, sf_dir), tokenizer, "doc_id")
     return coded.select("doc_id", F.size("tokens").alias("n"), _joined())
 
 
 @query
 def detokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = _lexicon(spark, sf_dir).tokenizer
-    coded = _fitting(spark, sf_dir).select("doc_id", tokenizer.encode(F.col("text")).alias("tokens"))
+    coded = corpus.tokenize(_fitting(spark, sf_dir), tokenizer, "doc_id")
     return coded.select("doc_id", tokenizer.decode(F.col("tokens")).alias("text"))
 
 
 @query
 def crop_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encode = _lexicon(spark, sf_dir).tokenizer.encode
-    coded = _fitting(spark, sf_dir).select("doc_id", encode(F.col("text")).alias("tokens"))
+    tokenizer = _lexicon(spark, sf_dir).tokenizer
+    coded = corpus.tokenize(_fitting(spark, sf_dir), tokenizer, "doc_id")
     return coded.select("doc_id", _joined(tk.crop_last(F.col("tokens"), CONTEXT)))
 
 
