@@ -17,6 +17,7 @@ from corpusmill.operators.ordered import global_index
 from corpusmill.scratch import materialize, new_path, spread
 
 SALTS = 64  # pieces a hot band key is cut into
+_LEADERS = "ord bigint, led bigint, shared array<struct<band: int, key: binary>>"
 
 
 def exact_digests(docs: DataFrame) -> DataFrame:
@@ -63,19 +64,27 @@ def _salt(column: Column) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
 
 
-def _members(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """Distinct ``ord`` of the band rows whose ``(band, key)`` is in ``keys``.
+def _salted_rows(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", _salt(F.col("ord")))
+
 
-    Rows of one key are spread over ``SALTS`` join partitions, and each wanted key is
-    repeated once per salt, so a key shared by a large part of the corpus is not one task.
+def _salted_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``keys (band, key, ...)`` once per salt under which ``rows`` holds the key.
+
+    A join on ``(band, key, salt)`` then spreads one key over ``SALTS`` tasks, so a key
+    shared by a large part of the corpus is not one task, while a rare key is repeated
+    no more often than it has rows. The distinct cells are found map-side first, at most
+    ``SALTS`` per key; ``keys`` holds each key once.
     """
-    salted = keys.select("band", "key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return (
-        rows.withColumn("salt", _salt(F.col("ord")))
-        .join(salted, ["band", "key", "salt"], "left_semi")
-        .select("ord")
-        .distinct()
-    )
+    cells = rows.select("band", "key", "salt").distinct()
+    return cells.join(keys, ["band", "key"])
+
+
+def _members(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Distinct ``ord`` of the band rows whose ``(band, key)`` is in ``keys``."""
+    salted = _salted_rows(rows)
+    wanted = _salted_keys(salted, keys)
+    return salted.join(wanted, ["band", "key", "salt"], "left_semi").select("ord").distinct()
 
 
 def greedy_keep(
@@ -94,33 +103,31 @@ def greedy_keep(
     spark = keyed.sparkSession
     rest = keyed.groupBy("keys").agg(F.min("ord").alias("ord"))
     if stored is not None:
-        rest = materialize(rest, "undecided")
-        # Keys that this batch does not hold cannot matter; drop them before salting.
-        present = stored.join(band_rows(rest).select("band", "key").distinct(), ["band", "key"], "left_semi")
-        rest = rest.join(_members(band_rows(rest), present.distinct()), "ord", "left_anti")
+        rows = band_rows(rest)
+        present = rows.select("band", "key").distinct()
+        known = stored.join(present, ["band", "key"], "left_semi").distinct()
+        rest = rest.join(_members(rows, known), "ord", "left_anti")
     rest = materialize(rest, "undecided")
-    kept_path, step = new_path(spark, "kept"), 0
+    path, step = new_path(spark, "leaders"), 0
+    leaders = spark.read.schema(_LEADERS)
     while not rest.isEmpty():
         buckets = band_rows(rest).groupBy("band", "key").agg(
             F.min("ord").alias("ord"), F.count(F.lit(1)).alias("members")
         )
         # At most one entry per band and document, so these lists are short.
         shared = F.when(F.col("members") > 1, F.struct("band", "key"))
-        firsts = materialize(
-            buckets.groupBy("ord").agg(
-                F.count(F.lit(1)).alias("led"), F.collect_list(shared).alias("shared")
-            ),
-            "leaders",
-        )
-        kept = firsts.where(F.col("led") == bands)
-        kept.select("ord").write.parquet(f"{kept_path}/round={step}")
+        buckets.groupBy("ord").agg(
+            F.count(F.lit(1)).alias("led"), F.collect_list(shared).alias("shared")
+        ).write.parquet(f"{path}/round={step}")
+        kept = leaders.parquet(f"{path}/round={step}").where(F.col("led") == bands)
         hit = kept.select(F.explode("shared").alias("s")).select("s.band", "s.key")
-        decided = _members(band_rows(rest), hit).unionByName(kept.select("ord"))
-        rest = materialize(rest.join(decided, "ord", "left_anti"), "undecided")
+        rest = rest.join(kept.select("ord"), "ord", "left_anti")
+        rest = rest.join(_members(band_rows(rest), hit), "ord", "left_anti")
+        rest = materialize(rest, "undecided")
         step += 1
     if step == 0:
         return keyed.select("ord").limit(0)
-    return spark.read.schema("ord bigint, round int").parquet(kept_path).select("ord")
+    return leaders.parquet(path).where(F.col("led") == bands).select("ord")
 
 
 def label_documents(
@@ -159,24 +166,10 @@ def lsh_candidates(keyed: DataFrame, kept: DataFrame) -> DataFrame:
     per document as bands, and no pairs within a bucket.
     """
     indexed = band_rows(keyed.join(kept.select("ord"), "ord", "left_semi"))
-    indexed = indexed.select(
-        "band",
-        "key",
-        F.col("ord").alias("candidate"),
-    )
-    # Only buckets with company can give candidates; those keys are repeated per salt.
-    busy = band_rows(keyed).groupBy("band", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    indexed = indexed.join(busy.select("band", "key"), ["band", "key"], "left_semi").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    )
-    return (
-        band_rows(keyed)
-        .withColumn("salt", _salt(F.col("ord")))
-        .join(indexed, ["band", "key", "salt"])
-        .where(F.col("candidate") < F.col("ord"))
-        .select("ord", "candidate")
-        .distinct()
-    )
+    indexed = indexed.withColumnRenamed("ord", "candidate")
+    salted = _salted_rows(band_rows(keyed))
+    found = salted.join(_salted_keys(salted, indexed), ["band", "key", "salt"])
+    return found.where(F.col("candidate") < F.col("ord")).select("ord", "candidate").distinct()
 
 
 class DuplicateStore:
@@ -188,7 +181,7 @@ class DuplicateStore:
     """
 
     SCHEMAS = {
-        "digests": "digest binary, ord bigint",
+        "digests": "digest binary, ord bigint, keys array<binary>",
         "bands": "band int, key binary",
         "labels": "ord bigint, label string",
     }
@@ -212,33 +205,30 @@ class DuplicateStore:
         table = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
         return table.where(F.col("group") < group).drop("group")
 
-    def _replace(self, df: DataFrame, name: str, group: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}/group={group}")
+    def _replace(self, df: DataFrame, name: str, group: int) -> DataFrame:
+        path = f"{self.path}/{name}/group={group}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(self.SCHEMAS[name]).parquet(path)
 
     def add_exact(self, docs: DataFrame, group: int) -> DataFrame:
         """``(ord, label)`` of one group by digest alone."""
         prints = materialize(exact_digests(docs), "digests")
         firsts = prints.groupBy("digest").agg(F.min("ord").alias("ord"))
-        new = materialize(firsts.join(self._seen(prints, group), "digest", "left_anti"), "new")
-        self._replace(new, "digests", group)
-        flag = new.select("ord", F.lit("kept").alias("label"))
-        labels = prints.select("ord").join(flag, "ord", "left")
-        labels = labels.select("ord", F.coalesce("label", F.lit("exact_dup")).alias("label"))
-        self._replace(labels, "labels", group)
-        return labels
+        firsts = firsts.join(self._seen(prints, group), "digest", "left_anti")
+        no_keys = F.lit(None).cast("array<binary>").alias("keys")
+        new = self._replace(firsts.select("digest", "ord", no_keys), "digests", group)
+        return self._replace(_labels(prints, new, new), "labels", group)
 
     def add(self, docs: DataFrame, group: int) -> DataFrame:
         """``(ord, label)`` of one group, exact and near duplicates."""
         prints = fingerprints(docs, self.threshold, self.num_perm)
-        new = unique_fingerprints(prints).join(self._seen(prints, group), "digest", "left_anti")
-        new = materialize(new, "new")
-        stored = self._table("bands", group)
-        kept = materialize(greedy_keep(new, self.bands, stored), "kept_now")
+        unique = unique_fingerprints(prints).select("digest", "ord", "keys")
+        new = self._replace(
+            unique.join(self._seen(prints, group), "digest", "left_anti"), "digests", group
+        )
+        kept = greedy_keep(new, self.bands, self._table("bands", group))
         self._replace(band_rows(new.join(kept, "ord", "left_semi")).drop("ord"), "bands", group)
-        self._replace(new.select("digest", "ord"), "digests", group)
-        labels = _labels(prints, new, kept)
-        self._replace(labels, "labels", group)
-        return labels
+        return self._replace(_labels(prints, new, kept), "labels", group)
 
     def labels(self) -> DataFrame:
         """Labels of all groups so far."""

@@ -32,6 +32,7 @@ from corpusmill.scratch import materialize
 
 CHUNK_BITS = 14  # documents per chunk: 2**14
 GROUP_BITS = 12  # chunks per group, and groups per epoch: 2**12 each
+RUN_BITS = 6  # consecutive blocks kept in one partition: 2**6
 
 
 def run_table(lengths: np.ndarray, block_size: int, lossless: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -270,7 +271,10 @@ def assemble(
     parts = placed.select(
         "epoch", F.inline(F.transform(_segments(block_size, lossless), cut))
     )
-    blocks = parts.groupBy("epoch", "block").agg(
+    # Grouping within runs needs no shuffle after this one, and leaves runs whole for
+    # the writer. Collecting map-side first would not make the lists any smaller.
+    runs = parts.withColumn("run", F.shiftright("block", RUN_BITS)).repartition("epoch", "run")
+    blocks = runs.groupBy("epoch", "run", "block").agg(
         F.array_sort(F.collect_list(F.struct("start", "part"))).alias("parts")
     )
     flat = F.flatten(F.transform("parts", lambda p: p["part"]))

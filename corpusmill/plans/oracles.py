@@ -311,6 +311,15 @@ def _losses(name: str, rows: str, key: str, scores: str = "scores") -> str:
 
 _BATCH_KEY = "batch_id, row_in_batch"
 LOSSES = [*VAL, _scores(), _losses("l", "vb", _BATCH_KEY)]
+VAL_IN_ORDER = [
+    *BASE,
+    """src AS MATERIALIZED (
+  SELECT 0 AS epoch, e.ord AS pos, e.tokens FROM enc e JOIN d ON d.ord = e.ord AND d.split = 'val')""",
+    _pack("o", "src", q.VAL_BLOCK),
+    _batches("ob", "o", q.VAL_BATCH, q.VAL_BLOCK),
+    _scores(),
+    _losses("l", "ob", _BATCH_KEY),
+]
 
 # Decode, encode with the second rule, cut and pad to the longest row of the batch.
 RETOKENIZED = [
@@ -518,7 +527,7 @@ ORACLES: dict[str, str] = {
         DOCS, _ranked("train", (0,)),
         _interleave("w", "ranked", q.FLAT_WEIGHTS, SPLIT_SEEDS["train"], (0,)),
     ) + "SELECT source, count(*) AS docs, max(pos) AS last_pos FROM w GROUP BY source",
-    "nested_interleave": _with(DOCS, _mixed("val", (0,))) + """
+    "nested_interleave": _with(DOCS, _mixed("train", (0,))) + """
         SELECT pos, source, ord AS doc_id FROM mixed""",
     "epoch_mix": _with(DOCS, _mixed("train", q.EPOCHS)) + """
         SELECT epoch, pos, source, ord AS doc_id FROM mixed""",
@@ -596,9 +605,9 @@ ORACLES: dict[str, str] = {
                round(count(*) / CAST({_CFG.accum_steps * _CFG.micro_batch_size} AS DOUBLE), 6)
                  AS optimizer_steps
         FROM b GROUP BY epoch""",
-    "token_nll": _with(*LOSSES, recursive=True) + """
+    "token_nll": _with(*VAL_IN_ORDER, recursive=True) + """
         SELECT batch_id, row_in_batch, pos, token, round(nll, 6) AS nll FROM l""",
-    "seq_mean_nll": _with(*LOSSES, recursive=True) + f"""
+    "seq_mean_nll": _with(*VAL_IN_ORDER, recursive=True) + f"""
         SELECT batch_id, row_in_batch, round(avg(nll), 6) AS with_pad,
                round(avg(nll) FILTER (token <> {PAD_ID}), 6) AS without_pad
         FROM l GROUP BY batch_id, row_in_batch""",

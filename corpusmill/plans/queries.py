@@ -215,7 +215,7 @@ def mix_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def nested_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = corpus.mixed_keys(documents(spark, sf_dir), "val", (0,))
+    mixed = corpus.mixed_keys(documents(spark, sf_dir), "train", (0,))
     return mixed.select("pos", "source", F.col("ord").alias("doc_id"))
 
 
@@ -442,8 +442,11 @@ def _val_batches(spark: SparkSession, sf_dir: str, lexicon: corpus.Lexicon) -> D
 
 
 def _val_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses of the whole validation split, packed in document order."""
     lexicon = _lexicon(spark, sf_dir)
-    batches = _val_batches(spark, sf_dir, lexicon)
+    docs = documents(spark, sf_dir).where(in_split(F.col("text"), "val"))
+    blocks = corpus.pack_in_order(docs, lexicon.tokenizer, VAL_BLOCK)
+    batches = pack.batch_blocks(blocks, VAL_BATCH, VAL_BLOCK)
     return evaluate.token_nll(batches, lexicon.scores(), ["batch_id", "row_in_batch"])
 
 

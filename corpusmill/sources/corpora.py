@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.split import in_split
@@ -15,6 +15,7 @@ PAPER_COLUMNS = ("markdown", "text")
 CODE_COLUMNS = ("content", "code")
 FALLBACK_COLUMNS = ("text", "content", "markdown")
 
+MAX_FILES = 1 << 18
 READERS = ("parquet", "json", "csv", "text", "orc")
 
 
@@ -74,23 +75,25 @@ def scan_split(df: DataFrame, split: str) -> DataFrame:
 def with_file_order(df: DataFrame, name: str = "ord", row_bits: int = 28) -> DataFrame:
     """Add an order over file-backed rows: file rank, then position in the file.
 
-    Works for Parquet, whose metadata carries the row index. The rank table has one
-    row per input file.
+    Works for Parquet, whose metadata carries the row index. The table of file ranks is
+    broadcast after counting it: at most ``MAX_FILES`` rows, finding them reads no column.
     """
-    from pyspark.sql import Window
-
-    placed = df.select("*", F.col("_metadata.file_path").alias("_file"),
-                       F.col("_metadata.row_index").alias("_row"))
-    files = placed.select("_file").distinct()
+    files = df.select(F.col("_metadata.file_path").alias("_file")).distinct()
     ranks = files.select(
-        "_file", (F.row_number().over(Window.orderBy("_file")) - 1).alias("_rank")
+        "_file", (F.row_number().over(Window.orderBy("_file")) - 1).cast("bigint").alias("_rank")
+    )
+    if files.count() > MAX_FILES:
+        raise ValueError(f"more than {MAX_FILES} files; order them by a key column instead")
+    placed = df.select(
+        "*",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.row_index").alias("_row"),
     )
-    joined = placed.join(ranks, "_file")
-    checked = F.when(
-        F.col("_row") < (1 << row_bits),
-        F.shiftleft(F.col("_rank").cast("bigint"), row_bits) + F.col("_row"),
+    position = F.when(
+        F.col("_row") < (1 << row_bits), F.shiftleft("_rank", row_bits) + F.col("_row")
     ).otherwise(F.raise_error(F.lit("file has too many rows for row_bits")))
-    return joined.withColumn(name, checked).drop("_file", "_row", "_rank")
+    joined = placed.join(F.broadcast(ranks), "_file")
+    return joined.withColumn(name, position).drop("_file", "_row", "_rank")
 
 
 def peek_first(df: DataFrame, order: str = "ord") -> DataFrame:

@@ -10,16 +10,17 @@ ITEM_COLUMNS = ("ctx", "endings", "label")
 
 
 def write_packed(blocks: DataFrame, path: str, split: str) -> None:
-    """Write blocks under ``split=/epoch=``, each file one run of consecutive blocks.
+    """Write blocks under ``split=/epoch=``, in block order inside each file.
 
-    Range partitioning keeps files in block order, so a reader can prefetch them in turn
-    and skip files by the statistics of ``block_idx``.
+    Packing leaves runs of consecutive blocks together, so no further shuffle is needed
+    and readers can skip files by the statistics of ``block_idx``. Writing an epoch again
+    replaces that epoch only.
     """
     ordered = blocks.select("block_idx", "tokens", F.lit(split).alias("split"), "epoch")
     (
-        ordered.repartitionByRange("epoch", "block_idx")
-        .sortWithinPartitions("epoch", "block_idx")
-        .write.mode("append")
+        ordered.sortWithinPartitions("epoch", "block_idx")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("split", "epoch")
         .parquet(path)
     )
