@@ -16,18 +16,17 @@ from corpusmill.config import (
     VOCAB_SIZE,
 )
 from corpusmill.functions.tokens import words
-from corpusmill.scratch import materialize, spread
+from corpusmill.scratch import materialize
 
 _STEPS = 16  # count classes per doubling
 
 
 def count_tokens(docs: DataFrame, split: Callable[[Column], Column] = words) -> DataFrame:
-    """Occurrences ``(token, n)`` in ``docs (ord, text)``, counted before the shuffle.
+    """Occurrences ``(token, n)`` in ``docs (text)``, counted before the shuffle.
 
     The table is written once, since vocabulary and scores both read it.
     """
-    texts = spread(docs.select("ord", "text"), "ord")
-    tokens = texts.select(F.explode(split(F.col("text"))).alias("token"))
+    tokens = docs.select(F.explode(split(F.col("text"))).alias("token"))
     return materialize(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "tokens")
 
 

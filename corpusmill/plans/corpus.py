@@ -15,7 +15,7 @@ from corpusmill.operators.mix import nested_interleave
 from corpusmill.operators.ordered import global_index
 from corpusmill.operators.pack import assemble, layout, pack
 from corpusmill.operators.vocab import build_vocab, count_tokens, unigram_scores
-from corpusmill.scratch import materialize, spread
+from corpusmill.scratch import materialize
 
 
 class Lexicon:
@@ -32,9 +32,8 @@ class Lexicon:
 
 
 def tokenize(docs: DataFrame, tokenizer: Tokenizer, *keys: str) -> DataFrame:
-    """``(keys..., tokens)`` of ``docs (keys..., text)``; all cores take part."""
-    texts = spread(docs.select(*keys, "text"), keys[-1])
-    return texts.select(*keys, tokenizer.encode(F.col("text")).alias("tokens"))
+    """``(keys..., tokens)`` of ``docs (keys..., text)``."""
+    return docs.select(*keys, tokenizer.encode(F.col("text")).alias("tokens"))
 
 
 def training_texts(docs: DataFrame) -> DataFrame:

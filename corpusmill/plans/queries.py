@@ -19,7 +19,14 @@ from corpusmill.functions.split import hash_bucket, in_split, split_name
 from corpusmill.functions.text import digest, length_ok, normalize
 from corpusmill.operators import dedup, evaluate, mix, pack, trainlog, vocab
 from corpusmill.plans import corpus
-from corpusmill.plans.tables import as_files, choice_items, documents, table, training_log
+from corpusmill.plans.tables import (
+    as_files,
+    choice_items,
+    documents,
+    spread_documents,
+    table,
+    training_log,
+)
 from corpusmill.scratch import materialize, new_path
 from corpusmill.sources import corpora, logs, packed
 from corpusmill.streaming import jobs
@@ -54,8 +61,12 @@ def _fitting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).where(length_ok(F.col("text")))
 
 
+def _fitting_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread_documents(spark, sf_dir).where(length_ok(F.col("text")))
+
+
 def _lexicon(spark: SparkSession, sf_dir: str, split=tk.words) -> corpus.Lexicon:
-    return corpus.Lexicon(corpus.training_texts(documents(spark, sf_dir)), split)
+    return corpus.Lexicon(corpus.training_texts(spread_documents(spark, sf_dir)), split)
 
 
 # Sources and sinks
@@ -129,7 +140,7 @@ def packed_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "packed")
     tokenizer = _lexicon(spark, sf_dir).tokenizer
     for split, epochs in (("train", (0, 1)), ("val", (0,))):
-        blocks = corpus.packed_corpus(documents(spark, sf_dir), tokenizer, split, epochs)
+        blocks = corpus.packed_corpus(spread_documents(spark, sf_dir), tokenizer, split, epochs)
         packed.write_packed(blocks, path, split)
     blocks = packed.read_packed(spark, path)
     return blocks.groupBy("split", "epoch").agg(
@@ -141,7 +152,7 @@ def packed_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def batch_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = corpus.packed_corpus(documents(spark, sf_dir), _lexicon(spark, sf_dir).tokenizer)
+    blocks = corpus.packed_corpus(spread_documents(spark, sf_dir), _lexicon(spark, sf_dir).tokenizer)
     preview = packed.batch_preview(pack.batch_blocks(blocks, BATCH))
     return preview.select("epoch", "rows", "columns", F.array_join("head", ",").alias("head"))
 
@@ -229,7 +240,7 @@ def epoch_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resume_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "packed")
     tokenizer = _lexicon(spark, sf_dir).tokenizer
-    blocks = corpus.packed_corpus(documents(spark, sf_dir), tokenizer, "train", EPOCHS)
+    blocks = corpus.packed_corpus(spread_documents(spark, sf_dir), tokenizer, "train", EPOCHS)
     packed.write_packed(blocks, path, "train")
     resumed = packed.read_packed(spark, path, "train", start_epoch=2)
     return resumed.select("epoch", "block_idx", _joined())
@@ -252,12 +263,12 @@ def text_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def char_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _fitting(spark, sf_dir).select("doc_id", normalize(F.col("text")).alias("text"))
+    docs = _fitting_spread(spark, sf_dir).select("doc_id", normalize(F.col("text")).alias("text"))
     return docs.select("doc_id", mh.shingle_counts(F.col("text")).alias("c")).select("doc_id", "c.*")
 
 
 def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _fitting(spark, sf_dir).select("doc_id", normalize(F.col("text")).alias("text"))
+    docs = _fitting_spread(spark, sf_dir).select("doc_id", normalize(F.col("text")).alias("text"))
     return docs.select("doc_id", mh.minhash(F.col("text")).alias("sig"))
 
 
@@ -275,27 +286,27 @@ def lsh_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def build_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab.build_vocab(vocab.count_tokens(corpus.training_texts(documents(spark, sf_dir))))
+    return vocab.build_vocab(vocab.count_tokens(corpus.training_texts(spread_documents(spark, sf_dir))))
 
 
 @query
 def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = _lexicon(spark, sf_dir).tokenizer
-    coded = corpus.tokenize(_fitting(spark, sf_dir), tokenizer, "doc_id")
+    coded = corpus.tokenize(_fitting_spread(spark, sf_dir), tokenizer, "doc_id")
     return coded.select("doc_id", F.size("tokens").alias("n"), _joined())
 
 
 @query
 def detokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = _lexicon(spark, sf_dir).tokenizer
-    coded = corpus.tokenize(_fitting(spark, sf_dir), tokenizer, "doc_id")
+    coded = corpus.tokenize(_fitting_spread(spark, sf_dir), tokenizer, "doc_id")
     return coded.select("doc_id", tokenizer.decode(F.col("tokens")).alias("text"))
 
 
 @query
 def crop_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = _lexicon(spark, sf_dir).tokenizer
-    coded = corpus.tokenize(_fitting(spark, sf_dir), tokenizer, "doc_id")
+    coded = corpus.tokenize(_fitting_spread(spark, sf_dir), tokenizer, "doc_id")
     return coded.select("doc_id", _joined(tk.crop_last(F.col("tokens"), CONTEXT)))
 
 
@@ -317,30 +328,30 @@ def retokenize_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    firsts = dedup.first_copies(_fitting(spark, sf_dir))
+    firsts = dedup.first_copies(_fitting_spread(spark, sf_dir))
     return firsts.select(F.lower(F.hex("digest")).alias("digest"), F.col("ord").alias("doc_id"))
 
 
 @query
 def dense_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    firsts = materialize(dedup.first_copies(_fitting(spark, sf_dir)).select("ord"), "firsts")
+    firsts = materialize(dedup.first_copies(_fitting_spread(spark, sf_dir)).select("ord"), "firsts")
     return dedup.dense_ids(firsts).select(F.col("ord").alias("doc_id"), "dense_id")
 
 
 @query
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = dedup.label_documents(_fitting(spark, sf_dir))
+    labels = dedup.label_documents(_fitting_spread(spark, sf_dir))
     return labels.select(F.col("ord").alias("doc_id"), "label")
 
 
 @query
 def dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.dedup_report(dedup.label_documents(_fitting(spark, sf_dir)))
+    return dedup.dedup_report(dedup.label_documents(_fitting_spread(spark, sf_dir)))
 
 
 @query
 def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prints = dedup.fingerprints(_fitting(spark, sf_dir))
+    prints = dedup.fingerprints(_fitting_spread(spark, sf_dir))
     unique = materialize(dedup.unique_fingerprints(prints), "unique")
     kept = dedup.greedy_keep(unique, mh.band_shape()[0])
     found = dedup.lsh_candidates(unique, kept)
@@ -349,7 +360,7 @@ def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def incremental_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _fitting(spark, sf_dir).select("ord", "text")
+    docs = _fitting_spread(spark, sf_dir).select("ord", "text")
     low, high = docs.agg(F.min("ord"), F.max("ord")).first()
     width = (high - low) // 3 + 1
     store = dedup.DuplicateStore(spark, new_path(spark, "store"))
@@ -364,7 +375,7 @@ def incremental_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _packed(spark: SparkSession, sf_dir: str, lossless: bool = True) -> DataFrame:
     tokenizer = _lexicon(spark, sf_dir).tokenizer
-    return corpus.pack_in_order(documents(spark, sf_dir), tokenizer, BLOCK_SIZE, lossless)
+    return corpus.pack_in_order(spread_documents(spark, sf_dir), tokenizer, BLOCK_SIZE, lossless)
 
 
 @query
@@ -380,7 +391,7 @@ def pack_sequences_lossy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def pack_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = tk.words(F.col("text"))
-    lengths = _fitting(spark, sf_dir).select(
+    lengths = _fitting_spread(spark, sf_dir).select(
         F.lit(0).alias("epoch"), F.col("ord").alias("pos"), F.size(tokens).alias("n")
     )
     placed = pack.layout(materialize(lengths, "lengths"))
@@ -390,7 +401,7 @@ def pack_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def packed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = corpus.packed_corpus(
-        documents(spark, sf_dir), _lexicon(spark, sf_dir).tokenizer, "train", (0, 1)
+        spread_documents(spark, sf_dir), _lexicon(spark, sf_dir).tokenizer, "train", (0, 1)
     )
     return blocks.select("epoch", "block_idx", _joined())
 
@@ -436,7 +447,7 @@ def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _val_batches(spark: SparkSession, sf_dir: str, lexicon: corpus.Lexicon) -> DataFrame:
     blocks = corpus.packed_corpus(
-        documents(spark, sf_dir), lexicon.tokenizer, "val", (0,), VAL_BLOCK
+        spread_documents(spark, sf_dir), lexicon.tokenizer, "val", (0,), VAL_BLOCK
     )
     return materialize(pack.batch_blocks(blocks, VAL_BATCH, VAL_BLOCK), "val_batches")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.scratch import new_path
+from corpusmill.scratch import new_path, spread
 
 # Last folder number of each corpus; later folders are books.
 ROLE_ENDS = {"web": 8, "code": 13, "math": 17, "arxiv": 18}
@@ -32,6 +32,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(role(F.col("source")).alias("source"), F.col("doc_id").alias("ord"), "doc_id", "text")
 
 
+def spread_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for costly per-text work; a table in one small file goes to all cores."""
+    return spread(documents(spark, sf_dir), "ord")
+
+
 def training_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as log rows ``(run_id, ord, ts, loss)``, one run per user."""
     events = table(spark, sf_dir, "events")
