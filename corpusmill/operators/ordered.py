@@ -23,12 +23,17 @@ def global_index(
     by: Sequence[str] = (),
     name: str = "idx",
     bits: int = CHUNK_BITS,
+    end: int | None = None,
 ) -> DataFrame:
     """Add the 0-based dense position of each row in its group's ``order``.
 
-    ``df`` is read twice (counts, rows), so give it a narrow table.
+    ``df`` is read twice (counts, rows), so give it a narrow table. If all ``order``
+    values are known to be below ``end`` and fit one chunk, a plain window is enough.
     """
     by = list(by)
+    if end is not None and end <= 1 << bits:
+        position = F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1
+        return df.withColumn(name, position.cast("bigint"))
     chunked = df.withColumn("_chunk", F.shiftright(F.col(order).cast("bigint"), bits))
     earlier = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = (

@@ -91,14 +91,41 @@ def layout(
 ) -> DataFrame:
     """Where each document starts: ``(epoch, pos, n, state, block)``.
 
-    ``lengths (epoch, pos, n)`` is read twice, so give it a written table. At most
-    ``2**(chunk_bits + 2 * group_bits)`` positions per epoch; more raise an error.
+    ``lengths (epoch, pos, n)`` is read several times, so give it a written table. At
+    most ``2**(chunk_bits + 2 * group_bits)`` positions per epoch; more raise an error.
     """
+    top = lengths.agg(F.max("pos")).first()[0] or 0
+    if top >> (chunk_bits + 2 * group_bits):
+        raise ValueError("too many documents in one epoch for chunk_bits and group_bits")
     chunked = lengths.select(
         "epoch", "pos", "n",
         F.shiftright("pos", chunk_bits).alias("chunk"),
         F.shiftright("pos", chunk_bits + group_bits).alias("grp"),
     )
+    if top >> chunk_bits:
+        starts = _chunk_starts(chunked, block_size, lossless)
+        started = chunked.join(starts, ["epoch", "chunk"])
+    else:  # one chunk per epoch begins with an empty buffer
+        started = chunked.withColumn("s0", F.lit(0)).withColumn("b0", F.lit(0).cast("bigint"))
+
+    def place(rows: pd.DataFrame) -> pd.DataFrame:
+        ordered = rows.sort_values("pos")
+        states, blocks = start_states(
+            ordered["n"].to_numpy(), block_size, lossless,
+            int(ordered["s0"].iloc[0]), int(ordered["b0"].iloc[0]),
+        )
+        return pd.DataFrame({
+            "epoch": ordered["epoch"].to_numpy(), "pos": ordered["pos"].to_numpy(),
+            "n": ordered["n"].to_numpy(), "state": states, "block": blocks,
+        })
+
+    return started.groupBy("epoch", "chunk").applyInPandas(
+        place, "epoch int, pos bigint, n int, state int, block bigint"
+    )
+
+
+def _chunk_starts(chunked: DataFrame, block_size: int, lossless: bool) -> DataFrame:
+    """``(epoch, chunk, s0, b0)``: buffer and block number in front of each chunk."""
     table_type = "epoch int, grp bigint, chunk bigint, state binary, blocks binary"
 
     def to_table(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -135,8 +162,6 @@ def layout(
             state = int(np.frombuffer(row.state, np.int64)[state])
 
     def start_groups(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > 1 << group_bits:
-            raise ValueError("too many documents in one epoch for chunk_bits and group_bits")
         ordered = rows.sort_values("grp")
         starts = list(walk(ordered, 0, 0))
         return pd.DataFrame({
@@ -155,29 +180,12 @@ def layout(
     group_starts = groups.groupBy("epoch").applyInPandas(
         start_groups, "epoch int, grp bigint, s0 int, b0 bigint"
     )
-    chunk_starts = (
+    return (
         tables.join(group_starts, ["epoch", "grp"])
         .groupBy("epoch", "grp")
         .applyInPandas(start_chunks, "epoch int, chunk bigint, s0 int, b0 bigint")
     )
 
-    def place(rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values("pos")
-        states, blocks = start_states(
-            ordered["n"].to_numpy(), block_size, lossless,
-            int(ordered["s0"].iloc[0]), int(ordered["b0"].iloc[0]),
-        )
-        return pd.DataFrame({
-            "epoch": ordered["epoch"].to_numpy(), "pos": ordered["pos"].to_numpy(),
-            "n": ordered["n"].to_numpy(), "state": states, "block": blocks,
-        })
-
-    return (
-        chunked.join(chunk_starts, ["epoch", "chunk"])
-        .groupBy("epoch", "chunk")
-        .applyInPandas(place, "epoch int, pos bigint, n int, state int, block bigint")
-    )
-
 
 def _segments(block_size: int, lossless: bool) -> Column:
     """``array<struct<block, start, first, size>>`` of one placed document.
