@@ -255,7 +255,8 @@ def pack(
         documents.select("epoch", "pos", F.size("tokens").alias("n")), "lengths"
     )
     placed = layout(lengths, block_size, lossless, chunk_bits, group_bits)
-    joined = documents.join(placed, ["epoch", "pos"])
+    # Hash the narrow side: a sort-merge join would sort the token lists.
+    joined = placed.hint("shuffle_hash").join(documents, ["epoch", "pos"])
     return assemble(joined, block_size, lossless, eos_id, pad_id)
 
 

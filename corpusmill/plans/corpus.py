@@ -61,7 +61,9 @@ def text_corpus(
     """
     keys = mixed_keys(docs, split, epochs, config)
     fitting = docs.select("source", "ord", "text").where(length_ok(F.col("text")))
-    return keys.join(fitting, ["source", "ord"]).select("epoch", "pos", "source", "ord", "text")
+    # Hash the narrow side: a sort-merge join would sort the texts.
+    placed = keys.hint("shuffle_hash").join(fitting, ["source", "ord"])
+    return placed.select("epoch", "pos", "source", "ord", "text")
 
 
 def packed_corpus(
@@ -88,9 +90,9 @@ def packed_corpus(
     )
     placed = layout(placed_lengths.select("epoch", "pos", "n"), block_size, lossless)
     located = placed_lengths.drop("n").join(placed, ["epoch", "pos"])
-    return assemble(
-        located.join(coded.drop("n"), ["source", "ord"]), block_size, lossless
-    )
+    # Hash the narrow side: a sort-merge join would sort the token lists.
+    joined = located.hint("shuffle_hash").join(coded.drop("n"), ["source", "ord"])
+    return assemble(joined, block_size, lossless)
 
 
 def pack_in_order(
