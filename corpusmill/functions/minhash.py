@@ -23,7 +23,6 @@ MIX_2 = 0xC2B2AE35
 _GROUP = 48_000  # shingles hashed together, small enough to stay in cache
 
 
-@lru_cache(maxsize=8)
 def permutations(count: int = NUM_PERM) -> tuple[np.ndarray, np.ndarray]:
     """Multipliers (odd) and offsets of the hash family, from a fixed recurrence."""
     state, values = 0x9E3779B9, []

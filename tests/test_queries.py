@@ -1,6 +1,7 @@
 """Every registered query against its SQL on the smallest tables."""
 
 import os
+import subprocess
 import sys
 
 import duckdb
@@ -50,3 +51,26 @@ def test_partitioning_does_not_matter(spark, db, name):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
+
+
+def test_tasks_do_not_import_the_package():
+    """From another folder, workers cannot import the package; queries run all the same."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+import __spark_entry__ as entry
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+for name in ("minhash_signature", "detokenize", "pack_layout", "stream_pack"):
+    assert entry.queries()[name](spark, {FOLDER!r}).count() > 0
+from corpusmill.operators.pack import layout
+lengths = spark.range(40).selectExpr("0 AS epoch", "id AS pos", "5 AS n")
+assert layout(lengths, 8, chunk_bits=2, group_bits=2).count() == 40
+print("done")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run(
+        [sys.executable, "-c", code], cwd="/", env=env, capture_output=True, text=True, timeout=300
+    )
+    assert "done" in run.stdout, run.stderr[-2000:]
