@@ -20,7 +20,7 @@ EMPTY_HASH = (1 << 32) - 1  # signature value of a text without shingles
 SHINGLE_BASE = 0x01000193
 MIX_1 = 0x85EBCA6B
 MIX_2 = 0xC2B2AE35
-_GROUP = 48_000  # shingles hashed together, small enough to stay in cache
+_GROUP = 100_000  # characters hashed together, small enough to stay in cache
 
 
 def permutations(count: int = NUM_PERM) -> tuple[np.ndarray, np.ndarray]:
@@ -55,32 +55,33 @@ def shingle_hashes(text: str, n: int = SHINGLE_CHARS) -> np.ndarray:
 def signatures(texts: list[str], num_perm: int = NUM_PERM, n: int = SHINGLE_CHARS) -> np.ndarray:
     """One signature row per text: the minimum of each permuted shingle hash."""
     out = np.full((len(texts), num_perm), EMPTY_HASH, dtype=np.uint32)
-    rows, parts, size = [], [], 0
+    rows, size = [], 0
     for row, text in enumerate(texts):
-        hashes = shingle_hashes(text, n)
-        if len(hashes):
+        if len(text) >= n:
             rows.append(row)
-            parts.append(hashes)
-            size += len(hashes)
-        if size >= _GROUP:
-            out[rows] = _group_minima(parts, num_perm)
-            rows, parts, size = [], [], 0
-    if parts:
-        out[rows] = _group_minima(parts, num_perm)
+            size += len(text)
+        if rows and (size >= _GROUP or row == len(texts) - 1):
+            out[rows] = _group_minima([texts[r] for r in rows], num_perm, n)
+            rows, size = [], 0
     return out
 
 
-def _group_minima(parts: list[np.ndarray], num_perm: int) -> np.ndarray:
-    """Per-text minima of every permutation, over the texts' hashes laid end to end."""
+def _group_minima(texts: list[str], num_perm: int, n: int) -> np.ndarray:
+    """Per-text minima of every permutation, over the texts laid end to end.
+
+    Shingles that reach into the next text lie between the segments and are skipped.
+    """
     a, b = permutations(num_perm)
-    flat = np.concatenate(parts)
-    starts = np.cumsum([0] + [len(p) for p in parts[:-1]])
-    minima = np.empty((len(parts), num_perm), dtype=np.uint32)
-    permuted = np.empty_like(flat)
+    hashes = shingle_hashes("".join(texts), n)
+    ends = np.cumsum([len(t) for t in texts])
+    starts = np.concatenate([[0], ends[:-1]])
+    bounds = np.column_stack([starts, ends - n + 1]).ravel()[:-1]
+    minima = np.empty((len(texts), num_perm), dtype=np.uint32)
+    permuted = np.empty_like(hashes)
     for i in range(num_perm):
-        np.multiply(flat, a[i], out=permuted)
+        np.multiply(hashes, a[i], out=permuted)
         permuted += b[i]
-        minima[:, i] = np.minimum.reduceat(permuted, starts)
+        minima[:, i] = np.minimum.reduceat(permuted, bounds)[::2]
     return minima
 
 
