@@ -473,10 +473,10 @@ _SMOOTH = 0.9
 
 ORACLES: dict[str, str] = {
     "scan_split_corpus": f"""
-        SELECT doc_id, source, length(text) AS chars FROM documents
+        SELECT doc_id, source, CAST(length(text) AS INT) AS chars FROM documents
         WHERE {_split("text")} = 'train'""",
     "scan_partition_dir": """
-        SELECT doc_id, source, length(text) AS chars FROM documents WHERE lang = 'en'""",
+        SELECT doc_id, source, CAST(length(text) AS INT) AS chars FROM documents WHERE lang = 'en'""",
     "resolve_text_column": _with(DOCS) + """
         SELECT doc_id, source, text FROM d WHERE source IN ('code', 'arxiv', 'web')""",
     "text_fallback": """
@@ -509,7 +509,7 @@ ORACLES: dict[str, str] = {
     "split_counts": _with(DOCS) + """
         SELECT split, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars FROM d
         WHERE fits GROUP BY split""",
-    "length_filter": _with(DOCS) + "SELECT doc_id, length(text) AS chars FROM d WHERE fits",
+    "length_filter": _with(DOCS) + "SELECT doc_id, CAST(length(text) AS INT) AS chars FROM d WHERE fits",
     "take_n_stream": _with(DOCS, _mixed("train", q.EPOCHS)) + f"""
         SELECT * FROM (
           SELECT row_number() OVER (ORDER BY m.epoch, m.pos) - 1 AS idx, m.epoch, m.pos, d.doc_id
@@ -662,7 +662,7 @@ ORACLES: dict[str, str] = {
                * (CAST({_CFG.lr} AS DOUBLE) - CAST({_CFG.min_lr} AS DOUBLE)) END, 9) AS lr
         FROM events""",
     "stream_split_filter": _with(DOCS) + """
-        SELECT doc_id, split, length(text) AS chars FROM d WHERE fits""",
+        SELECT doc_id, split, CAST(length(text) AS INT) AS chars FROM d WHERE fits""",
     "stream_exact_dedup": _with(DOCS, FITTING, FIRSTS) + """
         SELECT f.doc_id, CASE WHEN u.doc_id IS NULL THEN 'exact_dup' ELSE 'kept' END AS label
         FROM f LEFT JOIN firsts u USING (doc_id)""",
@@ -670,7 +670,9 @@ ORACLES: dict[str, str] = {
     "stream_distinct_texts": _with(DOCS, FITTING, FIRSTS) + "SELECT digest FROM firsts",
     "stream_pack": _with(
         *BASE,
-        f"src AS MATERIALIZED (SELECT ord % {q.SHARDS} AS epoch, ord AS pos, tokens FROM enc)",
+        f"""src AS MATERIALIZED (
+          SELECT ord % greatest({q.SHARDS}, (SELECT count(*) FROM documents) >> {q.SHARD_BITS}) AS epoch,
+                 ord AS pos, tokens FROM enc)""",
         _pack("b", "src", padded=False),
         recursive=True,
     ) + f"SELECT CAST(epoch AS INT) AS shard, block_idx, {_csv('tokens')} AS tokens FROM b",

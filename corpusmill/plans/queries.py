@@ -20,7 +20,7 @@ from corpusmill.functions.text import digest, length_ok, normalize
 from corpusmill.operators import dedup, evaluate, mix, pack, trainlog, vocab
 from corpusmill.plans import corpus
 from corpusmill.plans.tables import (
-    as_files,
+    arrivals,
     choice_items,
     documents,
     spread_documents,
@@ -39,9 +39,10 @@ VAL_BLOCK = 256
 VAL_BATCHES = 10
 WORLD_SIZE = 3
 ITEMS = 100
-CONTEXT = 64
+CONTEXT = BLOCK_SIZE
 SHARDS = 4
-FIRST_TEXTS = DEDUP_SAMPLE // 100
+SHARD_BITS = 14  # documents per shard of the streaming packer: about 2**14
+FIRST_TEXTS = DEDUP_SAMPLE // 100  # small enough to cut the smaller tables too
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -564,23 +565,35 @@ def lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams
 
 
-def _document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _streamed(
+    spark: SparkSession, sf_dir: str, label: str, transform: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """Table written by ``transform`` of the document stream, one run per delivery."""
     docs = documents(spark, sf_dir).select("ord", "text")
-    return jobs.read_documents(spark, as_files(docs, "stream_input"), "ord bigint, text string")
+    out = new_path(spark, label)
+    for path in arrivals(docs, "stream_input"):
+        stream = jobs.read_documents(spark, path, "ord bigint, text string")
+        result = jobs.append_to_table(transform(stream), out)
+    return result
 
 
 @query
 def stream_split_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = jobs.split_and_filter(_document_stream(spark, sf_dir))
-    kept = stream.select(F.col("ord").alias("doc_id"), "split", F.length("text").alias("chars"))
-    return jobs.run_to_table(kept, "stream_split")
+    def transform(stream: DataFrame) -> DataFrame:
+        kept = jobs.split_and_filter(stream)
+        return kept.select(F.col("ord").alias("doc_id"), "split", F.length("text").alias("chars"))
+
+    return _streamed(spark, sf_dir, "stream_split", transform)
 
 
 def _dedup_stream(spark: SparkSession, sf_dir: str, near: bool) -> DataFrame:
-    stream = _document_stream(spark, sf_dir).where(length_ok(F.col("text")))
-    path = new_path(spark, "stream_dedup")
-    store = dedup.DuplicateStore(spark, f"{path}/store")
-    jobs.dedup_stream(stream, store, f"{path}/checkpoint", near).awaitTermination()
+    docs = documents(spark, sf_dir).select("ord", "text")
+    out = new_path(spark, "stream_dedup")
+    store = dedup.DuplicateStore(spark, f"{out}/store")
+    for path in arrivals(docs, "stream_input"):
+        stream = jobs.read_documents(spark, path, "ord bigint, text string")
+        fitting = stream.where(length_ok(F.col("text")))
+        jobs.dedup_stream(fitting, store, f"{out}/checkpoint", near).awaitTermination()
     return store.labels().select(F.col("ord").alias("doc_id"), "label")
 
 
@@ -596,15 +609,23 @@ def stream_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_distinct_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = jobs.distinct_texts(_document_stream(spark, sf_dir).where(length_ok(F.col("text"))))
-    digests = stream.select(F.lower(F.hex("digest")).alias("digest"))
-    return jobs.run_to_table(digests, "stream_distinct")
+    def transform(stream: DataFrame) -> DataFrame:
+        distinct = jobs.distinct_texts(stream.where(length_ok(F.col("text"))))
+        return distinct.select(F.lower(F.hex("digest")).alias("digest"))
+
+    return _streamed(spark, sf_dir, "stream_distinct", transform)
 
 
 @query
 def stream_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     encode = _lexicon(spark, sf_dir).tokenizer.encode
-    stream = _document_stream(spark, sf_dir).where(length_ok(F.col("text")))
-    coded = stream.select("ord", encode(F.col("text")).alias("tokens"))
-    blocks = jobs.run_to_table(jobs.pack_stream(coded, SHARDS), "stream_pack")
+    # As many shards as keep one shard's documents few, whatever the size of the table.
+    shards = max(SHARDS, documents(spark, sf_dir).count() >> SHARD_BITS)
+
+    def transform(stream: DataFrame) -> DataFrame:
+        fitting = stream.where(length_ok(F.col("text")))
+        coded = fitting.select("ord", encode(F.col("text")).alias("tokens"))
+        return jobs.pack_stream(coded, shards)
+
+    blocks = _streamed(spark, sf_dir, "stream_pack", transform)
     return blocks.select("shard", "block_idx", _joined())

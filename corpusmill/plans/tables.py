@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,19 +80,17 @@ def choice_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def as_files(docs: DataFrame, label: str, parts: int = 4) -> str:
-    """Write ``docs`` as a folder that grows file by file in ``ord`` order; its path.
+def arrivals(docs: DataFrame, label: str, parts: int = 3) -> Iterator[str]:
+    """Grow a folder by ``docs`` in ``ord`` order, one part per step; yields its path.
 
-    The writes follow each other, so that file times show the stream order.
+    Each part is written by all tasks, as many files; the parts follow each other, as
+    deliveries do.
     """
     path = new_path(docs.sparkSession, label)
     low, high = docs.agg(F.min("ord"), F.max("ord")).first()
-    if low is None:
-        docs.write.parquet(path)
-        return path
-    width = (high - low) // parts + 1
+    width = ((high or 0) - (low or 0)) // parts + 1
     for i in range(parts):
-        start = low + i * width
+        start = (low or 0) + i * width
         piece = docs.where((F.col("ord") >= start) & (F.col("ord") < start + width))
-        piece.coalesce(1).write.mode("append").parquet(path)
-    return path
+        piece.write.mode("append").parquet(path)
+        yield path

@@ -1,7 +1,7 @@
 """Streaming forms of the corpus jobs.
 
-Files are read a few at a time (``maxFilesPerTrigger``), which bounds how far a job
-reads ahead. Where "first seen" must be exact, each micro-batch runs the batch operator
+Reading a few files at a time (``maxFilesPerTrigger``) bounds how far a job reads
+ahead. Where "first seen" must be exact, each micro-batch runs the batch operator
 against a stored table; batch ids make repeated batches harmless.
 """
 
@@ -19,21 +19,25 @@ from corpusmill.config import BLOCK_SIZE, EOS_ID
 from corpusmill.functions.split import split_name
 from corpusmill.functions.text import digest, length_ok, normalize
 from corpusmill.operators.dedup import DuplicateStore
-from corpusmill.scratch import new_path
 
 DOCUMENT_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
 def read_documents(
-    spark: SparkSession, path: str, schema: str = DOCUMENT_SCHEMA, files_per_batch: int = 1
+    spark: SparkSession,
+    path: str,
+    schema: str = DOCUMENT_SCHEMA,
+    files_per_batch: int | None = None,
 ) -> DataFrame:
-    """A stream of documents from a folder of Parquet files."""
-    return (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .option("pathGlobFilter", "*.parquet")
-        .parquet(path)
-    )
+    """A stream of documents from a folder of Parquet files.
+
+    Files are taken in the order of their times. ``files_per_batch`` bounds a micro-batch;
+    where order matters, use it only if files arrive one after another in stream order.
+    """
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
 
 
 def split_and_filter(docs: DataFrame) -> DataFrame:
@@ -46,10 +50,11 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     return docs.withColumn("digest", digest(normalize(F.col("text")))).dropDuplicates(["digest"])
 
 
-def run_to_table(stream: DataFrame, label: str) -> DataFrame:
-    """Run a stream over all available input into a Parquet table and read it back."""
-    spark = stream.sparkSession
-    path = new_path(spark, label)
+def append_to_table(stream: DataFrame, path: str) -> DataFrame:
+    """Run a stream over the input not yet seen, append to a Parquet table, return it.
+
+    Progress is kept next to the table, so calling again goes on where it stopped.
+    """
     query = (
         stream.writeStream.format("parquet")
         .option("path", path)
@@ -58,7 +63,7 @@ def run_to_table(stream: DataFrame, label: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
 def dedup_stream(
@@ -86,8 +91,9 @@ def pack_stream(
 ) -> DataFrame:
     """Pack a stream of ``docs (ord, tokens)`` per shard: ``(shard, block_idx, tokens)``.
 
-    Shards take documents in turn by ``ord``, so none gets more than its part. The state
-    of a shard is its unfinished block, which waits for the shard's next document.
+    Shards take documents in turn by ``ord``, so none gets more than its part; a task
+    holds one shard's documents of one micro-batch, so choose ``shards`` to fit that. The
+    state of a shard is its unfinished block, which waits for the shard's next document.
     """
 
     def step(

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from corpusmill.operators.dedup import DuplicateStore, label_documents
-from corpusmill.plans.tables import as_files
+from corpusmill.scratch import new_path
 from corpusmill.streaming import jobs
 from test_dedup import corpus
 from test_pack import pack_list
@@ -14,14 +14,25 @@ SCHEMA = "ord bigint, text string"
 
 
 def folder(spark, rows, schema=SCHEMA, parts=3):
-    return as_files(spark.createDataFrame(rows, schema), "stream_test", parts)
+    """A folder whose files were written one after another, in stream order."""
+    path = new_path(spark, "stream_test")
+    rows = sorted(rows)
+    size = len(rows) // parts + 1
+    for i in range(0, len(rows), size):
+        part = spark.createDataFrame(rows[i : i + size], schema)
+        part.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def one_by_one(spark, path, schema=SCHEMA):
+    return jobs.read_documents(spark, path, schema, files_per_batch=1)
 
 
 def test_split_and_filter(spark):
     path = folder(spark, corpus(2, 60))
-    stream = jobs.split_and_filter(jobs.read_documents(spark, path, SCHEMA))
+    stream = jobs.split_and_filter(one_by_one(spark, path))
     batch = jobs.split_and_filter(spark.read.parquet(path))
-    got = jobs.run_to_table(stream.select("ord", "split"), "split")
+    got = jobs.append_to_table(stream.select("ord", "split"), new_path(spark, "split"))
     assert sorted(got.collect()) == sorted(batch.select("ord", "split").collect())
 
 
@@ -30,7 +41,7 @@ def test_dedup_streams(spark, tmp_path):
     docs = spark.read.parquet(path)
     for near in (True, False):
         store = DuplicateStore(spark, str(tmp_path / f"store{near}"))
-        stream = jobs.read_documents(spark, path, SCHEMA)
+        stream = one_by_one(spark, path)
         query = jobs.dedup_stream(stream, store, str(tmp_path / f"check{near}"), near)
         query.awaitTermination()
         assert len(query.recentProgress) >= 3  # several micro-batches
@@ -38,8 +49,8 @@ def test_dedup_streams(spark, tmp_path):
         if not near:
             want = want.withColumn("label", F.regexp_replace("label", "near_dup", "kept"))
         assert sorted(store.labels().collect()) == sorted(want.collect())
-    distinct = jobs.run_to_table(
-        jobs.distinct_texts(jobs.read_documents(spark, path, SCHEMA)).select("digest"), "distinct"
+    distinct = jobs.append_to_table(
+        jobs.distinct_texts(one_by_one(spark, path)).select("digest"), new_path(spark, "distinct")
     )
     assert distinct.count() == want.where("label = 'kept'").count()
 
@@ -49,8 +60,10 @@ def test_pack_stream_carries_over(spark):
     rows = [(o, [rng.randrange(3, 99) for _ in range(rng.randrange(0, 20))]) for o in range(60)]
     path = folder(spark, rows, "ord bigint, tokens array<int>", 4)
     for lossless in (True, False):
-        stream = jobs.read_documents(spark, path, "ord bigint, tokens array<int>")
-        got = jobs.run_to_table(jobs.pack_stream(stream, 2, 8, lossless), "packed").collect()
+        stream = one_by_one(spark, path, "ord bigint, tokens array<int>")
+        got = jobs.append_to_table(
+            jobs.pack_stream(stream, 2, 8, lossless), new_path(spark, "packed")
+        ).collect()
         for shard in (0, 1):
             lists = [t for o, t in rows if o % 2 == shard]
             blocks = [list(r.tokens) for r in sorted(got, key=lambda r: r.block_idx) if r.shard == shard]
