@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.config import FIRST_WORD_ID, MAX_TOKEN_CHARS, PAD_ID, UNK_ID, VOCAB_SIZE
+from corpusmill.config import MAX_TOKEN_CHARS, PAD_ID, UNK_ID, VOCAB_SIZE
 
 # Fixed values of the two built-in token rules.
 WORD_PATTERN = r"[\p{L}\p{N}_]+|[^\s\x0b\p{L}\p{N}_]"
@@ -130,8 +130,3 @@ def attention_mask(ids: Column, length: Column) -> Column:
     """1 for each id, 0 for the padding behind it."""
     missing = F.greatest(length - F.size(ids), F.lit(0)).cast("int")
     return F.concat(F.array_repeat(F.lit(1), F.size(ids)), F.array_repeat(F.lit(0), missing))
-
-
-def word_ids() -> range:
-    """Ids open to ordinary tokens."""
-    return range(FIRST_WORD_ID, VOCAB_SIZE)

@@ -2,8 +2,6 @@
 
 import random
 
-from pyspark.sql import functions as F
-
 from corpusmill.operators.ordered import global_index, previous_row, running_min_before, take_first
 
 
