@@ -69,7 +69,10 @@ def append_to_table(stream: DataFrame, path: str) -> DataFrame:
 def dedup_stream(
     docs: DataFrame, store: DuplicateStore, checkpoint: str, near: bool = True
 ) -> StreamingQuery:
-    """Label each micro-batch of ``docs (ord, text)`` against everything before it."""
+    """Label each micro-batch of ``docs (ord, text)`` against everything before it.
+
+    Batch ids name the store's groups, so a store belongs to one checkpoint.
+    """
 
     def label(batch: DataFrame, batch_id: int) -> None:
         (store.add if near else store.add_exact)(batch, batch_id)
