@@ -87,8 +87,7 @@ def _draws(
             "mix", "epoch", "step", drawn_source(F.col("value"), weights).alias("source")
         )
         table = drawn if table is None else table.unionByName(drawn)
-    end = max(steps for _, steps in mixes.values())
-    numbered = global_index(table, "step", ["mix", "epoch", "source"], "k", end=end)
+    numbered = global_index(table, "step", ["mix", "epoch", "source"], "k")
     return materialize(numbered.withColumn("k", F.col("k") + 1), "draws")
 
 
@@ -118,10 +117,10 @@ def source_keys(docs: DataFrame, names: Iterable[str]) -> DataFrame:
     return materialize(wanted.select("source", "ord"), "mix_keys")
 
 
-def source_sizes(keys: DataFrame) -> tuple[dict[str, int], int]:
-    """Records per source, and an end of all ``ord`` (one row per source is collected)."""
-    rows = keys.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("ord").alias("top")).collect()
-    return {r.source: r.n for r in rows}, max((r.top + 1 for r in rows), default=0)
+def source_sizes(keys: DataFrame) -> dict[str, int]:
+    """Records per named source (one row per source is collected)."""
+    rows = keys.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()
+    return {r.source: r.n for r in rows}
 
 
 def weighted_interleave(
@@ -152,7 +151,7 @@ def nested_interleave(
     mixes = {m: {s: w for s, w in ws.items() if w > 0} for m, ws in mixes.items()}
     leaves = {s for ws in mixes.values() for s in ws} - set(config.nested)
     keys = source_keys(docs, leaves)
-    sizes, end = source_sizes(keys)
+    sizes = source_sizes(keys)
     # An inner mixture has at most the records of its sources.
     bound = {m: sum(sizes.get(s, 0) for s in ws) for m, ws in config.nested.items()}
 
@@ -177,7 +176,7 @@ def nested_interleave(
             "epoch", "step", F.col("source").alias("mix"), F.col("k").alias("mix_k")
         ).join(inner, ["epoch", "mix", "mix_k"])
         drawn = drawn.unionByName(picked.select("epoch", "step", "source", "k"))
-    ranked = global_index(keys, "ord", ["source"], "k", end=end).withColumn("k", F.col("k") + 1)
+    ranked = global_index(keys, "ord", ["source"], "k").withColumn("k", F.col("k") + 1)
     return drawn.join(ranked, ["source", "k"]).select(
         "epoch", F.col("step").alias("pos"), "source", "ord"
     )

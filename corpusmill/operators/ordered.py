@@ -1,55 +1,67 @@
 """Order-dependent operators that never put a whole group into one task.
 
-Stream order is an explicit, non-negative ``ord`` column, unique inside a group.
-A group is cut into chunks of ``2**CHUNK_BITS`` consecutive ``ord`` values; rows are
-numbered inside their chunk, and the chunk totals, one row per chunk, are added up. For
-``ord < 2**40`` no window partition holds more than ``2**20`` narrow rows, even when one
-group is most of the table.
+Rows are cut by ranges of ``(group, order)`` into the parts of one written table, so
+parts are of like size whatever the values of the order are: dense, sparse or negative.
+Rows are numbered inside their part and the totals of the earlier parts of the group,
+one row per part, are added. The order is unique inside a group; groups are not null.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.scratch import materialize
+
 CHUNK_BITS = 20
 
 
+def _keys(order: str | Sequence[str]) -> list[str]:
+    return [order] if isinstance(order, str) else list(order)
+
+
+def _running(df: DataFrame, order, by, name: str, per_part: Column, inside: Column) -> DataFrame:
+    """Add ``inside`` (a window value within a part) plus ``per_part`` of earlier parts."""
+    by, order = list(by), _keys(order)
+    ranged = df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id())
+    parts = materialize(ranged, "ordered")
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = (
+        parts.groupBy(*by, "_part")
+        .agg(per_part.alias("_n"))
+        .select(*by, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    )
+    window = Window.partitionBy(*by, "_part").orderBy(*order)
+    return (
+        parts.withColumn("_inside", inside.over(window))
+        .join(bases, [*by, "_part"])
+        .withColumn(name, F.col("_inside") + F.col("_base"))
+        .drop("_part", "_inside", "_base")
+    )
+
+
 def global_index(
-    df: DataFrame,
-    order: str = "ord",
-    by: Sequence[str] = (),
-    name: str = "idx",
-    bits: int = CHUNK_BITS,
-    end: int | None = None,
+    df: DataFrame, order: str | Sequence[str] = "ord", by: Sequence[str] = (), name: str = "idx"
 ) -> DataFrame:
     """Add the 0-based dense position of each row in its group's ``order``.
 
-    ``df`` is read twice (counts, rows), so give it a narrow table. If all ``order``
-    values are known to be below ``end`` and fit one chunk, a plain window is enough.
+    ``df`` is read twice (to find the ranges and to cut them), so give it a narrow table.
     """
-    by = list(by)
-    if end is not None and end <= 1 << bits:
-        position = F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1
-        return df.withColumn(name, position.cast("bigint"))
-    chunked = df.withColumn("_chunk", F.shiftright(F.col(order).cast("bigint"), bits))
-    earlier = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    bases = (
-        chunked.groupBy(*by, "_chunk")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*by, "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
-    )
-    inside = Window.partitionBy(*by, "_chunk").orderBy(order)
-    return (
-        chunked.withColumn("_rank", F.row_number().over(inside) - 1)
-        .join(bases, [*by, "_chunk"])
-        .withColumn(name, F.col("_rank") + F.col("_base"))
-        .drop("_chunk", "_rank", "_base")
+    return _running(df, order, by, name, F.count(F.lit(1)), F.row_number()).withColumn(
+        name, (F.col(name) - 1).cast("bigint")
     )
 
 
+def running_total(
+    df: DataFrame, value: str, order: str | Sequence[str] = "ord", by: Sequence[str] = (), name: str = "total"
+) -> DataFrame:
+    """Add the sum of ``value`` over the group's rows up to and with this one."""
+    total = F.sum(value)
+    return _running(df, order, by, name, total, total)
+
+
 def previous_row(
     df: DataFrame,
     columns: Sequence[str],

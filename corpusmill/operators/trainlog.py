@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.config import TrainConfig
-from corpusmill.operators.ordered import CHUNK_BITS, global_index, previous_row, running_min_before
+from corpusmill.operators.ordered import CHUNK_BITS, global_index, previous_row, running_min_before, running_total
 
 
-def with_steps(events: DataFrame, bits: int = CHUNK_BITS) -> DataFrame:
+def with_steps(events: DataFrame) -> DataFrame:
     """Number events ``(run_id, ord, ...)`` of each run from 1, as ``step``."""
-    indexed = global_index(events, "ord", ["run_id"], "step", bits)
+    indexed = global_index(events, "ord", ["run_id"], "step")
     return indexed.withColumn("step", F.col("step") + 1)
 
 
@@ -36,20 +36,18 @@ def chunk_length(decay: float) -> int:
     return max(2, math.ceil(-60 * math.log(10) / math.log(decay)))
 
 
-def loss_ema(
-    log: DataFrame, smoothing: float = 0.9, rows: int | None = None, bits: int = CHUNK_BITS
-) -> DataFrame:
+def loss_ema(log: DataFrame, smoothing: float = 0.9, rows: int | None = None) -> DataFrame:
     """Add ``smoothed``: weighted mean of all losses so far, weights ``smoothing**age``.
 
-    A missing loss has no weight but ages the others; the last value is carried on. Inside
-    a chunk of rows the sums are windows over ``loss / smoothing**place``; what earlier
-    chunks add fades by ``smoothing**chunk rows`` per chunk. With the default length the
-    chunk before the last one is far below double precision; shorter chunks add up as
-    many earlier chunks as still matter.
+    A missing loss has no weight but ages the others; the last value is carried on over
+    any gap. Inside a chunk of rows the sums are windows over ``loss / smoothing**place``.
+    A chunk starts from the sums of the last chunks with a loss before it: as many as
+    still matter in double precision, scaled to the latest of them, so that a long gap
+    takes nothing from their ratio.
     """
     rows = rows or chunk_length(smoothing)
     reach = math.ceil(chunk_length(smoothing) / rows)
-    indexed = global_index(log.select("run_id", "step", "loss"), "step", ["run_id"], "i", bits)
+    indexed = global_index(log.select("run_id", "step", "loss"), "step", ["run_id"], "i")
     place = F.col("i") % rows
     weight = F.pow(F.lit(smoothing), -place)
     chunked = indexed.select(
@@ -64,37 +62,57 @@ def loss_ema(
         .orderBy("i")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    fade = F.pow(F.lit(smoothing), F.col("place"))
     local = chunked.select(
         "run_id",
         "step",
         "loss",
         "chunk",
         "place",
-        (F.sum("wx").over(so_far) * fade).alias("num"),
-        (F.sum("w").over(so_far) * fade).alias("den"),
+        F.sum("wx").over(so_far).alias("num"),
+        F.sum("w").over(so_far).alias("den"),
     )
-    ends = chunked.groupBy("run_id", "chunk").agg(F.sum("wx").alias("ex"), F.sum("w").alias("ew"))
-    # Only full chunks have successors: their sums fade by ``rows - 1`` to their last row.
-    back = F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("back")
-    carried = ends.select("run_id", "chunk", "ex", "ew", back).select(
+    joined = local.join(_chunk_starts(chunked, smoothing, rows, reach), ["run_id", "chunk"], "left")
+    old = F.pow(F.lit(smoothing), F.col("away") * rows)
+    num = F.col("num") + F.coalesce(F.col("start_num") * old, F.lit(0.0))
+    den = F.col("den") + F.coalesce(F.col("start_den") * old, F.lit(0.0))
+    smoothed = F.when(F.col("den") > 0, num / den).otherwise(F.col("start_num") / F.col("start_den"))
+    return joined.select("run_id", "step", "loss", smoothed.alias("smoothed"))
+
+
+def _chunk_starts(chunked: DataFrame, smoothing: float, rows: int, reach: int) -> DataFrame:
+    """``(run_id, chunk, start_num, start_den, away)``: the sums a chunk starts from.
+
+    They are scaled to the first row of the latest earlier chunk with a loss, which lies
+    ``away`` chunks back. The ``reach`` latest ones are found by their number in the run.
+    """
+    ends = chunked.groupBy("run_id", "chunk").agg(
+        F.sum("wx").alias("ex"), F.sum("w").alias("ew"), F.max((F.col("w") > 0).cast("long")).alias("full")
+    )
+    ends = running_total(ends, "full", "chunk", ["run_id"], "nth")
+    given = ends.where("full = 1").select(
         "run_id",
-        (F.col("chunk") + F.col("back")).alias("chunk"),
-        (F.col("ex") * _carry(smoothing, rows)).alias("ex"),
-        (F.col("ew") * _carry(smoothing, rows)).alias("ew"),
+        F.struct(F.col("chunk").alias("at"), "ex", "ew").alias("sums"),
+        F.explode(F.sequence(F.col("nth"), F.col("nth") + (reach - 1))).alias("before"),
     )
-    carried = carried.groupBy("run_id", "chunk").agg(F.sum("ex").alias("ex"), F.sum("ew").alias("ew"))
-    joined = local.join(carried, ["run_id", "chunk"], "left")
-    num = F.col("num") + F.coalesce(F.col("ex"), F.lit(0.0)) * fade
-    den = F.col("den") + F.coalesce(F.col("ew"), F.lit(0.0)) * fade
-    return joined.select(
-        "run_id", "step", "loss", F.when(den > 0, num / den).alias("smoothed")
+    wanted = ends.select("run_id", "chunk", (F.col("nth") - F.col("full")).alias("before"))
+    latest = F.array_max("found")["at"]
+    faded = lambda name: F.aggregate(
+        "found",
+        F.lit(0.0),
+        lambda total, s: total + s[name] * F.pow(F.lit(smoothing), (latest - s["at"]) * rows),
+    )
+    return (
+        wanted.join(given, ["run_id", "before"])
+        .groupBy("run_id", "chunk")
+        .agg(F.collect_list("sums").alias("found"))
+        .select(
+            "run_id",
+            "chunk",
+            faded("ex").alias("start_num"),
+            faded("ew").alias("start_den"),
+            (F.col("chunk") - latest).alias("away"),
+        )
     )
-
-
-def _carry(smoothing: float, rows: int) -> Column:
-    """Fading from the first place of a chunk to the first place ``back`` chunks later."""
-    return F.pow(F.lit(smoothing), F.col("back") * rows)
 
 
 def seconds_between(start: Column, end: Column) -> Column:
@@ -113,7 +131,7 @@ def throughput(log: DataFrame, config: TrainConfig, bits: int = CHUNK_BITS) -> D
         config.log_interval * config.accum_steps * config.micro_batch_size * config.block_size
     )
     lines = every_n(log, config).select("run_id", "step", "ts")
-    timed = previous_row(global_index(lines, "step", ["run_id"], "i", bits), ["ts"], ["run_id"], "i", bits)
+    timed = previous_row(global_index(lines, "step", ["run_id"], "i"), ["ts"], ["run_id"], "i", bits)
     seconds = seconds_between(F.col("prev_ts"), F.col("ts"))
     return timed.select(
         "run_id",
@@ -125,7 +143,7 @@ def throughput(log: DataFrame, config: TrainConfig, bits: int = CHUNK_BITS) -> D
 
 def best_so_far(log: DataFrame, bits: int = CHUNK_BITS) -> DataFrame:
     """Flag losses strictly below every earlier one of the run."""
-    indexed = global_index(log.select("run_id", "step", "loss"), "step", ["run_id"], "i", bits)
+    indexed = global_index(log.select("run_id", "step", "loss"), "step", ["run_id"], "i")
     before = running_min_before(indexed, "loss", ["run_id"], "i", "best_before", bits)
     is_best = F.col("loss") < F.coalesce(F.col("best_before"), F.lit(float("inf")))
     return before.select(

@@ -53,7 +53,7 @@ def test_steps_flags_and_throughput(spark):
     rows = [(run, 10 * i, start + dt.timedelta(hours=7 * i, microseconds=i), 1.0)
             for run in (1, 2) for i in range(13)]
     events = spark.createDataFrame(rows, "run_id bigint, ord bigint, ts timestamp_ntz, loss double")
-    log = trainlog.with_steps(events, bits=4)
+    log = trainlog.with_steps(events)
     assert sorted(r.step for r in log.where("run_id = 1").collect()) == list(range(1, 14))
     lines = trainlog.every_n(log, config).where("run_id = 2").orderBy("step").collect()
     assert [(r.step, r.saves) for r in lines] == [(4, True), (8, True), (12, True)]
@@ -89,3 +89,18 @@ def test_log_files(spark, tmp_path):
     append_log(log.select("run_id", (F.col("step") + 20).alias("step"), "loss"), path)
     got = sorted((r.step, r.loss) for r in read_log(spark, path).collect())
     assert got == [(10, 2.25), (20, None), (30, 2.25), (40, None)]
+
+
+def test_ema_over_long_gaps(spark):
+    """One loss, then nulls for several chunks, then losses again: the value is carried on."""
+    gap = 4 * trainlog.chunk_length(0.9)
+    values = [2.0, 3.0] + [None] * gap + [5.0] + [None] * 40 + [4.0, 6.0]
+    log = spark.createDataFrame([(1, i + 1, v) for i, v in enumerate(values)], "run_id bigint, step bigint, loss double")
+    for rows in (None, 97):
+        got = {r.step: r.smoothed for r in trainlog.loss_ema(log, 0.9, rows).collect()}
+        want = pd.Series(values, dtype=float).ewm(alpha=0.1).mean()
+        ahead = want.iloc[1]
+        for i in range(2, gap + 2):
+            assert got[i + 1] == pytest.approx(ahead, rel=1e-9)
+        assert got[gap + 3] == pytest.approx(5.0, rel=1e-9)
+        assert got[len(values)] == pytest.approx(want.iloc[-1], rel=1e-9)

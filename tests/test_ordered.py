@@ -2,7 +2,7 @@
 
 import random
 
-from corpusmill.operators.ordered import global_index, previous_row, running_min_before, take_first
+from corpusmill.operators.ordered import global_index, previous_row, running_min_before, running_total, take_first
 
 
 def _rows(seed=3):
@@ -15,18 +15,25 @@ def _rows(seed=3):
     return rows
 
 
-def test_index_across_chunks(spark):
+def test_index_across_parts(spark):
     rows = _rows()
-    df = spark.createDataFrame(rows, "g string, ord bigint, v double")
-    for bits in (2, 5, 20):
-        got = {(r.g, r.ord): r.idx for r in global_index(df, "ord", ["g"], bits=bits).collect()}
+    for scale, shift in ((1, 0), (1, -2500), (1 << 40, 0)):  # dense, negative, sparse orders
+        placed = [(g, scale * o + shift, v) for g, o, v in rows]
+        df = spark.createDataFrame(placed, "g string, ord bigint, v double")
+        got = {(r.g, r.ord): r.idx for r in global_index(df, "ord", ["g"]).collect()}
         for g in ("hot", "cold", "one"):
-            for i, o in enumerate(sorted(o for h, o, _ in rows if h == g)):
+            for i, o in enumerate(sorted(o for h, o, _ in placed if h == g)):
                 assert got[g, o] == i
-    whole = {r.ord: r.idx for r in global_index(df.where("g = 'hot'"), bits=3).collect()}
+    whole = {r.ord: r.idx for r in global_index(df.where("g = 'hot'")).collect()}
     assert sorted(whole.values()) == list(range(300))
 
 
+def test_running_total(spark):
+    df = spark.createDataFrame([("a", i, i * i) for i in range(100)], "g string, ord bigint, v bigint")
+    got = {r.ord: r.total for r in running_total(df, "v", "ord", ["g"]).collect()}
+    assert got == {i: sum(j * j for j in range(i + 1)) for i in range(100)}
+
+
 def test_take_first(spark):
     df = spark.createDataFrame(_rows(), "g string, ord bigint, v double")
     got = sorted(r.ord for r in take_first(df, 5, by=["g"]).where("g = 'hot'").collect())
@@ -50,7 +57,7 @@ def test_previous_and_running_min(spark):
 def test_hot_group_is_split_over_window_partitions(spark):
     df = spark.createDataFrame(_rows(), "g string, ord bigint, v double")
     plan = global_index(df, "ord", ["g"])._jdf.queryExecution().executedPlan().toString()
-    # Row numbers are given per chunk; only the table of chunk counts is grouped by g.
+    # Row numbers are given per part; only the table of part counts is grouped by g.
     numbering = [line for line in plan.splitlines() if "row_number" in line and "Window" in line]
-    assert numbering and all("_chunk" in line.split("row_number()")[1] for line in numbering)
+    assert numbering and all("_part" in line.split("row_number()")[1] for line in numbering)
     assert "SinglePartition" not in plan
