@@ -42,6 +42,44 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the scratch space, wherever that lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scope:
+    """Intermediate tables of one job, deleted together when the job's result is written.
+
+    ``with Scope(spark) as scope: ... return materialize(result, "result")``: what
+    ``scope.keep`` wrote is gone at the end of the block, so nothing returned from it may
+    read those tables.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        """``materialize`` with the scope's lifetime."""
+        path = new_path(self.spark, label)
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = (path, table)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that later steps don't read."""
+        for table in tables:
+            path, _ = self.paths.pop(id(table))
+            discard(self.spark, path)
+
+    def __enter__(self) -> Scope:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.drop(*[table for _, table in list(self.paths.values())])
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash ``df`` over all cores, but only if its input has too few splits for them.
 
