@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import mixing, pii, secrets, sharding, warc
+from corpusmill.llm import jaccard, mixing, pii, secrets, sharding, warc
 from corpusmill.plans.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,3 +42,9 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
