@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import jaccard, mixing, pii, secrets, sharding, warc
+from corpusmill.llm import (
+    decontaminate,
+    jaccard,
+    licenses,
+    mixing,
+    pii,
+    quality,
+    secrets,
+    sharding,
+    vectors,
+    warc,
+)
 from corpusmill.plans.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,3 +59,25 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.jaccard_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.quality_scores(docs, labels).drop("_row")
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.contaminated(docs, items).drop("_row")

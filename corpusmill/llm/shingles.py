@@ -86,8 +86,13 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(starts), np.concatenate(hashes)
 
 
-def _combine(words: np.ndarray) -> np.ndarray:
-    """Hashes of all runs of ``WORDS`` words."""
+def combine(words: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of ``WORDS`` words; fewer words make one run, none make none."""
+    if len(words) < WORDS:
+        if not len(words):
+            return np.empty(0, np.uint64)
+        total = (words * _FACTORS[: len(words)]).sum(dtype=np.uint64) + np.uint64(len(words))
+        return mix(np.array([total], dtype=np.uint64))
     count = len(words) - WORDS + 1
     total = np.zeros(count, dtype=np.uint64)
     for j in range(WORDS):
@@ -119,12 +124,6 @@ def _group_sets(group: list[bytes]) -> Iterator[np.ndarray]:
     starts, words = word_hashes(data)
     lengths = np.array([len(g) + 1 for g in group])
     cuts = np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)]))
-    runs = _combine(words) if len(words) >= WORDS else np.empty(0, np.uint64)
+    runs = combine(words)
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        if b - a >= WORDS:
-            yield np.unique(runs[a : b - WORDS + 1])
-        elif b > a:
-            short = (words[a:b] * _FACTORS[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a)
-            yield mix(np.array([short], dtype=np.uint64))
-        else:
-            yield np.empty(0, np.uint64)
+        yield np.unique(runs[a : b - WORDS + 1] if b - a >= WORDS else combine(words[a:b]))
