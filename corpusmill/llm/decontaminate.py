@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast, cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.shingles import WORDS, combine, word_hashes
@@ -126,6 +126,19 @@ class ItemIndex:
         ]
         return whole, parts[0], parts[1]
 
+    def hits(self, text: str | None) -> list[tuple[int, float, float, float, float]]:
+        """``(item_id, score, overlap, question overlap, answer overlap)`` of a text."""
+        words = _text_words(text)
+        found = self.retrieve(self.terms(words)) if len(words) else {}
+        out = []
+        if found:
+            shingles = _shingle_set(words)
+            for item, score in sorted(found.items()):
+                whole, question, answer = self.overlaps(item, shingles)
+                if whole >= OVERLAP and min(question, answer) >= PART_OVERLAP:
+                    out.append((self.ids[item], round(score, 3), whole, question, answer))
+        return out
+
     def long_enough(self, item: int) -> bool:
         """Whether question and answer both have shingles of ``WORDS`` words."""
         return len(self.whole[item]) > WORDS
@@ -208,16 +221,9 @@ def _matcher(shared: Broadcast):
         for batch in batches:
             places, out = [], []
             for place, text in enumerate(batch.column(2).to_pylist()):
-                words = _text_words(text)
-                found = index.retrieve(index.terms(words)) if len(words) else {}
-                if not found:
-                    continue
-                shingles = _shingle_set(words)
-                for item, score in sorted(found.items()):
-                    whole, question, answer = index.overlaps(item, shingles)
-                    if whole >= OVERLAP and min(question, answer) >= PART_OVERLAP:
-                        places.append(place)
-                        out.append((index.ids[item], round(score, 3), whole, question, answer))
+                hits = index.hits(text)
+                places += [place] * len(hits)
+                out += hits
             if not out:
                 continue
             columns = list(zip(*out, strict=True))
@@ -227,3 +233,22 @@ def _matcher(shared: Broadcast):
             yield pa.RecordBatch.from_arrays([batch.column(0).take(chosen), batch.column(1).take(chosen), *arrays], names)
 
     return match
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without a hit: each scan drops those of one index in place."""
+    with Scope(docs.sparkSession) as scope:
+        for index in _indexes(scope, benchmark):
+            shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(index))
+            docs = docs.where(~_has_hit(shared, F.col("text").cast("string")))
+    return docs
+
+
+def _has_hit(shared: Broadcast, text: Column) -> Column:
+    @F.arrow_udf("boolean")
+    def hit(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        index = cloudpickle.loads(shared.value)
+        for batch in texts:
+            yield pa.array([bool(index.hits(t)) for t in batch.to_pylist()], pa.bool_())
+
+    return hit(text)

@@ -24,10 +24,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.graph import components
+from corpusmill.llm.rows import KEY, bit_filter, may_hold, row_key
 from corpusmill.llm.shingles import shingle_sets
 from corpusmill.scratch import Scope, materialize
 
@@ -37,7 +38,6 @@ FREQUENT = 64  # documents from which a shingle comes last in the order
 MOST_FREQUENT = 1 << 20  # such shingles at most: 8 MB to broadcast
 DENSE = 32  # classes up to which a column is multiplied out at once
 PIVOT_ROUNDS = 3
-FILTER_BITS = 1 << 23  # of the filter that keeps texts of no use from a shuffle
 _ZONE_END = np.uint64(int(ZONE * (1 << 64)))
 
 
@@ -107,48 +107,36 @@ def _prefix(hashes: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, last: np.ndarray) -> DataFrame:
-    """``(_row, doc_id, n, digest, prefix)`` of ``docs (_row, doc_id, text)``."""
+    """``(_row, doc_id, key, n, digest, prefix)`` of ``docs (_row, doc_id, key, text)``."""
     shared = docs.sparkSession.sparkContext.broadcast(last)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(shingle_sets(batch.column(2).to_pylist()))
+            sets = list(shingle_sets(batch.column(3).to_pylist()))
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
-                    batch.column(1),
+                    *batch.columns[:3],
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(digests, pa.binary()),
                     _lists([_prefix(s, shared.value) for s in sets]),
                 ],
-                ["_row", "doc_id", "n", "digest", "prefix"],
+                ["_row", "doc_id", KEY, "n", "digest", "prefix"],
             )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("_row", "doc_id", "text").mapInArrow(
-        prints, f"_row bigint, doc_id {kind}, n bigint, digest binary, prefix array<bigint>"
+    return docs.select("_row", "doc_id", KEY, "text").mapInArrow(
+        prints, f"_row bigint, doc_id {kind}, {KEY} binary, n bigint, digest binary, prefix array<bigint>"
     )
 
 
-def _filter(digests: DataFrame) -> np.ndarray:
-    """One bit per hash of a digest, in ``FILTER_BITS`` bits; made by grouped bit sums."""
-    bit = F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS))
-    rows = digests.select((bit / 32).cast("int").alias("word"), (bit % 32).cast("int").alias("bit"))
-    words = rows.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
-    out = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
-    found = words.toArrow()  # FILTER_BITS / 32 rows at most
-    out[found.column(0).to_numpy()] = found.column(1).to_numpy().astype(np.uint32)
-    return out
-
-
 def class_sets(texts: DataFrame, classes: DataFrame) -> DataFrame:
     """``(cid, shingles)`` of ``classes (cid, digest)``, from the texts that have them.
 
     Sets are computed again rather than kept for all documents. A filter of fixed size
     drops most texts of other classes before the shuffle that finds the right ones.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(_filter(classes))
+    shared = bit_filter(classes.select("digest"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,17 +148,9 @@ def class_sets(texts: DataFrame, classes: DataFrame) -> DataFrame:
                     ["digest", "shingles"],
                 )
 
-    def likely(digest: Column) -> Column:
-        @F.arrow_udf("boolean")
-        def seen(hashes: pa.Array) -> pa.Array:
-            bit = hashes.to_numpy(zero_copy_only=False) % FILTER_BITS
-            return pa.array((shared.value[bit // 32] >> (bit % 32).astype(np.uint32)) & 1 == 1)
-
-        return seen(F.xxhash64(digest))
-
     computed = texts.select("text").mapInArrow(sets, "digest binary, shingles array<bigint>")
     # One set per class and task, then one per class: copies add nothing to the shuffle.
-    once = computed.where(likely(F.col("digest"))).groupBy("digest").agg(F.first("shingles").alias("shingles"))
+    once = computed.where(may_hold(shared, F.col("digest"))).groupBy("digest").agg(F.first("shingles").alias("shingles"))
     return once.join(classes.select("digest", "cid"), "digest").select("cid", "shingles")
 
 
@@ -231,18 +211,23 @@ def _linked(scope: Scope, columns: DataFrame, sets_of: Callable[[DataFrame], Dat
     return components(links).withColumnsRenamed({"node": "cid"})
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def jaccard_components(docs: DataFrame, keyed: bool = False) -> DataFrame:
     """``(_row, doc_id, n_shingles, component_id, first)``, one row per input row.
 
     ``component_id`` is the smallest doc_id that links reach from the document, its own
     included; ``first`` marks one row per component, a row with that doc_id. A document
     without words has no shingles, links with nothing and is ``first``. Null text counts
     as empty; a null doc_id is never the smallest unless it is alone; repeated rows are
-    equal sets and so one component.
+    equal sets and so one component. With ``keyed`` the rows carry their key too.
     """
     spark = docs.sparkSession
     with Scope(spark) as scope:
-        rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.col("text").cast("string"))
+        rows = docs.select(
+            F.monotonically_increasing_id().alias("_row"),
+            "doc_id",
+            (row_key() if keyed else F.lit(None).cast("binary")).alias(KEY),
+            F.col("text").cast("string"),
+        )
         frequencies = scope.keep(shingle_frequencies(rows), "frequencies")
         last = frequent_shingles(frequencies)
         prints = scope.keep(fingerprints(rows, last), "prints")
@@ -276,12 +261,38 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         known = scope.keep(known, "known")
         least = known.groupBy("component").agg(F.min("least").alias("least"))
         named = scope.keep(known.select("digest", "component").join(least, "component"), "named")
-        out = prints.select("_row", "doc_id", "n", "digest").join(named, "digest", "left")
+        out = prints.select("_row", "doc_id", KEY, "n", "digest").join(named, "digest", "left")
         result = out.select(
             "_row",
             "doc_id",
             F.col("n").alias("n_shingles"),
             F.when(F.col("n") > 0, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+            *([KEY] if keyed else []),
             ((F.col("n") == 0) | (F.col("least._row") == F.col("_row"))).alias("first"),
         )
         return materialize(result, "jaccard")
+
+
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest id.
+
+    Only rows that may belong to a component of several take part in the join with the
+    decisions; a filter of fixed size lets all others pass where they stand.
+    """
+    with Scope(docs.sparkSession) as scope:
+        found = scope.keep(jaccard_components(docs, keyed=True), "decided")
+        several = found.where(~F.col("first")).select("component_id").distinct()
+        alike = F.col("component_id").eqNullSafe(F.col("_other"))
+        doubted = found.join(several.withColumnRenamed("component_id", "_other"), alike, "left_semi")
+        doubted = scope.keep(doubted.select(KEY, F.col("first").cast("int").alias("_row_copies")), "doubted")
+        shared = bit_filter(doubted.select(KEY))
+        keyed = docs.withColumn("_row_maybe", may_hold(shared, row_key()))
+        decided = doubted.groupBy(KEY).agg(F.max("_row_copies").alias("_row_copies"))
+        maybe = keyed.where("_row_maybe").drop("_row_maybe").withColumn(KEY, row_key()).join(decided, KEY, "left")
+        nth = F.row_number().over(Window.partitionBy(KEY).orderBy(F.lit(0)))
+        # A row outside of all groups that the filter let through stays with all its repeats.
+        kept = maybe.withColumn("_row_nth", F.when(F.col("_row_copies").isNull(), 1).otherwise(nth)).where(
+            F.coalesce(F.col("_row_copies"), F.lit(1)) * F.col("_row_nth") == 1
+        )
+        sure = keyed.where(~F.col("_row_maybe")).select(*docs.columns)
+        return materialize(sure.unionByName(kept.select(*docs.columns)), "firsts")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.rows import KEY, row_key, take_copies
 from corpusmill.operators.ordered import global_index, running_total
 from corpusmill.scratch import materialize
 
@@ -104,3 +105,9 @@ def mix_report(docs: DataFrame) -> DataFrame:
     """Per document: its size, its source's size and target, and the words taken of it."""
     taken = (F.col("copies") * F.col("size")).alias("taken")
     return mix_copies(docs).select("doc_id", "size", "source_size", "target", taken, "copies")
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them; needs their ``lang`` too."""
+    keyed = docs.withColumn(KEY, row_key())
+    return take_copies(docs, mix_copies(keyed, keep=[KEY]).select(KEY, "copies"))

@@ -155,6 +155,42 @@ def _shrink(groups: DataFrame, over: float) -> float:
     return min(MOST_SHRINK, max(1.0, over * (1 - over) / spread - 1))
 
 
+def _evidence(x: Column, weights: np.ndarray) -> Column:
+    """The classifier's probability in whole millionths, from 1 to ``UNIT - 1``."""
+    terms = F.zip_with(x, F.array(*[F.lit(float(w)) for w in weights[:-1]]), lambda a, b: a * b)
+    score = F.aggregate(terms, F.lit(float(weights[-1])), lambda a, b: a + b)
+    chance = 1 / (1 + F.exp(-F.greatest(F.least(score, F.lit(30.0)), F.lit(-30.0))))
+    return F.greatest(F.least(F.round(chance * UNIT), F.lit(UNIT - 1.0)), F.lit(1.0)).cast("long")
+
+
+def _posteriors(scope: Scope, scored: DataFrame) -> tuple[DataFrame, float]:
+    """``(host, path, host_quality, path_quality)`` and the global mean, by grouped sums."""
+    e = F.col("e") / UNIT
+    paths = scored.groupBy("host", "path").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("e").alias("p"), F.sum(e * (1 - e)).alias("within")
+    )
+    paths = scope.keep(paths, "paths")
+    hosts = scope.keep(paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("n", "p", "within")]), "hosts")
+    total = hosts.agg(F.sum("n"), F.sum("p")).first()
+    overall = (total[1] / total[0] / UNIT) if total[0] else 0.5
+    k_host, k_path = _shrink(hosts, overall), _shrink(paths, overall)
+    host_mean = (F.col("p") / UNIT + k_host * overall) / (F.col("n") + k_host)
+    hosts = hosts.select("host", host_mean.alias("host_quality"))
+    path_mean = (F.col("p") / UNIT + k_path * F.col("host_quality")) / (F.col("n") + k_path)
+    known = paths.join(hosts, "host").select("host", "path", "host_quality", path_mean.alias("path_quality"))
+    return materialize(known, "posteriors"), overall
+
+
+def _judged(scored: DataFrame, known: DataFrame, overall: float, keep: float) -> DataFrame:
+    """Add the posterior of each document with evidence ``e``, and whether it is kept.
+
+    The join is broadcast by Spark if the written table of posteriors is small enough.
+    """
+    odds = _logit(F.col("e") / UNIT) + _logit(F.col("path_quality")) - math.log(overall / (1 - overall))
+    joined = scored.join(known, ["host", "path"]).withColumn("posterior", 1 / (1 + F.exp(-odds)))
+    return joined.withColumn("kept", F.col("posterior") >= keep)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
     """``(_row, doc_id, evidence, host_quality, path_quality, posterior, kept)`` per input row.
 
@@ -169,32 +205,40 @@ def quality_scores(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> Da
     with Scope(docs.sparkSession) as scope:
         computed = scope.keep(document_features(docs), "features")
         weights = train(computed, labels)
-        terms = F.zip_with("x", F.array(*[F.lit(float(w)) for w in weights[:-1]]), lambda a, b: a * b)
-        score = F.aggregate(terms, F.lit(float(weights[-1])), lambda a, b: a + b)
-        chance = 1 / (1 + F.exp(-F.greatest(F.least(score, F.lit(30.0)), F.lit(-30.0))))
-        evidence = F.greatest(F.least(F.round(chance * UNIT), F.lit(UNIT - 1.0)), F.lit(1.0)).cast("long")
-        scored = scope.keep(computed.select("_row", "doc_id", "host", "path", evidence.alias("e")), "evidence")
-        scope.drop(computed)
-        e = F.col("e") / UNIT
-        paths = scored.groupBy("host", "path").agg(
-            F.count(F.lit(1)).alias("n"), F.sum("e").alias("p"), F.sum(e * (1 - e)).alias("within")
-        )
-        paths = scope.keep(paths, "paths")
-        hosts = scope.keep(paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("n", "p", "within")]), "hosts")
-        total = hosts.agg(F.sum("n"), F.sum("p")).first()
-        overall = (total[1] / total[0] / UNIT) if total[0] else 0.5
-        k_host, k_path = _shrink(hosts, overall), _shrink(paths, overall)
-        host_mean = (F.col("p") / UNIT + k_host * overall) / (F.col("n") + k_host)
-        hosts = hosts.select("host", host_mean.alias("host_quality"))
-        path_mean = (F.col("p") / UNIT + k_path * F.col("host_quality")) / (F.col("n") + k_path)
-        known = paths.join(hosts, "host").select("host", "path", "host_quality", path_mean.alias("path_quality"))
-        known = scope.keep(known, "posteriors")
-        odds = _logit(F.col("e") / UNIT) + _logit(F.col("path_quality")) - math.log(overall / (1 - overall))
-        result = scored.join(known, ["host", "path"]).withColumn("posterior", 1 / (1 + F.exp(-odds))).select(
+        scored = computed.select("_row", "doc_id", "host", "path", _evidence(F.col("x"), weights).alias("e"))
+        scored = scope.keep(scored, "evidence")
+        known, overall = _posteriors(scope, scored)
+        result = _judged(scored, known, overall, keep).select(
             "_row",
             "doc_id",
             (F.col("e") / UNIT).alias("evidence"),
             *[F.round(c, 6).alias(c) for c in ("host_quality", "path_quality", "posterior")],
-            (F.col("posterior") >= keep).alias("kept"),
+            "kept",
         )
         return materialize(result, "quality")
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
+    """The rows of ``docs`` that ``quality_scores`` keeps.
+
+    The evidence is computed once for the posteriors and again in the scan that filters,
+    so that texts meet the posteriors of their path without a shuffle of texts.
+    """
+
+    @F.arrow_udf("array<double>")
+    def measured(texts: pa.Array) -> pa.Array:
+        return pa.array([features(t) for t in texts.to_pylist()], pa.list_(pa.float64()))
+
+    with Scope(docs.sparkSession) as scope:
+        computed = scope.keep(document_features(docs), "features")
+        weights = train(computed, labels)
+        scored = computed.select("host", "path", _evidence(F.col("x"), weights).alias("e"))
+        known, overall = _posteriors(scope, scored)
+        again = docs.select(
+            *[F.col(c).alias(f"_doc_{i}") for i, c in enumerate(docs.columns)],
+            _key("source").alias("host"),
+            _key("lang").alias("path"),
+            measured(F.col("text").cast("string")).alias("x"),
+        ).withColumn("e", _evidence(F.col("x"), weights))
+        kept = _judged(again, known, overall, keep).where("kept")
+        return kept.select(*[F.col(f"_doc_{i}").alias(c) for i, c in enumerate(docs.columns)])
