@@ -86,6 +86,8 @@ class ItemIndex:
 
     def terms(self, words: np.ndarray) -> np.ndarray:
         """Vocabulary numbers of words, -1 for unknown ones."""
+        if not len(self.vocabulary):
+            return np.full(len(words), -1)
         at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == words, at, -1)
 
@@ -166,9 +168,8 @@ def _indexes(scope: Scope, items: DataFrame) -> Iterator[ItemIndex]:
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     rows = scope.keep(rows.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct(), "items")
     words = scope.keep(_word_table(rows), "item_words")
-    count, total, size = words.agg(
-        F.count(F.lit(1)), F.sum(F.size("words")), F.lit(0)
-    ).first()[:2] + (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0,)
+    count, total = words.agg(F.count(F.lit(1)), F.sum(F.size("words"))).first()
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if not total:
         return
     frequency = scope.keep(
@@ -220,8 +221,8 @@ def _matcher(shared: Broadcast):
         index = cloudpickle.loads(shared.value)
         for batch in batches:
             places, out = [], []
-            for place, text in enumerate(batch.column(2).to_pylist()):
-                hits = index.hits(text)
+            for place, text in enumerate(batch.column(2)):
+                hits = index.hits(text.as_py())
                 places += [place] * len(hits)
                 out += hits
             if not out:
@@ -249,6 +250,6 @@ def _has_hit(shared: Broadcast, text: Column) -> Column:
     def hit(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = cloudpickle.loads(shared.value)
         for batch in texts:
-            yield pa.array([bool(index.hits(t)) for t in batch.to_pylist()], pa.bool_())
+            yield pa.array([bool(index.hits(t.as_py())) for t in batch], pa.bool_())
 
     return hit(text)

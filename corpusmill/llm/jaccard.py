@@ -9,7 +9,8 @@ kept small by bounds that lose no pair:
   Only these columns enter the product. The order is by hash, except that shingles of
   very many documents come last: a passage that many documents share is no column of
   theirs unless they consist of such passages. Any order gives the same result.
-* Two classes are compared only if their sizes allow the overlap.
+* Overlaps add up over the columns of the product. A pair goes on only if its sizes allow
+  the overlap and what was counted, with all that may stand beyond the columns, suffices.
 * A column of many classes is not multiplied out. Its members are compared with one of
   them, the pivot, and join its component; what remains are members of different
   components, and only these are compared with each other.
@@ -24,20 +25,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.graph import components
-from corpusmill.llm.rows import KEY, bit_filter, may_hold, row_key
+from corpusmill.llm.rows import KEY, bit_filter, may_hold, row_key, slices
 from corpusmill.llm.shingles import shingle_sets
 from corpusmill.scratch import Scope, materialize
 
 PERCENT = 80
-ZONE = 0.4  # share of the hash range in which shingles are counted, at most a half
-FREQUENT = 64  # documents from which a shingle comes last in the order
+ZONE = 0.3  # share of the hash range in which shingles are counted, at most a half
+FREQUENT = 32  # documents from which a shingle comes last in the order
 MOST_FREQUENT = 1 << 20  # such shingles at most: 8 MB to broadcast
 DENSE = 32  # classes up to which a column is multiplied out at once
 PIVOT_ROUNDS = 3
+SHARED_BITS = 1 << 26  # of the filter that knows shingles of several documents: 8 MB
 _ZONE_END = np.uint64(int(ZONE * (1 << 64)))
 
 
@@ -62,7 +65,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def shingle_frequencies(texts: DataFrame) -> DataFrame:
-    """``(hash, df)`` of the shingles in the counted zone, over all documents.
+    """``(hash, df)`` of the counted zone's shingles of several documents, over all of them.
 
     Counts are summed per batch of texts before they leave Python, and per task before
     they are shuffled.
@@ -70,13 +73,16 @@ def shingle_frequencies(texts: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s[: np.searchsorted(s, _ZONE_END)] for s in shingle_sets(batch.column(0).to_pylist())]
-            found, n = np.unique(np.concatenate(sets), return_counts=True) if sets else ((), ())
+            sets = [np.empty(0, np.uint64)]
+            for part in slices(batch):
+                for s in shingle_sets(part.column(0).to_pylist()):
+                    sets.append(s[: np.searchsorted(s, _ZONE_END)].copy())
+            found, n = np.unique(np.concatenate(sets), return_counts=True)
             if len(found):
                 yield pa.RecordBatch.from_arrays([_signed(found), pa.array(n)], ["hash", "n"])
 
     counted = texts.select("text").mapInArrow(count, "hash bigint, n bigint")
-    return counted.groupBy("hash").agg(F.sum("n").alias("df"))
+    return counted.groupBy("hash").agg(F.sum("n").alias("df")).where("df > 1")
 
 
 def frequent_shingles(frequencies: DataFrame) -> np.ndarray:
@@ -106,12 +112,22 @@ def _prefix(hashes: np.ndarray, last: np.ndarray) -> np.ndarray:
     return hashes[:size]
 
 
-def fingerprints(docs: DataFrame, last: np.ndarray) -> DataFrame:
-    """``(_row, doc_id, key, n, digest, prefix)`` of ``docs (_row, doc_id, key, text)``."""
-    shared = docs.sparkSession.sparkContext.broadcast(last)
+def fingerprints(docs: DataFrame, last: np.ndarray, several: Broadcast) -> DataFrame:
+    """``(_row, doc_id, key, n, digest, prefix)`` of ``docs (_row, doc_id, key, text)``.
+
+    ``prefix`` leaves out shingles of the zone that ``several`` knows to be of one
+    document alone: they make no column.
+    """
+    late = docs.sparkSession.sparkContext.broadcast(last)
+
+    def prefix(hashes: np.ndarray) -> np.ndarray:
+        first = _prefix(hashes, late.value)
+        words, bit = several.value, first & np.uint64(64 * len(several.value) - 1)
+        known = (words[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+        return first[known | (first >= _ZONE_END)]
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             sets = list(shingle_sets(batch.column(3).to_pylist()))
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -119,7 +135,7 @@ def fingerprints(docs: DataFrame, last: np.ndarray) -> DataFrame:
                     *batch.columns[:3],
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(digests, pa.binary()),
-                    _lists([_prefix(s, shared.value) for s in sets]),
+                    _lists([prefix(s) for s in sets]),
                 ],
                 ["_row", "doc_id", KEY, "n", "digest", "prefix"],
             )
@@ -136,21 +152,17 @@ def class_sets(texts: DataFrame, classes: DataFrame) -> DataFrame:
     Sets are computed again rather than kept for all documents. A filter of fixed size
     drops most texts of other classes before the shuffle that finds the right ones.
     """
-    shared = bit_filter(classes.select("digest"))
+    shared = bit_filter(classes.select(F.xxhash64("digest").alias("hash")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             found = [s for s in shingle_sets(batch.column(0).to_pylist()) if len(s)]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found]
-            for at in range(0, len(found), 512):  # small batches: sets may be large
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(digests[at : at + 512], pa.binary()), _lists(found[at : at + 512])],
-                    ["digest", "shingles"],
-                )
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), _lists(found)], ["digest", "shingles"])
 
     computed = texts.select("text").mapInArrow(sets, "digest binary, shingles array<bigint>")
     # One set per class and task, then one per class: copies add nothing to the shuffle.
-    once = computed.where(may_hold(shared, F.col("digest"))).groupBy("digest").agg(F.first("shingles").alias("shingles"))
+    once = computed.where(may_hold(shared, F.xxhash64("digest"))).groupBy("digest").agg(F.first("shingles").alias("shingles"))
     return once.join(classes.select("digest", "cid"), "digest").select("cid", "shingles")
 
 
@@ -165,17 +177,30 @@ def _overlapping(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return counted.where(F.col("common") * 100 >= (F.col("whole") - F.col("common")) * PERCENT).select("a", "b")
 
 
-def _pairs(left: DataFrame, right: DataFrame, wanted: Column) -> DataFrame:
-    """Distinct pairs ``a < b`` of compatible size that share a column, where ``wanted``.
+def _sides(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of compatible size that share a column, with ``x_`` and ``y_`` before names."""
+    side = lambda df, p: df.select("hash", *[F.col(c).alias(p + c) for c in df.columns if c != "hash"])
+    return side(left, "x_").join(side(right, "y_"), "hash").where(compatible(F.col("x_n"), F.col("y_n")))
+
+
+def _ordered() -> list[Column]:
+    return [F.least("x_cid", "y_cid").alias("a"), F.greatest("x_cid", "y_cid").alias("b")]
+
 
-    The condition sees ``cid`` and ``component`` of both sides, with ``x_`` and ``y_``.
+def _promising(narrow: DataFrame, wide: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of the narrow columns whose overlap may suffice.
+
+    One of the two classes has its whole prefix below the other's last shingle there; so
+    the overlap is at most what the columns hold plus the larger rest behind a prefix.
+    Wide columns are not multiplied out: each may hold one more.
     """
-    side = lambda df, p: df.select("hash", *[F.col(c).alias(p + c) for c in df.columns if c != "hash"])
-    joined = side(left, "x_").join(side(right, "y_"), "hash")
-    fitting = joined.where(wanted & compatible(F.col("x_n"), F.col("y_n")))
-    return fitting.select(
-        F.least("x_cid", "y_cid").alias("a"), F.greatest("x_cid", "y_cid").alias("b")
-    ).distinct()
+    uncounted = wide.groupBy("cid").agg(F.count(F.lit(1)).alias("wide"))
+    known = narrow.join(uncounted, "cid", "left").fillna(0, ["wide"])
+    both = _sides(known, known).where(F.col("x_cid") < F.col("y_cid"))
+    counted = both.groupBy("x_cid", "y_cid", "x_n", "y_n", "x_wide", "y_wide").agg(F.count(F.lit(1)).alias("common"))
+    behind = F.greatest(need(F.col("x_n")), need(F.col("y_n"))) - 1
+    most = F.col("common") + F.least("x_wide", "y_wide") + behind
+    return counted.where(most * (100 + PERCENT) >= (F.col("x_n") + F.col("y_n")) * PERCENT).select(*_ordered())
 
 
 def _linked(scope: Scope, columns: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -183,10 +208,8 @@ def _linked(scope: Scope, columns: DataFrame, sets_of: Callable[[DataFrame], Dat
     narrow = columns.where(F.col("members") <= DENSE).select("hash", "cid", "n")
     wide = scope.keep(columns.where(F.col("members") > DENSE).select("hash", "cid", "n"), "wide")
     pivots = wide.groupBy("hash").agg(F.min(F.struct("cid", "n")).alias("p")).select("hash", "p.*")
-    pairs = _pairs(narrow, narrow, F.col("x_cid") < F.col("y_cid")).unionByName(
-        _pairs(pivots, wide, F.col("x_cid") != F.col("y_cid"))
-    )
-    pairs = scope.keep(pairs.distinct(), "pairs")
+    around = _sides(pivots, wide).where(F.col("x_cid") != F.col("y_cid")).select(*_ordered())
+    pairs = scope.keep(_promising(narrow, wide).unionByName(around).distinct(), "pairs")
     compared = pairs.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(wide.select("cid"))
     sets = sets_of(compared.distinct())
     links = scope.keep(_overlapping(pairs, sets), "links")
@@ -204,7 +227,8 @@ def _linked(scope: Scope, columns: DataFrame, sets_of: Callable[[DataFrame], Dat
             least = F.min(F.struct("cid", "n", "component")).alias("p")
             outside = outside.groupBy("hash").agg(least).select("hash", "p.*")
         apart = F.col("x_component") != F.col("y_component")
-        pairs = scope.keep(_pairs(outside, split.drop("main", "parts"), apart), "pairs")
+        pairs = _sides(outside, split.drop("main", "parts")).where(apart).select(*_ordered())
+        pairs = scope.keep(pairs.distinct(), "pairs")
         if pairs.isEmpty():
             break
         links = scope.keep(links.unionByName(_overlapping(pairs, sets)).distinct(), "links")
@@ -230,7 +254,8 @@ def jaccard_components(docs: DataFrame, keyed: bool = False) -> DataFrame:
         )
         frequencies = scope.keep(shingle_frequencies(rows), "frequencies")
         last = frequent_shingles(frequencies)
-        prints = scope.keep(fingerprints(rows, last), "prints")
+        several = bit_filter(frequencies.select("hash"), SHARED_BITS)
+        prints = scope.keep(fingerprints(rows, last, several), "prints")
         classes = scope.keep(
             prints.where("n > 0")
             .groupBy("digest", "n")
@@ -244,7 +269,7 @@ def jaccard_components(docs: DataFrame, keyed: bool = False) -> DataFrame:
         postings = classes.select("cid", "n", F.explode("prefix").alias("hash"))
         # In the zone, a shingle of one document alone is known to be of no use.
         inside = (F.col("hash") >= 0) & (F.col("hash") < int(_ZONE_END))
-        shared = postings.where(inside).join(frequencies.where("df > 1"), "hash", "left_semi")
+        shared = postings.where(inside).join(frequencies, "hash", "left_semi")
         useful = scope.keep(shared.unionByName(postings.where(~inside)), "postings")
         scope.drop(frequencies)
         sizes = useful.groupBy("hash").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -285,8 +310,8 @@ def first_of_each(docs: DataFrame) -> DataFrame:
         alike = F.col("component_id").eqNullSafe(F.col("_other"))
         doubted = found.join(several.withColumnRenamed("component_id", "_other"), alike, "left_semi")
         doubted = scope.keep(doubted.select(KEY, F.col("first").cast("int").alias("_row_copies")), "doubted")
-        shared = bit_filter(doubted.select(KEY))
-        keyed = docs.withColumn("_row_maybe", may_hold(shared, row_key()))
+        shared = bit_filter(doubted.select(F.xxhash64(KEY).alias("hash")))
+        keyed = docs.withColumn("_row_maybe", may_hold(shared, F.xxhash64(row_key())))
         decided = doubted.groupBy(KEY).agg(F.max("_row_copies").alias("_row_copies"))
         maybe = keyed.where("_row_maybe").drop("_row_maybe").withColumn(KEY, row_key()).join(decided, KEY, "left")
         nth = F.row_number().over(Window.partitionBy(KEY).orderBy(F.lit(0)))

@@ -84,17 +84,16 @@ class Templates:
         self.base = [(words_of(p), label) for p, label in PHRASES.items()]
 
     def vocabulary(self) -> set[bytes]:
-        """All licence words: a list fixed by the templates."""
-        return set(self.postings)
+        """All licence words: a list fixed by the templates and the base phrases."""
+        return set(self.postings).union(*[phrase for phrase, _ in self.base])
 
 
-def _places(words: list[bytes], phrase: list[bytes], within: range | None = None) -> list[int]:
+def _places(words: list[bytes], phrase: list[bytes]) -> list[int]:
     """Starts at which the phrase's words stand one after the other."""
-    found, at = [], within.start if within else 0
-    end = within.stop if within else len(words)
+    found, at = [], 0
     while True:
         try:
-            at = words.index(phrase[0], at, end)
+            at = words.index(phrase[0], at)
         except ValueError:
             return found
         if words[at : at + len(phrase)] == phrase:
@@ -104,7 +103,7 @@ def _places(words: list[bytes], phrase: list[bytes], within: range | None = None
 
 def _matches(templates: Templates, idf: Mapping[bytes, float], words: list[bytes], known: set[bytes]) -> dict[str, float]:
     """``label -> share`` of the templates found: rare words vote, then the place is verified."""
-    rare = set(sorted(known, key=lambda w: (-idf.get(w, 0.0), w))[:RARE])
+    rare = set(sorted(known.intersection(templates.postings), key=lambda w: (-idf.get(w, 0.0), w))[:RARE])
     votes: dict[tuple[str, int], set[bytes]] = defaultdict(set)
     for at, word in enumerate(words):
         if word in rare:
@@ -140,8 +139,8 @@ def word_frequencies(texts: DataFrame) -> tuple[int, dict[bytes, int]]:
         wanted = templates.vocabulary()
         for batch in batches:
             counts: Counter[bytes] = Counter()
-            for text in batch.column(0).to_pylist():
-                counts.update(wanted.intersection(words_of(text)))
+            for text in batch.column(0):
+                counts.update(wanted.intersection(words_of(text.as_py())))
             counts[b""] = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [pa.array([w.decode() for w in counts]), pa.array(list(counts.values()), pa.int64())],
@@ -171,8 +170,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
         wanted = templates.vocabulary()
         for batch in batches:
             out = []
-            for text in batch.column(1).to_pylist():
-                words = words_of(text)
+            for text in batch.column(1):
+                words = words_of(text.as_py())
                 known = wanted.intersection(words)
                 starts, base = [], set()
                 for phrase, label in templates.base:

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.rows import slices
 from corpusmill.scratch import Scope, materialize
 
 MAX_TRAIN = 20_000  # labelled rows the classifier is fitted on at most
@@ -71,7 +72,7 @@ def document_features(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             x = np.array([features(t) for t in batch.column(4).to_pylist()]).reshape(-1, len(FEATURES))
             lists = pa.ListArray.from_arrays(
                 pa.array(np.arange(0, x.size + 1, len(FEATURES), dtype=np.int32)), pa.array(x.ravel())
@@ -227,7 +228,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> Da
 
     @F.arrow_udf("array<double>")
     def measured(texts: pa.Array) -> pa.Array:
-        return pa.array([features(t) for t in texts.to_pylist()], pa.list_(pa.float64()))
+        return pa.array([features(t.as_py()) for t in texts], pa.list_(pa.float64()))
 
     with Scope(docs.sparkSession) as scope:
         computed = scope.keep(document_features(docs), "features")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
@@ -9,8 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = "_row_key"
+SLICE = 256  # rows of an Arrow batch that tasks turn into Python objects at once
 COLUMNS = ("doc_id", "source", "lang", "text")
-FILTER_BITS = 1 << 23  # 1 MB; a fuller filter lets more rows through, never fewer
+FILTER_BITS = 1 << 23  # 1 MB, a power of 2; a fuller filter lets more through, never less
+
+
+def slices(batch: pa.RecordBatch, rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """A batch in parts without copying, so that only one part's texts are unpacked."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
 
 
 def row_key(columns: tuple[str, ...] = COLUMNS) -> Column:
@@ -22,30 +31,31 @@ def row_key(columns: tuple[str, ...] = COLUMNS) -> Column:
     return F.unhex(F.md5(F.concat_ws(":", *parts)))
 
 
-def bit_filter(keys: DataFrame) -> Broadcast:
-    """A filter of fixed size over the one binary column of ``keys``.
+def bit_filter(hashes: DataFrame, bits: int = FILTER_BITS) -> Broadcast:
+    """A filter of ``bits`` bits, fixed whatever its content, over a column of hashes.
 
-    One bit per hash, set by grouped bit sums; what reaches the driver is the filter.
+    The low bits of a hash say which bit it sets. Bits are put together by grouped bit
+    sums; what reaches the driver is the filter.
     """
-    (name,) = keys.columns
-    bit = F.pmod(F.xxhash64(name), F.lit(FILTER_BITS))
-    rows = keys.select(F.floor(bit / 32).cast("int").alias("word"), (bit % 32).cast("int").alias("bit"))
+    (name,) = hashes.columns
+    bit = F.col(name).bitwiseAND(F.lit(bits - 1))
+    rows = hashes.select(F.shiftright(bit, 6).cast("int").alias("word"), (bit % 64).cast("int").alias("bit"))
     words = rows.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
-    out[words.column(0).to_numpy()] = words.column(1).to_numpy().astype(np.uint32)
-    return keys.sparkSession.sparkContext.broadcast(out)
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
+    return hashes.sparkSession.sparkContext.broadcast(out)
 
 
-def may_hold(shared: Broadcast, key: Column) -> Column:
-    """Whether a key may be one of the filter's: always true for those."""
-    bits = FILTER_BITS
+def may_hold(shared: Broadcast, hashes: Column) -> Column:
+    """Whether hashes may be of the filter's: always true for those."""
 
     @F.arrow_udf("boolean")
-    def seen(hashes: pa.Array) -> pa.Array:
-        bit = hashes.to_numpy(zero_copy_only=False) % bits
-        return pa.array((shared.value[bit // 32] >> (bit % 32).astype(np.uint32)) & 1 == 1)
+    def seen(values: pa.Array) -> pa.Array:
+        words, bit = shared.value, values.to_numpy(zero_copy_only=False).view(np.uint64)
+        bit = bit & np.uint64(64 * len(words) - 1)
+        return pa.array((words[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1)
 
-    return seen(F.xxhash64(key))
+    return seen(hashes)
 
 
 def take_copies(docs: DataFrame, copies: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 
 WORDS = 5
-PIECE = 1 << 20  # bytes hashed at once
+PIECE = 1 << 18  # bytes hashed at once
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACES = (0x20, *range(0x09, 0x0E))

@@ -28,10 +28,10 @@ def _urn(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">"))
 
 
-def write_archives(
-    pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip"
-) -> None:
-    """One record per row of ``pages (page_id, url, html)`` into the files of ``path``.
+def write_archives(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
+    """One record per row of ``pages (page_id, url, html)`` into the gzip files of ``path``.
+
+    A packed file is read by one task, so its number of records is bounded.
 
     Of equal payloads of at least ``SHARED_BYTES`` the one with the smallest page_id is
     stored, as a response; the others are revisits that refer to it. Null html counts as
@@ -68,20 +68,17 @@ def write_archives(
     # The header's last line end is the first half of the blank line.
     records = joined.select(F.concat(header, F.lit("\r\n"), body).alias("value"))
     writer = records.write.option("lineSep", BLANK).option("maxRecordsPerFile", records_per_file)
-    writer.option("compression", compression).text(path)
+    writer.option("compression", "gzip").text(path)
 
 
 def read_pieces(spark: SparkSession, path: str) -> DataFrame:
     """``(file, offset, piece)`` of all archives under ``path``; offsets in unpacked bytes."""
     pieces = spark.read.option("lineSep", BLANK).text(path).select(
         F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_seq"),
         F.col("value").alias("piece"),
     )
-    before = (
-        Window.partitionBy("file").orderBy("_block", "_seq").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    before = Window.partitionBy("file").orderBy("_seq").rowsBetween(Window.unboundedPreceding, -1)
     size = F.octet_length("piece").cast("long") + len(BLANK)
     return pieces.select(
         "file", F.coalesce(F.sum(size).over(before), F.lit(0).cast("long")).alias("offset"), "piece"
@@ -187,13 +184,16 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     h = F.col("header")
     content = _field(h, "Content-Length", "([0-9]+)").cast("long")
     joined = F.array_join(F.transform("parts", lambda p: p["piece"]), BLANK)
-    # A final CR LF of the payload was left in front of the next header.
-    records = records.select("header", joined.alias("payload")).withColumn(
-        "payload",
-        F.when(F.octet_length("payload") + 2 == content, F.concat("payload", F.lit("\r\n"))).otherwise(
-            F.col("payload")
-        ),
+    # A final CR LF of the payload was left in front of the next header, or at the file's
+    # end as a piece of its own.
+    records = records.select("header", joined.alias("payload"))
+    size = F.octet_length("payload").cast("long")
+    whole = (
+        F.when(size + 2 == content, F.concat("payload", F.lit("\r\n")))
+        .when(size - len(BLANK) == content, F.left("payload", F.length("payload") - len(BLANK)))
+        .otherwise(F.col("payload"))
     )
+    records = records.withColumn("payload", whole)
     kind = _field(h, "WARC-Type", "([a-z]+)")
     said = _field(h, "WARC-Payload-Digest", "sha256:([0-9a-f]+)")
     said_bytes = _field(h, "WARC-Payload-Length", "([0-9]+)").cast("long")
