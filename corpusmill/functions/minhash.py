@@ -52,8 +52,14 @@ def shingle_hashes(text: str, n: int = SHINGLE_CHARS) -> np.ndarray:
     return h
 
 
-def signatures(texts: list[str], num_perm: int = NUM_PERM, n: int = SHINGLE_CHARS) -> np.ndarray:
-    """One signature row per text: the minimum of each permuted shingle hash."""
+def signatures(
+    texts: list[str | None], num_perm: int = NUM_PERM, n: int = SHINGLE_CHARS
+) -> np.ndarray:
+    """One signature row per text: the minimum of each permuted shingle hash.
+
+    A missing text counts as empty.
+    """
+    texts = [t or "" for t in texts]
     out = np.full((len(texts), num_perm), EMPTY_HASH, dtype=np.uint32)
     rows, size = [], 0
     for row, text in enumerate(texts):
@@ -97,6 +103,15 @@ def minhash(text: Column, num_perm: int = NUM_PERM, n: int = SHINGLE_CHARS) -> C
     return batch_signatures(text)
 
 
+def distinct_shingles(text: str, n: int = SHINGLE_CHARS) -> int:
+    """Number of different runs of ``n`` code points, compared in full."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    if len(points) < n:
+        return 0
+    runs = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(points, n))
+    return len(np.unique(runs.view(f"V{4 * n}").ravel()))
+
+
 def shingle_counts(text: Column, n: int = SHINGLE_CHARS) -> Column:
     """Struct: number of shingles, of distinct ones, and their least hash."""
 
@@ -104,9 +119,9 @@ def shingle_counts(text: Column, n: int = SHINGLE_CHARS) -> Column:
     def counts(texts: pa.Array) -> pa.Array:
         totals, distinct, least = [], [], []
         for t in texts.to_pylist():
-            h = shingle_hashes(t, n)
+            h = shingle_hashes(t or "", n)
             totals.append(len(h))
-            distinct.append(len({t[i : i + n] for i in range(len(h))}))
+            distinct.append(distinct_shingles(t or "", n))
             least.append(int(h.min()) if len(h) else None)
         columns = [pa.array(c, pa.int64()) for c in (totals, distinct, least)]
         return pa.StructArray.from_arrays(columns, ["n_shingles", "n_distinct", "min_hash"])

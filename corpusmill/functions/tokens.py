@@ -1,8 +1,7 @@
 """Tokens, ids and the functions between them.
 
-A vocabulary is a table ``(token, id, n)`` of at most ``VOCAB_SIZE`` rows whose tokens
-have at most ``MAX_TOKEN_CHARS`` characters, so shipping it to every task is bounded
-whatever the size of the corpus. Splitting text into tokens stays in the JVM; the
+A vocabulary is a table ``(token, id, n)`` of the size its maker chose, whatever the size
+of the corpus. Its bytes are counted before it is shipped to every task. Splitting text into tokens stays in the JVM; the
 lookup runs on whole Arrow batches.
 """
 
@@ -17,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.config import MAX_TOKEN_CHARS, PAD_ID, UNK_ID, VOCAB_SIZE
+from corpusmill.config import PAD_ID, UNK_ID
 
 # Fixed values of the two built-in token rules.
 WORD_PATTERN = r"[\p{L}\p{N}_]+|[^\s\x0b\p{L}\p{N}_]"
@@ -44,19 +43,20 @@ class Tokenizer(Protocol):
         """Text of an id column, special ids left out."""
 
 
+VOCAB_BYTES = 256 << 20  # of tokens that are shipped to every task
+
+
 class VocabTokenizer:
-    """Tokenizer over a vocabulary table and a token rule."""
+    """Tokenizer over a vocabulary table and a token rule.
+
+    Any number of tokens of any length, as long as together they have ``VOCAB_BYTES``.
+    """
 
     def __init__(self, vocab: DataFrame, split: Callable[[Column], Column] = words):
-        rows = (
-            vocab.select("token", "id")
-            .where(F.length("token") <= MAX_TOKEN_CHARS)
-            .limit(VOCAB_SIZE + 1)
-            .toArrow()
-            .sort_by("id")
-        )
-        if rows.num_rows > VOCAB_SIZE:
-            raise ValueError(f"a vocabulary may hold at most {VOCAB_SIZE} tokens")
+        size = vocab.agg(F.sum(F.octet_length("token"))).first()[0] or 0
+        if size > VOCAB_BYTES:
+            raise ValueError(f"a vocabulary of {size} bytes; at most {VOCAB_BYTES} reach every task")
+        rows = vocab.select("token", "id").toArrow().sort_by("id")
         self.tokens = rows["token"].to_pylist()
         self.ids = rows["id"].to_pylist()
         self.split = split

@@ -14,24 +14,30 @@ first B tokens.
 Where a document starts depends on all documents before it, but only through ``s``. A
 run of documents is a function on the B + 1 values of ``s``, and such functions compose:
 chunks of documents are turned into tables in parallel, the tables are composed over
-groups of chunks, and start states flow back down. Only lengths take part; the tokens
+groups of chunks, level upon level, and start states flow back down. Only lengths take part; the tokens
 are cut and regrouped by JVM expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.config import BLOCK_SIZE, EOS_ID, PAD_ID
+from corpusmill.config import (
+    BLOCK_SIZE,
+    EOS_ID,
+    LOG_EVERY,
+    PAD_ID,
+    PASSES_PER_STEP,
+    SEQUENCES_PER_PASS,
+    STEPS,
+)
 from corpusmill.scratch import materialize
 
 CHUNK_BITS = 14  # documents per chunk: 2**14
-GROUP_BITS = 12  # chunks per group, and groups per epoch: 2**12 each
+GROUP_BITS = 12  # tables composed by one task: 2**12
 RUN_BITS = 6  # consecutive blocks kept in one partition: 2**6
 
 
@@ -91,22 +97,20 @@ def layout(
 ) -> DataFrame:
     """Where each document starts: ``(epoch, pos, n, state, block)``.
 
-    ``lengths (epoch, pos, n)`` is read several times, so give it a written table. At
-    most ``2**(chunk_bits + 2 * group_bits)`` positions per epoch; more raise an error.
+    ``lengths (epoch, pos, n)`` is read several times, so give it a written table. Any
+    number of documents takes the same path; more of them make more levels of tables.
     """
-    top = lengths.agg(F.max("pos")).first()[0] or 0
-    if top >> (chunk_bits + 2 * group_bits):
-        raise ValueError("too many documents in one epoch for chunk_bits and group_bits")
-    chunked = lengths.select(
-        "epoch", "pos", "n",
-        F.shiftright("pos", chunk_bits).alias("chunk"),
-        F.shiftright("pos", chunk_bits + group_bits).alias("grp"),
-    )
-    if top >> chunk_bits:
-        starts = _chunk_starts(chunked, block_size, lossless)
-        started = chunked.join(starts, ["epoch", "chunk"])
-    else:  # one chunk per epoch begins with an empty buffer
-        started = chunked.withColumn("s0", F.lit(0)).withColumn("b0", F.lit(0).cast("bigint"))
+    chunked = lengths.select("epoch", "pos", "n", F.shiftright("pos", chunk_bits).alias("id"))
+    top = (lengths.agg(F.max("pos")).first()[0] or 0) >> chunk_bits
+
+    def to_table(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        ordered = rows.sort_values("pos")
+        state, blocks = run_table(ordered["n"].to_numpy(), block_size, lossless)
+        return pd.DataFrame([(*key, state.tobytes(), blocks.tobytes())], columns=_TABLE_COLUMNS)
+
+    tables = chunked.groupBy("epoch", "id").applyInPandas(to_table, _TABLE)
+    starts = _starts(materialize(tables, "runs"), top, block_size, group_bits)
+    started = chunked.join(starts, ["epoch", "id"])
 
     def place(rows: pd.DataFrame) -> pd.DataFrame:
         ordered = rows.sort_values("pos")
@@ -119,72 +123,46 @@ def layout(
             "n": ordered["n"].to_numpy(), "state": states, "block": blocks,
         })
 
-    return started.groupBy("epoch", "chunk").applyInPandas(
+    return started.groupBy("epoch", "id").applyInPandas(
         place, "epoch int, pos bigint, n int, state int, block bigint"
     )
 
 
-def _chunk_starts(chunked: DataFrame, block_size: int, lossless: bool) -> DataFrame:
-    """``(epoch, chunk, s0, b0)``: buffer and block number in front of each chunk."""
-    table_type = "epoch int, grp bigint, chunk bigint, state binary, blocks binary"
+_TABLE_COLUMNS = ["epoch", "id", "state", "blocks"]
+_TABLE = "epoch int, id bigint, state binary, blocks binary"
 
-    def to_table(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values("pos")
-        state, blocks = run_table(ordered["n"].to_numpy(), block_size, lossless)
-        return pd.DataFrame(
-            [(key[0], key[1], key[2], state.tobytes(), blocks.tobytes())],
-            columns=["epoch", "grp", "chunk", "state", "blocks"],
-        )
 
-    tables = materialize(
-        chunked.groupBy("epoch", "grp", "chunk").applyInPandas(to_table, table_type), "runs"
-    )
+def _starts(tables: DataFrame, top: int, block_size: int, group_bits: int) -> DataFrame:
+    """``(epoch, id, s0, b0)``: buffer and block number in front of each table's documents.
+
+    Up to ``2**group_bits`` consecutive tables compose into one of the next level, until
+    one per epoch is left, which begins with an empty buffer.
+    """
+    if top == 0:
+        return tables.select("epoch", "id", F.lit(0).alias("s0"), F.lit(0).cast("bigint").alias("b0"))
+    grouped = tables.withColumn("parent", F.shiftright("id", group_bits))
 
     def compose(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         state = np.arange(block_size + 1, dtype=np.int64)
         blocks = np.zeros(block_size + 1, dtype=np.int64)
-        for row in rows.sort_values("chunk").itertuples():
+        for row in rows.sort_values("id").itertuples():
             blocks = blocks + np.frombuffer(row.blocks, np.int64)[state]
             state = np.frombuffer(row.state, np.int64)[state]
-        return pd.DataFrame(
-            [(key[0], key[1], state.tobytes(), blocks.tobytes())],
-            columns=["epoch", "grp", "state", "blocks"],
-        )
+        return pd.DataFrame([(*key, state.tobytes(), blocks.tobytes())], columns=_TABLE_COLUMNS)
 
-    groups = tables.groupBy("epoch", "grp").applyInPandas(
-        compose, "epoch int, grp bigint, state binary, blocks binary"
-    )
-
-    def walk(rows: pd.DataFrame, state: int, block: int) -> Iterator[tuple[int, int]]:
-        for row in rows.itertuples():
-            yield state, block
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        ordered = rows.sort_values("id")
+        state, block, found = int(ordered["s0"].iloc[0]), int(ordered["b0"].iloc[0]), []
+        for row in ordered.itertuples():
+            found.append((row.epoch, row.id, state, block))
             block += int(np.frombuffer(row.blocks, np.int64)[state])
             state = int(np.frombuffer(row.state, np.int64)[state])
+        return pd.DataFrame(found, columns=["epoch", "id", "s0", "b0"])
 
-    def start_groups(rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values("grp")
-        starts = list(walk(ordered, 0, 0))
-        return pd.DataFrame({
-            "epoch": ordered["epoch"].to_numpy(), "grp": ordered["grp"].to_numpy(),
-            "s0": [s for s, _ in starts], "b0": [b for _, b in starts],
-        })
-
-    def start_chunks(rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values("chunk")
-        starts = list(walk(ordered, int(ordered["s0"].iloc[0]), int(ordered["b0"].iloc[0])))
-        return pd.DataFrame({
-            "epoch": ordered["epoch"].to_numpy(), "chunk": ordered["chunk"].to_numpy(),
-            "s0": [s for s, _ in starts], "b0": [b for _, b in starts],
-        })
-
-    group_starts = groups.groupBy("epoch").applyInPandas(
-        start_groups, "epoch int, grp bigint, s0 int, b0 bigint"
-    )
-    return (
-        tables.join(group_starts, ["epoch", "grp"])
-        .groupBy("epoch", "grp")
-        .applyInPandas(start_chunks, "epoch int, chunk bigint, s0 int, b0 bigint")
-    )
+    composed = grouped.groupBy("epoch", "parent").applyInPandas(compose, _TABLE)
+    above = _starts(materialize(composed, "runs"), top >> group_bits, block_size, group_bits)
+    started = grouped.join(above.withColumnRenamed("id", "parent"), ["epoch", "parent"])
+    return started.groupBy("epoch", "parent").applyInPandas(walk, "epoch int, id bigint, s0 int, b0 bigint")
 
 
 def _segments(block_size: int, lossless: bool) -> Column:
@@ -255,8 +233,7 @@ def pack(
         documents.select("epoch", "pos", F.size("tokens").alias("n")), "lengths"
     )
     placed = layout(lengths, block_size, lossless, chunk_bits, group_bits)
-    # Hash the narrow side: a sort-merge join would sort the token lists.
-    joined = placed.hint("shuffle_hash").join(documents, ["epoch", "pos"])
+    joined = placed.join(documents, ["epoch", "pos"])
     return assemble(joined, block_size, lossless, eos_id, pad_id)
 
 
@@ -280,9 +257,10 @@ def assemble(
     parts = placed.select(
         "epoch", F.inline(F.transform(_segments(block_size, lossless), cut))
     )
-    # Grouping within runs needs no shuffle after this one, and leaves runs whole for
-    # the writer. Collecting map-side first would not make the lists any smaller.
-    runs = parts.withColumn("run", F.shiftright("block", RUN_BITS)).repartition("epoch", "run")
+    # Grouping within runs needs no shuffle after this one, and leaves ranges of blocks
+    # together for the writer, so that files of one epoch don't overlap. Collecting
+    # map-side first would not make the lists any smaller.
+    runs = parts.withColumn("run", F.shiftright("block", RUN_BITS)).repartitionByRange("epoch", "run")
     blocks = runs.groupBy("epoch", "run", "block").agg(
         F.array_sort(F.collect_list(F.struct("start", "part"))).alias("parts")
     )
@@ -340,7 +318,7 @@ def shard_blocks(blocks: DataFrame, world_size: int) -> DataFrame:
     )
     repeated = extra.select("epoch", "place", (F.col("place") % F.col("n")).alias("block_idx"))
     own = blocks.withColumn("place", F.col("block_idx"))
-    wrapped = blocks.join(F.broadcast(repeated), ["epoch", "block_idx"])  # < world_size rows
+    wrapped = blocks.join(repeated, ["epoch", "block_idx"])
     return own.unionByName(wrapped).select(
         "epoch",
         (F.col("place") % world_size).cast("int").alias("rank"),
@@ -350,18 +328,23 @@ def shard_blocks(blocks: DataFrame, world_size: int) -> DataFrame:
     )
 
 
-def token_budget(blocks: DataFrame, config, world_size: int = 1) -> DataFrame:
-    """Per epoch: blocks and tokens on hand against what the schedule consumes."""
-    per_step = config.accum_steps * config.micro_batch_size * config.block_size * world_size
-    per_log = per_step * config.log_interval
-    micro_steps = config.max_iters * config.accum_steps
+def token_budget(
+    blocks: DataFrame,
+    block_size: int = BLOCK_SIZE,
+    step_blocks: int = SEQUENCES_PER_PASS * PASSES_PER_STEP,
+    passes: int = STEPS * PASSES_PER_STEP,
+    every: int = LOG_EVERY,
+    world_size: int = 1,
+) -> DataFrame:
+    """Per epoch: blocks and tokens on hand against what the schedule consumes.
+
+    An optimizer step takes ``step_blocks`` blocks on each of ``world_size`` processes.
+    """
     return blocks.groupBy("epoch").agg(F.count(F.lit(1)).alias("blocks")).select(
         "epoch",
         "blocks",
-        (F.col("blocks") * config.block_size).alias("tokens"),
-        F.lit(per_log).cast("bigint").alias("tokens_per_log"),
-        F.lit(micro_steps).cast("bigint").alias("micro_steps"),
-        (F.col("blocks") / (config.accum_steps * config.micro_batch_size * world_size)).alias(
-            "optimizer_steps"
-        ),
+        (F.col("blocks") * block_size).alias("tokens"),
+        F.lit(every * step_blocks * block_size * world_size).cast("bigint").alias("tokens_per_log"),
+        F.lit(passes).cast("bigint").alias("micro_steps"),
+        (F.col("blocks") / (step_blocks * world_size)).alias("optimizer_steps"),
     )

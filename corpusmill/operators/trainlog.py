@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.config import TrainConfig
+from corpusmill.config import LOG_EVERY, SAVE_EVERY, VALIDATE_EVERY, RateCurve
 from corpusmill.operators.ordered import CHUNK_BITS, global_index, previous_row, running_min_before, running_total
 
 
@@ -21,13 +21,13 @@ def with_steps(events: DataFrame) -> DataFrame:
     return indexed.withColumn("step", F.col("step") + 1)
 
 
-def every_n(log: DataFrame, config: TrainConfig) -> DataFrame:
-    """Logged steps, with flags for validation and checkpoint steps."""
-    step = F.col("step")
-    return log.where(F.pmod(step, F.lit(config.log_interval)) == 0).select(
-        "*",
-        (F.pmod(step, F.lit(config.val_check_interval)) == 0).alias("validates"),
-        (F.pmod(step, F.lit(config.save_every_steps)) == 0).alias("saves"),
+def every_n(
+    log: DataFrame, every: int = LOG_EVERY, validate: int = VALIDATE_EVERY, save: int = SAVE_EVERY
+) -> DataFrame:
+    """Every ``every``-th step, with flags for validation and checkpoint steps."""
+    falls_on = lambda n: F.pmod(F.col("step"), F.lit(n)) == 0
+    return log.where(falls_on(every)).select(
+        "*", falls_on(validate).alias("validates"), falls_on(save).alias("saves")
     )
 
 
@@ -125,12 +125,12 @@ def seconds_between(start: Column, end: Column) -> Column:
     return total
 
 
-def throughput(log: DataFrame, config: TrainConfig, bits: int = CHUNK_BITS) -> DataFrame:
+def throughput(
+    log: DataFrame, step_tokens: int, every: int = LOG_EVERY, bits: int = CHUNK_BITS
+) -> DataFrame:
     """Tokens per second between consecutive log lines of a run."""
-    per_log = (
-        config.log_interval * config.accum_steps * config.micro_batch_size * config.block_size
-    )
-    lines = every_n(log, config).select("run_id", "step", "ts")
+    per_log = every * step_tokens
+    lines = every_n(log, every).select("run_id", "step", "ts")
     timed = previous_row(global_index(lines, "step", ["run_id"], "i"), ["ts"], ["run_id"], "i", bits)
     seconds = seconds_between(F.col("prev_ts"), F.col("ts"))
     return timed.select(
@@ -155,13 +155,12 @@ def best_so_far(log: DataFrame, bits: int = CHUNK_BITS) -> DataFrame:
     )
 
 
-def learning_rate(step: Column, config: TrainConfig) -> Column:
+def learning_rate(step: Column, curve: RateCurve = RateCurve()) -> Column:
     """Linear warm-up, then a half cosine down to the minimum."""
-    warmup, last = config.warmup_steps, config.max_iters
-    progress = (step - warmup) / F.lit(float(last - warmup))
-    cosine = config.min_lr + 0.5 * (1 + F.cos(F.lit(math.pi) * progress)) * (config.lr - config.min_lr)
+    progress = (step - curve.warmup) / F.lit(float(curve.last - curve.warmup))
+    cosine = curve.floor + 0.5 * (1 + F.cos(F.lit(math.pi) * progress)) * (curve.peak - curve.floor)
     return (
-        F.when(step < warmup, config.lr * (step + 1) / warmup)
-        .when(step > last, F.lit(config.min_lr))
+        F.when(step < curve.warmup, curve.peak * (step + 1) / curve.warmup)
+        .when(step > curve.last, F.lit(curve.floor))
         .otherwise(cosine)
     )

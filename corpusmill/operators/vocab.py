@@ -11,7 +11,6 @@ from corpusmill.config import (
     BOS_ID,
     EOS_ID,
     FIRST_WORD_ID,
-    MAX_TOKEN_CHARS,
     UNK_ID,
     VOCAB_SIZE,
 )
@@ -38,9 +37,7 @@ def build_vocab(counts: DataFrame, size: int = VOCAB_SIZE) -> DataFrame:
     ``size`` rows instead of every rare string of the corpus.
     """
     wanted = size - FIRST_WORD_ID
-    fit = counts.where(F.length("token") <= MAX_TOKEN_CHARS).withColumn(
-        "_class", F.floor(F.log2("n") * _STEPS)
-    )
+    fit = counts.withColumn("_class", F.floor(F.log2("n") * _STEPS))
     higher = Window.orderBy(F.desc("_class")).rowsBetween(Window.unboundedPreceding, -1)
     reach = (
         fit.groupBy("_class")

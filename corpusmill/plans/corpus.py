@@ -11,6 +11,7 @@ from corpusmill.config import BLOCK_SIZE, SPLIT_SEEDS, MixConfig
 from corpusmill.functions.split import in_split
 from corpusmill.functions.text import length_ok
 from corpusmill.functions.tokens import Tokenizer, VocabTokenizer, words
+from corpusmill.operators.evaluate import Scorer, table_scorer
 from corpusmill.operators.mix import nested_interleave
 from corpusmill.operators.ordered import global_index
 from corpusmill.operators.pack import assemble, layout, pack
@@ -30,6 +31,10 @@ class Lexicon:
         """``(id, nll)`` per id."""
         return unigram_scores(self.counts, self.vocab)
 
+    def scorer(self) -> Scorer:
+        """The scores as a function of a token column."""
+        return table_scorer(self.scores())
+
 
 def tokenize(docs: DataFrame, tokenizer: Tokenizer, *keys: str) -> DataFrame:
     """``(keys..., tokens)`` of ``docs (keys..., text)``."""
@@ -61,8 +66,7 @@ def text_corpus(
     """
     keys = mixed_keys(docs, split, epochs, config)
     fitting = docs.select("source", "ord", "text").where(length_ok(F.col("text")))
-    # Hash the narrow side: a sort-merge join would sort the texts.
-    placed = keys.hint("shuffle_hash").join(fitting, ["source", "ord"])
+    placed = keys.join(fitting, ["source", "ord"])
     return placed.select("epoch", "pos", "source", "ord", "text")
 
 
@@ -90,8 +94,7 @@ def packed_corpus(
     )
     placed = layout(placed_lengths.select("epoch", "pos", "n"), block_size, lossless)
     located = placed_lengths.drop("n").join(placed, ["epoch", "pos"])
-    # Hash the narrow side: a sort-merge join would sort the token lists.
-    joined = located.hint("shuffle_hash").join(coded.drop("n"), ["source", "ord"])
+    joined = located.join(coded.drop("n"), ["source", "ord"])
     return assemble(joined, block_size, lossless)
 
 

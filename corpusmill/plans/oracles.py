@@ -16,7 +16,6 @@ from corpusmill.config import (
     EOS_ID,
     FIRST_WORD_ID,
     MAX_CHARS,
-    MAX_TOKEN_CHARS,
     MIN_CHARS,
     MIX_WEIGHTS,
     NUM_PERM,
@@ -26,7 +25,6 @@ from corpusmill.config import (
     UNK_ID,
     VAL_PERCENT,
     VOCAB_SIZE,
-    TrainConfig,
 )
 from corpusmill.functions import minhash as mh
 from corpusmill.functions.tokens import SPACE_PATTERN, WORD_PATTERN
@@ -166,7 +164,7 @@ def _vocab(name: str = "vocab", split=_words) -> str:
   GROUP BY token),
 {name} AS MATERIALIZED (
   SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + {FIRST_WORD_ID - 1} AS INT) AS id, n
-  FROM {name}_c WHERE length(token) <= {MAX_TOKEN_CHARS}
+  FROM {name}_c
   QUALIFY id < {VOCAB_SIZE})"""
 
 
@@ -184,6 +182,7 @@ def _encoded(name: str, rows: str, key: str, vocab: str = "vocab", split=_words)
 
 
 FITTING = "f AS MATERIALIZED (SELECT doc_id, ord, text FROM d WHERE fits)"
+ALL = "f AS MATERIALIZED (SELECT doc_id, ord, text FROM d)"
 
 
 def _scores(name: str = "scores", vocab: str = "vocab") -> str:
@@ -217,22 +216,11 @@ def _walk(name: str, rows: str, block: int, lossless: bool) -> str:
         FROM {name} w JOIN {rows} r ON r.epoch = w.epoch AND r.rn = w.rn))"""
 
 
-def _pack(
-    name: str, source: str, block: int = BLOCK_SIZE, lossless: bool = True, padded: bool = True
-) -> str:
-    """CTEs ending in ``name (epoch, block_idx, tokens)`` from ``source (epoch, pos, tokens)``.
-
-    ``padded=False`` leaves out the unfinished block at the end.
-    """
+def _pack(name: str, source: str, block: int = BLOCK_SIZE, lossless: bool = True) -> str:
+    """CTEs ending in ``name (epoch, block_idx, tokens)`` from ``source (epoch, pos, tokens)``."""
     emits = "1" if lossless else "CASE WHEN c > 0 THEN 1 ELSE 0 END"
     n = name
-    tail = (
-        f"list_concat(tokens, list_transform(range({block} - len(tokens)), lambda x: {PAD_ID}))"
-        if padded else "tokens"
-    )
-    last = "" if padded else f"""
-  JOIN (SELECT epoch, max(blk) AS final FROM {n}_w GROUP BY epoch) z
-    ON z.epoch = t.epoch AND t.blk < z.final"""
+    tail = f"list_concat(tokens, list_transform(range({block} - len(tokens)), lambda x: {PAD_ID}))"
     return f"""
 {n}_r AS MATERIALIZED (
   SELECT epoch, pos, tokens, CAST(len(tokens) AS BIGINT) AS n,
@@ -253,7 +241,7 @@ def _pack(
   SELECT epoch, {EOS_ID}, blk, s FROM {n}_p WHERE s > 0 AND s < {block}),
 {n} AS MATERIALIZED (
   SELECT epoch, block_idx, {tail} AS tokens FROM (
-    SELECT t.epoch, t.blk AS block_idx, list(t.tok ORDER BY t.off) AS tokens FROM {n}_t t{last}
+    SELECT t.epoch, t.blk AS block_idx, list(t.tok ORDER BY t.off) AS tokens FROM {n}_t t
     GROUP BY t.epoch, t.blk))"""
 
 
@@ -272,6 +260,7 @@ def _packed_corpus(
 
 ENC = _encoded("enc", "f", "ord")
 BASE = [DOCS, FITTING, _vocab(), ENC]
+WHOLE = [DOCS, ALL, _vocab(), ENC]
 IN_ORDER = "src AS MATERIALIZED (SELECT 0 AS epoch, ord AS pos, tokens FROM enc)"
 PACKED = [*BASE, IN_ORDER, _pack("b", "src")]
 
@@ -352,7 +341,7 @@ items AS MATERIALIZED (
        (SELECT unnest(range({CHOICES})) AS shift) s,
        (SELECT item_id, substr(text, length(text) // 2 + 1) AS ending FROM benchmark) e
   WHERE e.item_id = (h.item_id + s.shift) % (SELECT count(*) FROM benchmark)
-  GROUP BY h.item_id, h.ctx ORDER BY h.item_id LIMIT {q.ITEMS})"""
+  GROUP BY h.item_id, h.ctx)"""
 CHOICE = [
     *BASE,
     _scores(),
@@ -463,8 +452,11 @@ labels AS MATERIALIZED (
 
 # Logs
 
-_CFG = TrainConfig()
-_PER_LOG = _CFG.log_interval * _CFG.accum_steps * _CFG.micro_batch_size * _CFG.block_size
+# Fixed values of the training schedule.
+_EVERY, _VALIDATE, _SAVE = 10, 1000, 3000
+_STEP_BLOCKS, _PASSES = 6 * 192, 15000 * 192
+_PEAK, _FLOOR, _WARMUP, _LAST = 6e-4, 6e-5, 700, 15000
+_PER_LOG = _EVERY * _STEP_BLOCKS * 1024
 LOG = """lg AS MATERIALIZED (
   SELECT user_id AS run_id, event_id, ts, value AS loss,
          row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS step FROM events)"""
@@ -478,14 +470,20 @@ ORACLES: dict[str, str] = {
     "scan_partition_dir": """
         SELECT doc_id, source, CAST(length(text) AS INT) AS chars FROM documents WHERE lang = 'en'""",
     "resolve_text_column": _with(DOCS) + """
-        SELECT doc_id, source, text FROM d WHERE source IN ('code', 'arxiv', 'web')""",
+        SELECT doc_id, source, text FROM d""",
+    "load_mixed_corpora": _with(DOCS) + """
+        SELECT source, ord, text FROM (
+          SELECT source, text, split, CASE WHEN source IN ('web', 'books')
+            THEN row_number() OVER (PARTITION BY source ORDER BY ord) - 1 ELSE ord END AS ord FROM d)
+        WHERE split = 'train'""",
     "text_fallback": """
         SELECT doc_id, CASE WHEN doc_id % 5 IN (0, 1, 2) THEN text
                             WHEN doc_id % 5 = 3 THEN '# ' || text ELSE '' END AS text
         FROM documents""",
     "peek_first": _with(DOCS) + "SELECT doc_id, source, text FROM d ORDER BY doc_id LIMIT 1",
     "eval_items": _with(ITEM_ROWS) + """
-        SELECT item_id, ctx, array_to_string(endings, '|') AS endings, label FROM items""",
+        SELECT item_id, ctx, array_to_string(endings, '|') AS endings, label FROM items
+        ORDER BY item_id LIMIT 25""",
     "log_sink_roundtrip": _with(LOG) + "SELECT run_id, step, loss FROM lg",
     "packed_sink": _with(
         *BASE, _packed_corpus("t", "train", (0, 1)), _packed_corpus("v", "val", (0,)), recursive=True
@@ -513,10 +511,10 @@ ORACLES: dict[str, str] = {
     "take_n_stream": _with(DOCS, _mixed("train", q.EPOCHS)) + f"""
         SELECT * FROM (
           SELECT row_number() OVER (ORDER BY m.epoch, m.pos) - 1 AS idx, m.epoch, m.pos, d.doc_id
-          FROM mixed m JOIN d USING (ord) WHERE d.fits) WHERE idx < {q.FIRST_TEXTS}""",
+          FROM mixed m JOIN d USING (ord) WHERE d.fits) WHERE idx < 300""",
     "val_prefix": _with(*VAL, recursive=True) + f"""
         SELECT batch_id, row_in_batch, {_csv("tokens")} AS tokens FROM vb
-        WHERE epoch = 0 AND batch_id < {q.VAL_BATCHES}""",
+        WHERE epoch = 0 AND batch_id < 10""",
     "weighted_interleave": _with(
         DOCS, _ranked("train", (0,)),
         _interleave("w", "ranked", q.FLAT_WEIGHTS, SPLIT_SEEDS["train"], (0,)),
@@ -535,22 +533,22 @@ ORACLES: dict[str, str] = {
         SELECT epoch, block_idx, {_csv("tokens")} AS tokens FROM t""",
     "normalize_text": f"SELECT doc_id, {_normal('text')} AS text FROM documents",
     "text_digest": f"SELECT doc_id, sha256({_normal('text')}) AS digest FROM documents",
-    "char_shingles": _with(DOCS, FITTING, SHINGLES) + """
+    "char_shingles": _with(DOCS, ALL, SHINGLES) + """
         SELECT nrm.doc_id, coalesce(n, 0) AS n_shingles, coalesce(m, 0) AS n_distinct,
                CAST(least_hash AS BIGINT) AS min_hash
         FROM nrm LEFT JOIN (
           SELECT doc_id, count(*) AS n, count(DISTINCT g) AS m, min(h) AS least_hash
           FROM sh GROUP BY doc_id) USING (doc_id)""",
-    "minhash_signature": _with(*SIGNED) + f"SELECT doc_id, {_csv('sig')} AS sig FROM sig",
-    "lsh_bands": _with(*SIGNED, BAND_ROWS) + "SELECT doc_id, band, key FROM bands",
+    "minhash_signature": _with(DOCS, ALL, *SIGNED[2:]) + f"SELECT doc_id, {_csv('sig')} AS sig FROM sig",
+    "lsh_bands": _with(DOCS, ALL, *SIGNED[2:], BAND_ROWS) + "SELECT doc_id, band, key FROM bands",
     "build_vocab": _with(DOCS, _vocab()) + "SELECT token, id, n FROM vocab",
-    "tokenize": _with(*BASE) + f"""
+    "tokenize": _with(*WHOLE) + f"""
         SELECT ord AS doc_id, CAST(len(tokens) AS INT) AS n, {_csv("tokens")} AS tokens FROM enc""",
-    "detokenize": _with(DOCS, FITTING, _vocab(), _encoded("enc", "f", "ord")) + """
+    "detokenize": _with(*WHOLE) + """
         SELECT f.doc_id, coalesce(x.text, '') AS text FROM f LEFT JOIN (
           SELECT ord, string_agg(token, ' ' ORDER BY j) AS text
           FROM enc_t JOIN vocab USING (token) GROUP BY ord) x USING (ord)""",
-    "crop_context": _with(*BASE) + f"""
+    "crop_context": _with(*WHOLE) + f"""
         SELECT ord AS doc_id, {_csv(f"tokens[-{q.CONTEXT}:]")} AS tokens FROM enc""",
     "retokenize_padded": _with(*RETOKENIZED, recursive=True) + f"""
         SELECT batch_id, row_in_batch, {_csv("tokens")} AS ids, {_csv("mask")} AS mask FROM padded""",
@@ -569,10 +567,10 @@ ORACLES: dict[str, str] = {
     "pack_sequences": _with(*PACKED, recursive=True) + f"""
         SELECT block_idx, {_csv("tokens")} AS tokens FROM b""",
     "pack_sequences_lossy": _with(
-        *BASE, IN_ORDER, _pack("b", "src", lossless=False), recursive=True
+        *BASE, IN_ORDER, _pack("b", "src", 64, lossless=False), recursive=True
     ) + f"SELECT block_idx, {_csv('tokens')} AS tokens FROM b",
     "pack_layout": _with(
-        DOCS, FITTING,
+        DOCS, ALL,
         f"""src AS MATERIALIZED (
           SELECT 0 AS epoch, ord AS pos,
                  list_transform({_words("text")}, lambda x: {FIRST_WORD_ID}) AS tokens FROM f)""",
@@ -599,10 +597,10 @@ ORACLES: dict[str, str] = {
               FROM (SELECT max(block_idx) + 1 AS n FROM b)) p
         JOIN b ON b.block_idx = p.place % p.n""",
     "token_budget": _with(*PACKED, recursive=True) + f"""
-        SELECT epoch, count(*) AS blocks, count(*) * {_CFG.block_size} AS tokens,
+        SELECT epoch, count(*) AS blocks, count(*) * 1024 AS tokens,
                CAST({_PER_LOG} AS BIGINT) AS tokens_per_log,
-               CAST({_CFG.max_iters * _CFG.accum_steps} AS BIGINT) AS micro_steps,
-               round(count(*) / CAST({_CFG.accum_steps * _CFG.micro_batch_size} AS DOUBLE), 6)
+               CAST({_PASSES} AS BIGINT) AS micro_steps,
+               round(count(*) / CAST({_STEP_BLOCKS} AS DOUBLE), 6)
                  AS optimizer_steps
         FROM b GROUP BY epoch""",
     "token_nll": _with(*VAL_IN_ORDER, recursive=True) + """
@@ -613,27 +611,34 @@ ORACLES: dict[str, str] = {
         FROM l GROUP BY batch_id, row_in_batch""",
     "val_loss": _with(*LOSSES, recursive=True) + f"""
         SELECT round(avg(m), 6) AS val_loss, count(*) AS batches FROM (
-          SELECT batch_id, avg(nll) AS m FROM l WHERE batch_id < {q.VAL_BATCHES} GROUP BY batch_id)""",
+          SELECT batch_id, avg(nll) AS m FROM l GROUP BY batch_id)""",
     "val_loss_compare": _with(
         *RETOKENIZED, _scores(), _losses("l", "vb", _BATCH_KEY), _scores("scores2", "vocab2"),
         _losses("l2", "padded", _BATCH_KEY, "scores2"), recursive=True,
     ) + f"""
         SELECT 'own' AS scorer, round(avg(m), 6) AS val_loss, count(*) AS batches FROM (
-          SELECT batch_id, avg(nll) AS m FROM l WHERE batch_id < {q.VAL_BATCHES} GROUP BY batch_id)
+          SELECT batch_id, avg(nll) AS m FROM l GROUP BY batch_id)
         UNION ALL
         SELECT 'baseline', round(avg(m), 6), count(*) FROM (
           SELECT batch_id, avg(nll) AS m FROM l2
-          WHERE batch_id < {q.VAL_BATCHES} AND token <> {PAD_ID} GROUP BY batch_id)""",
+          WHERE token <> {PAD_ID} GROUP BY batch_id)""",
     "choice_scores": _with(*CHOICE) + """
         SELECT item_id, label, choice, round(score, 6) AS score FROM scored""",
+    "choice_plugged_in": _with(ITEM_ROWS) + f"""
+        SELECT item_id, CAST(label AS INT) AS label, choice AS pred FROM (
+          SELECT item_id, label, choice, -list_avg(list_transform(string_split(ctx || ' ' || ending, ''),
+            lambda c: ln(ascii(c) % 97 + 3))) AS score
+          FROM (SELECT item_id, ctx, label, unnest(endings) AS ending,
+                       CAST(unnest(range({CHOICES})) AS INT) AS choice FROM items))
+        QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, choice) = 1""",
     "choice_predict": _with(*CHOICE) + "SELECT item_id, label, pred FROM predicted",
     "choice_accuracy": _with(*CHOICE) + """
         SELECT round(avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
                count(*) AS items FROM predicted""",
     "log_every_n": _with(LOG) + f"""
-        SELECT run_id, step, loss, step % {_CFG.val_check_interval} = 0 AS validates,
-               step % {_CFG.save_every_steps} = 0 AS saves
-        FROM lg WHERE step % {_CFG.log_interval} = 0""",
+        SELECT run_id, step, loss, step % {_VALIDATE} = 0 AS validates,
+               step % {_SAVE} = 0 AS saves
+        FROM lg WHERE step % {_EVERY} = 0""",
     "loss_ema": _with(LOG) + f"""
         SELECT a.run_id, a.step, any_value(a.loss) AS loss,
                round(sum(pow({_SMOOTH}, a.step - b.step) * b.loss)
@@ -646,7 +651,7 @@ ORACLES: dict[str, str] = {
         FROM (SELECT run_id, step,
                      (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY run_id ORDER BY step)))
                        / 1e6 AS sec
-              FROM lg WHERE step % {_CFG.log_interval} = 0)""",
+              FROM lg WHERE step % {_EVERY} = 0)""",
     "best_so_far": _with(LOG) + """
         SELECT run_id, step, loss, best_before, loss < coalesce(best_before, CAST('inf' AS DOUBLE)) AS is_best
         FROM (SELECT *, min(loss) OVER (PARTITION BY run_id ORDER BY step
@@ -654,12 +659,12 @@ ORACLES: dict[str, str] = {
               FROM lg)""",
     "lr_schedule": f"""
         SELECT user_id AS run_id, event_id AS step, round(CASE
-          WHEN event_id < {_CFG.warmup_steps}
-            THEN CAST({_CFG.lr} AS DOUBLE) * (event_id + 1) / {_CFG.warmup_steps}
-          WHEN event_id > {_CFG.max_iters} THEN CAST({_CFG.min_lr} AS DOUBLE)
-          ELSE CAST({_CFG.min_lr} AS DOUBLE) + 0.5 * (1 + cos({math.pi!r} *
-               ((event_id - {_CFG.warmup_steps}) / CAST({_CFG.max_iters - _CFG.warmup_steps} AS DOUBLE))))
-               * (CAST({_CFG.lr} AS DOUBLE) - CAST({_CFG.min_lr} AS DOUBLE)) END, 9) AS lr
+          WHEN event_id < {_WARMUP}
+            THEN CAST({_PEAK} AS DOUBLE) * (event_id + 1) / {_WARMUP}
+          WHEN event_id > {_LAST} THEN CAST({_FLOOR} AS DOUBLE)
+          ELSE CAST({_FLOOR} AS DOUBLE) + 0.5 * (1 + cos({math.pi!r} *
+               ((event_id - {_WARMUP}) / CAST({_LAST - _WARMUP} AS DOUBLE))))
+               * (CAST({_PEAK} AS DOUBLE) - CAST({_FLOOR} AS DOUBLE)) END, 9) AS lr
         FROM events""",
     "stream_split_filter": _with(DOCS) + """
         SELECT doc_id, split, CAST(length(text) AS INT) AS chars FROM d WHERE fits""",
@@ -670,10 +675,9 @@ ORACLES: dict[str, str] = {
     "stream_distinct_texts": _with(DOCS, FITTING, FIRSTS) + "SELECT digest FROM firsts",
     "stream_pack": _with(
         *BASE,
-        f"""src AS MATERIALIZED (
-          SELECT ord % greatest({q.SHARDS}, (SELECT count(*) FROM documents) >> {q.SHARD_BITS}) AS epoch,
-                 ord AS pos, tokens FROM enc)""",
-        _pack("b", "src", padded=False),
+        """src AS MATERIALIZED (
+          SELECT ord % 4 AS epoch, ord AS pos, tokens FROM enc)""",
+        _pack("b", "src"),
         recursive=True,
     ) + f"SELECT CAST(epoch AS INT) AS shard, block_idx, {_csv('tokens')} AS tokens FROM b",
 }

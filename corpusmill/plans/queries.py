@@ -7,12 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.config import (
-    BLOCK_SIZE,
-    DEDUP_SAMPLE,
-    SPLIT_SEEDS,
-    TrainConfig,
-)
+from corpusmill.config import BLOCK_SIZE, PASSES_PER_STEP, SEQUENCES_PER_PASS, SPLIT_SEEDS
 from corpusmill.functions import minhash as mh
 from corpusmill.functions import tokens as tk
 from corpusmill.functions.split import hash_bucket, in_split, split_name
@@ -34,15 +29,17 @@ from corpusmill.streaming import jobs
 FLAT_WEIGHTS = {"web": 0.45, "code": 0.25, "math": 0.20, "arxiv": 0.05, "books": 0.05}
 EPOCHS = (0, 1, 2)
 BATCH = 4
-VAL_BATCH = 8
-VAL_BLOCK = 256
-VAL_BATCHES = 10
+VAL_BATCH = 4
+VAL_BLOCK = 32  # small, so that there are more batches than a prefix takes
+PREFIX_BATCHES = 10  # of the prefix that is a query of its own
 WORLD_SIZE = 3
-ITEMS = 100
+FIRST_ITEMS = 25
+FIRST_TEXTS = 300
 CONTEXT = BLOCK_SIZE
-SHARDS = 4
-SHARD_BITS = 14  # documents per shard of the streaming packer: about 2**14
-FIRST_TEXTS = DEDUP_SAMPLE // 100  # small enough to cut the smaller tables too
+LOSSY_BLOCK = 64  # small, so that documents longer than a block meet an empty buffer
+LEVEL_BITS = (3, 2)  # of packing through many chunks and levels
+FILES_PER_BATCH = 4  # of streams whose result does not depend on the order
+SHARDS = 4  # of the streaming packer, for the life of its store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -95,6 +92,8 @@ def resolve_text_column(spark: SparkSession, sf_dir: str) -> DataFrame:
         "code": ("content", corpora.CODE_COLUMNS),
         "arxiv": ("markdown", corpora.PAPER_COLUMNS),
         "web": ("text", corpora.TEXT_COLUMNS),
+        "math": ("text", corpora.TEXT_COLUMNS),
+        "books": ("text", corpora.PAPER_COLUMNS),
     }
     result = None
     for name, (column, candidates) in renamed.items():
@@ -104,6 +103,33 @@ def resolve_text_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result
 
 
+@query
+def load_mixed_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five corpora in files of different formats and columns, read back with a split."""
+    docs = documents(spark, sf_dir)
+    sources = []
+    for name, kind, column, candidates, ordered in (
+        ("web", "parquet", "text", corpora.TEXT_COLUMNS, False),
+        ("code", "json", "content", corpora.CODE_COLUMNS, True),
+        ("math", "csv", "text", corpora.TEXT_COLUMNS, True),
+        ("arxiv", "orc", "markdown", corpora.PAPER_COLUMNS, True),
+        ("books", "parquet", "text", corpora.TEXT_COLUMNS, False),
+    ):
+        path = new_path(spark, f"corpus_{name}")
+        rows = docs.where(F.col("source") == name).repartitionByRange(4, "ord").sortWithinPartitions("ord")
+        rows = rows.select(F.col("ord").alias("place"), F.col("text").alias(column))
+        quoted = {"header": True, "escape": '"', "quoteAll": True} if kind == "csv" else {}
+        spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False} if quoted else {}
+        rows.write.format(kind).options(**quoted, **spaces).save(path)
+        options = (("multiLine", "true"),) if kind == "csv" else ()
+        order = "place" if ordered else None
+        schema = f"place bigint, {column} string"
+        sources.append(
+            corpora.CorpusSource(name, path, kind, candidates, schema=schema, order=order, options=options)
+        )
+    return corpora.load_corpora(spark, sources, "train")
+
+
 @query
 def text_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("doc_id") % 5
@@ -123,7 +149,7 @@ def peek_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def eval_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = packed.first_items(choice_items(spark, sf_dir), ITEMS, "item_id")
+    items = packed.first_items(choice_items(spark, sf_dir), FIRST_ITEMS, "item_id")
     return items.select("item_id", "ctx", F.array_join("endings", "|").alias("endings"), "label")
 
 
@@ -198,7 +224,7 @@ def take_n_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def val_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prefix = evaluate.first_batches(_val_batches(spark, sf_dir, _lexicon(spark, sf_dir)), VAL_BATCHES)
+    prefix = evaluate.first_batches(_val_batches(spark, sf_dir, _lexicon(spark, sf_dir)), PREFIX_BATCHES)
     return prefix.select("batch_id", "row_in_batch", _joined())
 
 
@@ -264,12 +290,12 @@ def text_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def char_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _fitting_spread(spark, sf_dir).select("doc_id", normalize(F.col("text")).alias("text"))
+    docs = spread_documents(spark, sf_dir).select("doc_id", normalize(F.col("text")).alias("text"))
     return docs.select("doc_id", mh.shingle_counts(F.col("text")).alias("c")).select("doc_id", "c.*")
 
 
 def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _fitting_spread(spark, sf_dir).select("doc_id", normalize(F.col("text")).alias("text"))
+    docs = spread_documents(spark, sf_dir).select("doc_id", normalize(F.col("text")).alias("text"))
     return docs.select("doc_id", mh.minhash(F.col("text")).alias("sig"))
 
 
@@ -293,21 +319,21 @@ def build_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = _lexicon(spark, sf_dir).tokenizer
-    coded = corpus.tokenize(_fitting_spread(spark, sf_dir), tokenizer, "doc_id")
+    coded = corpus.tokenize(spread_documents(spark, sf_dir), tokenizer, "doc_id")
     return coded.select("doc_id", F.size("tokens").alias("n"), _joined())
 
 
 @query
 def detokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = _lexicon(spark, sf_dir).tokenizer
-    coded = corpus.tokenize(_fitting_spread(spark, sf_dir), tokenizer, "doc_id")
+    coded = corpus.tokenize(spread_documents(spark, sf_dir), tokenizer, "doc_id")
     return coded.select("doc_id", tokenizer.decode(F.col("tokens")).alias("text"))
 
 
 @query
 def crop_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = _lexicon(spark, sf_dir).tokenizer
-    coded = corpus.tokenize(_fitting_spread(spark, sf_dir), tokenizer, "doc_id")
+    coded = corpus.tokenize(spread_documents(spark, sf_dir), tokenizer, "doc_id")
     return coded.select("doc_id", _joined(tk.crop_last(F.col("tokens"), CONTEXT)))
 
 
@@ -374,9 +400,11 @@ def incremental_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Packing
 
 
-def _packed(spark: SparkSession, sf_dir: str, lossless: bool = True) -> DataFrame:
+def _packed(
+    spark: SparkSession, sf_dir: str, lossless: bool = True, block_size: int = BLOCK_SIZE
+) -> DataFrame:
     tokenizer = _lexicon(spark, sf_dir).tokenizer
-    return corpus.pack_in_order(spread_documents(spark, sf_dir), tokenizer, BLOCK_SIZE, lossless)
+    return corpus.pack_in_order(spread_documents(spark, sf_dir), tokenizer, block_size, lossless)
 
 
 @query
@@ -386,16 +414,17 @@ def pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pack_sequences_lossy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _packed(spark, sf_dir, lossless=False).select("block_idx", _joined())
+    return _packed(spark, sf_dir, False, LOSSY_BLOCK).select("block_idx", _joined())
 
 
 @query
 def pack_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = tk.words(F.col("text"))
-    lengths = _fitting_spread(spark, sf_dir).select(
+    lengths = spread_documents(spark, sf_dir).select(
         F.lit(0).alias("epoch"), F.col("ord").alias("pos"), F.size(tokens).alias("n")
     )
-    placed = pack.layout(materialize(lengths, "lengths"))
+    chunk_bits, group_bits = LEVEL_BITS
+    placed = pack.layout(materialize(lengths, "lengths"), BLOCK_SIZE, True, chunk_bits, group_bits)
     return pack.block_layout(placed).drop("epoch")
 
 
@@ -439,7 +468,7 @@ def shard_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    budget = pack.token_budget(_packed(spark, sf_dir), TrainConfig())
+    budget = pack.token_budget(_packed(spark, sf_dir))
     return budget.withColumn("optimizer_steps", F.round("optimizer_steps", 6))
 
 
@@ -453,35 +482,36 @@ def _val_batches(spark: SparkSession, sf_dir: str, lexicon: corpus.Lexicon) -> D
     return materialize(pack.batch_blocks(blocks, VAL_BATCH, VAL_BLOCK), "val_batches")
 
 
-def _val_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Losses of the whole validation split, packed in document order."""
+def _val_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, evaluate.Scorer]:
+    """The whole validation split packed in document order, and its scorer."""
     lexicon = _lexicon(spark, sf_dir)
     docs = documents(spark, sf_dir).where(in_split(F.col("text"), "val"))
     blocks = corpus.pack_in_order(docs, lexicon.tokenizer, VAL_BLOCK)
     batches = pack.batch_blocks(blocks, VAL_BATCH, VAL_BLOCK)
-    return evaluate.token_nll(batches, lexicon.scores(), ["batch_id", "row_in_batch"])
+    return batches, lexicon.scorer()
 
 
 @query
 def token_nll(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _val_losses(spark, sf_dir).withColumn("nll", F.round("nll", 6))
+    batches, scorer = _val_rows(spark, sf_dir)
+    losses = evaluate.token_nll(batches, scorer, ["batch_id", "row_in_batch"])
+    return losses.withColumn("nll", F.round("nll", 6))
 
 
 @query
 def seq_mean_nll(spark: SparkSession, sf_dir: str) -> DataFrame:
-    losses = materialize(_val_losses(spark, sf_dir), "losses")
+    batches, scorer = _val_rows(spark, sf_dir)
     key = ["batch_id", "row_in_batch"]
-    counted = evaluate.mean_nll(losses, key).withColumnRenamed("mean_nll", "with_pad")
-    ignored = evaluate.mean_nll(losses, key, ignore=tk.PAD_ID).withColumnRenamed("mean_nll", "without_pad")
-    return counted.join(ignored, key, "left").select(
-        *key, F.round("with_pad", 6).alias("with_pad"), F.round("without_pad", 6).alias("without_pad")
+    mean = lambda total, n: F.round(F.when(F.col(n) > 0, F.col(total) / F.col(n)), 6)
+    return evaluate.sequence_losses(batches, scorer, key).select(
+        *key, mean("total", "n").alias("with_pad"), mean("total_real", "n_real").alias("without_pad")
     )
 
 
 @query
 def val_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = _lexicon(spark, sf_dir)
-    loss = evaluate.val_loss(_val_batches(spark, sf_dir, lexicon), lexicon.scores(), VAL_BATCHES)
+    loss = evaluate.val_loss(_val_batches(spark, sf_dir, lexicon), lexicon.scorer())
     return loss.withColumn("val_loss", F.round("val_loss", 6))
 
 
@@ -492,10 +522,9 @@ def val_loss_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     compared = evaluate.compare_val_loss(
         _val_batches(spark, sf_dir, first),
         first.tokenizer,
-        first.scores(),
+        first.scorer(),
         second.tokenizer,
-        second.scores(),
-        VAL_BATCHES,
+        second.scorer(),
         VAL_BLOCK,
     )
     return compared.withColumn("val_loss", F.round("val_loss", 6))
@@ -503,8 +532,7 @@ def val_loss_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _choice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = _lexicon(spark, sf_dir)
-    items = packed.first_items(choice_items(spark, sf_dir), ITEMS, "item_id")
-    return evaluate.choice_scores(items, lexicon.tokenizer, lexicon.scores())
+    return evaluate.choice_scores(choice_items(spark, sf_dir), lexicon.tokenizer, lexicon.scorer())
 
 
 @query
@@ -512,6 +540,27 @@ def choice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _choice_scores(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
+@query
+def choice_plugged_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy under a tokenizer and a scorer that are no tables."""
+
+    class Letters:
+        """Ids from 3 on for the code points of a text."""
+
+        def encode(self, text):
+            letters = F.filter(F.split(text, ""), lambda c: F.length(c) > 0)
+            return F.transform(letters, lambda c: F.ascii(c) % 97 + 3)
+
+        def decode(self, ids):
+            return F.lit(None).cast("string")
+
+    def rare(tokens):
+        return F.transform(tk.targets(tokens), lambda t: F.log(t.cast("double")))
+
+    scored = evaluate.choice_scores(choice_items(spark, sf_dir), Letters(), rare)
+    return evaluate.choice_predict(scored)
+
+
 @query
 def choice_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.choice_predict(_choice_scores(spark, sf_dir))
@@ -532,7 +581,7 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def log_every_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = trainlog.every_n(_log(spark, sf_dir), TrainConfig())
+    lines = trainlog.every_n(_log(spark, sf_dir))
     return lines.select("run_id", "step", "loss", "validates", "saves")
 
 
@@ -543,7 +592,8 @@ def loss_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rates = trainlog.throughput(_log(spark, sf_dir), TrainConfig())
+    step_tokens = SEQUENCES_PER_PASS * PASSES_PER_STEP * BLOCK_SIZE
+    rates = trainlog.throughput(_log(spark, sf_dir), step_tokens)
     return rates.select(
         "run_id", "step", F.round("seconds", 6).alias("seconds"),
         F.round("tokens_per_sec", 3).alias("tokens_per_sec"),
@@ -557,9 +607,8 @@ def best_so_far(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = _log(spark, sf_dir).withColumn("step", F.col("ord"))
-    rate = trainlog.learning_rate(F.col("step"), TrainConfig())
-    return log.select("run_id", "step", F.round(rate, 9).alias("lr"))
+    rate = trainlog.learning_rate(F.col("ord"))
+    return training_log(spark, sf_dir).select("run_id", F.col("ord").alias("step"), F.round(rate, 9).alias("lr"))
 
 
 # Streams
@@ -572,7 +621,7 @@ def _streamed(
     docs = documents(spark, sf_dir).select("ord", "text")
     out = new_path(spark, label)
     for path in arrivals(docs, "stream_input"):
-        stream = jobs.read_documents(spark, path, "ord bigint, text string")
+        stream = jobs.read_documents(spark, path, "ord bigint, text string", FILES_PER_BATCH)
         result = jobs.append_to_table(transform(stream), out)
     return result
 
@@ -619,13 +668,13 @@ def stream_distinct_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     encode = _lexicon(spark, sf_dir).tokenizer.encode
-    # As many shards as keep one shard's documents few, whatever the size of the table.
-    shards = max(SHARDS, documents(spark, sf_dir).count() >> SHARD_BITS)
-
-    def transform(stream: DataFrame) -> DataFrame:
+    docs = documents(spark, sf_dir).select("ord", "text")
+    out = new_path(spark, "stream_pack")
+    for path in arrivals(docs, "stream_input"):
+        # Opened anew per delivery, as a job that is started again would do.
+        store = jobs.PackStore(spark, f"{out}/store", SHARDS)
+        stream = jobs.read_documents(spark, path, "ord bigint, text string")
         fitting = stream.where(length_ok(F.col("text")))
         coded = fitting.select("ord", encode(F.col("text")).alias("tokens"))
-        return jobs.pack_stream(coded, shards)
-
-    blocks = _streamed(spark, sf_dir, "stream_pack", transform)
-    return blocks.select("shard", "block_idx", _joined())
+        jobs.pack_stream(coded, store, f"{out}/checkpoint").awaitTermination()
+    return store.finish().select("shard", "block_idx", _joined())

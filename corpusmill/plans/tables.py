@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.scratch import new_path, spread
+from corpusmill.scratch import new_path
 
 # Last folder number of each corpus; later folders are books.
 ROLE_ENDS = {"web": 8, "code": 13, "math": 17, "arxiv": 18}
@@ -35,8 +35,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents for costly per-text work; a table in one small file goes to all cores."""
-    return spread(documents(spark, sf_dir), "ord")
+    """Documents dealt over all cores: the given table may lie in one file of one split."""
+    return documents(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "ord")
 
 
 def training_log(spark: SparkSession, sf_dir: str) -> DataFrame:

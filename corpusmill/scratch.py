@@ -78,15 +78,3 @@ class Scope:
 
     def __exit__(self, *error: object) -> None:
         self.drop(*[table for _, table in list(self.paths.values())])
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash ``df`` over all cores, but only if its input has too few splits for them.
-
-    Meant for costly per-row work on small inputs, such as one file with one row group.
-    A large input has more splits than cores and is left where it is.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if 2 * df.rdd.getNumPartitions() <= slots:
-        return df.repartition(slots, key)
-    return df

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.split import in_split
+from corpusmill.operators.ordered import running_total
+from corpusmill.scratch import materialize
 
 # Column names tried in turn, per kind of corpus.
 TEXT_COLUMNS = ("text",)
@@ -15,13 +17,17 @@ PAPER_COLUMNS = ("markdown", "text")
 CODE_COLUMNS = ("content", "code")
 FALLBACK_COLUMNS = ("text", "content", "markdown")
 
-MAX_FILES = 1 << 18
+BROADCAST_FILES = 1 << 16  # table of files up to which it is broadcast
 READERS = ("parquet", "json", "csv", "text", "orc")
 
 
 @dataclass(frozen=True)
 class CorpusSource:
-    """One named corpus: where it lies and which columns may hold its text."""
+    """One named corpus: where it lies, its order, and which columns may hold its text.
+
+    ``order`` names a column of whole numbers. Parquet files need none: their rows have
+    a position. ``options`` are the reader's, such as ``multiLine`` for CSV.
+    """
 
     name: str
     path: str
@@ -29,6 +35,8 @@ class CorpusSource:
     text_columns: tuple[str, ...] = TEXT_COLUMNS
     part: tuple[str, str] | None = None  # (partition column, value)
     schema: str | None = None
+    order: str | None = None
+    options: tuple[tuple[str, str], ...] = ()
 
 
 def resolve_text_column(columns: list[str], candidates: tuple[str, ...]) -> str:
@@ -59,7 +67,9 @@ def read_source(spark: SparkSession, source: CorpusSource) -> DataFrame:
     if source.schema:
         reader = reader.schema(source.schema)
     if source.format == "csv":
-        reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
+        reader = reader.option("header", True).option("escape", '"')
+    for key, value in source.options:
+        reader = reader.option(key, value)
     df = reader.load(source.path)
     if source.part:
         column, value = source.part
@@ -72,28 +82,33 @@ def scan_split(df: DataFrame, split: str) -> DataFrame:
     return df.where(in_split(first_text(df.columns), split))
 
 
-def with_file_order(df: DataFrame, name: str = "ord", row_bits: int = 28) -> DataFrame:
-    """Add an order over file-backed rows: file rank, then position in the file.
+def with_file_order(df: DataFrame, name: str = "ord") -> DataFrame:
+    """Add an order over the rows of Parquet files: by path, then position in the file.
 
-    Works for Parquet, whose metadata carries the row index. The table of file ranks is
-    broadcast after counting it: at most ``MAX_FILES`` rows, finding them reads no column.
+    Positions count on from file to file, so neither files nor rows have a limit. The
+    table of files reads no column; if it is long, it is joined instead of broadcast.
     """
-    files = df.select(F.col("_metadata.file_path").alias("_file")).distinct()
-    ranks = files.select(
-        "_file", (F.row_number().over(Window.orderBy("_file")) - 1).cast("bigint").alias("_rank")
-    )
-    if files.count() > MAX_FILES:
-        raise ValueError(f"more than {MAX_FILES} files; order them by a key column instead")
-    placed = df.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.row_index").alias("_row"),
+    file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    files = df.select(file.alias("_file"), row.alias("_row")).groupBy("_file")
+    files = files.agg((F.max("_row") + 1).alias("_rows"))
+    bases = materialize(running_total(files, "_rows", "_file", name="_end"), "files")
+    bases = bases.select("_file", (F.col("_end") - F.col("_rows")).alias("_base"))
+    if bases.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES:
+        bases = F.broadcast(bases)
+    placed = df.select("*", file.alias("_file"), row.alias("_row"))
+    joined = placed.join(bases, "_file").withColumn(name, F.col("_base") + F.col("_row"))
+    return joined.drop("_file", "_row", "_base")
+
+
+def with_order(df: DataFrame, source: CorpusSource) -> DataFrame:
+    """Add ``ord``: the source's order column, or the position in Parquet files."""
+    if source.order:
+        return df.withColumn("ord", F.col(source.order).cast("long"))
+    if source.format == "parquet":
+        return with_file_order(df)
+    raise ValueError(
+        f"corpus {source.name!r}: rows of {source.format} files have no position; name an order column"
     )
-    position = F.when(
-        F.col("_row") < (1 << row_bits), F.shiftleft("_rank", row_bits) + F.col("_row")
-    ).otherwise(F.raise_error(F.lit("file has too many rows for row_bits")))
-    joined = placed.join(F.broadcast(ranks), "_file")
-    return joined.withColumn(name, position).drop("_file", "_row", "_rank")
 
 
 def peek_first(df: DataFrame, order: str = "ord") -> DataFrame:
@@ -104,14 +119,14 @@ def peek_first(df: DataFrame, order: str = "ord") -> DataFrame:
 def load_corpora(
     spark: SparkSession, sources: list[CorpusSource], split: str | None = None
 ) -> DataFrame:
-    """Union of all sources as ``(source, ord, text)``, ordered by file position.
+    """Union of all sources as ``(source, ord, text)``, in file order or by a column.
 
     The split is decided before the text column is renamed, as the fallback chain
     looks at the original column names; code corpora are renamed first.
     """
     tables = []
     for source in sources:
-        df = with_file_order(read_source(spark, source))
+        df = with_order(read_source(spark, source), source)
         if source.text_columns == CODE_COLUMNS:
             df = canonical_text(df, source.text_columns, "ord")
         if split:

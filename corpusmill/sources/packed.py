@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACKED_SCHEMA = "block_idx bigint, tokens array<int>, split string, epoch int"
-ITEM_COLUMNS = ("ctx", "endings", "label")
 
 
 def write_packed(blocks: DataFrame, path: str, split: str) -> None:
     """Write blocks under ``split=/epoch=``, in block order inside each file.
 
-    Packing leaves runs of consecutive blocks together, so no further shuffle is needed
-    and readers can skip files by the statistics of ``block_idx``. Writing an epoch again
+    Packing leaves ranges of blocks together, so no further shuffle is needed and readers
+    can skip files by the statistics of ``block_idx``. Writing an epoch again
     replaces that epoch only.
     """
     ordered = blocks.select("block_idx", "tokens", F.lit(split).alias("split"), "epoch")

@@ -7,18 +7,17 @@ against a stored table; batch ids make repeated batches harmless.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from corpusmill.config import BLOCK_SIZE, EOS_ID
+from corpusmill.config import BLOCK_SIZE, EOS_ID, PAD_ID
 from corpusmill.functions.split import split_name
 from corpusmill.functions.text import digest, length_ok, normalize
 from corpusmill.operators.dedup import DuplicateStore
+from corpusmill.operators.pack import start_states
 
 DOCUMENT_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -85,56 +84,102 @@ def dedup_stream(
     )
 
 
-def pack_stream(
-    docs: DataFrame,
-    shards: int,
-    block_size: int = BLOCK_SIZE,
-    lossless: bool = True,
-    eos_id: int = EOS_ID,
-) -> DataFrame:
-    """Pack a stream of ``docs (ord, tokens)`` per shard: ``(shard, block_idx, tokens)``.
+class PackStore:
+    """Blocks of a growing stream, packed per shard, as tables.
 
-    Shards take documents in turn by ``ord``, so none gets more than its part; a task
-    holds one shard's documents of one micro-batch, so choose ``shards`` to fit that. The
-    state of a shard is its unfinished block, which waits for the shard's next document.
+    Document ``ord`` belongs to shard ``ord % shards``; the number of shards is fixed with
+    the store and kept in it, so growth or a restart never moves a document. Each group
+    writes its blocks and, per shard, the tokens of the unfinished block with its number,
+    in ``group=<id>`` folders that a repeated group replaces. ``finish`` pads what is left.
     """
 
-    def step(
-        key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        index, held = state.get if state.exists else (0, [])
-        held, blocks = list(held), []
-        rows = pd.concat(list(frames)).sort_values("ord")
-        for tokens in rows["tokens"]:
-            tokens = tokens.tolist()
-            empty = not held
-            if held:
-                held.append(eos_id)
-            room = block_size - len(held)
-            if len(tokens) <= room:
-                held += tokens
-                continue
-            taken = max(room, 0)
-            if not empty or lossless:
-                blocks.append((held + tokens[:taken])[:block_size])
-            rest = tokens[taken:]
-            whole = len(rest) // block_size * block_size
-            blocks += [rest[i : i + block_size] for i in range(0, whole, block_size)]
-            held = rest[whole:]
-        state.update((index + len(blocks), held))
-        yield pd.DataFrame(
-            {
-                "shard": [key[0]] * len(blocks),
-                "block_idx": range(index, index + len(blocks)),
-                "tokens": blocks,
-            }
+    BLOCKS = "shard int, block_idx bigint, tokens array<int>, done boolean"
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        path: str,
+        shards: int,
+        block_size: int = BLOCK_SIZE,
+        lossless: bool = True,
+        eos_id: int = EOS_ID,
+    ):
+        self.spark, self.path, self.shards = spark, path, shards
+        self.block_size, self.lossless, self.eos_id = block_size, lossless, eos_id
+        settings = spark.createDataFrame(
+            [(shards, block_size, lossless, eos_id)],
+            "shards int, block_size int, lossless boolean, eos_id int",
         )
-
-    sharded = docs.select(F.pmod("ord", F.lit(shards)).cast("int").alias("shard"), "ord", "tokens")
-    return sharded.groupBy("shard").applyInPandasWithState(
-        step,
-        "shard int, block_idx bigint, tokens array<int>",
-        "block_idx bigint, held array<int>",
-        "append",
-        GroupStateTimeout.NoTimeout,
+        settings.write.mode("ignore").parquet(f"{path}/settings")
+        kept = spark.read.parquet(f"{path}/settings").first()
+        if tuple(kept) != (shards, block_size, lossless, eos_id):
+            raise ValueError(f"the store at {path} was begun with {kept}")
+        empty = spark.createDataFrame([], self.BLOCKS)
+        empty.write.mode("ignore").parquet(f"{path}/blocks/group=-1")
+
+    def _blocks(self) -> DataFrame:
+        return self.spark.read.schema(f"{self.BLOCKS}, group bigint").parquet(f"{self.path}/blocks")
+
+    def _tails(self, before: int) -> DataFrame:
+        """``(shard, block_idx, tokens)``: each shard's unfinished block before a group."""
+        open_ = self._blocks().where(~F.col("done") & (F.col("group") < before))
+        last = F.max_by(F.struct("block_idx", "tokens"), "group").alias("t")
+        return open_.groupBy("shard").agg(last).select("shard", "t.*")
+
+    def add(self, docs: DataFrame, group: int) -> None:
+        """Pack ``docs (ord, tokens)`` behind all earlier groups."""
+        size, lossless, eos = self.block_size, self.lossless, self.eos_id
+
+        def pack_shard(key: tuple, rows: pd.DataFrame, tails: pd.DataFrame) -> pd.DataFrame:
+            held = tails["tokens"].iloc[0] if len(tails) else np.empty(0, np.int32)
+            first = int(tails["block_idx"].iloc[0]) if len(tails) else 0
+            tokens = list(rows.sort_values("ord")["tokens"])
+            lengths = np.array([len(t) for t in tokens], dtype=np.int64)
+            # A document of no tokens at the end tells where the others have led.
+            states, blocks = start_states(np.append(lengths, 0), size, lossless, len(held), 0)
+            whole, left = int(blocks[-1]), int(states[-1])
+            state, block = states[:-1].astype(np.int64), blocks[:-1]
+            # Places between documents hold an end-of-sequence id, where there is room.
+            flat = np.full(whole * size + left, eos, dtype=np.int32)
+            flat[: len(held)] = held
+            begin = block * size + state + ((state > 0) & (state < size))
+            lost = np.where((state == 0) & (lengths > size) & (not lossless), size, 0)
+            for at, skip, t in zip(begin.tolist(), lost.tolist(), tokens, strict=True):
+                flat[at : at + len(t) - skip] = t[skip:]
+            cuts = [flat[i * size : (i + 1) * size] for i in range(whole)]
+            return pd.DataFrame({
+                "shard": [key[0]] * (whole + 1),
+                "block_idx": range(first, first + whole + 1),
+                "tokens": [*cuts, flat[whole * size :]],
+                "done": [True] * whole + [False],
+            })
+
+        shard = F.pmod("ord", F.lit(self.shards)).cast("int").alias("shard")
+        grouped = docs.select(shard, "ord", "tokens").groupBy("shard")
+        packed = grouped.cogroup(self._tails(group).groupBy("shard")).applyInPandas(pack_shard, self.BLOCKS)
+        packed.write.mode("overwrite").parquet(f"{self.path}/blocks/group={group}")
+
+    def blocks(self) -> DataFrame:
+        """``(shard, block_idx, tokens)`` of the blocks finished so far."""
+        return self._blocks().where("done").select("shard", "block_idx", "tokens")
+
+    def finish(self, pad_id: int = PAD_ID) -> DataFrame:
+        """All blocks at the declared end of the stream: unfinished ones are padded."""
+        missing = F.lit(self.block_size) - F.size("tokens")
+        padded = F.concat("tokens", F.array_repeat(F.lit(pad_id), missing)).alias("tokens")
+        tails = self._tails(1 << 62).where(F.size("tokens") > 0)
+        return self.blocks().unionByName(tails.select("shard", "block_idx", padded))
+
+
+def pack_stream(docs: DataFrame, store: PackStore, checkpoint: str) -> StreamingQuery:
+    """Pack each micro-batch of ``docs (ord, tokens)`` behind everything before it.
+
+    A task holds one shard's documents of one micro-batch: bound the read of the stream,
+    or take more shards. Batch ids name the store's groups.
+    """
+    return (
+        docs.writeStream.foreachBatch(store.add)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
