@@ -175,3 +175,11 @@ def test_exact_copies_and_dense_ids(spark):
     firsts = dedup.first_copies(docs)
     assert ords(firsts) == [1, 5, 11]
     assert {r.ord: r.dense_id for r in dedup.dense_ids(firsts).collect()} == {1: 0, 5: 1, 11: 2}
+
+
+def test_null_texts_count_as_empty(spark):
+    rows = [(0, None), (1, ""), (2, "a long enough text to have shingles"), (3, None)]
+    docs = spark.createDataFrame(rows, "ord bigint, text string")
+    got = {r.ord: r.label for r in dedup.label_documents(docs).collect()}
+    plain = {r.ord: r.label for r in dedup.label_documents(docs.fillna("", ["text"])).collect()}
+    assert got == plain and got[0] == got[2] == "kept" and got[3] == "exact_dup"

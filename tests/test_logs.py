@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.config import TrainConfig
+from corpusmill.config import RateCurve
 from corpusmill.operators import trainlog
 from corpusmill.sources.logs import append_log, read_log
 
@@ -48,37 +48,36 @@ def test_best_so_far(spark):
 
 
 def test_steps_flags_and_throughput(spark):
-    config = TrainConfig.dev()
     start = dt.datetime(2024, 3, 31, 0, 0)
     rows = [(run, 10 * i, start + dt.timedelta(hours=7 * i, microseconds=i), 1.0)
             for run in (1, 2) for i in range(13)]
     events = spark.createDataFrame(rows, "run_id bigint, ord bigint, ts timestamp_ntz, loss double")
     log = trainlog.with_steps(events)
     assert sorted(r.step for r in log.where("run_id = 1").collect()) == list(range(1, 14))
-    lines = trainlog.every_n(log, config).where("run_id = 2").orderBy("step").collect()
+    lines = trainlog.every_n(log, 4, 8, 4).where("run_id = 2").orderBy("step").collect()
     assert [(r.step, r.saves) for r in lines] == [(4, True), (8, True), (12, True)]
     for kind in ("timestamp_ntz", "timestamp"):
         typed = log.withColumn("ts", F.col("ts").cast(kind))
-        rates = trainlog.throughput(typed, config, bits=1).where("run_id = 1").orderBy("step").collect()
+        rates = trainlog.throughput(typed, 2 * 2 * 64, every=4, bits=1).where("run_id = 1").orderBy("step").collect()
         assert rates[0].seconds is None and rates[0].tokens_per_sec is None
         assert rates[1].seconds == pytest.approx(28 * 3600 + 4e-6, abs=1e-9)
         assert rates[2].tokens_per_sec == pytest.approx(4 * 2 * 2 * 64 / rates[2].seconds)
 
 
 def test_learning_rate(spark):
-    config = TrainConfig()
+    curve = RateCurve()
     steps = [0, 1, 699, 700, 701, 8000, 14999, 15000, 15001, 10**6]
 
     def rate(step):
-        if step < config.warmup_steps:
-            return config.lr * (step + 1) / config.warmup_steps
-        if step > config.max_iters:
-            return config.min_lr
-        part = (step - config.warmup_steps) / (config.max_iters - config.warmup_steps)
-        return config.min_lr + 0.5 * (1 + math.cos(math.pi * part)) * (config.lr - config.min_lr)
+        if step < curve.warmup:
+            return curve.peak * (step + 1) / curve.warmup
+        if step > curve.last:
+            return curve.floor
+        turn = math.pi * (step - curve.warmup) / (curve.last - curve.warmup)
+        return curve.floor + (curve.peak - curve.floor) * (1 + math.cos(turn)) / 2
 
     df = spark.createDataFrame([(s,) for s in steps], "step bigint")
-    for r in df.select("step", trainlog.learning_rate(F.col("step"), config).alias("lr")).collect():
+    for r in df.select("step", trainlog.learning_rate(F.col("step"), curve).alias("lr")).collect():
         assert r.lr == pytest.approx(rate(r.step), rel=1e-12)
 
 

@@ -1,11 +1,11 @@
-"""Packing against a sequential restatement of its rules."""
+"""Packing against a map of places, and its consequences on their own."""
 
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.config import EOS_ID, PAD_ID, TrainConfig
+from corpusmill.config import EOS_ID, PAD_ID
 from corpusmill.operators.pack import (
     batch_blocks,
     block_layout,
@@ -17,30 +17,24 @@ from corpusmill.operators.pack import (
 from corpusmill.sources.packed import batch_preview, read_packed, write_packed
 
 
-def pack_list(documents, size, lossless):
-    """Blocks of one epoch, by the rules read one document at a time."""
-    blocks, held = [], []
+def by_places(documents, size, lossless=True):
+    """Blocks of one epoch, from the place that each token has in the epoch's long row.
+
+    ``brim`` says that the row so far ends with a document that just filled its block.
+    """
+    places, at, brim = {}, 0, False
     for tokens in documents:
-        tokens = list(tokens)
-        was_empty = not held
-        if held:
-            held.append(EOS_ID)
-        room = size - len(held)
-        if len(tokens) <= room:
-            held.extend(tokens)
-            continue
-        if room > 0 and (lossless or not was_empty):
-            held.extend(tokens[:room])
-        if len(held) >= size:
-            blocks.append(held[:size])
-        tokens = tokens[room:] if room > 0 else tokens
-        while len(tokens) >= size:
-            blocks.append(tokens[:size])
+        fill = at % size
+        if fill:
+            places[at] = EOS_ID
+            at += 1
+        overflows = brim or fill + bool(fill) + len(tokens) > size
+        if overflows and not (lossless or fill or brim):
             tokens = tokens[size:]
-        held = tokens
-    if held:
-        blocks.append((held + [PAD_ID] * (size - len(held)))[:size])
-    return blocks
+        places |= dict(zip(range(at, at + len(tokens)), tokens))
+        at += len(tokens)
+        brim = at % size == 0 and not overflows and (fill > 0 or len(tokens) > 0)
+    return [[places.get(b + i, PAD_ID) for i in range(size)] for b in range(0, at, size)]
 
 
 def documents(spark, lists, epoch=0):
@@ -73,7 +67,7 @@ def test_random_documents_over_many_chunks(spark, lossless, size):
     rng = random.Random(size)
     lists = [[rng.randrange(3, 99) for _ in range(rng.randrange(0, 3 * size))] for _ in range(90)]
     got = pack(documents(spark, lists), size, lossless, chunk_bits=4, group_bits=3)
-    assert as_lists(got) == pack_list(lists, size, lossless)
+    assert as_lists(got) == by_places(lists, size, lossless)
 
 
 def test_lossless_keeps_all_tokens(spark):
@@ -88,20 +82,32 @@ def test_epochs_are_packed_apart(spark):
     one, two = [[5] * 3, [6] * 3], [[7] * 9]
     both = documents(spark, one, 0).unionByName(documents(spark, two, 4))
     got = pack(both, 4)
-    assert as_lists(got.where("epoch = 0")) == pack_list(one, 4, True)
-    assert as_lists(got.where("epoch = 4")) == pack_list(two, 4, True)
+    assert as_lists(got.where("epoch = 0")) == by_places(one, 4, True)
+    assert as_lists(got.where("epoch = 4")) == by_places(two, 4, True)
+
+
+def test_many_levels_of_chunks(spark):
+    rng = random.Random(7)
+    lists = [[5] * rng.randrange(0, 9) for _ in range(70)]
+    for lossless in (True, False):  # 3 * 70 positions in chunks of 2, tables of 2: 7 levels
+        got = pack(documents(spark, lists), 4, lossless, chunk_bits=1, group_bits=1)
+        assert as_lists(got) == by_places(lists, 4, lossless)
 
 
-def test_too_many_documents_are_refused(spark):
-    with pytest.raises(Exception, match="too many documents"):
-        pack(documents(spark, [[5]] * 40), 4, chunk_bits=1, group_bits=1).collect()
+def test_long_documents_at_an_empty_buffer(spark):
+    """Without losses all tokens stay; else the first block of such documents goes."""
+    lists = [[1] * 9, [2] * 3, [3] * 4, [4] * 9, [5] * 8, [6] * 8]
+    kept = [t for b in as_lists(pack(documents(spark, lists), 4, False)) for t in b]
+    assert [kept.count(t) for t in (1, 3, 4, 5, 6)] == [5, 4, 9, 8, 4]
+    whole = [t for b in as_lists(pack(documents(spark, lists), 4)) for t in b]
+    assert [whole.count(t) for t in (1, 3, 4, 5, 6)] == [9, 4, 9, 8, 8]
 
 
 def test_block_layout_counts(spark):
     lists = [[5] * n for n in (3, 6, 1, 4, 9)]
     lengths = documents(spark, lists).select("epoch", "pos", F.size("tokens").alias("n"))
     rows = block_layout(layout(lengths, 4), 4).orderBy("block_idx").collect()
-    for row, block in zip(rows, pack_list(lists, 4, True), strict=True):
+    for row, block in zip(rows, by_places(lists, 4, True), strict=True):
         assert row.n_tokens == block.count(5)
         assert row.n_eos + row.n_pad == block.count(EOS_ID)
 
@@ -132,12 +138,22 @@ def test_sink_and_resume(spark, tmp_path):
     write_packed(pack(both, 4), path, "train")
     assert read_packed(spark, path, "val").count() == 0
     resumed = read_packed(spark, path, "train", start_epoch=1).orderBy("block_idx").collect()
-    assert [list(r.tokens) for r in resumed] == pack_list([[7] * 9], 4, True)
+    assert [list(r.tokens) for r in resumed] == by_places([[7] * 9], 4, True)
+
+
+def test_blocks_lie_in_ranges(spark, tmp_path):
+    """Files of an epoch don't overlap in block_idx, so readers can skip them."""
+    path = str(tmp_path / "packed")
+    blocks = pack(documents(spark, [[5] * 40] * 300), 4)
+    write_packed(blocks, path, "train")
+    files = read_packed(spark, path).groupBy(F.col("_metadata.file_path").alias("f"))
+    ends = sorted((r.low, r.high) for r in files.agg(F.min("block_idx").alias("low"), F.max("block_idx").alias("high")).collect())
+    assert len(ends) > 1 and all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
 
 
 def test_budget(spark):
     blocks = pack(documents(spark, [[5] * 4] * 8), 4)
-    row = token_budget(blocks, TrainConfig.dev()).first()
+    row = token_budget(blocks, 64, step_blocks=4, passes=64, every=4).first()
     assert (row.blocks, row.tokens) == (8, 8 * 64)
-    assert row.tokens_per_log == 4 * 2 * 2 * 64
+    assert row.tokens_per_log == 4 * 4 * 64
     assert row.micro_steps == 64 and row.optimizer_steps == 2.0

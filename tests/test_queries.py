@@ -78,3 +78,19 @@ print("done")
         [sys.executable, "-c", code], cwd="/", env=env, capture_output=True, text=True, timeout=300
     )
     assert "done" in run.stdout, run.stderr[-2000:]
+
+
+def test_rows_that_would_prove_nothing(spark, db):
+    """Cuts and rules that must bite on the smallest tables."""
+    sql = ORACLES["pack_sequences_lossy"]
+    lossy = db.execute(sql).df()
+    whole = entry.queries()["pack_sequences_lossy"](spark, FOLDER)
+    assert whole.count() == len(lossy)
+    from corpusmill.plans import queries as q
+
+    assert q._packed(spark, FOLDER, True, q.LOSSY_BLOCK).count() > len(lossy)
+    batches = q._val_batches(spark, FOLDER, q._lexicon(spark, FOLDER))
+    assert batches.select("batch_id").distinct().count() > q.PREFIX_BATCHES
+    assert q.choice_items(spark, FOLDER).count() > q.FIRST_ITEMS
+    positions = q.documents(spark, FOLDER).count()
+    assert positions >> (q.LEVEL_BITS[0] + 2 * q.LEVEL_BITS[1])  # three levels of packing

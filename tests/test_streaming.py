@@ -2,13 +2,14 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators.dedup import DuplicateStore, label_documents
 from corpusmill.scratch import new_path
 from corpusmill.streaming import jobs
 from test_dedup import corpus
-from test_pack import pack_list
+from test_pack import by_places
 
 SCHEMA = "ord bigint, text string"
 
@@ -55,17 +56,43 @@ def test_dedup_streams(spark, tmp_path):
     assert distinct.count() == want.where("label = 'kept'").count()
 
 
-def test_pack_stream_carries_over(spark):
+TOKENS = "ord bigint, tokens array<int>"
+
+
+def shard_lists(blocks, shard):
+    return [list(r.tokens) for r in sorted(blocks, key=lambda r: r.block_idx) if r.shard == shard]
+
+
+def test_pack_stream_to_its_end(spark, tmp_path):
+    """One delivery or many give the whole packing of each shard, its last block included."""
     rng = random.Random(4)
-    rows = [(o, [rng.randrange(3, 99) for _ in range(rng.randrange(0, 20))]) for o in range(60)]
-    path = folder(spark, rows, "ord bigint, tokens array<int>", 4)
-    for lossless in (True, False):
-        stream = one_by_one(spark, path, "ord bigint, tokens array<int>")
-        got = jobs.append_to_table(
-            jobs.pack_stream(stream, 2, 8, lossless), new_path(spark, "packed")
-        ).collect()
-        for shard in (0, 1):
-            lists = [t for o, t in rows if o % 2 == shard]
-            blocks = [list(r.tokens) for r in sorted(got, key=lambda r: r.block_idx) if r.shard == shard]
-            whole = pack_list(lists, 8, lossless)
-            assert blocks in (whole, whole[:-1]) and len(blocks) > 10
+    rows = [(o, [rng.randrange(3, 99) for _ in range(rng.choice([0, 1, 7, 8, 15, 16, 19]))]) for o in range(60)]
+    for parts in (1, 7):
+        path = folder(spark, rows, TOKENS, parts)
+        for lossless in (True, False):
+            store = jobs.PackStore(spark, str(tmp_path / f"store{parts}{lossless}"), 2, 8, lossless)
+            stream = one_by_one(spark, path, TOKENS)
+            jobs.pack_stream(stream, store, str(tmp_path / f"check{parts}{lossless}")).awaitTermination()
+            got = store.finish().collect()
+            for shard in (0, 1):
+                assert shard_lists(got, shard) == by_places([t for o, t in rows if o % 2 == shard], 8, lossless)
+
+
+def test_pack_stream_restarts_after_growth(spark, tmp_path):
+    rows = [(o, [5] * 3) for o in range(40)]
+    path = folder(spark, rows[:10], TOKENS, 1)
+    for grown in (False, True):
+        if grown:
+            spark.createDataFrame(rows[10:], TOKENS).coalesce(1).write.mode("append").parquet(path)
+        store = jobs.PackStore(spark, str(tmp_path / "store"), 4, 8)
+        jobs.pack_stream(one_by_one(spark, path, TOKENS), store, str(tmp_path / "check")).awaitTermination()
+    store.add(spark.createDataFrame(rows[10:], TOKENS), 1)  # a repeated group changes nothing
+    got = store.finish().collect()
+    for shard in range(4):
+        assert shard_lists(got, shard) == by_places([t for o, t in rows if o % 4 == shard], 8)
+    with pytest.raises(ValueError, match="begun with"):
+        jobs.PackStore(spark, str(tmp_path / "store"), 5, 8)
+    ten = [(o, [7] * 3) for o in range(10)]
+    store = jobs.PackStore(spark, str(tmp_path / "few"), 1, 1024)
+    store.add(spark.createDataFrame(ten, TOKENS), 0)
+    assert store.blocks().count() == 0 and store.finish().count() == 1

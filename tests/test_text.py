@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.split import hash_bucket, in_split, split_name
 from corpusmill.functions.text import digest, length_ok, normalize
+from corpusmill.sources import corpora
 from corpusmill.sources.corpora import (
     CODE_COLUMNS,
     PAPER_COLUMNS,
@@ -112,8 +113,26 @@ def test_load_corpora_orders_by_file_position(spark, tmp_path):
 
 def test_json_and_csv_sources(spark, tmp_path):
     df = spark.createDataFrame([('say "hi"\nthere',), ("plain",)], "text string")
-    df.write.json(str(tmp_path / "j"))
+    df.coalesce(1).write.json(str(tmp_path / "j"), lineSep="\n")
     df.write.option("header", True).option("escape", '"').csv(str(tmp_path / "c"))
     for name, fmt in (("j", "json"), ("c", "csv")):
-        source = CorpusSource(name, str(tmp_path / name), fmt, schema="text string")
+        source = CorpusSource(name, str(tmp_path / name), fmt, schema="text string", options=(("multiLine", "true"),))
         assert sorted(r.text for r in read_source(spark, source).collect()) == ["plain", 'say "hi"\nthere']
+
+
+def test_corpora_without_an_order_are_refused(spark, tmp_path):
+    spark.createDataFrame([("a", 3)], "text string, n int").write.json(str(tmp_path / "j"))
+    with pytest.raises(ValueError, match="name an order column"):
+        load_corpora(spark, [CorpusSource("j", str(tmp_path / "j"), "json", schema="text string, n int")])
+    named = CorpusSource("j", str(tmp_path / "j"), "json", schema="text string, n int", order="n")
+    assert [(r.ord, r.text) for r in load_corpora(spark, [named]).collect()] == [(3, "a")]
+
+
+def test_file_order_counts_on_over_many_files(spark, tmp_path, monkeypatch):
+    """Dense positions over files and rows, whether the table of files is broadcast or joined."""
+    path = str(tmp_path / "many")
+    spark.range(0, 60, 1, 12).write.parquet(path)
+    for limit in (1 << 16, 3):
+        monkeypatch.setattr(corpora, "BROADCAST_FILES", limit)
+        got = sorted((r.ord, r.id) for r in corpora.with_file_order(spark.read.parquet(path)).collect())
+        assert got == [(i, i) for i in range(60)]

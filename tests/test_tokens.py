@@ -73,11 +73,23 @@ def test_lookup_on_sliced_batches(spark, lexicon):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_oversized_vocabulary_is_refused(spark):
-    rows = spark.range(32001).select(
-        F.col("id").cast("string").alias("token"), F.col("id").cast("int"), F.lit(1).alias("n")
+def test_vocabularies_of_any_length(spark, monkeypatch):
+    """More than 32,000 tokens, and tokens of more than 64 characters, are looked up."""
+    long = "x" * 300
+    rows = spark.range(40_000).select(
+        F.concat(F.when(F.col("id") == 39_999, long).otherwise("t"), F.col("id")).alias("token"),
+        F.col("id").cast("int"),
+        F.lit(1).alias("n"),
     )
-    with pytest.raises(ValueError, match="at most"):
+    tokenizer = tk.VocabTokenizer(rows)
+    df = spark.createDataFrame([(f"t38000 {long}39999 nothing",)], "text string")
+    ids = tokenizer.encode(F.col("text"))
+    assert df.select(ids).first()[0] == [38_000, 39_999, UNK_ID]
+    assert df.select(tokenizer.decode(ids)).first()[0].startswith(f"t38000 {long}39999")
+    counts = spark.createDataFrame([(long, 5), ("a", 9)], "token string, n bigint")
+    assert [r.token for r in build_vocab(counts).orderBy("id").collect()] == ["a", long]
+    monkeypatch.setattr(tk, "VOCAB_BYTES", 1000)
+    with pytest.raises(ValueError, match="bytes"):
         tk.VocabTokenizer(rows)
 
 
@@ -113,21 +125,35 @@ def test_losses_and_their_means(spark):
     rows = [(0, 0, 0, [3, 4, 2, 2]), (0, 0, 1, [4, 3, 3, 2]), (0, 1, 0, [3, 3, 3, 3]), (1, 0, 0, [4, 4, 4, 4])]
     batches = spark.createDataFrame(rows, "epoch int, batch_id bigint, row_in_batch int, tokens array<int>")
     key = ["batch_id", "row_in_batch"]
-    losses = evaluate.token_nll(evaluate.first_batches(batches, 9), scores, key)
+    scorer = evaluate.table_scorer(scores)
+    losses = evaluate.sequence_losses(evaluate.first_batches(batches, 9), scorer, key)
     with_pad = {(r[0], r[1]): r[2] for r in evaluate.mean_nll(losses, key).collect()}
     assert with_pad == {(0, 0): 4.0, (0, 1): pytest.approx(7 / 3), (1, 0): 1.0}
-    without = {(r[0], r[1]): r[2] for r in evaluate.mean_nll(losses, key, ignore=2).collect()}
+    without = {(r[0], r[1]): r[2] for r in evaluate.mean_nll(losses, key, ignore_pad=True).collect()}
     assert without == {(0, 0): 2.0, (0, 1): 1.0, (1, 0): 1.0}
     # Mean of batch means, not of tokens.
-    row = evaluate.val_loss(batches, scores, 50).first()
+    row = evaluate.val_loss(batches, scorer).first()
     assert row.val_loss == pytest.approx((19 / 6 + 1.0) / 2) and row.batches == 2
-    assert evaluate.val_loss(batches, scores, 1).first().val_loss == pytest.approx(19 / 6)
+    assert evaluate.val_loss(batches, scorer, 1).first().val_loss == pytest.approx(19 / 6)
 
 
 def test_plugged_in_scorer(spark):
     df = spark.createDataFrame([(0, [3, 4, 5])], "id int, tokens array<int>")
-    scored = evaluate.score_with(df, lambda t: F.transform(tk.targets(t), lambda x: x / 2), ["id"])
+    half = lambda t: F.transform(tk.targets(t), lambda x: x / 2)
+    scored = evaluate.token_nll(df, half, ["id"])
     assert [(r.pos, r.token, r.nll) for r in scored.orderBy("pos").collect()] == [(0, 4, 2.0), (1, 5, 2.5)]
+    row = evaluate.sequence_losses(df, half, ["id"], pad=5).first()
+    assert (row.total, row.n, row.total_real, row.n_real) == (4.5, 2, 2.0, 1)
+
+
+def test_ids_without_a_score(spark):
+    """They have the unknown id's loss; without one, they are an error."""
+    df = spark.createDataFrame([([1, 3, 99],)], "tokens array<int>")
+    scores = spark.createDataFrame([(UNK_ID, 7.0), (3, 1.0)], "id int, nll double")
+    rows = evaluate.token_nll(df, evaluate.table_scorer(scores), []).orderBy("pos").collect()
+    assert [(r.token, r.nll) for r in rows] == [(3, 1.0), (99, 7.0)]
+    with pytest.raises(Exception, match="no score for id 99"):
+        evaluate.token_nll(df, evaluate.table_scorer(scores.where("id = 3")), []).collect()
 
 
 def test_choices_and_ties(spark, lexicon):
@@ -135,7 +161,7 @@ def test_choices_and_ties(spark, lexicon):
         [(0, "the", ["cat", "the", "zzz", "the"], "1"), (1, "the", ["zzz", "qqq"], "1")],
         "item_id bigint, ctx string, endings array<string>, label string",
     )
-    scored = evaluate.choice_scores(items, lexicon.tokenizer, lexicon.scores())
+    scored = evaluate.choice_scores(items, lexicon.tokenizer, lexicon.scorer())
     assert scored.count() == 6
     predicted = {r.item_id: r.pred for r in evaluate.choice_predict(scored).collect()}
     assert predicted == {0: 1, 1: 0}  # ties go to the lowest choice
