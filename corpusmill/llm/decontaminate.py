@@ -40,12 +40,11 @@ def _text_words(text: str | None) -> np.ndarray:
 
 @dataclass
 class Block:
-    """Items of like length: their impacts per term, and each term's largest."""
+    """Items of like length and their impacts per term."""
 
     items: np.ndarray  # numbers in the index
     window: int
     impacts: np.ndarray  # vocabulary x items
-    largest: np.ndarray  # vocabulary
     thresholds: np.ndarray  # items
 
 
@@ -79,11 +78,12 @@ class ItemIndex:
                     np.array(chosen),
                     2 * max(LEAST_WINDOW // 2, len(words[chosen[-1]])),
                     impacts,
-                    impacts.max(axis=1),
                     impacts.sum(axis=0) * np.float32(SHARE),
                 )
             )
 
+        self.largest = np.stack([b.impacts.max(axis=1) for b in self.blocks], axis=1) if self.blocks else None
+
     def terms(self, words: np.ndarray) -> np.ndarray:
         """Vocabulary numbers of words, -1 for unknown ones."""
         if not len(self.vocabulary):
@@ -98,21 +98,25 @@ class ItemIndex:
         the block's least threshold: then no item of the block can reach its own.
         """
         best: dict[int, float] = {}
-        known = np.flatnonzero(terms >= 0)
-        if not len(known):
+        known = terms >= 0
+        found = terms[known]
+        if not len(found):
             return best
-        for block in self.blocks:
-            bounds = np.zeros(len(terms) + 1)
-            weights = np.zeros(len(terms))
-            weights[known] = block.largest[terms[known]]
-            np.cumsum(weights, out=bounds[1:])
-            starts = np.arange(0, max(len(terms) - block.window // 2, 1), block.window // 2)
-            ends = np.minimum(starts + block.window, len(terms))
-            possible = bounds[ends] - bounds[starts] >= block.thresholds.min() - 1e-3
-            for a, b in zip(starts[possible].tolist(), ends[possible].tolist(), strict=True):
-                inside = np.unique(terms[a:b])
-                inside = inside[inside >= 0]
-                scores = block.impacts[inside].sum(axis=0)
+        rank = np.zeros(len(terms) + 1, dtype=np.int64)  # known words in front of each place
+        np.cumsum(known, out=rank[1:])
+        sums = np.zeros((len(found) + 1, len(self.blocks)))
+        np.cumsum(self.largest[found], axis=0, out=sums[1:])
+        for number, block in enumerate(self.blocks):
+            least = block.thresholds.min() - 1e-3
+            if sums[-1, number] < least:
+                continue
+            half = block.window // 2
+            starts = np.arange(0, max(len(terms) - half, 1), half)
+            low, high = rank[starts], rank[np.minimum(starts + block.window, len(terms))]
+            column = sums[:, number]
+            possible = np.flatnonzero(column[high] - column[low] >= least)
+            for a, b in zip(low[possible].tolist(), high[possible].tolist(), strict=True):
+                scores = block.impacts[np.unique(found[a:b])].sum(axis=0)
                 for j in np.flatnonzero(scores >= block.thresholds - 1e-3).tolist():
                     item = int(block.items[j])
                     best[item] = max(best.get(item, 0.0), float(scores[j]))

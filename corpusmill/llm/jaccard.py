@@ -13,7 +13,9 @@ kept small by bounds that lose no pair:
   the overlap and what was counted, with all that may stand beyond the columns, suffices.
 * A column of many classes is not multiplied out. Its members are compared with one of
   them, the pivot, and join its component; what remains are members of different
-  components, and only these are compared with each other.
+  components, and only these are compared with each other, block by block: the product
+  of the members' bitmaps counts the bits they share, and bits that one has and the
+  other lacks are shingles that they don't share, which discards most pairs at once.
 
 Compared pairs are then decided by their exact overlap.
 """
@@ -24,6 +26,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
@@ -39,7 +42,8 @@ ZONE = 0.3  # share of the hash range in which shingles are counted, at most a h
 FREQUENT = 32  # documents from which a shingle comes last in the order
 MOST_FREQUENT = 1 << 20  # such shingles at most: 8 MB to broadcast
 DENSE = 32  # classes up to which a column is multiplied out at once
-PIVOT_ROUNDS = 3
+MAP_WORDS = 32  # of 64 bits each, of the bitmap of a class
+BLOCK_ROWS = 1024  # members of a column in one block of a product, about
 SHARED_BITS = 1 << 26  # of the filter that knows shingles of several documents: 8 MB
 _ZONE_END = np.uint64(int(ZONE * (1 << 64)))
 
@@ -112,8 +116,15 @@ def _prefix(hashes: np.ndarray, last: np.ndarray) -> np.ndarray:
     return hashes[:size]
 
 
+def _bitmap(hashes: np.ndarray) -> np.ndarray:
+    """The bits, out of ``64 * MAP_WORDS``, that a set's hashes fall on."""
+    marks = np.zeros(64 * MAP_WORDS, dtype=bool)
+    marks[(hashes % np.uint64(len(marks))).astype(np.int64)] = True
+    return np.packbits(marks, bitorder="little").view(np.uint64)
+
+
 def fingerprints(docs: DataFrame, last: np.ndarray, several: Broadcast) -> DataFrame:
-    """``(_row, doc_id, key, n, digest, prefix)`` of ``docs (_row, doc_id, key, text)``.
+    """``(_row, doc_id, key, n, digest, prefix, bits)`` of ``docs (_row, doc_id, key, text)``.
 
     ``prefix`` leaves out shingles of the zone that ``several`` knows to be of one
     document alone: they make no column.
@@ -136,13 +147,16 @@ def fingerprints(docs: DataFrame, last: np.ndarray, several: Broadcast) -> DataF
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(digests, pa.binary()),
                     _lists([prefix(s) for s in sets]),
+                    _lists([_bitmap(s) for s in sets]),
                 ],
-                ["_row", "doc_id", KEY, "n", "digest", "prefix"],
+                ["_row", "doc_id", KEY, "n", "digest", "prefix", "bits"],
             )
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("_row", "doc_id", KEY, "text").mapInArrow(
-        prints, f"_row bigint, doc_id {kind}, {KEY} binary, n bigint, digest binary, prefix array<bigint>"
+        prints,
+        f"_row bigint, doc_id {kind}, {KEY} binary, n bigint, digest binary,"
+        " prefix array<bigint>, bits array<bigint>",
     )
 
 
@@ -203,32 +217,84 @@ def _promising(narrow: DataFrame, wide: DataFrame) -> DataFrame:
     return counted.where(most * (100 + PERCENT) >= (F.col("x_n") + F.col("y_n")) * PERCENT).select(*_ordered())
 
 
-def _linked(scope: Scope, columns: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``(cid, component)`` of the classes linked through ``columns (hash, cid, n, members)``."""
+def _blocked(split: DataFrame, best: bool) -> DataFrame:
+    """Promising pairs ``(a, b)`` of members of different components, column by column.
+
+    With ``best``, only each member's likeliest partner in each block it meets: linking
+    these first joins most components, so that few pairs are left for the whole product.
+
+    ``split (hash, cid, n, members, component, bits, columns)``. A column's members are
+    dealt over blocks of bounded size, and every two blocks meet in one task, which
+    multiplies their bitmaps. A pair comes out once, in the first column it shares.
+    """
+    blocks = F.ceil(F.col("members") / BLOCK_ROWS).cast("int")
+    own = F.pmod(F.xxhash64("cid"), blocks.cast("long")).cast("int")
+    dealt = split.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    met = dealt.select(
+        "hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
+        "cid", "n", "component", "bits", "columns",
+    )
+
+    def multiply(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        column, i, j = key
+        left, right = rows[rows["own"] == i], rows[rows["own"] == j]
+        out: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            unpack = lambda side: np.unpackbits(
+                np.stack(side["bits"].to_numpy()).astype(np.int64).view(np.uint8), axis=1
+            ).astype(np.float32)
+            x, y = unpack(left), unpack(right)
+            n, m = left["n"].to_numpy(), right["n"].to_numpy()
+            most = np.minimum.outer(n - x.sum(axis=1), m - y.sum(axis=1)) + x @ y.T
+            fits = most * (100 + PERCENT) >= PERCENT * np.add.outer(n, m)
+            fits &= np.not_equal.outer(left["component"].to_numpy(), right["component"].to_numpy())
+            a, b = left["cid"].to_numpy(), right["cid"].to_numpy()
+            if i == j and not best:
+                fits &= np.less.outer(a, b)
+            if best:
+                most = np.where(fits, most, -1)
+                for p in np.flatnonzero(fits.any(axis=1)):
+                    out.append((a[p], b[most[p].argmax()]))
+                for q in np.flatnonzero(fits.any(axis=0)):
+                    out.append((a[most[:, q].argmax()], b[q]))
+                ordered = {(min(p), max(p)) for p in out}
+                return pd.DataFrame(sorted(ordered), columns=["a", "b"], dtype="int64")
+            one = [set(c) for c in left["columns"]]
+            two = [set(c) for c in right["columns"]]
+            for p, q in zip(*np.nonzero(fits), strict=True):
+                if min(one[p] & two[q]) == column:
+                    out.append((min(a[p], b[q]), max(a[p], b[q])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return met.groupBy("hash", "i", "j").applyInPandas(multiply, "a bigint, b bigint")
+
+
+def _linked(
+    scope: Scope, columns: DataFrame, maps: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """``(cid, component)`` of the classes linked through ``columns (hash, cid, n, members)``.
+
+    ``maps (cid, bits)`` has the classes' bitmaps.
+    """
     narrow = columns.where(F.col("members") <= DENSE).select("hash", "cid", "n")
-    wide = scope.keep(columns.where(F.col("members") > DENSE).select("hash", "cid", "n"), "wide")
-    pivots = wide.groupBy("hash").agg(F.min(F.struct("cid", "n")).alias("p")).select("hash", "p.*")
-    around = _sides(pivots, wide).where(F.col("x_cid") != F.col("y_cid")).select(*_ordered())
-    pairs = scope.keep(_promising(narrow, wide).unionByName(around).distinct(), "pairs")
+    wide = scope.keep(columns.where(F.col("members") > DENSE).select("hash", "cid", "n", "members"), "wide")
+    slim = wide.select("hash", "cid", "n")
+    pivots = slim.groupBy("hash").agg(F.min(F.struct("cid", "n")).alias("p")).select("hash", "p.*")
+    around = _sides(pivots, slim).where(F.col("x_cid") != F.col("y_cid")).select(*_ordered())
+    pairs = scope.keep(_promising(narrow, slim).unionByName(around).distinct(), "pairs")
     compared = pairs.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(wide.select("cid"))
     sets = sets_of(compared.distinct())
     links = scope.keep(_overlapping(pairs, sets), "links")
-    for step in range(1, PIVOT_ROUNDS + 1):
+    own = wide.groupBy("cid").agg(F.collect_list("hash").alias("columns"))  # of a prefix, so few
+    marked = scope.keep(maps.join(own, "cid"), "maps")
+    for step in ("best", "best", "all"):
         found = components(links).withColumnsRenamed({"node": "cid"})
         labelled = wide.join(found, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
         labelled = scope.keep(labelled, "labelled")
-        parts = labelled.groupBy("hash", "component").agg(F.count(F.lit(1)).alias("size"))
-        largest = parts.groupBy("hash").agg(
-            F.max_by("component", "size").alias("main"), F.count(F.lit(1)).alias("parts")
-        )
-        split = labelled.join(largest.where("parts > 1"), "hash")
-        outside = split.where(F.col("component") != F.col("main")).drop("main", "parts")
-        if step < PIVOT_ROUNDS:
-            least = F.min(F.struct("cid", "n", "component")).alias("p")
-            outside = outside.groupBy("hash").agg(least).select("hash", "p.*")
-        apart = F.col("x_component") != F.col("y_component")
-        pairs = _sides(outside, split.drop("main", "parts")).where(apart).select(*_ordered())
-        pairs = scope.keep(pairs.distinct(), "pairs")
+        parts = labelled.groupBy("hash").agg(F.min("component").alias("p"), F.max("component").alias("q"))
+        split = labelled.join(parts.where("p < q").select("hash"), "hash", "left_semi")
+        pairs = _blocked(split.join(marked, "cid"), step == "best").distinct()
+        pairs = scope.keep(pairs, "pairs")
         if pairs.isEmpty():
             break
         links = scope.keep(links.unionByName(_overlapping(pairs, sets)).distinct(), "links")
@@ -263,6 +329,7 @@ def jaccard_components(docs: DataFrame, keyed: bool = False) -> DataFrame:
                 F.min("_row").alias("cid"),
                 F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("least"),
                 F.first("prefix").alias("prefix"),
+                F.first("bits").alias("bits"),
             ),
             "classes",
         )
@@ -279,7 +346,7 @@ def jaccard_components(docs: DataFrame, keyed: bool = False) -> DataFrame:
         def sets_of(wanted: DataFrame) -> DataFrame:
             return scope.keep(class_sets(rows, wanted.join(classes.select("cid", "digest"), "cid")), "sets")
 
-        found = _linked(scope, columns, sets_of)
+        found = _linked(scope, columns, classes.select("cid", "bits"), sets_of)
         known = classes.select("digest", "cid", "least").join(found, "cid", "left").withColumn(
             "component", F.coalesce("component", "cid")
         )

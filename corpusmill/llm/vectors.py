@@ -24,15 +24,16 @@ TOP = 10
 QUERY_EVERY = 100
 TREE_ROWS = 1 << 15  # vectors of one tree at most, about
 LEAST_ROWS = 256  # and at least, when cores are plenty
-PAGE = 64  # vectors of a leaf, or children of a node, at most
+PAGE = 256  # vectors of a leaf, or children of a node, at most
 _SLACK = 0.01  # scores are whole numbers; rounding errors lie far below this
 
 
 @dataclass
 class Node:
-    """One page: its centre's place, covering radius, and distance to the parent's centre.
+    """One page: its centre, covering radius, distance to the parent's centre, least id.
 
-    A leaf has rows and their distances to the centre, an inner node has children.
+    A leaf has rows and their distances to the centre; an inner node has children, and
+    what their bounds need as columns.
     """
 
     center: np.ndarray
@@ -42,6 +43,9 @@ class Node:
     rows: np.ndarray | None = None
     to_center: np.ndarray | None = None
     children: list[Node] = field(default_factory=list)
+    centers: np.ndarray | None = None
+    radii: np.ndarray | None = None
+    distances: np.ndarray | None = None  # of the children's centres to this one
 
 
 class MTree:
@@ -65,6 +69,9 @@ class MTree:
             return node
         for part in self._split(rows):
             node.children.append(self._node(part, self.points[part].mean(axis=0), center))
+        node.centers = np.stack([c.center for c in node.children])
+        node.radii = np.array([c.radius for c in node.children])
+        node.distances = np.array([c.to_parent for c in node.children])
         return node
 
     def _split(self, rows: np.ndarray) -> list[np.ndarray]:
@@ -86,6 +93,11 @@ class MTree:
         by_id = rows[np.argsort(self.ids[rows], kind="stable")]
         return [p for p in np.array_split(by_id, count) if len(p)]
 
+    @staticmethod
+    def _reach(length: int, bound):
+        """Largest score at this distance or farther."""
+        return np.floor((length - np.maximum(bound, 0.0) ** 2) / 2 + _SLACK)
+
     def search(self, own: int, query: np.ndarray, top: int) -> list[tuple[int, int]]:
         """The ``top`` best ``(score, vec_id)`` but the query's own row, ties to smaller ids."""
         if self.root is None:
@@ -98,10 +110,17 @@ class MTree:
             """Whether nothing at this distance or farther can enter the list."""
             if len(best) < top:
                 return False
-            reach = math.floor((length - max(bound, 0.0) ** 2) / 2 + _SLACK)
+            reach = self._reach(length, bound)
             score, minus_id = best[0]
             return reach < score or (reach == score and least_id > -minus_id)
 
+        def floor() -> float:
+            """Least score that may still enter the list."""
+            return best[0][0] if len(best) == top else -math.inf
+
+        # Doubles are exact for sums of whole numbers this small, and much faster.
+        small = self.most * int((query * query).sum()) < 1 << 104
+        exact, asked = (self.points[:, :-1], place[:-1]) if small else (self.vectors, query)
         away = float(np.sqrt(((place - self.root.center) ** 2).sum()))
         queue, number = [(away - self.root.radius, 0, away, self.root)], 1
         while queue:
@@ -111,23 +130,22 @@ class MTree:
             if hopeless(bound, node.least_id):
                 continue
             if node.rows is None:
-                for child in node.children:
-                    # The stored distance may rule a child out before its own is computed.
-                    if hopeless(abs(away - child.to_parent) - child.radius, child.least_id):
-                        continue
-                    d = float(np.sqrt(((place - child.center) ** 2).sum()))
+                # Stored distances rule children out before their own is computed.
+                near = np.flatnonzero(self._reach(length, np.abs(away - node.distances) - node.radii) >= floor())
+                ds = np.sqrt(((node.centers[near] - place) ** 2).sum(axis=1))
+                for i, d in zip(near.tolist(), ds.tolist(), strict=True):
+                    child = node.children[i]
                     if not hopeless(d - child.radius, child.least_id):
                         heapq.heappush(queue, (d - child.radius, number, d, child))
                         number += 1
                 continue
-            rows = node.rows
-            if len(best) == top:
-                nearest = np.abs(node.to_center - away)
-                rows = rows[np.floor((length - nearest**2) / 2 + _SLACK) >= best[0][0]]
-            for row, score in zip(rows.tolist(), (self.vectors[rows] @ query).tolist(), strict=True):
+            rows = node.rows[self._reach(length, np.abs(node.to_center - away)) >= floor()]
+            scores = exact[rows] @ asked
+            better = np.flatnonzero(scores >= floor())
+            for row, score in zip(rows[better].tolist(), scores[better].tolist(), strict=True):
                 if self.own[row] == own:
                     continue
-                entry = (score, -int(self.ids[row]))
+                entry = (int(score), -int(self.ids[row]))
                 if len(best) < top:
                     heapq.heappush(best, entry)
                 elif entry > best[0]:
