@@ -113,10 +113,10 @@ def test_load_corpora_orders_by_file_position(spark, tmp_path):
 
 def test_json_and_csv_sources(spark, tmp_path):
     df = spark.createDataFrame([('say "hi"\nthere',), ("plain",)], "text string")
-    df.coalesce(1).write.json(str(tmp_path / "j"), lineSep="\n")
+    df.write.json(str(tmp_path / "j"))
     df.write.option("header", True).option("escape", '"').csv(str(tmp_path / "c"))
     for name, fmt in (("j", "json"), ("c", "csv")):
-        source = CorpusSource(name, str(tmp_path / name), fmt, schema="text string", options=(("multiLine", "true"),))
+        source = CorpusSource(name, str(tmp_path / name), fmt, schema="text string", options=(("multiLine", "true"),) if fmt == "csv" else ())
         assert sorted(r.text for r in read_source(spark, source).collect()) == ["plain", 'say "hi"\nthere']
 
 
