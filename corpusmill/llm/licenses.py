@@ -1,9 +1,10 @@
-"""Licence texts in files: rare words point to templates, positions and phrases confirm."""
+"""Licence texts in files: the rarest words of phrases point to templates, positions confirm."""
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping
 
@@ -57,8 +58,7 @@ TEMPLATES = {
         ("released into the public domain",),
     ),
 }
-RARE = 12  # licence words of a file that are looked up, those of highest IDF
-LEAST_VOTES = 3  # of them that must agree on one place of a template
+LEAST_VOTES = 3  # words that must agree on one place of a template
 SHARE = 0.7  # of a template's words that must stand at their places
 DRIFT = 4  # words a place may be off, for words added or left out
 PHRASE_SCORE = 0.5  # of a file with a base phrase alone
@@ -72,65 +72,89 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Templates:
-    """Postings ``word -> (template, position)`` of the licence passages."""
+    """Postings ``template -> word -> positions`` of the licence passages."""
 
     def __init__(self) -> None:
         self.words = {label: words_of(text) for label, (text, _) in TEMPLATES.items()}
         self.phrases = {label: [words_of(p) for p in keys] for label, (_, keys) in TEMPLATES.items()}
-        self.postings: dict[bytes, list[tuple[str, int]]] = defaultdict(list)
+        self.own: dict[str, dict[bytes, list[int]]] = {}
         for label, words in self.words.items():
+            places: dict[bytes, list[int]] = defaultdict(list)
             for place, word in enumerate(words):
-                self.postings[word].append((label, place))
+                places[word].append(place)
+            self.own[label] = dict(places)
         self.base = [(words_of(p), label) for p, label in PHRASES.items()]
 
     def vocabulary(self) -> set[bytes]:
         """All licence words: a list fixed by the templates and the base phrases."""
-        return set(self.postings).union(*[phrase for phrase, _ in self.base])
+        passages = [set(words) for words in self.words.values()]
+        return set().union(*passages, *[p for keys in self.phrases.values() for p in keys], *[p for p, _ in self.base])
 
 
-def _places(words: list[bytes], phrase: list[bytes]) -> list[int]:
-    """Starts at which the phrase's words stand one after the other."""
-    found, at = [], 0
+def _places(words: list[bytes], phrase: list[bytes], rarest: int = 0) -> list[int]:
+    """Starts at which the phrase's words stand one after the other; its ``rarest`` word is looked up."""
+    found, at = [], rarest - 1
     while True:
         try:
-            at = words.index(phrase[0], at)
+            at = words.index(phrase[rarest], at + 1)
         except ValueError:
             return found
-        if words[at : at + len(phrase)] == phrase:
-            found.append(at)
-        at += 1
+        if words[at - rarest : at - rarest + len(phrase)] == phrase:
+            found.append(at - rarest)
+
+
+def _near(places: list[int], reach: int, end: int) -> Iterator[tuple[int, int]]:
+    """The runs of words within ``reach`` of a place, each word in one run."""
+    runs: list[list[int]] = []
+    for place in places:
+        low, high = max(0, place - reach), min(end, place + reach)
+        if runs and low <= runs[-1][1]:
+            runs[-1][1] = high
+        else:
+            runs.append([low, high])
+    yield from ((low, high) for low, high in runs)
 
 
 def _matches(templates: Templates, idf: Mapping[bytes, float], words: list[bytes], known: set[bytes]) -> dict[str, float]:
-    """``label -> share`` of the templates found: rare words vote, then the place is verified."""
-    rare = set(sorted(known.intersection(templates.postings), key=lambda w: (-idf.get(w, 0.0), w))[:RARE])
-    votes: dict[tuple[str, int], set[bytes]] = defaultdict(set)
-    for at, word in enumerate(words):
-        if word in rare:
-            for label, place in templates.postings[word]:
-                votes[label, at - place].add(word)
+    """``label -> share`` of the templates found: phrases point to places, words vote, the place is verified.
+
+    A passage holds all phrases of its template, so only words near a phrase can be part
+    of one. There, every word of the template votes.
+    """
     found: dict[str, float] = {}
-    for (label, start), agreed in sorted(votes.items()):
-        near = set(agreed)
-        for shift in range(-DRIFT, DRIFT + 1):
-            near |= votes.get((label, start + shift), set())
-        if len(near) < LEAST_VOTES:
+    for label, wanted in templates.words.items():
+        phrases = templates.phrases[label]
+        if not all(known.issuperset(p) for p in phrases):
             continue
-        wanted = templates.words[label]
-        low, high = max(0, start - DRIFT), start + len(wanted) + DRIFT
-        window = words[low:high]
-        left = Counter(window)
-        hits = 0
-        for word in wanted:
-            if left[word] > 0:
-                left[word] -= 1
-                hits += 1
-        share = hits / len(wanted)
-        if share >= SHARE and all(_places(window, p) for p in templates.phrases[label]):
-            found[label] = max(found.get(label, 0.0), share)
+        rarest = [max(range(len(p)), key=lambda i: (idf.get(p[i], 0.0), -i)) for p in phrases]
+        starts = [_places(words, p, i) for p, i in zip(phrases, rarest, strict=True)]
+        if not all(starts):
+            continue
+        own, width = templates.own[label], len(wanted) + 2 * DRIFT
+        for begin, end in _near(min(starts, key=len), width, len(words)):
+            votes: dict[int, set[bytes]] = defaultdict(set)
+            for at in range(begin, end):
+                for place in own.get(words[at], ()):
+                    votes[at - place].add(words[at])
+            for start in sorted(votes):
+                near = set().union(*[votes.get(start + d, ()) for d in range(-DRIFT, DRIFT + 1)])
+                if len(near) < LEAST_VOTES:
+                    continue
+                low, high = max(0, start - DRIFT), start + len(wanted) + DRIFT
+                if not all(_inside(s, low, high - len(p)) for s, p in zip(starts, phrases, strict=True)):
+                    continue
+                hits = (Counter(wanted) & Counter(words[low:high])).total()
+                if hits >= SHARE * len(wanted):
+                    found[label] = max(found.get(label, 0.0), hits / len(wanted))
     return found
 
 
+def _inside(places: list[int], low: int, high: int) -> bool:
+    """Whether one of the sorted places lies from ``low`` to ``high``."""
+    at = bisect_left(places, low)
+    return at < len(places) and places[at] <= high
+
+
 def word_frequencies(texts: DataFrame) -> tuple[int, dict[bytes, int]]:
     """Number of documents, and how many hold each licence word (a fixed list of words)."""
     templates = Templates()
@@ -156,9 +180,10 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """One row per input row: base phrases, labels of base and templates, and a score.
 
     The first scan counts in how many documents each licence word stands, the second
-    looks up the licence words of highest IDF of each file, lets them vote for the place
-    of a template, and verifies the place by the template's words and its mandatory
-    phrases. The score is the best share found, or ``PHRASE_SCORE`` for a base phrase
+    looks up each template's mandatory phrases by their words of highest IDF, lets all of
+    the template's words near a phrase vote for its place, and verifies the place by the
+    template's words and phrases. No word or file is cut off: a passage is found whatever
+    else the file holds. The score is the best share found, or ``PHRASE_SCORE`` for a base phrase
     alone, else 0. Null text counts as empty; repeated rows count each.
     """
     templates = Templates()

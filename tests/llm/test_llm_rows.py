@@ -1,5 +1,6 @@
 """Mixing, sharding, archives, joins, search, licences, quality and decontamination on small fixtures."""
 
+import itertools
 import random
 import re
 import zlib
@@ -331,6 +332,22 @@ def test_licenses(documents, edge, empty):
     assert licenses.license_scan(empty).count() == 0
 
 
+def test_licenses_beside_others(documents):
+    """Neither the other licences nor scattered licence words hide a passage."""
+    passages = {label: text for label, (text, _) in licenses.TEMPLATES.items()}
+    rng = random.Random(5)
+    scattered = sorted(licenses.Templates().vocabulary())
+    noise = lambda n: " ".join(w.decode() + " x" * 3 for w in rng.choices(scattered, k=n))
+    fours = list(itertools.combinations(sorted(passages), 4))
+    texts = [" ".join(f"{noise(30)} {text}" for text in passages.values())]
+    texts += [" . ".join(passages[label] for label in four) for four in fours]
+    texts += [f"{noise(400)} {text} {noise(400)}" for text in passages.values()] + [noise(2000)]
+    want = [set(passages), *map(set, fours), *({label} for label in passages), set()]
+    got = {r.doc_id: r for r in licenses.license_scan(documents(texts)).collect()}
+    assert [set(filter(None, got[i].labels.split(","))) for i in range(len(texts))] == want
+    assert all(got[i].score == 1.0 for i in range(len(texts) - 1))
+
+
 # Quality
 
 
