@@ -3,6 +3,11 @@
 Items are indexed, training passages are the queries. Items lie in blocks of like
 length. A block's passages are windows of a text twice as long as its longest item, each
 starting half a window after the last, so an occurrence of an item stands whole in one.
+
+The index holds postings only, so its size grows as the words of its items. A text's
+terms are walked as in block-max WAND: terms too weak to lift any item together open no
+block, a block is opened where its terms' block maxima reach its least threshold, and its
+windows are scored where their block maxima do.
 """
 
 from __future__ import annotations
@@ -24,7 +29,9 @@ SHARE = 0.6  # of an item's score against itself that a passage must reach
 OVERLAP = 0.8  # of an item's shingles that must stand in the text
 PART_OVERLAP = 0.5  # and of its question's and its answer's
 BLOCK = 16  # items of one block
-INDEX_BYTES = 4 << 20  # of item texts in one index, which is broadcast
+INDEX_BYTES = 4 << 20  # of item texts in one index
+BROADCAST_BYTES = 32 << 20  # of one serialised index, which is broadcast
+SLACK = 1e-3  # for rounding of sums against thresholds
 LEAST_WINDOW = 16  # words
 
 
@@ -38,14 +45,36 @@ def _text_words(text: str | None) -> np.ndarray:
     return word_hashes(data)[1]
 
 
+def _spread(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after the other."""
+    sizes = ends - starts
+    before = np.cumsum(sizes) - sizes
+    return np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)
+
+
 @dataclass
 class Block:
-    """Items of like length and their impacts per term."""
+    """Items of like length and the postings of their terms."""
 
     items: np.ndarray  # numbers in the index
     window: int
-    impacts: np.ndarray  # vocabulary x items
     thresholds: np.ndarray  # items
+    terms: np.ndarray  # vocabulary numbers, ascending
+    starts: np.ndarray  # of each term's postings, and their end
+    places: np.ndarray  # per posting, in ``items``
+    impacts: np.ndarray  # per posting
+    maxima: np.ndarray  # largest impact per term
+
+    def find(self, terms: np.ndarray) -> np.ndarray:
+        """Places of vocabulary numbers in ``terms``, its length for others."""
+        at = np.searchsorted(self.terms, terms)
+        hit = self.terms[np.minimum(at, len(self.terms) - 1)] == terms
+        return np.where(hit, at, len(self.terms))
+
+    def scores(self, own: np.ndarray) -> np.ndarray:
+        """BM25 scores of the items for distinct places in ``terms``."""
+        chosen = _spread(self.starts[own], self.starts[own + 1])
+        return np.bincount(self.places[chosen], weights=self.impacts[chosen], minlength=len(self.items))
 
 
 class ItemIndex:
@@ -67,22 +96,42 @@ class ItemIndex:
         self.blocks = []
         for at in range(0, len(order), BLOCK):
             chosen = order[at : at + BLOCK]
-            impacts = np.zeros((len(self.vocabulary), len(chosen)), dtype=np.float32)
-            for j, i in enumerate(chosen):
+            rows, impacts = [], []
+            for i in chosen:
                 terms, tf = np.unique(words[i], return_counts=True)
-                rows = np.searchsorted(self.vocabulary, terms)
+                rows.append(np.searchsorted(self.vocabulary, terms))
                 norm = K1 * (1 - B + B * len(words[i]) / mean)
-                impacts[rows, j] = idf[rows] * tf * (K1 + 1) / (tf + norm)
+                impacts.append((idf[rows[-1]] * tf * (K1 + 1) / (tf + norm)).astype(np.float32))
+            flat, weight = np.concatenate(rows), np.concatenate(impacts)
+            places = np.repeat(np.arange(len(chosen), dtype=np.int32), [len(r) for r in rows])
+            by_term = np.argsort(flat, kind="stable")
+            terms, starts = np.unique(flat[by_term], return_index=True)
             self.blocks.append(
                 Block(
                     np.array(chosen),
                     2 * max(LEAST_WINDOW // 2, len(words[chosen[-1]])),
-                    impacts,
-                    impacts.sum(axis=0) * np.float32(SHARE),
+                    np.array([x.sum(dtype=float) * SHARE for x in impacts]),
+                    terms.astype(np.int32),
+                    np.append(starts, len(flat)).astype(np.int32),
+                    places[by_term],
+                    weight[by_term],
+                    np.maximum.reduceat(weight[by_term], starts),
                 )
             )
-
-        self.largest = np.stack([b.impacts.max(axis=1) for b in self.blocks], axis=1) if self.blocks else None
+        self._block_postings()
+
+    def _block_postings(self) -> None:
+        """Per term, the blocks that hold it and its largest impact in each."""
+        self.least = np.array([b.thresholds.min() for b in self.blocks]) - SLACK
+        sizes = [len(b.terms) for b in self.blocks]
+        terms = np.concatenate([b.terms for b in self.blocks] or [np.empty(0, np.int32)])
+        maxima = np.concatenate([b.maxima for b in self.blocks] or [np.empty(0, np.float32)])
+        by_term = np.argsort(terms, kind="stable")
+        self.in_block = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[by_term]
+        self.block_maxima = maxima[by_term]
+        self.term_starts = np.searchsorted(terms[by_term], np.arange(len(self.vocabulary) + 1))
+        self.term_maxima = np.zeros(len(self.vocabulary))
+        np.maximum.at(self.term_maxima, terms, maxima)
 
     def terms(self, words: np.ndarray) -> np.ndarray:
         """Vocabulary numbers of words, -1 for unknown ones."""
@@ -91,33 +140,58 @@ class ItemIndex:
         at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == words, at, -1)
 
+    def opened(self, distinct: np.ndarray) -> np.ndarray:
+        """Blocks in which some item may reach its threshold by the given terms.
+
+        Terms in order of their largest impact: the weakest, which together stay below
+        the least threshold of all, cannot lift an item alone. The others' postings are
+        walked, and the weakest count by their sum.
+        """
+        largest = self.term_maxima[distinct]
+        order = np.argsort(largest, kind="stable")
+        sums = np.cumsum(largest[order])
+        pivot = int(np.searchsorted(sums, self.least.min()))
+        if pivot == len(order):
+            return np.empty(0, np.int64)
+        strong = distinct[order[pivot:]]
+        chosen = _spread(self.term_starts[strong], self.term_starts[strong + 1])
+        bounds = np.bincount(self.in_block[chosen], weights=self.block_maxima[chosen], minlength=len(self.blocks))
+        return np.flatnonzero((bounds > 0) & (bounds + (sums[pivot - 1] if pivot else 0.0) >= self.least))
+
     def retrieve(self, terms: np.ndarray) -> dict[int, float]:
         """Items that reach their threshold in some window, with their best scores.
 
-        A window is skipped for a block if its terms' largest impacts add up to less than
-        the block's least threshold: then no item of the block can reach its own.
+        A window holds no more terms than its text, so a block is left where no item
+        reaches its threshold by the whole text's terms. A window is skipped if its terms'
+        block maxima add up to less than the least threshold of the items left.
         """
         best: dict[int, float] = {}
         known = terms >= 0
-        found = terms[known]
+        distinct, found = np.unique(terms[known], return_inverse=True)
         if not len(found):
             return best
-        rank = np.zeros(len(terms) + 1, dtype=np.int64)  # known words in front of each place
-        np.cumsum(known, out=rank[1:])
-        sums = np.zeros((len(found) + 1, len(self.blocks)))
-        np.cumsum(self.largest[found], axis=0, out=sums[1:])
-        for number, block in enumerate(self.blocks):
-            least = block.thresholds.min() - 1e-3
-            if sums[-1, number] < least:
+        rank = None
+        for number in self.opened(distinct).tolist():
+            block = self.blocks[number]
+            own = block.find(distinct)
+            held = own < len(block.terms)
+            reached = block.scores(own[held]) >= block.thresholds - SLACK
+            if not reached.any():
                 continue
+            if rank is None:
+                rank = np.zeros(len(terms) + 1, dtype=np.int64)  # known words in front of each place
+                np.cumsum(known, out=rank[1:])
+            least = block.thresholds[reached].min() - SLACK
             half = block.window // 2
             starts = np.arange(0, max(len(terms) - half, 1), half)
             low, high = rank[starts], rank[np.minimum(starts + block.window, len(terms))]
-            column = sums[:, number]
-            possible = np.flatnonzero(column[high] - column[low] >= least)
+            sums = np.zeros(len(found) + 1)
+            np.cumsum(np.append(block.maxima, np.float32(0))[own][found], out=sums[1:], dtype=float)
+            possible = np.flatnonzero(sums[high] - sums[low] >= least)
             for a, b in zip(low[possible].tolist(), high[possible].tolist(), strict=True):
-                scores = block.impacts[np.unique(found[a:b])].sum(axis=0)
-                for j in np.flatnonzero(scores >= block.thresholds - 1e-3).tolist():
+                here = np.unique(found[a:b])
+                scores = block.scores(own[here[held[here]]])
+                for j in np.flatnonzero(scores >= block.thresholds - SLACK).tolist():
                     item = int(block.items[j])
                     best[item] = max(best.get(item, 0.0), float(scores[j]))
         return best
@@ -164,8 +238,25 @@ def _word_table(items: DataFrame) -> DataFrame:
     return items.select("item_id", "text").mapInArrow(hashed, "item_id bigint, words array<bigint>")
 
 
-def _indexes(scope: Scope, items: DataFrame) -> Iterator[ItemIndex]:
-    """Indexes over parts of the items, each of ``INDEX_BYTES`` of text at most, or one item.
+def _serialised(
+    items: Sequence[tuple[int, str]], frequency: dict[int, int], count: int, mean: float
+) -> Iterator[bytes]:
+    """Serialised indexes of ``BROADCAST_BYTES`` at most, or of one item: larger ones are halved.
+
+    As bytes that carry the class along: workers need no copy of this package.
+    """
+    data = cloudpickle.dumps(ItemIndex(items, frequency, count, mean))
+    if len(data) <= BROADCAST_BYTES or len(items) < 2:
+        yield data
+        return
+    half = len(items) // 2
+    yield from _serialised(items[:half], frequency, count, mean)
+    yield from _serialised(items[half:], frequency, count, mean)
+
+
+def _indexes(scope: Scope, items: DataFrame) -> Iterator[bytes]:
+    """Serialised indexes over parts of the items, each of about ``INDEX_BYTES`` of text at
+    most and of ``BROADCAST_BYTES`` at most, or one item.
 
     Frequencies are counted over all items; a part gets those of its own words.
     """
@@ -186,7 +277,7 @@ def _indexes(scope: Scope, items: DataFrame) -> Iterator[ItemIndex]:
         chosen = [(r.item_id, r.text) for r in rows.where(part == p).orderBy("item_id", "text").collect()]
         own = words.join(rows.where(part == p).select("item_id"), "item_id", "left_semi")
         own = own.select(F.explode("words").alias("word")).distinct().join(frequency, "word")
-        yield ItemIndex(chosen, {r.word: r.df for r in own.collect()}, count, total / count)
+        yield from _serialised(chosen, {r.word: r.df for r in own.collect()}, count, total / count)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -208,8 +299,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     with Scope(spark) as scope:
         hits = None
         for index in _indexes(scope, benchmark):
-            # As bytes that carry the class along: workers need no copy of this package.
-            shared = spark.sparkContext.broadcast(cloudpickle.dumps(index))
+            shared = spark.sparkContext.broadcast(index)
             found = rows.mapInArrow(_matcher(shared), schema)
             found = scope.keep(found, "hits")
             hits = found if hits is None else hits.unionByName(found)
@@ -244,7 +334,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a hit: each scan drops those of one index in place."""
     with Scope(docs.sparkSession) as scope:
         for index in _indexes(scope, benchmark):
-            shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(index))
+            shared = docs.sparkSession.sparkContext.broadcast(index)
             docs = docs.where(~_has_hit(shared, F.col("text").cast("string")))
     return docs
 

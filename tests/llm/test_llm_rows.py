@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from corpusmill.llm import decontaminate, jaccard, licenses, mixing, quality, rows, sharding, vectors, warc
@@ -427,3 +428,38 @@ def test_decontamination(spark, documents, edge, empty, monkeypatch):
     assert decontaminate.contaminated(empty, benchmark).count() == 0
     assert decontaminate.contaminated(edge, benchmark.limit(0)).count() == 0
     assert decontaminate.clean_documents(edge, benchmark).columns == edge.columns
+
+
+def test_index_grows_as_its_words(documents, monkeypatch):
+    """Postings take a bounded size per word of the items; split indexes find the same."""
+    rng = random.Random(11)
+
+    def index(n):
+        items = [(i, " ".join(f"w{rng.randrange(10 * n)}" for _ in range(40))) for i in range(n)]
+        sets = [{int(w) for w in decontaminate._text_words(t).view(np.int64)} for _, t in items]
+        df = Counter(itertools.chain(*sets))
+        return items, df, decontaminate.ItemIndex(items, df, n, 40.0)
+
+    sizes = [len(cloudpickle.dumps(index(n)[2])) for n in (200, 1600)]
+    assert sizes[1] < 9 * sizes[0] and sizes[1] < 100 * 1600 * 40
+    items, df, whole = index(300)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(150)) + " " + items[k][1] for k in range(0, 300, 10)]
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", len(cloudpickle.dumps(whole)) // 3)
+    parts = list(decontaminate._serialised(items, df, 300, 40.0))
+    assert len(parts) >= 4 and max(map(len, parts)) <= decontaminate.BROADCAST_BYTES
+    parts = [cloudpickle.loads(p) for p in parts]
+    for k, text in zip(range(0, 300, 10), texts, strict=True):
+        hits = whole.hits(text)
+        assert k in [h[0] for h in hits]
+        assert hits == sorted(h for p in parts for h in p.hits(text))
+        # Windows scored one by one, without any bound.
+        words = decontaminate._text_words(text)
+        terms, want = whole.terms(words), {}
+        for block in whole.blocks:
+            for a in range(0, max(len(words) - block.window // 2, 1), block.window // 2):
+                own = block.find(np.unique(terms[a : a + block.window]))
+                scores = block.scores(own[own < len(block.terms)])
+                for item, score, least in zip(block.items.tolist(), scores.tolist(), block.thresholds, strict=True):
+                    if score >= least - decontaminate.SLACK:
+                        want[item] = max(want.get(item, 0.0), score)
+        assert whole.retrieve(terms) == pytest.approx(want)
