@@ -7,9 +7,7 @@ against a stored table; batch ids make repeated batches harmless.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,7 +15,8 @@ from corpusmill.config import BLOCK_SIZE, EOS_ID, PAD_ID
 from corpusmill.functions.split import split_name
 from corpusmill.functions.text import digest, length_ok, normalize
 from corpusmill.operators.dedup import DuplicateStore
-from corpusmill.operators.pack import start_states
+from corpusmill.operators.pack import assemble, layout
+from corpusmill.scratch import Scope
 
 DOCUMENT_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -127,37 +126,50 @@ class PackStore:
         return open_.groupBy("shard").agg(last).select("shard", "t.*")
 
     def add(self, docs: DataFrame, group: int) -> None:
-        """Pack ``docs (ord, tokens)`` behind all earlier groups."""
-        size, lossless, eos = self.block_size, self.lossless, self.eos_id
-
-        def pack_shard(key: tuple, rows: pd.DataFrame, tails: pd.DataFrame) -> pd.DataFrame:
-            held = tails["tokens"].iloc[0] if len(tails) else np.empty(0, np.int32)
-            first = int(tails["block_idx"].iloc[0]) if len(tails) else 0
-            tokens = list(rows.sort_values("ord")["tokens"])
-            lengths = np.array([len(t) for t in tokens], dtype=np.int64)
-            # A document of no tokens at the end tells where the others have led.
-            states, blocks = start_states(np.append(lengths, 0), size, lossless, len(held), 0)
-            whole, left = int(blocks[-1]), int(states[-1])
-            state, block = states[:-1].astype(np.int64), blocks[:-1]
-            # Places between documents hold an end-of-sequence id, where there is room.
-            flat = np.full(whole * size + left, eos, dtype=np.int32)
-            flat[: len(held)] = held
-            begin = block * size + state + ((state > 0) & (state < size))
-            lost = np.where((state == 0) & (lengths > size) & (not lossless), size, 0)
-            for at, skip, t in zip(begin.tolist(), lost.tolist(), tokens, strict=True):
-                flat[at : at + len(t) - skip] = t[skip:]
-            cuts = [flat[i * size : (i + 1) * size] for i in range(whole)]
-            return pd.DataFrame({
-                "shard": [key[0]] * (whole + 1),
-                "block_idx": range(first, first + whole + 1),
-                "tokens": [*cuts, flat[whole * size :]],
-                "done": [True] * whole + [False],
-            })
-
-        shard = F.pmod("ord", F.lit(self.shards)).cast("int").alias("shard")
-        grouped = docs.select(shard, "ord", "tokens").groupBy("shard")
-        packed = grouped.cogroup(self._tails(group).groupBy("shard")).applyInPandas(pack_shard, self.BLOCKS)
-        packed.write.mode("overwrite").parquet(f"{self.path}/blocks/group={group}")
+        """Pack ``docs (ord, tokens)`` behind all earlier groups.
+
+        Only lengths are scanned, in chunks; tokens go to ranges of blocks, so no task
+        holds a shard. A shard's unfinished block is its first document, and a document
+        of no tokens at its end tells where the others have led. Documents of one ``ord``
+        follow each other in order of their tokens.
+        """
+        with Scope(self.spark) as scope:
+            shard = F.pmod("ord", F.lit(self.shards)).cast("int").alias("epoch")
+            copy = F.row_number().over(Window.partitionBy("ord").orderBy("tokens")).alias("copy")
+            held = scope.keep(docs.select(shard, "ord", copy, "tokens"), "pack_documents")
+            tails = scope.keep(self._tails(group).withColumnRenamed("shard", "epoch"), "pack_tails")
+            low, high, most = held.agg(F.min("ord"), F.max("ord"), F.max("copy")).first()
+            low, high, most = low or 0, high or 0, most or 1
+            steps = F.floor((F.col("ord") - low) / self.shards).cast("bigint")
+            end = ((high - low) // self.shards + 1) * most + 1
+            parts = held.select("epoch", (steps * most + F.col("copy")).alias("pos"), "tokens").unionByName(
+                tails.select("epoch", F.lit(0).cast("bigint").alias("pos"), "tokens")
+            )
+            ends = parts.select("epoch").distinct().select(
+                "epoch", F.lit(end).cast("bigint").alias("pos"), F.lit(0).alias("n")
+            )
+            lengths = scope.keep(parts.select("epoch", "pos", F.size("tokens").alias("n")).unionByName(ends), "pack_lengths")
+            placed = scope.keep(layout(lengths, self.block_size, self.lossless), "pack_layout")
+            blocks = assemble(
+                placed.join(parts, ["epoch", "pos"]), self.block_size, self.lossless, self.eos_id
+            )
+            last = placed.where(F.col("pos") == end).join(tails.withColumnRenamed("block_idx", "first"), "epoch", "left")
+            last = last.select("epoch", "state", "block", F.coalesce("first", F.lit(0).cast("bigint")).alias("first"))
+            done = F.col("block_idx") < F.col("block")
+            left = F.slice("tokens", F.lit(1), F.col("state"))
+            packed = blocks.join(F.broadcast(last), "epoch").select(
+                F.col("epoch").alias("shard"),
+                (F.col("first") + F.col("block_idx")).alias("block_idx"),
+                F.when(done, F.col("tokens")).otherwise(left).alias("tokens"),
+                done.alias("done"),
+            )
+            none = last.where("state = 0").select(
+                F.col("epoch").alias("shard"),
+                (F.col("first") + F.col("block")).alias("block_idx"),
+                F.array().cast("array<int>").alias("tokens"),
+                F.lit(False).alias("done"),
+            )
+            packed.unionByName(none).write.mode("overwrite").parquet(f"{self.path}/blocks/group={group}")
 
     def blocks(self) -> DataFrame:
         """``(shard, block_idx, tokens)`` of the blocks finished so far."""
@@ -174,8 +186,8 @@ class PackStore:
 def pack_stream(docs: DataFrame, store: PackStore, checkpoint: str) -> StreamingQuery:
     """Pack each micro-batch of ``docs (ord, tokens)`` behind everything before it.
 
-    A task holds one shard's documents of one micro-batch: bound the read of the stream,
-    or take more shards. Batch ids name the store's groups.
+    A task holds lengths of a chunk of documents or the tokens of a run of blocks, however
+    large a micro-batch is. Batch ids name the store's groups.
     """
     return (
         docs.writeStream.foreachBatch(store.add)

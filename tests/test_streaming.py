@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
 from corpusmill.operators.dedup import DuplicateStore, label_documents
@@ -96,3 +97,22 @@ def test_pack_stream_restarts_after_growth(spark, tmp_path):
     store = jobs.PackStore(spark, str(tmp_path / "few"), 1, 1024)
     store.add(spark.createDataFrame(ten, TOKENS), 0)
     assert store.blocks().count() == 0 and store.finish().count() == 1
+
+
+def test_pack_group_is_not_gathered(spark, tmp_path, monkeypatch):
+    """Tokens of a shard never meet in one Python group; tails and repeated places still count."""
+    rng = random.Random(9)
+    rows = [(o, [rng.randrange(3, 99) for _ in range(rng.choice([0, 3, 8, 21]))]) for o in range(-9, 70)]
+    rows += [(30, [1, 2]), (30, [1, 1])]
+    seen = []
+    original = GroupedData.applyInPandas
+    monkeypatch.setattr(GroupedData, "applyInPandas", lambda g, f, schema: seen.append(g._df.columns) or original(g, f, schema))
+    monkeypatch.setattr(GroupedData, "cogroup", lambda g, other: pytest.fail("shards are gathered"))
+    for lossless in (True, False):
+        store = jobs.PackStore(spark, str(tmp_path / f"store{lossless}"), 3, 8, lossless)
+        for group, (low, high) in enumerate([(-9, 20), (20, 21), (21, 70)]):
+            store.add(spark.createDataFrame([r for r in rows if low <= r[0] < high], TOKENS), group)
+        got = store.finish().collect()
+        for shard in range(3):
+            assert shard_lists(got, shard) == by_places([t for o, t in sorted(rows) if o % 3 == shard], 8, lossless)
+    assert seen and not any("tokens" in columns for columns in seen)
