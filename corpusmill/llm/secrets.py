@@ -45,22 +45,37 @@ ROLES = {
 }
 #: A weak part is reported when a part of one of these roles stands in its scope.
 NEEDS = {"identifier": ("secret",), "keylike": ("id", "endpoint"), "endpoint": ("secret",)}
-SCOPE = 160  # code points between the starts of two parts of one scope
+SCOPE = 160  # code points from the end of one part to the start of another of one scope
 
 
 def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``(_row, doc_id, kind, start, end, value, linked)`` of sure and linked secrets.
 
-    The interval join of parts is a range frame over the parts of one text in order of
-    their starts: it sees the parts within ``scope`` code points on either side, each
-    part is read once and no pairs are formed. Sure kinds always stay; ``linked`` counts
+    The interval join of parts counts: near a part are those that start by its end plus
+    ``scope``, less those that end before its start less ``scope``. Both counts are range
+    frames over the starts and ends of one text's parts, so parts of any length are near
+    what adjoins them, and no pairs are formed. Sure kinds always stay; ``linked`` counts
     the complementary parts. Null text counts as empty; every input row, repeated ones
     included, keeps at least one row (null ``kind``).
     """
-    near = Window.partitionBy("_row").orderBy("start").rangeBetween(-scope, scope)
-    spans = find_spans(docs, (*BASE, *PARTS))
+    order = Window.partitionBy("_row").orderBy("_at")
+    begun = order.rangeBetween(Window.unboundedPreceding, scope)
+    over = order.rangeBetween(Window.unboundedPreceding, -scope - 1)
+    ends = find_spans(docs, (*BASE, *PARTS)).select(
+        "_row", "doc_id", "kind", "start", "end", "value", F.posexplode(F.array("start", "end")).alias("_is_end", "_at")
+    )
+    is_end, is_start = F.col("_is_end") == 1, F.col("_is_end") == 0
+    near = {}
     for role, kinds in ROLES.items():
-        spans = spans.withColumn(f"_{role}", F.count_if(F.col("kind").isin(*kinds)).over(near))
+        of_role = F.col("kind").isin(*kinds)
+        ends = ends.withColumn(
+            f"_{role}",
+            F.when(is_end, F.count_if(of_role & is_start).over(begun)).otherwise(
+                -F.count_if(of_role & is_end).over(over)
+            ),
+        )
+        near[role] = F.sum(f"_{role}").alias(f"_{role}")
+    spans = ends.groupBy("_row", "doc_id", "kind", "start", "end", "value").agg(*near.values())
     linked = F.lit(None).cast("long")
     for kind, roles in NEEDS.items():
         total = sum((F.col(f"_{r}") for r in roles), F.lit(0))

@@ -109,6 +109,20 @@ def test_secrets(spark, documents, edge, empty):
     assert secrets.secret_report(empty).count() == 0
 
 
+def test_long_parts_are_near_what_adjoins_them(documents):
+    """Distances are gaps between parts, on either side, however long the parts are."""
+    token, url = "Ab3" * 100, "https://db.example.com/" + "q" * 300
+    texts = [f"{token} https://db.example.com/x", f"{url} {token[:18]}", f"user_name={'z' * 400} {token[:18]}"]
+    texts += [token + " " * gap + "https://db.example.com/x" for gap in (160, 161)]
+    texts += [f"{url} {token[:18]} " + " " * 200 + f"{token[:18]} " + "x " * 60 + f"login={'z' * 200}"]
+    got = {r.doc_id: r.spans for r in secrets.secret_report(documents(texts)).collect()}
+    found = {i: [s.split(":")[0] for s in got[i].split(",") if s] for i in got}
+    assert found[0] == found[3] == ["keylike", "endpoint"]
+    assert found[1] == ["endpoint", "keylike"] and found[2] == ["identifier", "keylike"]
+    assert found[4] == []
+    assert found[5] == ["endpoint", "keylike", "keylike", "identifier"]
+
+
 @pytest.mark.parametrize("report", [pii.pii_report, secrets.secret_report])
 def test_no_python_in_the_plan(edge, report):
     plan = report(edge)._jdf.queryExecution().executedPlan().toString()
