@@ -11,10 +11,12 @@ from corpusmill.llm import (
     jaccard,
     licenses,
     mixing,
+    pieces,
     pii,
     quality,
     secrets,
     sharding,
+    variants,
     vectors,
     warc,
 )
@@ -81,3 +83,20 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.contaminated(docs, items).drop("_row")
+
+
+def piece_model() -> pieces.Model:
+    """The public tokenizer's model that the registered query encodes with."""
+    import public_tokenizers
+
+    return pieces.Model.read(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_report(table(spark, sf_dir, "documents"), piece_model())
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
