@@ -230,7 +230,7 @@ def variants(docs: DataFrame) -> DataFrame:
     """
     with Scope(docs.sparkSession) as scope:
         words = scope.keep(word_counts(docs), "words")
-        near = scope.keep(near_words(words), "near")
+        near = near_words(scope, words)
         counted = near.groupBy("word").agg(
             F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("minus"), "near")).alias("best")
         )
