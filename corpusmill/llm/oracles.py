@@ -191,3 +191,66 @@ SELECT d.doc_id, n.n AS n_shingles, min(o.doc_id) AS component_id
 FROM d JOIN n ON d.r = n.r JOIN reach ON reach.a = d.r JOIN d o ON o.r = reach.b
 GROUP BY d.r, d.doc_id, n.n
 """
+
+ORACLES["op11_hard_negatives"] = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT q.r, q.vec_id AS anchor_id, q.label = v.label AS alike, v.vec_id,
+    CAST(list_inner_product(q.v, v.v) AS BIGINT) AS score
+  FROM v q JOIN v ON q.r <> v.r AND len(q.v) = len(v.v) WHERE q.vec_id % 100 = 0),
+p AS (SELECT r, anchor_id, vec_id AS positive_id, score AS positive_score,
+    row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS n FROM s WHERE alike),
+w AS (SELECT p.anchor_id, p.positive_id, p.positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.r, p.n ORDER BY s.score DESC, s.vec_id) AS INT) AS rank
+  FROM p JOIN s ON p.r = s.r AND NOT s.alike
+    AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+  WHERE p.n <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM w WHERE rank <= 5
+"""
+
+# The checksum is worked out bit by bit: a table of 256 remainders, then a step for each byte.
+ORACLES["op13_spelling_variants"] = r"""
+WITH RECURSIVE bits AS (
+  SELECT range AS b, 0 AS k, CAST(range AS BIGINT) AS c FROM range(256)
+  UNION ALL
+  SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, translate(unnest(regexp_extract_all(coalesce(text, ''),
+    '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+counted AS (SELECT d, w, count(*) AS n FROM runs WHERE length(w) >= 6 GROUP BY d, w),
+hashed AS (
+  SELECT w, n, xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(octet_length(encode(d || ':' || w))),
+      lambda i: CAST(('0x' || substr(hex(encode(d || ':' || w)), 2 * i + 1, 2)) AS BIGINT))),
+    lambda s, b: xor(t[(xor(s, b) & 255) + 1], s >> 8))) AS h
+  FROM counted, crc),
+w AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n
+    FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+less AS MATERIALIZED (
+  SELECT word, n, i, left(word, i - 1) AS a, substr(word, i + 1) AS b
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS MATERIALIZED (
+  SELECT x.word, y.word AS near, y.n FROM less x JOIN less y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT l.word, w.word, w.n FROM less l JOIN w ON w.word = l.a || l.b
+  UNION SELECT w.word, l.word, l.n FROM less l JOIN w ON w.word = l.a || l.b),
+best AS (
+  SELECT word, count(*) AS n_near, max(n) AS most, arg_min(near, (-n, encode(near))) AS near FROM near GROUP BY word),
+formed AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN most >= 5 * w.n THEN near END AS form, CASE WHEN most >= 5 * w.n THEN most END AS form_n
+  FROM w LEFT JOIN best ON best.word = w.word),
+followed AS (
+  SELECT word, word AS root, form AS next FROM formed
+  UNION ALL
+  SELECT x.word, f.word, f.form FROM followed x JOIN formed f ON f.word = x.next)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n
+FROM formed f JOIN followed r ON r.word = f.word WHERE r.next IS NULL
+"""

@@ -11,6 +11,7 @@ from corpusmill.llm import (
     jaccard,
     licenses,
     mixing,
+    negatives,
     pieces,
     pii,
     quality,
@@ -92,6 +93,11 @@ def piece_model() -> pieces.Model:
     return pieces.Model.read(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_report(table(spark, sf_dir, "documents"), piece_model())
