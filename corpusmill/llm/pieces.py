@@ -33,7 +33,7 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 PAIR_MERGES = 2
 
 MODEL_BYTES = 1 << 26  # of a model file at most: it goes to every executor
-SEGMENTS = 1 << 19  # whose ids a worker remembers at most; more are worked out again
+SEGMENTS = 1 << 18  # whose ids a worker remembers at most; more are worked out again
 PAIRS = 1 << 20  # of pieces whose test a worker remembers at most
 LONG_SEGMENT = 64  # characters from which a segment is not remembered
 _NEVER = -float("inf")

@@ -197,7 +197,7 @@ def found_variants(df):
 
 def spelled(rng):
     """Texts of a few stems, each with rarer and rarer edits of it."""
-    words = []
+    words = ["wonderful"] * 900 + ["wonderfull"] * 100 + ["wonderfulll"] * 15  # a chain of forms
     for stem in ("pronounce", "crème", "brûlées", "letters", "lettersx", "ÀLÂTRE", "straße", "abcdefghijkl"):
         for edits, copies in ((0, 900), (1, 150), (1, 60), (2, 12), (2, 6)):
             word = list(stem)
