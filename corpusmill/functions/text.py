@@ -22,7 +22,7 @@ def length_ok(text: Column) -> Column:
 
 
 def normalize(text: Column) -> Column:
-    """Lower-case, collapse white space runs to one space, trim."""
+    """Lower-case, collapse white space runs to one space, trim; null stays null."""
     lowered = F.lower(text)
     collapsed = F.when(
         text.rlike(HIGH_RANGE), F.regexp_replace(lowered, f"[{LOW_SPACES}{HIGH_SPACES}]+", " ")

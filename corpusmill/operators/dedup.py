@@ -20,9 +20,14 @@ SALTS = 64  # pieces a hot band key is cut into
 _LEADERS = "ord bigint, led bigint, shared array<struct<band: int, key: binary>>"
 
 
+def _normal_text() -> Column:
+    """The normalised text; null counts as empty, since null digests are equal to nothing."""
+    return normalize(F.coalesce("text", F.lit("")))
+
+
 def exact_digests(docs: DataFrame) -> DataFrame:
     """``(ord, digest)`` of the normalised text."""
-    return docs.select("ord", digest(normalize(F.col("text"))).alias("digest"))
+    return docs.select("ord", digest(_normal_text()).alias("digest"))
 
 
 def first_copies(docs: DataFrame) -> DataFrame:
@@ -39,7 +44,7 @@ def fingerprints(
     docs: DataFrame, threshold: float = DEDUP_THRESHOLD, num_perm: int = NUM_PERM
 ) -> DataFrame:
     """``(ord, digest, keys)``: one pass over the texts, written once."""
-    normal = docs.select("ord", normalize(F.col("text")).alias("text"))
+    normal = docs.select("ord", _normal_text().alias("text"))
     signed = normal.select(
         "ord", digest(F.col("text")).alias("digest"), minhash(F.col("text"), num_perm).alias("sig")
     )

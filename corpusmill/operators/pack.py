@@ -223,18 +223,20 @@ def pack(
     pad_id: int = PAD_ID,
     chunk_bits: int = CHUNK_BITS,
     group_bits: int = GROUP_BITS,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Pack ``documents (epoch, pos, tokens)`` into ``(epoch, block_idx, tokens)``.
 
     Each block has exactly ``block_size`` tokens; the last of an epoch is padded. The
-    table is read twice; give it a written one or something cheap.
+    table is read twice; give it a written one or something cheap. ``ranges`` of blocks
+    lie in partitions of their own; without a number Spark chooses it by size.
     """
     lengths = materialize(
         documents.select("epoch", "pos", F.size("tokens").alias("n")), "lengths"
     )
     placed = layout(lengths, block_size, lossless, chunk_bits, group_bits)
     joined = placed.join(documents, ["epoch", "pos"])
-    return assemble(joined, block_size, lossless, eos_id, pad_id)
+    return assemble(joined, block_size, lossless, eos_id, pad_id, ranges)
 
 
 def assemble(
@@ -243,6 +245,7 @@ def assemble(
     lossless: bool = True,
     eos_id: int = EOS_ID,
     pad_id: int = PAD_ID,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Blocks from documents ``(epoch, tokens, n, state, block)`` with known starts.
 
@@ -260,7 +263,8 @@ def assemble(
     # Grouping within runs needs no shuffle after this one, and leaves ranges of blocks
     # together for the writer, so that files of one epoch don't overlap. Collecting
     # map-side first would not make the lists any smaller.
-    runs = parts.withColumn("run", F.shiftright("block", RUN_BITS)).repartitionByRange("epoch", "run")
+    number = [] if ranges is None else [ranges]
+    runs = parts.withColumn("run", F.shiftright("block", RUN_BITS)).repartitionByRange(*number, "epoch", "run")
     blocks = runs.groupBy("epoch", "run", "block").agg(
         F.array_sort(F.collect_list(F.struct("start", "part"))).alias("parts")
     )

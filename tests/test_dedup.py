@@ -177,6 +177,23 @@ def test_exact_copies_and_dense_ids(spark):
     assert {r.ord: r.dense_id for r in dedup.dense_ids(firsts).collect()} == {1: 0, 5: 1, 11: 2}
 
 
+def test_null_texts_in_groups(spark, tmp_path):
+    """Labels don't depend on how null and empty texts fall into groups, nor do first copies."""
+    rows = [(0, None), (1, "some text that is long enough"), (2, None), (3, ""), (4, " "), (5, None)]
+    docs = spark.createDataFrame(rows, "ord bigint, text string")
+    want = {r.ord: r.label for r in dedup.label_documents(docs).collect()}
+    assert want == {0: "kept", 1: "kept", 2: "exact_dup", 3: "exact_dup", 4: "exact_dup", 5: "exact_dup"}
+    assert ords(dedup.first_copies(docs)) == [0, 1]
+    for name, cuts in (("two", [2]), ("three", [1, 3]), ("each", [1, 2, 3, 4, 5])):
+        store, exact = (dedup.DuplicateStore(spark, str(tmp_path / f"{name}-{kind}")) for kind in ("near", "exact"))
+        for group, (low, high) in enumerate(zip([0, *cuts], [*cuts, 9], strict=True)):
+            part = docs.where((F.col("ord") >= low) & (F.col("ord") < high))
+            store.add(part, group)
+            exact.add_exact(part, group)
+        assert {r.ord: r.label for r in store.labels().collect()} == want
+        assert {r.ord: r.label for r in exact.labels().collect()} == want
+
+
 def test_null_texts_count_as_empty(spark):
     rows = [(0, None), (1, ""), (2, "a long enough text to have shingles"), (3, None)]
     docs = spark.createDataFrame(rows, "ord bigint, text string")

@@ -144,11 +144,11 @@ def test_sink_and_resume(spark, tmp_path):
 def test_blocks_lie_in_ranges(spark, tmp_path):
     """Files of an epoch don't overlap in block_idx, so readers can skip them."""
     path = str(tmp_path / "packed")
-    blocks = pack(documents(spark, [[5] * 40] * 300), 4)
+    blocks = pack(documents(spark, [[5] * 40] * 300), 4, ranges=6)
     write_packed(blocks, path, "train")
     files = read_packed(spark, path).groupBy(F.col("_metadata.file_path").alias("f"))
     ends = sorted((r.low, r.high) for r in files.agg(F.min("block_idx").alias("low"), F.max("block_idx").alias("high")).collect())
-    assert len(ends) > 1 and all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+    assert len(ends) > 3 and all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
 
 
 def test_budget(spark):
