@@ -11,11 +11,13 @@ kept small by bounds that lose no pair:
   theirs unless they consist of such passages. Any order gives the same result.
 * Overlaps add up over the columns of the product. A pair goes on only if its sizes allow
   the overlap and what was counted, with all that may stand beyond the columns, suffices.
-* A column of many classes is not multiplied out. Its members are compared with one of
-  them, the pivot, and join its component; what remains are members of different
-  components, and only these are compared with each other, block by block: the product
-  of the members' bitmaps counts the bits they share, and bits that one has and the
-  other lacks are shingles that they don't share, which discards most pairs at once.
+* A column of many classes is not multiplied out. Its members of like size are compared
+  with one of them, the pivot, and join its component: first with the class that has most
+  such columns, as a text that all others are copies of has, then with others of the
+  largest component. What remains are the few members outside of a column's largest
+  component. Only these visit the column's blocks: the product of bitmaps counts the bits
+  that a visitor and a member share, and bits that one has and the other lacks are
+  shingles that they don't share, which discards most pairs at once.
 
 Compared pairs are then decided by their exact overlap.
 """
@@ -23,6 +25,7 @@ Compared pairs are then decided by their exact overlap.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -43,7 +46,10 @@ FREQUENT = 32  # documents from which a shingle comes last in the order
 MOST_FREQUENT = 1 << 20  # such shingles at most: 8 MB to broadcast
 DENSE = 32  # classes up to which a column is multiplied out at once
 MAP_WORDS = 32  # of 64 bits each, of the bitmap of a class
-BLOCK_ROWS = 1024  # members of a column in one block of a product, about
+BLOCK_ROWS = 4096  # members of a column in one block of a product, about
+VISITORS = 512  # rows of one product
+PIVOTS = 3  # with which the members of a column are compared one after the other
+COUNTED = 1 << 21  # hashes that a task counts at once
 SHARED_BITS = 1 << 26  # of the filter that knows shingles of several documents: 8 MB
 _ZONE_END = np.uint64(int(ZONE * (1 << 64)))
 
@@ -71,19 +77,26 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 def shingle_frequencies(texts: DataFrame) -> DataFrame:
     """``(hash, df)`` of the counted zone's shingles of several documents, over all of them.
 
-    Counts are summed per batch of texts before they leave Python, and per task before
-    they are shuffled.
+    Counts are summed over ``COUNTED`` hashes before they leave Python, and per task
+    before they are shuffled.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.empty(0, np.uint64)]
-            for part in slices(batch):
-                for s in shingle_sets(part.column(0).to_pylist()):
-                    sets.append(s[: np.searchsorted(s, _ZONE_END)].copy())
-            found, n = np.unique(np.concatenate(sets), return_counts=True)
-            if len(found):
-                yield pa.RecordBatch.from_arrays([_signed(found), pa.array(n)], ["hash", "n"])
+        sets, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
+            sets.clear()
+            return pa.RecordBatch.from_arrays([_signed(found), pa.array(n)], ["hash", "n"])
+
+        for part in (p for batch in batches for p in slices(batch)):
+            for hashes in shingle_sets(part.column(0).to_pylist()):
+                sets.append(hashes[: np.searchsorted(hashes, _ZONE_END)].copy())
+                size += len(sets[-1])
+                if size >= COUNTED:
+                    yield flush()
+                    size = 0
+        yield flush()
 
     counted = texts.select("text").mapInArrow(count, "hash bigint, n bigint")
     return counted.groupBy("hash").agg(F.sum("n").alias("df")).where("df > 1")
@@ -217,56 +230,79 @@ def _promising(narrow: DataFrame, wide: DataFrame) -> DataFrame:
     return counted.where(most * (100 + PERCENT) >= (F.col("x_n") + F.col("y_n")) * PERCENT).select(*_ordered())
 
 
+def _size_class(n: Column) -> Column:
+    """Sets of compatible size are of the same class or of neighbouring ones."""
+    return F.floor(F.log(n) / math.log(100 / PERCENT) + 1e-9).cast("int")
+
+
+def _around(labelled: DataFrame, step: int) -> DataFrame:
+    """Pairs ``(a, b)`` of a pivot with the members of other components, by column and size class.
+
+    ``labelled (hash, cid, n, weight, component)``. The pivot is of the component that has
+    most members there: first the one of most columns, in later steps any other.
+    """
+    rank = F.col("weight") if step == 0 else F.xxhash64("cid", F.lit(step))
+    cells = labelled.withColumn("size", _size_class(F.col("n")))
+    chosen = F.max(F.struct(rank.alias("rank"), (-F.col("cid")).alias("minus"), "n"))
+    parts = cells.groupBy("hash", "size", "component").agg(F.count(F.lit(1)).alias("members"), chosen.alias("best"))
+    pivots = parts.groupBy("hash", "size").agg(F.max(F.struct("members", "best", "component")).alias("p"))
+    pivots = pivots.select(
+        "hash", "size", F.col("p.component").alias("own"), (-F.col("p.best.minus")).alias("pivot"), F.col("p.best.n").alias("m")
+    )
+    met = cells.join(pivots, ["hash", "size"]).where((F.col("component") != F.col("own")) & compatible(F.col("n"), F.col("m")))
+    return met.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
+
+
 def _blocked(split: DataFrame, best: bool) -> DataFrame:
     """Promising pairs ``(a, b)`` of members of different components, column by column.
 
-    With ``best``, only each member's likeliest partner in each block it meets: linking
-    these first joins most components, so that few pairs are left for the whole product.
-
-    ``split (hash, cid, n, members, component, bits, columns)``. A column's members are
-    dealt over blocks of bounded size, and every two blocks meet in one task, which
-    multiplies their bitmaps. A pair comes out once, in the first column it shares.
+    ``split (hash, cid, n, component, bits, columns)``. Of two such members one at least is
+    outside of its column's largest component: it visits the blocks, of bounded size, over
+    which the members of its size and the neighbouring ones are dealt. A pair comes out in
+    the first column it shares. With ``best``, only the likeliest partners in a block:
+    linking these first joins most components, so that few pairs are left for the rest.
     """
-    blocks = F.ceil(F.col("members") / BLOCK_ROWS).cast("int")
-    own = F.pmod(F.xxhash64("cid"), blocks.cast("long")).cast("int")
-    dealt = split.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    met = dealt.select(
-        "hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
-        "cid", "n", "component", "bits", "columns",
-    )
+    sized = split.withColumn("size", _size_class(F.col("n")))
+    counts = sized.groupBy("hash", "component").agg(F.count(F.lit(1)).alias("members"))
+    largest = counts.groupBy("hash").agg(F.max_by("component", F.struct("members", "component")).alias("largest"))
+    blocks = sized.groupBy("hash", "size").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    members = sized.join(blocks, ["hash", "size"]).withColumn(
+        "block", F.pmod(F.xxhash64("cid"), F.col("blocks").cast("long")).cast("int")
+    )
+    outside = sized.join(largest, "hash").where(F.col("component") != F.col("largest"))
+    near = outside.withColumn("size", F.explode(F.array(F.col("size") - 1, "size", F.col("size") + 1)))
+    visits = near.join(blocks, ["hash", "size"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    shown = ["hash", "size", "block", "cid", "n", "component", "bits", "columns"]
+    met = members.select(*shown, F.lit(False).alias("visits")).unionByName(visits.select(*shown, F.lit(True).alias("visits")))
+
+    def unpacked(side: pd.DataFrame) -> np.ndarray:
+        packed = np.stack(side["bits"].to_numpy()).astype(np.int64)
+        return np.unpackbits(packed.view(np.uint8), axis=1).astype(np.float32)
 
     def multiply(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        column, i, j = key
-        left, right = rows[rows["own"] == i], rows[rows["own"] == j]
-        out: list[tuple[int, int]] = []
-        if len(left) and len(right):
-            unpack = lambda side: np.unpackbits(
-                np.stack(side["bits"].to_numpy()).astype(np.int64).view(np.uint8), axis=1
-            ).astype(np.float32)
-            x, y = unpack(left), unpack(right)
+        column = key[0]
+        right, visitors = rows[~rows["visits"]], rows[rows["visits"]]
+        out: set[tuple[int, int]] = set()
+        y = unpacked(right) if len(right) and len(visitors) else None
+        for at in range(0, len(visitors) if y is not None else 0, VISITORS):
+            left = visitors.iloc[at : at + VISITORS]
+            x = unpacked(left)
             n, m = left["n"].to_numpy(), right["n"].to_numpy()
+            a, b = left["cid"].to_numpy(), right["cid"].to_numpy()
             most = np.minimum.outer(n - x.sum(axis=1), m - y.sum(axis=1)) + x @ y.T
             fits = most * (100 + PERCENT) >= PERCENT * np.add.outer(n, m)
             fits &= np.not_equal.outer(left["component"].to_numpy(), right["component"].to_numpy())
-            a, b = left["cid"].to_numpy(), right["cid"].to_numpy()
-            if i == j and not best:
-                fits &= np.less.outer(a, b)
             if best:
                 most = np.where(fits, most, -1)
-                for p in np.flatnonzero(fits.any(axis=1)):
-                    out.append((a[p], b[most[p].argmax()]))
-                for q in np.flatnonzero(fits.any(axis=0)):
-                    out.append((a[most[:, q].argmax()], b[q]))
-                ordered = {(min(p), max(p)) for p in out}
-                return pd.DataFrame(sorted(ordered), columns=["a", "b"], dtype="int64")
-            one = [set(c) for c in left["columns"]]
-            two = [set(c) for c in right["columns"]]
-            for p, q in zip(*np.nonzero(fits), strict=True):
-                if min(one[p] & two[q]) == column:
-                    out.append((min(a[p], b[q]), max(a[p], b[q])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return met.groupBy("hash", "i", "j").applyInPandas(multiply, "a bigint, b bigint")
+                found = [(a[p], b[most[p].argmax()]) for p in np.flatnonzero(fits.any(axis=1))]
+                found += [(a[most[:, q].argmax()], b[q]) for q in np.flatnonzero(fits.any(axis=0))]
+            else:
+                one, two = [set(c) for c in left["columns"]], [set(c) for c in right["columns"]]
+                found = [(a[p], b[q]) for p, q in zip(*np.nonzero(fits), strict=True) if min(one[p] & two[q]) == column]
+            out.update((min(p), max(p)) for p in found)
+        return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
+
+    return met.groupBy("hash", "size", "block").applyInPandas(multiply, "a bigint, b bigint")
 
 
 def _linked(
@@ -277,25 +313,29 @@ def _linked(
     ``maps (cid, bits)`` has the classes' bitmaps.
     """
     narrow = columns.where(F.col("members") <= DENSE).select("hash", "cid", "n")
-    wide = scope.keep(columns.where(F.col("members") > DENSE).select("hash", "cid", "n", "members"), "wide")
-    slim = wide.select("hash", "cid", "n")
-    pivots = slim.groupBy("hash").agg(F.min(F.struct("cid", "n")).alias("p")).select("hash", "p.*")
-    around = _sides(pivots, slim).where(F.col("x_cid") != F.col("y_cid")).select(*_ordered())
-    pairs = scope.keep(_promising(narrow, slim).unionByName(around).distinct(), "pairs")
+    wide = scope.keep(columns.where(F.col("members") > DENSE).select("hash", "cid", "n"), "wide")
+    own = wide.groupBy("cid").agg(F.collect_list("hash").alias("columns"))  # of a prefix, so few
+    marked = scope.keep(maps.join(own, "cid"), "maps")
+    weighed = scope.keep(wide.join(own.select("cid", F.size("columns").alias("weight")), "cid"), "weighed")
+    alone = _around(weighed.withColumn("component", F.col("cid")), 0)
+    pairs = scope.keep(_promising(narrow, wide).unionByName(alone).distinct(), "pairs")
     compared = pairs.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(wide.select("cid"))
     sets = sets_of(compared.distinct())
     links = scope.keep(_overlapping(pairs, sets), "links")
-    own = wide.groupBy("cid").agg(F.collect_list("hash").alias("columns"))  # of a prefix, so few
-    marked = scope.keep(maps.join(own, "cid"), "maps")
-    for step in ("best", "best", "all"):
+    for step in range(1, PIVOTS + 3):
         found = components(links).withColumnsRenamed({"node": "cid"})
-        labelled = wide.join(found, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+        labelled = weighed.join(found, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
         labelled = scope.keep(labelled, "labelled")
         parts = labelled.groupBy("hash").agg(F.min("component").alias("p"), F.max("component").alias("q"))
         split = labelled.join(parts.where("p < q").select("hash"), "hash", "left_semi")
-        pairs = _blocked(split.join(marked, "cid"), step == "best").distinct()
+        if split.isEmpty():
+            break
+        if step < PIVOTS:
+            pairs = _around(split, step)
+        else:  # the likeliest partners first, twice, then all others
+            pairs = _blocked(split.join(marked, "cid"), step < PIVOTS + 2).distinct()
         pairs = scope.keep(pairs, "pairs")
-        if pairs.isEmpty():
+        if step >= PIVOTS and pairs.isEmpty():
             break
         links = scope.keep(links.unionByName(_overlapping(pairs, sets)).distinct(), "links")
     return components(links).withColumnsRenamed({"node": "cid"})

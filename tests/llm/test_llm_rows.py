@@ -218,12 +218,31 @@ def near_copies(rng):
     return texts + [None, "", "  "]
 
 
-@pytest.mark.parametrize("frequent,dense", [(64, 32), (5, 4), (10**6, 10**6)])
-def test_jaccard_join(documents, monkeypatch, frequent, dense):
+def around_the_limit(rng, copies):
+    """Copies of one text with so many changed words that they overlap by 75, 79, 80 or 81 percent."""
+    base = prose(rng, 404).split()  # 400 shingles
+    texts = [" ".join(base)]
+    for i in range(copies):
+        # Words apart change five shingles each: c of 400 changed give (400 - c) / (400 + c).
+        changed = (11, 9, 9, 8, 7)[i % 5]
+        words, step = list(base), rng.randrange(7, 9)
+        for j in range(changed):
+            words[10 + i % 3 + j * step * 5 % 390] = f"new{rng.randrange(10**9)}"
+        texts.append(" ".join(words))
+    return texts
+
+
+@pytest.mark.parametrize(
+    "frequent,dense,block,visitors", [(64, 32, 4096, 512), (5, 4, 16, 5), (10**6, 10**6, 4096, 512)]
+)
+def test_jaccard_join(documents, monkeypatch, frequent, dense, block, visitors):
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
     monkeypatch.setattr(jaccard, "DENSE", dense)
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", block)
+    monkeypatch.setattr(jaccard, "VISITORS", visitors)
+    monkeypatch.setattr(jaccard, "COUNTED", 1 << 10)
     rng = random.Random(11)
-    texts = near_copies(rng)
+    texts = near_copies(rng) + around_the_limit(rng, 120)
     rng.shuffle(texts)
     got = {r.doc_id: r for r in jaccard.jaccard_components(documents(texts)).collect()}
     sets = shingle_sets(texts)
@@ -232,6 +251,38 @@ def test_jaccard_join(documents, monkeypatch, frequent, dense):
     assert {i for i in got if got[i].first} == {got[i].component_id for i in got}
 
 
+def test_words_of_a_pattern_differ(documents):
+    """Words whose hashes would agree if they were linear in the letters, in joins and in runs."""
+    texts = []
+    for size in (256, 1024, 4096, 8192):
+        one = "a"
+        while len(one) < size:
+            one += one.translate(str.maketrans("ab", "ba"))
+        texts += [f"a b c d {one}", f"a b c d {one.translate(str.maketrans('ab', 'ba'))}"]
+    got = jaccard.jaccard_components(documents(texts)).collect()
+    assert all(r.component_id == r.doc_id for r in got) and len(got) == 8
+
+
+def test_rows_of_hot_columns_grow_with_the_group(spark, monkeypatch):
+    """Twice the members of one column: twice the rows that its blocks get."""
+    from pyspark.sql import functions as F
+
+    def rows_of(members):
+        split = spark.range(members).select(
+            F.lit(7).cast("long").alias("hash"), F.col("id").alias("cid"), F.lit(100).cast("long").alias("n"),
+            (F.col("id") % 8 == 0).cast("long").alias("component"),
+        )
+        seen = []
+        from pyspark.sql import GroupedData
+
+        monkeypatch.setattr(GroupedData, "applyInPandas", lambda self, *a: seen.append(self._df) or self._df)
+        jaccard._blocked(split.withColumns({"bits": F.array(F.lit(0)), "columns": F.array("hash")}), True)
+        return seen[0].count()
+
+    one, two = rows_of(3000), rows_of(6000)
+    assert one < 1.2 * 3000 and two < 2.3 * one
+
+
 def test_jaccard_join_of_odd_rows(spark, edge, empty):
     got = jaccard.jaccard_components(edge).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == sorted(
