@@ -8,15 +8,20 @@ blank lines themselves.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.scratch import materialize, new_path
+from corpusmill.llm.rows import bit_filter, may_hold
+from corpusmill.scratch import Scope, discard, materialize, new_path
 
 BLANK = "\r\n\r\n"
 MAGIC = "WARC/1.1\r\n"
 SHARED_BYTES = 100  # payloads from this size on are stored once
-RECORDS_PER_FILE = 8192
+RECORDS_PER_FILE = 2048
 DATE = "1970-01-01T00:00:00Z"  # of all records, so that reruns write the same bytes
 
 
@@ -42,53 +47,78 @@ def write_archives(pages: DataFrame, path: str, records_per_file: int = RECORDS_
     rows = pages.select(
         "page_id", F.col("url").cast("string").alias("url"), payload.alias("html")
     ).withColumns({"n": F.octet_length("html").cast("long"), "digest": F.sha2("html", 256)})
-    firsts = (
-        rows.where(F.col("n") >= SHARED_BYTES)
-        .groupBy(F.col("digest").alias("first_digest"))
-        .agg(F.min("page_id").alias("first"))
-    )
-    joined = rows.join(
-        firsts, (rows["digest"] == firsts["first_digest"]) & (rows["n"] >= SHARED_BYTES), "left"
-    )
-    revisit = F.coalesce(~F.col("first").eqNullSafe(F.col("page_id")), F.lit(False)) & F.col("first").isNotNull()
-    url = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "")
-    refers = F.when(revisit, _line("WARC-Refers-To", _urn(F.col("first")))).otherwise("")
-    header = F.concat(
-        F.lit(MAGIC),
-        _line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        _line("WARC-Record-ID", _urn(F.col("page_id"))),
-        refers,
-        _line("WARC-Date", F.lit(DATE)),
-        _line("WARC-Target-URI", url),
-        _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
-        _line("WARC-Payload-Length", F.col("n").cast("string")),
-        _line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("n").cast("string"))),
-    )
-    body = F.when(revisit, "").otherwise(F.col("html"))
-    # The header's last line end is the first half of the blank line.
-    records = joined.select(F.concat(header, F.lit("\r\n"), body).alias("value"))
-    writer = records.write.option("lineSep", BLANK).option("maxRecordsPerFile", records_per_file)
-    writer.option("compression", "gzip").text(path)
-
-
-def read_pieces(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, offset, piece)`` of all archives under ``path``; offsets in unpacked bytes."""
-    pieces = spark.read.option("lineSep", BLANK).text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.monotonically_increasing_id().alias("_seq"),
-        F.col("value").alias("piece"),
-    )
-    before = Window.partitionBy("file").orderBy("_seq").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.octet_length("piece").cast("long") + len(BLANK)
-    return pieces.select(
-        "file", F.coalesce(F.sum(size).over(before), F.lit(0).cast("long")).alias("offset"), "piece"
-    )
+    large = F.col("n") >= SHARED_BYTES
+    firsts = rows.where(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("rows"))
+    with Scope(pages.sparkSession) as scope:
+        # Only digests take part in finding repeated payloads; a filter of fixed size lets the
+        # others' rows pass where they stand.
+        repeated = scope.keep(firsts.where("rows > 1").select("digest", "first"), "warc_repeated")
+        shared = bit_filter(repeated.select(F.xxhash64("digest").alias("hash")))
+        maybe = rows.withColumn("maybe", large & may_hold(shared, F.xxhash64("digest")))
+        single = maybe.where(~F.col("maybe")).withColumn("first", F.lit(None).cast("long"))
+        joined = maybe.where("maybe").join(repeated, "digest", "left").select(*single.columns).unionByName(single)
+        revisit = F.coalesce(~F.col("first").eqNullSafe(F.col("page_id")), F.lit(False)) & F.col("first").isNotNull()
+        url = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "")
+        refers = F.when(revisit, _line("WARC-Refers-To", _urn(F.col("first")))).otherwise("")
+        header = F.concat(
+            F.lit(MAGIC),
+            _line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
+            _line("WARC-Record-ID", _urn(F.col("page_id"))),
+            refers,
+            _line("WARC-Date", F.lit(DATE)),
+            _line("WARC-Target-URI", url),
+            _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
+            _line("WARC-Payload-Length", F.col("n").cast("string")),
+            _line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("n").cast("string"))),
+        )
+        body = F.when(revisit, "").otherwise(F.col("html"))
+        # The header's last line end is the first half of the blank line.
+        records = joined.select(F.concat(header, F.lit("\r\n"), body).alias("value"))
+        writer = records.write.option("lineSep", BLANK).option("maxRecordsPerFile", records_per_file)
+        writer.option("compression", "gzip").text(path)
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, size, piece)`` in the order of each file.
+
+    A packed file is read by one task from its beginning. ``file`` is a hash of its path:
+    of a million files two share one with a chance of 3e-8.
+    """
+    pieces = spark.read.option("lineSep", BLANK).text(path)
+    size = F.octet_length("value").cast("long") + len(BLANK)
+    return pieces.select(F.xxhash64("_metadata.file_path").alias("file"), size.alias("size"), F.col("value").alias("piece"))
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``size`` turned into the offset in the file, by running sums from file to file."""
+    current, end = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        files, sizes = batch.column("file").to_numpy(), batch.column("size").to_numpy()
+        ends = np.cumsum(sizes)
+        begins = np.flatnonzero(np.concatenate([[True], files[1:] != files[:-1]]))
+        base = (ends - sizes)[begins]
+        if files[0] == current:
+            base[0] = -end
+        offsets = ends - sizes - np.repeat(base, np.diff(np.concatenate([begins, [len(files)]])))
+        current, end = files[-1], int(offsets[-1] + sizes[-1])
+        yield pa.RecordBatch.from_arrays([batch.column("file"), pa.array(offsets), batch.column("piece")], ["file", "offset", "piece"])
+
+
+def read_pieces(lines: DataFrame) -> DataFrame:
+    """``(file, offset, piece)`` of ``_lines``; offsets in unpacked bytes. Nothing is shuffled."""
+    return lines.mapInArrow(_placed, "file bigint, offset bigint, piece string")
 
 
 def _field(piece: Column, name: str, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(piece, rf"\r\n{name}: {pattern}", 1), F.lit(""))
 
 
+def _looks_like_header(piece: Column) -> Column:
+    return F.startswith(piece, F.lit(MAGIC)) | F.startswith(piece, F.lit("\r\n" + MAGIC))
+
+
 def candidates(pieces: DataFrame) -> DataFrame:
     """Pieces that look like a header, with the offset at which the next record would start.
 
@@ -98,9 +128,7 @@ def candidates(pieces: DataFrame) -> DataFrame:
     lead = F.when(F.startswith("piece", F.lit("\r\n" + MAGIC)), 2).otherwise(0)
     content = F.expr(r"try_cast(nullif(regexp_extract(piece, '\r\nContent-Length: ([0-9]{1,18})(?:\r|$)', 1), '') as bigint)")
     header = F.octet_length("piece").cast("long") + 2 * len(BLANK)
-    return pieces.where(
-        F.startswith("piece", F.lit(MAGIC)) | F.startswith("piece", F.lit("\r\n" + MAGIC))
-    ).select(
+    return pieces.where(_looks_like_header(F.col("piece"))).select(
         "file",
         "offset",
         (F.col("offset") + lead).alias("start"),
@@ -109,7 +137,7 @@ def candidates(pieces: DataFrame) -> DataFrame:
     )
 
 
-def reachable(found: DataFrame) -> DataFrame:
+def reachable(scope: Scope, found: DataFrame) -> DataFrame:
     """``(file, offset)`` of the candidates on the chain that starts each file.
 
     Neighbours whose successor is the next candidate form runs; within a run everything
@@ -118,12 +146,11 @@ def reachable(found: DataFrame) -> DataFrame:
     round, and what the file's start reaches grows with them. An archive whose payloads
     hold no look-alikes is one run and takes no round.
     """
-    spark = found.sparkSession
     order = Window.partitionBy("file").orderBy("start")
     linked = F.col("successor") == F.lag("start", -1).over(order)
     runs = found.withColumn("_end", ~F.coalesce(linked, F.lit(False)))
     ended = F.count_if("_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    runs = materialize(
+    runs = scope.keep(
         runs.withColumn("_run", F.coalesce(ended, F.lit(0)))
         .withColumn(
             "_exit", F.max(F.when(F.col("_end"), F.col("successor"))).over(Window.partitionBy("file", "_run"))
@@ -135,21 +162,21 @@ def reachable(found: DataFrame) -> DataFrame:
     entered = runs.where(F.col("start") == 0).select("file", "start", "_run", "_exit").unionByName(
         runs.where(F.col("start") > 0).join(exits, ["file", "start"], "left_semi").select("file", "start", "_run", "_exit")
     )
-    entered = materialize(entered, "warc_entries")
-    reached = materialize(entered.where(F.col("start") == 0).select("file", "start"), "warc_reached")
+    entered = scope.keep(entered, "warc_entries")
+    reached = scope.keep(entered.where(F.col("start") == 0).select("file", "start"), "warc_reached")
     pointers = entered.select("file", "start", F.col("_exit").alias("next"))
     pointers = pointers.join(
         entered.select("file", F.col("start").alias("next")), ["file", "next"], "left_semi"
     ).select("file", "start", "next")
-    pointers = materialize(pointers, "warc_pointers")
+    pointers = scope.keep(pointers, "warc_pointers")
     while not pointers.isEmpty():
         ahead = reached.join(pointers, ["file", "start"]).select("file", F.col("next").alias("start"))
-        new = materialize(ahead.join(reached, ["file", "start"], "left_anti").distinct(), "warc_new")
+        new = scope.keep(ahead.join(reached, ["file", "start"], "left_anti").distinct(), "warc_new")
         if new.isEmpty():
             break
-        reached = materialize(reached.unionByName(new), "warc_reached")
+        reached = scope.keep(reached.unionByName(new), "warc_reached")
         twice = pointers.select("file", F.col("start").alias("next"), F.col("next").alias("_far"))
-        pointers = materialize(
+        pointers = scope.keep(
             pointers.join(twice, ["file", "next"]).select("file", "start", F.col("_far").alias("next")),
             "warc_pointers",
         )
@@ -166,20 +193,28 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     and digest of a response are those of the payload as read; ``intact`` tells whether
     they are what its header says. A revisit has them from its header.
     """
-    pieces = read_pieces(spark, path)
-    found = materialize(candidates(pieces), "warc_candidates")
-    chain = reachable(found).withColumn("_header", F.lit(True))
-    marked = pieces.join(chain, ["file", "offset"], "left")
-    order = Window.partitionBy("file").orderBy("offset")
-    record = F.last(F.when(F.col("_header"), F.col("offset")), ignorenulls=True).over(order)
-    part = F.when(F.col("_header").isNull(), F.struct("offset", "piece"))
+    with Scope(spark) as scope:
+        return materialize(_records(scope, _lines(spark, path)), "warc_records")
+
+
+def _records(scope: Scope, lines: DataFrame) -> DataFrame:
+    # Payloads stay behind while candidates are placed.
+    heads = lines.withColumn("piece", F.when(_looks_like_header(F.col("piece")), F.col("piece")))
+    found = scope.keep(candidates(read_pieces(heads)), "warc_candidates")
+    chain = scope.keep(reachable(scope, found), "warc_chain")
+    # A record's mark comes right in front of its header, and then its payload's parts.
+    marks = chain.select("file", "offset", F.lit(None).cast("string").alias("piece"), F.lit(0).alias("kind"))
+    parts = read_pieces(lines).withColumn("kind", F.lit(1))
+    order = Window.partitionBy("file").orderBy("offset", "kind")
+    record = F.last(F.when(F.col("kind") == 0, F.col("offset")), ignorenulls=True).over(order)
+    is_header = F.col("offset") == F.col("_record")
+    part = F.when(~is_header, F.struct("offset", "piece"))
     records = (
-        marked.withColumn("_record", record)
+        marks.unionByName(parts)
+        .withColumn("_record", record)
+        .where("kind = 1 and _record is not null")
         .groupBy("file", "_record")
-        .agg(
-            F.max(F.when(F.col("_header"), F.col("piece"))).alias("header"),
-            F.array_sort(F.collect_list(part)).alias("parts"),
-        )
+        .agg(F.max(F.when(is_header, F.col("piece"))).alias("header"), F.array_sort(F.collect_list(part)).alias("parts"))
     )
     h = F.col("header")
     content = _field(h, "Content-Length", "([0-9]+)").cast("long")
@@ -215,4 +250,6 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Write ``pages`` to archives in the scratch folder and read them back."""
     path = new_path(pages.sparkSession, "warc")
     write_archives(pages, path)
-    return read_archives(pages.sparkSession, path)
+    result = read_archives(pages.sparkSession, path)
+    discard(pages.sparkSession, path)
+    return result

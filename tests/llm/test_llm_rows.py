@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import decontaminate, jaccard, licenses, mixing, quality, rows, sharding, vectors, warc
 from corpusmill.llm.graph import components
+from corpusmill.scratch import Scope
 
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -134,6 +135,7 @@ HTML = [
     "WARC/1.1\r\nContent-Length: 0\r\n\r\n" * 6,
     "w" * 100 + "\r\n\r\nWARC/1.1\r\nno length\r\n\r\n",
     "\r\nWARC/1.1\r\nContent-Length: 1\r\n\r\n" * 5,
+    "a very long page " * 200_000 + "\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n" + "\r\n\r\nof many parts" * 20_000,
 ]
 
 
@@ -170,7 +172,8 @@ def test_pointer_jumping(spark):
         found += [("f", 100 * i, 100 * i, 100 * (i + 1)), ("f", 100 * i + 50, 100 * i + 50, 100 * (i + 1) + 50)]
     found += [("g", 10, 10, 20)]
     df = spark.createDataFrame([(f, o, s, 0, n) for f, o, s, n in found], "file string, offset bigint, start bigint, content bigint, successor bigint")
-    got = sorted((r.file, r.offset) for r in warc.reachable(df).collect())
+    with Scope(spark) as scope:
+        got = sorted((r.file, r.offset) for r in warc.reachable(scope, df).collect())
     assert got == [("f", 100 * i) for i in range(40)]
 
 
