@@ -310,6 +310,40 @@ VAL_IN_ORDER = [
     _losses("l", "ob", _BATCH_KEY),
 ]
 
+# Interpolated trigrams of the training texts, written out order by order: 1 begins and 2
+# ends a text, 0.75 is taken off every count, 3 ids are special.
+NGRAMS = """
+tri AS MATERIALIZED (
+  SELECT s[i] AS a, s[i + 1] AS b, s[i + 2] AS c, count(*) AS n
+  FROM (SELECT s, unnest(range(1, len(s) - 1)) AS i FROM (
+    SELECT [1, 1] || e.tokens || [2] AS s FROM enc e JOIN d ON d.ord = e.ord AND d.split = 'train'))
+  GROUP BY ALL),
+bi AS MATERIALIZED (SELECT b, c, count(*) AS n FROM tri GROUP BY ALL),
+uni AS MATERIALIZED (SELECT c, count(*) AS n FROM bi GROUP BY ALL),
+tri_h AS MATERIALIZED (SELECT a, b, sum(n) AS total, 0.75e0 * count(*) / sum(n) AS back FROM tri GROUP BY ALL),
+bi_h AS MATERIALIZED (SELECT b, sum(n) AS total, 0.75e0 * count(*) / sum(n) AS back FROM bi GROUP BY ALL),
+uni_h AS MATERIALIZED (
+  SELECT sum(n) AS total, 0.75e0 * count(*) / sum(n) / (SELECT count(*) + 3 FROM vocab) AS rest FROM uni)"""
+
+
+def _ngram_losses(name: str, rows: str, key: str) -> str:
+    """CTE ``name (key, pos, token, nll)`` from ``rows (key, tokens)``."""
+    return f"""
+{name}_t AS MATERIALIZED (
+  SELECT {key}, pos, tokens[pos + 2] AS c, tokens[pos + 1] AS b, CASE WHEN pos > 0 THEN tokens[pos] END AS a
+  FROM (SELECT {key}, tokens, unnest(range(len(tokens) - 1)) AS pos FROM {rows})),
+{name}_1 AS MATERIALIZED (
+  SELECT t.*, coalesce((u.n - 0.75e0) / h.total, 0) + h.rest AS p1
+  FROM {name}_t t CROSS JOIN uni_h h LEFT JOIN uni u ON u.c = t.c),
+{name}_2 AS MATERIALIZED (
+  SELECT t.*, CASE WHEN h.b IS NULL THEN p1 ELSE coalesce((g.n - 0.75e0) / h.total, 0) + h.back * p1 END AS p2
+  FROM {name}_1 t LEFT JOIN bi_h h ON h.b = t.b LEFT JOIN bi g ON g.b = t.b AND g.c = t.c),
+{name} AS MATERIALIZED (
+  SELECT {key}, CAST(pos AS INT) AS pos, t.c AS token,
+    -ln(CASE WHEN h.b IS NULL THEN p2 ELSE coalesce((g.n - 0.75e0) / h.total, 0) + h.back * p2 END) AS nll
+  FROM {name}_2 t LEFT JOIN tri_h h ON h.a = t.a AND h.b = t.b LEFT JOIN tri g ON g.a = t.a AND g.b = t.b AND g.c = t.c)"""
+
+
 # Decode, encode with the second rule, cut and pad to the longest row of the batch.
 RETOKENIZED = [
     *VAL,
@@ -612,6 +646,11 @@ ORACLES: dict[str, str] = {
     "val_loss": _with(*LOSSES, recursive=True) + f"""
         SELECT round(avg(m), 6) AS val_loss, count(*) AS batches FROM (
           SELECT batch_id, avg(nll) AS m FROM l GROUP BY batch_id)""",
+    "ngram_token_nll": _with(*VAL_IN_ORDER, NGRAMS, _ngram_losses("g", "ob", _BATCH_KEY), recursive=True) + """
+        SELECT batch_id, row_in_batch, pos, token, round(nll, 6) AS nll FROM g""",
+    "ngram_val_loss": _with(*VAL, NGRAMS, _ngram_losses("g", "vb", _BATCH_KEY), recursive=True) + """
+        SELECT round(avg(m), 6) AS val_loss, count(*) AS batches FROM (
+          SELECT batch_id, avg(nll) AS m FROM g GROUP BY batch_id)""",
     "val_loss_compare": _with(
         *RETOKENIZED, _scores(), _losses("l", "vb", _BATCH_KEY), _scores("scores2", "vocab2"),
         _losses("l2", "padded", _BATCH_KEY, "scores2"), recursive=True,

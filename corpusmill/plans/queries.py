@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.config import BLOCK_SIZE, PASSES_PER_STEP, SEQUENCES_PER_PASS, SPLIT_SEEDS
+from corpusmill.config import BLOCK_SIZE, FIRST_WORD_ID, PASSES_PER_STEP, SEQUENCES_PER_PASS, SPLIT_SEEDS
 from corpusmill.functions import minhash as mh
 from corpusmill.functions import tokens as tk
 from corpusmill.functions.split import hash_bucket, in_split, split_name
 from corpusmill.functions.text import digest, length_ok, normalize
-from corpusmill.operators import dedup, evaluate, mix, pack, trainlog, vocab
+from corpusmill.operators import dedup, evaluate, mix, ngram, pack, trainlog, vocab
 from corpusmill.plans import corpus
 from corpusmill.plans.tables import (
     arrivals,
@@ -515,6 +515,31 @@ def val_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loss.withColumn("val_loss", F.round("val_loss", 6))
 
 
+def _ngram_model(spark: SparkSession, sf_dir: str, lexicon: corpus.Lexicon) -> ngram.NgramModel:
+    """Trigrams of the training texts under their own vocabulary."""
+    texts = corpus.training_texts(spread_documents(spark, sf_dir))
+    coded = corpus.tokenize(texts, lexicon.tokenizer)
+    return ngram.NgramModel(coded, lexicon.vocab.count() + FIRST_WORD_ID)
+
+
+@query
+def ngram_token_nll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses that depend on the words in front, of the whole validation split."""
+    lexicon = _lexicon(spark, sf_dir)
+    docs = documents(spark, sf_dir).where(in_split(F.col("text"), "val"))
+    batches = pack.batch_blocks(corpus.pack_in_order(docs, lexicon.tokenizer, VAL_BLOCK), VAL_BATCH, VAL_BLOCK)
+    losses = _ngram_model(spark, sf_dir, lexicon).token_nll(batches, ["batch_id", "row_in_batch"])
+    return losses.withColumn("nll", F.round("nll", 6))
+
+
+@query
+def ngram_val_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexicon = _lexicon(spark, sf_dir)
+    model = _ngram_model(spark, sf_dir, lexicon)
+    loss = ngram.context_val_loss(_val_batches(spark, sf_dir, lexicon), model)
+    return loss.withColumn("val_loss", F.round("val_loss", 6))
+
+
 @query
 def val_loss_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = _lexicon(spark, sf_dir)
