@@ -142,10 +142,11 @@ def label_documents(
     prints = fingerprints(docs, threshold, num_perm)
     unique = unique_fingerprints(prints)
     kept = greedy_keep(unique, bands)
-    return _labels(prints, unique, kept)
+    return document_labels(prints, unique, kept)
 
 
-def _labels(prints: DataFrame, unique: DataFrame, kept: DataFrame) -> DataFrame:
+def document_labels(prints: DataFrame, unique: DataFrame, kept: DataFrame) -> DataFrame:
+    """``(ord, label)`` of all ``prints``: kept, first of its digest but not kept, or a copy."""
     label = (
         F.when(F.col("is_kept"), "kept").when(F.col("is_first"), "near_dup").otherwise("exact_dup")
     )
@@ -174,71 +175,3 @@ def lsh_candidates(keyed: DataFrame, kept: DataFrame) -> DataFrame:
     salted = _salted_rows(band_rows(keyed))
     found = salted.join(_salted_keys(salted, indexed), ["band", "key", "salt"])
     return found.where(F.col("candidate") < F.col("ord")).select("ord", "candidate").distinct()
-
-
-class DuplicateStore:
-    """Digests and band keys of the documents seen so far, as tables.
-
-    Each group writes its own ``group=<id>`` folders, replacing them if it is repeated,
-    and reads only the folders of earlier groups; so a repeated group gives the same
-    result. Labels do not depend on how the stream is cut into groups.
-    """
-
-    SCHEMAS = {
-        "digests": "digest binary, ord bigint, keys array<binary>",
-        "bands": "band int, key binary",
-        "labels": "ord bigint, label string",
-    }
-
-    def __init__(
-        self,
-        spark: SparkSession,
-        path: str,
-        threshold: float = DEDUP_THRESHOLD,
-        num_perm: int = NUM_PERM,
-    ):
-        self.spark, self.path = spark, path
-        self.threshold, self.num_perm = threshold, num_perm
-        self.bands, _ = band_shape(threshold, num_perm)
-        for name, schema in self.SCHEMAS.items():
-            empty = spark.createDataFrame([], schema)
-            empty.write.mode("ignore").parquet(f"{path}/{name}/group=-1")
-
-    def _table(self, name: str, group: int) -> DataFrame:
-        schema = f"{self.SCHEMAS[name]}, group bigint"
-        table = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        return table.where(F.col("group") < group).drop("group")
-
-    def _replace(self, df: DataFrame, name: str, group: int) -> DataFrame:
-        path = f"{self.path}/{name}/group={group}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(self.SCHEMAS[name]).parquet(path)
-
-    def add_exact(self, docs: DataFrame, group: int) -> DataFrame:
-        """``(ord, label)`` of one group by digest alone."""
-        prints = materialize(exact_digests(docs), "digests")
-        firsts = prints.groupBy("digest").agg(F.min("ord").alias("ord"))
-        firsts = firsts.join(self._seen(prints, group), "digest", "left_anti")
-        no_keys = F.lit(None).cast("array<binary>").alias("keys")
-        new = self._replace(firsts.select("digest", "ord", no_keys), "digests", group)
-        return self._replace(_labels(prints, new, new), "labels", group)
-
-    def add(self, docs: DataFrame, group: int) -> DataFrame:
-        """``(ord, label)`` of one group, exact and near duplicates."""
-        prints = fingerprints(docs, self.threshold, self.num_perm)
-        unique = unique_fingerprints(prints).select("digest", "ord", "keys")
-        new = self._replace(
-            unique.join(self._seen(prints, group), "digest", "left_anti"), "digests", group
-        )
-        kept = greedy_keep(new, self.bands, self._table("bands", group))
-        self._replace(band_rows(new.join(kept, "ord", "left_semi")).drop("ord"), "bands", group)
-        return self._replace(_labels(prints, new, kept), "labels", group)
-
-    def labels(self) -> DataFrame:
-        """Labels of all groups so far."""
-        return self._table("labels", 1 << 62)
-
-    def _seen(self, prints: DataFrame, group: int) -> DataFrame:
-        """Digests of this group that the store holds; the small side is the group's."""
-        wanted = prints.select("digest").distinct()
-        return self._table("digests", group).select("digest").join(wanted, "digest", "left_semi")

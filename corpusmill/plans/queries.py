@@ -13,6 +13,7 @@ from corpusmill.functions import tokens as tk
 from corpusmill.functions.split import hash_bucket, in_split, split_name
 from corpusmill.functions.text import digest, length_ok, normalize
 from corpusmill.operators import dedup, evaluate, mix, ngram, pack, trainlog, vocab
+from corpusmill.operators.store import DuplicateStore
 from corpusmill.plans import corpus
 from corpusmill.plans.tables import (
     arrivals,
@@ -390,7 +391,7 @@ def incremental_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _fitting_spread(spark, sf_dir).select("ord", "text")
     low, high = docs.agg(F.min("ord"), F.max("ord")).first()
     width = (high - low) // 3 + 1
-    store = dedup.DuplicateStore(spark, new_path(spark, "store"))
+    store = DuplicateStore(spark, new_path(spark, "store"))
     for group in range(3):
         start = low + group * width
         store.add(docs.where((F.col("ord") >= start) & (F.col("ord") < start + width)), group)
@@ -663,7 +664,7 @@ def stream_split_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _dedup_stream(spark: SparkSession, sf_dir: str, near: bool) -> DataFrame:
     docs = documents(spark, sf_dir).select("ord", "text")
     out = new_path(spark, "stream_dedup")
-    store = dedup.DuplicateStore(spark, f"{out}/store")
+    store = DuplicateStore(spark, f"{out}/store")
     for path in arrivals(docs, "stream_input"):
         stream = jobs.read_documents(spark, path, "ord bigint, text string")
         fitting = stream.where(length_ok(F.col("text")))

@@ -14,8 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 from corpusmill.config import BLOCK_SIZE, EOS_ID, PAD_ID
 from corpusmill.functions.split import split_name
 from corpusmill.functions.text import digest, length_ok, normalize
-from corpusmill.operators.dedup import DuplicateStore
 from corpusmill.operators.pack import assemble, layout
+from corpusmill.operators.store import DuplicateStore
 from corpusmill.scratch import Scope
 
 DOCUMENT_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -45,7 +45,8 @@ def split_and_filter(docs: DataFrame) -> DataFrame:
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """One document per normalised text, by state store; which copy is left open."""
-    return docs.withColumn("digest", digest(normalize(F.col("text")))).dropDuplicates(["digest"])
+    normal = normalize(F.coalesce("text", F.lit("")))
+    return docs.withColumn("digest", digest(normal)).dropDuplicates(["digest"])
 
 
 def append_to_table(stream: DataFrame, path: str) -> DataFrame:

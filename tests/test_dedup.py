@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import minhash as mh
-from corpusmill.operators import dedup
+from corpusmill.operators import dedup, store as stores
+from corpusmill.operators.store import DuplicateStore
 
 
 def keyed(spark, rows):
@@ -158,7 +159,7 @@ def test_candidates_are_earlier_kept_documents(spark):
 def test_groups_do_not_change_labels(spark, tmp_path, cuts):
     texts = corpus(1)
     docs = spark.createDataFrame(texts, "ord bigint, text string")
-    store = dedup.DuplicateStore(spark, str(tmp_path / "store"))
+    store = DuplicateStore(spark, str(tmp_path / "store"))
     for group, (low, high) in enumerate(zip(cuts, [*cuts[1:], 10**9])):
         part = docs.where((F.col("ord") >= low) & (F.col("ord") < high))
         store.add(part, group)
@@ -185,7 +186,7 @@ def test_null_texts_in_groups(spark, tmp_path):
     assert want == {0: "kept", 1: "kept", 2: "exact_dup", 3: "exact_dup", 4: "exact_dup", 5: "exact_dup"}
     assert ords(dedup.first_copies(docs)) == [0, 1]
     for name, cuts in (("two", [2]), ("three", [1, 3]), ("each", [1, 2, 3, 4, 5])):
-        store, exact = (dedup.DuplicateStore(spark, str(tmp_path / f"{name}-{kind}")) for kind in ("near", "exact"))
+        store, exact = (DuplicateStore(spark, str(tmp_path / f"{name}-{kind}")) for kind in ("near", "exact"))
         for group, (low, high) in enumerate(zip([0, *cuts], [*cuts, 9], strict=True)):
             part = docs.where((F.col("ord") >= low) & (F.col("ord") < high))
             store.add(part, group)
@@ -200,3 +201,39 @@ def test_null_texts_count_as_empty(spark):
     got = {r.ord: r.label for r in dedup.label_documents(docs).collect()}
     plain = {r.ord: r.label for r in dedup.label_documents(docs.fillna("", ["text"])).collect()}
     assert got == plain and got[0] == got[2] == "kept" and got[3] == "exact_dup"
+
+
+def numbers(spark, low, high):
+    return spark.range(low, high).select(F.sha2(F.col("id").cast("string"), 256).cast("binary").alias("digest"))
+
+
+def test_groups_open_their_own_buckets_only(spark, tmp_path):
+    index = stores.HashIndex(spark, str(tmp_path / "index"), "digest binary", buckets=16)
+    index.add(numbers(spark, 0, 2000), 0)
+    few = numbers(spark, 10, 12)
+    asked = {f"bucket={r.b}" for r in few.select(index.bucket().alias("b")).collect()}
+    paths = index.paths(few, 1)
+    assert {p.rpartition("/")[2] for p in paths} == asked and len(paths) <= 2
+    plan = index.present(few, 1)
+    opened = {f.rpartition("/")[0].rpartition("/")[2] for f in plan.inputFiles() if "bucket=" in f}
+    assert opened == asked and plan.count() == 2
+    assert index.present(numbers(spark, 5000, 5003), 1).count() == 0
+    assert index.present(few, 0).count() == 0  # the group itself is no earlier one
+    with pytest.raises(ValueError, match="buckets=16"):
+        stores.HashIndex(spark, str(tmp_path / "index"), "digest binary", buckets=8)
+
+
+def test_files_stay_few_over_many_groups(spark, tmp_path, monkeypatch):
+    """Runs are merged, and what earlier groups added is found, once, whatever its run."""
+    monkeypatch.setattr(stores, "FAN", 3)
+    index = stores.HashIndex(spark, str(tmp_path / "index"), "digest binary", buckets=4)
+    most = 0
+    for group in range(30):
+        assert index.present(numbers(spark, 0, 400), group).count() == 10 * group
+        index.add(numbers(spark, 10 * group, 10 * group + 10), group)
+        most = max(most, len(index.paths(numbers(spark, 0, 400), 99)))
+    # Three tiers of up to three runs and the newest one, of four buckets each.
+    assert most <= 4 * 10 and len(index.runs()) <= 10
+    index.add(numbers(spark, 50, 60), 5)  # a group repeated after its run was merged
+    assert index.present(numbers(spark, 0, 400), 5).count() == 50
+    assert index.present(numbers(spark, 0, 400), 30).count() == 300

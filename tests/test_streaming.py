@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
-from corpusmill.operators.dedup import DuplicateStore, label_documents
+from corpusmill.operators.dedup import label_documents
+from corpusmill.operators.store import DuplicateStore
 from corpusmill.scratch import new_path
 from corpusmill.streaming import jobs
 from test_dedup import corpus
