@@ -34,6 +34,7 @@ from corpusmill.config import (
     SEQUENCES_PER_PASS,
     STEPS,
 )
+from corpusmill.functions.permute import permuted
 from corpusmill.scratch import materialize
 
 CHUNK_BITS = 14  # documents per chunk: 2**14
@@ -309,24 +310,28 @@ def batch_blocks(
     )
 
 
-def shard_blocks(blocks: DataFrame, world_size: int) -> DataFrame:
+def shard_blocks(blocks: DataFrame, world_size: int, seed: int | None = None) -> DataFrame:
     """Assign each block to a rank in turn, ``(epoch, rank, slot, block_idx, tokens)``.
 
     Every rank gets the same number of blocks: places left over are filled by starting
-    again from the first blocks.
+    again from the first blocks. With a ``seed``, blocks take their turns in an order of
+    their own in every epoch, by a keyed permutation: no sort, and no other shuffle.
     """
     ends = blocks.groupBy("epoch").agg((F.max("block_idx") + 1).alias("n"))
-    total = F.ceil(F.col("n") / world_size) * world_size
-    extra = ends.where(F.col("n") < total).select(
-        "epoch", "n", F.explode(F.sequence(F.col("n"), total - 1)).alias("place")
-    )
-    repeated = extra.select("epoch", "place", (F.col("place") % F.col("n")).alias("block_idx"))
-    own = blocks.withColumn("place", F.col("block_idx"))
-    wrapped = blocks.join(repeated, ["epoch", "block_idx"])
-    return own.unionByName(wrapped).select(
+    numbered = blocks.join(F.broadcast(ends), "epoch")  # one row per epoch
+    place = F.col("block_idx")
+    if seed is not None:
+        place = permuted(place, F.col("n"), F.lit(seed), F.col("epoch"))
+    # A first block comes again at each of the places it fills at the end.
+    missing = F.ceil(F.col("n") / world_size) * world_size - F.col("n")
+    again = F.floor((missing - 1 - F.col("place")) / F.col("n")) + 1
+    times = F.sequence(F.lit(0).cast("bigint"), F.greatest(again, F.lit(0)))
+    placed = numbered.withColumn("place", place).withColumn("time", F.explode(times))
+    turn = F.col("place") + F.col("time") * F.col("n")
+    return placed.select(
         "epoch",
-        (F.col("place") % world_size).cast("int").alias("rank"),
-        F.floor(F.col("place") / world_size).alias("slot"),
+        (turn % world_size).cast("int").alias("rank"),
+        F.floor(turn / world_size).alias("slot"),
         "block_idx",
         "tokens",
     )

@@ -344,6 +344,33 @@ def _ngram_losses(name: str, rows: str, key: str) -> str:
   FROM {name}_2 t LEFT JOIN tri_h h ON h.a = t.a AND h.b = t.b LEFT JOIN tri g ON g.a = t.a AND g.b = t.b AND g.c = t.c)"""
 
 
+def _turn(i: int) -> str:
+    """One round of the keyed permutation: the hash of a digit is added to the other."""
+    key = "concat_ws(':', 7, epoch, {i}, {other})"
+    if i % 2 == 0:
+        return f"(l{i} + {_hex32(key.format(i=i, other=f'r{i}'), 1)}) % a AS l{i + 1}, r{i} AS r{i + 1}"
+    return f"l{i} AS l{i + 1}, (r{i} + {_hex32(key.format(i=i, other=f'l{i}'), 1)}) % b AS r{i + 1}"
+
+
+def _rounds(rows: str) -> str:
+    """``(epoch, block_idx, n, a, b, x)`` of ``rows`` with ``x`` sent through six rounds."""
+    inner = f"(SELECT *, x // b AS l0, x % b AS r0 FROM {rows})"
+    for i in range(6):
+        inner = f"(SELECT *, {_turn(i)} FROM {inner})"
+    return f"SELECT epoch, block_idx, n, a, b, l6 * b + r6 AS x FROM {inner}"
+
+
+# Blocks in the order of a keyed permutation: numbers outside are sent through again.
+SHUFFLED = f"""
+sized AS MATERIALIZED (
+  SELECT epoch, block_idx, n, CAST(ceil(sqrt(n)) AS BIGINT) AS a, CAST(ceil(n / ceil(sqrt(n))) AS BIGINT) AS b,
+    block_idx AS x FROM t JOIN (SELECT epoch, max(block_idx) + 1 AS n FROM t GROUP BY epoch) e USING (epoch)),
+sent AS ({_rounds("sized")} UNION ALL {_rounds("(SELECT * FROM sent WHERE x >= n)")}),
+placed AS (SELECT epoch, block_idx, n, x AS place FROM sent WHERE x < n),
+turns AS (
+  SELECT epoch, block_idx, unnest(range(place, CAST(ceil(n / 3e0) * 3 AS BIGINT), n)) AS turn FROM placed)"""
+
+
 # Decode, encode with the second rule, cut and pad to the longest row of the batch.
 RETOKENIZED = [
     *VAL,
@@ -630,6 +657,9 @@ ORACLES: dict[str, str] = {
                                        AS BIGINT))) AS place, n
               FROM (SELECT max(block_idx) + 1 AS n FROM b)) p
         JOIN b ON b.block_idx = p.place % p.n""",
+    "shuffled_shards": _with(*BASE, _packed_corpus("t", "train", (0, 1)), SHUFFLED, recursive=True) + f"""
+        SELECT u.epoch, CAST(turn % 3 AS INT) AS rank, turn // 3 AS slot, u.block_idx, {_csv("tokens")} AS tokens
+        FROM turns u JOIN t ON t.epoch = u.epoch AND t.block_idx = u.block_idx""",
     "token_budget": _with(*PACKED, recursive=True) + f"""
         SELECT epoch, count(*) AS blocks, count(*) * 1024 AS tokens,
                CAST({_PER_LOG} AS BIGINT) AS tokens_per_log,

@@ -34,6 +34,7 @@ VAL_BATCH = 4
 VAL_BLOCK = 32  # small, so that there are more batches than a prefix takes
 PREFIX_BATCHES = 10  # of the prefix that is a query of its own
 WORLD_SIZE = 3
+SHUFFLE_SEED = 7
 FIRST_ITEMS = 25
 FIRST_TEXTS = 300
 CONTEXT = BLOCK_SIZE
@@ -467,6 +468,15 @@ def shard_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("rank", "slot", "block_idx", _joined())
 
 
+@query
+def shuffled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of two epochs dealt over ranks, in another order each epoch."""
+    tokenizer = _lexicon(spark, sf_dir).tokenizer
+    blocks = corpus.packed_corpus(spread_documents(spark, sf_dir), tokenizer, "train", (0, 1))
+    shards = pack.shard_blocks(materialize(blocks, "blocks"), WORLD_SIZE, SHUFFLE_SEED)
+    return shards.select("epoch", "rank", "slot", "block_idx", _joined())
+
+
 @query
 def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     budget = pack.token_budget(_packed(spark, sf_dir))

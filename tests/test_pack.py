@@ -14,6 +14,7 @@ from corpusmill.operators.pack import (
     shard_blocks,
     token_budget,
 )
+from corpusmill.functions.permute import permuted
 from corpusmill.sources.packed import batch_preview, read_packed, write_packed
 
 
@@ -157,3 +158,27 @@ def test_budget(spark):
     assert (row.blocks, row.tokens) == (8, 8 * 64)
     assert row.tokens_per_log == 4 * 4 * 64
     assert row.micro_steps == 64 and row.optimizer_steps == 2.0
+
+
+def test_permutation_is_one(spark):
+    """Every number has one place, for odd and even n, and other keys give other orders."""
+    orders = {}
+    for n in (1, 2, 3, 5, 16, 97, 256, 1001, 4096):
+        for key in (0, 1):
+            rows = spark.range(n).select("id", permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5), F.lit(key)).alias("p"))
+            orders[n, key] = [r.p for r in rows.orderBy("id").collect()]
+            assert sorted(orders[n, key]) == list(range(n))
+    assert orders[1001, 0] != orders[1001, 1]
+    moved = sum(abs(p - i) for i, p in enumerate(orders[4096, 0])) / 4096
+    assert 4096 / 4 < moved < 4096 / 2.4  # a third of n, when places are random
+
+
+def test_shuffled_shards(spark):
+    blocks = pack(documents(spark, [[5 + i] * 4 for i in range(11)]), 4)
+    rows = shard_blocks(blocks, 4, seed=3).collect()
+    assert {(r.rank, r.slot) for r in rows} == {(p % 4, p // 4) for p in range(12)} and len(rows) == 12
+    assert sorted({r.block_idx for r in rows}) == list(range(11))
+    first = next(r.block_idx for r in rows if (r.rank, r.slot) == (0, 0))
+    assert next(r.block_idx for r in rows if (r.rank, r.slot) == (3, 2)) == first
+    plan = shard_blocks(blocks, 4, seed=3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" not in plan.partition("Join")[0]
