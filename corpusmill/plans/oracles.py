@@ -609,6 +609,7 @@ ORACLES: dict[str, str] = {
         SELECT f.doc_id, coalesce(x.text, '') AS text FROM f LEFT JOIN (
           SELECT ord, string_agg(token, ' ' ORDER BY j) AS text
           FROM enc_t JOIN vocab USING (token) GROUP BY ord) x USING (ord)""",
+    "subword_detokenize": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "crop_context": _with(*WHOLE) + f"""
         SELECT ord AS doc_id, {_csv(f"tokens[-{q.CONTEXT}:]")} AS tokens FROM enc""",
     "retokenize_padded": _with(*RETOKENIZED, recursive=True) + f"""

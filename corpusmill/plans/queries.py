@@ -11,6 +11,7 @@ from corpusmill.config import BLOCK_SIZE, FIRST_WORD_ID, PASSES_PER_STEP, SEQUEN
 from corpusmill.functions import minhash as mh
 from corpusmill.functions import tokens as tk
 from corpusmill.functions.split import hash_bucket, in_split, split_name
+from corpusmill.functions.subword import Ranks, SubwordTokenizer
 from corpusmill.functions.text import digest, length_ok, normalize
 from corpusmill.operators import dedup, evaluate, mix, ngram, pack, trainlog, vocab
 from corpusmill.operators.store import DuplicateStore
@@ -34,6 +35,7 @@ VAL_BATCH = 4
 VAL_BLOCK = 32  # small, so that there are more batches than a prefix takes
 PREFIX_BATCHES = 10  # of the prefix that is a query of its own
 WORLD_SIZE = 3
+SUBWORD_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # of a public tokenizer
 SHUFFLE_SEED = 7
 FIRST_ITEMS = 25
 FIRST_TEXTS = 300
@@ -332,6 +334,36 @@ def detokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", tokenizer.decode(F.col("tokens")).alias("text"))
 
 
+def subword_tokenizer(spark: SparkSession) -> SubwordTokenizer:
+    """Sub-words of the public vocabulary."""
+    return SubwordTokenizer(spark, Ranks.read(spark, SUBWORD_RANKS))
+
+
+@query
+def subword_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids under a public byte-level vocabulary."""
+    coded = corpus.tokenize(spread_documents(spark, sf_dir), subword_tokenizer(spark), "doc_id")
+    return coded.select("doc_id", F.size("tokens").alias("n_tokens"), F.sha2(_joined(), 256).alias("ids_sha256"))
+
+
+@query
+def subword_detokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts again, from their sub-words."""
+    tokenizer = subword_tokenizer(spark)
+    coded = corpus.tokenize(spread_documents(spark, sf_dir), tokenizer, "doc_id")
+    return coded.select("doc_id", tokenizer.decode(F.col("tokens")).alias("text"))
+
+
+@query
+def packed_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of sub-words of all fitting texts, in order; the end id follows the last rank."""
+    tokenizer = subword_tokenizer(spark)
+    coded = corpus.tokenize(_fitting_spread(spark, sf_dir), tokenizer, "ord")
+    rows = materialize(coded.select(F.lit(0).alias("epoch"), F.col("ord").alias("pos"), "tokens"), "subwords")
+    blocks = pack.pack(rows, eos_id=tokenizer.size, pad_id=tokenizer.size)
+    return blocks.select("block_idx", F.sha2(_joined(), 256).alias("ids_sha256"))
+
+
 @query
 def crop_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = _lexicon(spark, sf_dir).tokenizer
