@@ -9,9 +9,11 @@ the source that runs out first. Only keys are mixed here, never texts.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.config import SPLIT_SEEDS, MixConfig
@@ -19,10 +21,11 @@ from corpusmill.operators.ordered import global_index
 from corpusmill.scratch import materialize
 
 DRAW_RANGE = 1 << 32
+DRAW_CHUNK = 1 << 14  # draws made and counted together
 _OUTER = ""  # name of the outer mixture
 
 
-def thresholds(weights: Mapping[str, float]) -> list[tuple[str, int]]:
+def thresholds(weights: Mapping) -> list[tuple]:
     """Exclusive upper end of each source's share of the 32-bit draw range."""
     total, so_far, ends = sum(weights.values()), 0.0, []
     for name, weight in weights.items():
@@ -37,7 +40,7 @@ def draw_value(seed: Column, step: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
-def drawn_source(value: Column, weights: Mapping[str, float]) -> Column:
+def drawn_source(value: Column, weights: Mapping) -> Column:
     """Source whose share holds ``value``."""
     ends = thresholds(weights)
     choice = F.when(value < ends[0][1], F.lit(ends[0][0]))
@@ -63,6 +66,28 @@ def draws_needed(sizes: Mapping[str, int], weights: Mapping[str, float]) -> tupl
     return likely, sure
 
 
+def _count_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number each source's draws inside its chunk from 1; a chunk's rows come in step order."""
+    current, so_far = None, np.zeros(0, np.int64)
+    for batch in batches:
+        chunks, sources = (batch.column(c).to_numpy() for c in ("cell", "source"))
+        within = np.empty(len(chunks), np.int64)
+        cuts = np.flatnonzero(chunks[1:] != chunks[:-1]) + 1
+        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(chunks)], strict=True):
+            if low == high:
+                continue
+            if chunks[low] != current:
+                current, so_far = chunks[low], np.zeros(0, np.int64)
+            part = sources[low:high]
+            width = int(part.max()) + 1
+            so_far = np.concatenate([so_far, np.zeros(max(width - len(so_far), 0), np.int64)])
+            for code in range(width):
+                own = part == code
+                within[low:high][own] = so_far[code] + 1 + np.arange(own.sum())
+                so_far[code] += own.sum()
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(within)], [*batch.schema.names, "within"])
+
+
 def _draws(
     spark: SparkSession,
     mixes: Mapping[str, tuple[Mapping[str, float], int]],
@@ -71,24 +96,44 @@ def _draws(
 ) -> DataFrame:
     """``(mix, epoch, step, source, k)`` with ``k`` counting each source's draws from 1.
 
-    ``mixes`` gives the weights of each mixture and its number of steps per epoch.
+    ``mixes`` gives the weights of each mixture and its number of steps per epoch. Draws
+    are made chunk by chunk in step order, so counting them needs no sort and no shuffle:
+    a draw's number is its number in the chunk plus the totals of earlier chunks, one row
+    per chunk and source.
     """
-    table = None
+    table, cells = None, 0
     listed = F.array(*[F.lit(e) for e in epochs])
+    codes = {(m, i): s for m, (weights, _) in mixes.items() for i, s in enumerate(weights)}
     for name, (weights, steps) in mixes.items():
-        ids = spark.range(steps * len(epochs))
+        chunks = -(-steps // DRAW_CHUNK)
+        ids = spark.range(chunks * len(epochs))
+        epoch = F.element_at(listed, F.floor(F.col("id") / chunks).cast("int") + 1)
+        first = F.col("id") % chunks * DRAW_CHUNK
         placed = ids.select(
             F.lit(name).alias("mix"),
-            F.element_at(listed, F.floor(F.col("id") / steps).cast("int") + 1).alias("epoch"),
-            (F.col("id") % steps).alias("step"),
+            epoch.alias("epoch"),
+            (F.col("id") + cells).alias("cell"),
+            F.explode(F.sequence(first, F.least(first + (DRAW_CHUNK - 1), F.lit(steps - 1)))).alias("step"),
         )
         value = draw_value(F.lit(base_seed) + F.col("epoch"), F.col("step"))
+        by_code = dict(enumerate(weights.values()))
         drawn = placed.withColumn("value", value).select(
-            "mix", "epoch", "step", drawn_source(F.col("value"), weights).alias("source")
+            "mix", "epoch", "cell", "step", drawn_source(F.col("value"), by_code).alias("source")
         )
         table = drawn if table is None else table.unionByName(drawn)
-    numbered = global_index(table, "step", ["mix", "epoch", "source"], "k")
-    return materialize(numbered.withColumn("k", F.col("k") + 1), "draws")
+        cells += chunks * len(epochs)
+    schema = "mix string, epoch int, cell bigint, step bigint, source int, within bigint"
+    numbered = materialize(table.mapInArrow(_count_on, schema), "draws")
+    before = Window.partitionBy("mix", "epoch", "source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    totals = numbered.groupBy("mix", "epoch", "cell", "source").agg(F.max("within").alias("n"))
+    bases = totals.select("mix", "epoch", "cell", "source", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    bases = materialize(bases, "draw_bases")
+    name = F.lit(None).cast("string")
+    for (mix, code), source in codes.items():
+        name = F.when((F.col("mix") == mix) & (F.col("source") == code), source).otherwise(name)
+    return numbered.join(bases, ["mix", "epoch", "cell", "source"]).select(
+        "mix", "epoch", "step", name.alias("source"), (F.col("base") + F.col("within")).alias("k")
+    )
 
 
 def _last_steps(
