@@ -21,7 +21,7 @@ from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.shingles import WORDS, combine, word_hashes
+from corpusmill.llm.shingles import WORDS, combine, run_hashes, word_hashes
 from corpusmill.scratch import Scope, materialize
 
 K1, B = 1.2, 0.75
@@ -40,6 +40,13 @@ def _shingle_set(words: np.ndarray) -> np.ndarray:
     return np.unique(combine(words)) if len(words) else np.empty(0, np.uint64)
 
 
+def _runs(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words, each as if it were a text of its own."""
+    if size >= WORDS or len(words) < size:
+        return _shingle_set(words) if size >= WORDS else np.empty(0, np.uint64)
+    return run_hashes(words, size)
+
+
 def _text_words(text: str | None) -> np.ndarray:
     data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
     return word_hashes(data)[1]
@@ -89,6 +96,7 @@ class ItemIndex:
         df = np.array([frequency[int(w)] for w in self.vocabulary.view(np.int64)], dtype=float)
         idf = np.log(1 + (count - df + 0.5) / (df + 0.5))
         halves = [-(-len(w) // 2) for w in words]
+        self.sizes = [len(w) for w in words]
         self.whole = [_shingle_set(w) for w in words]
         self.question = [_shingle_set(w[:h]) for w, h in zip(words, halves, strict=True)]
         self.answer = [_shingle_set(w[h:]) for w, h in zip(words, halves, strict=True)]
@@ -212,9 +220,11 @@ class ItemIndex:
         found = self.retrieve(self.terms(words)) if len(words) else {}
         out = []
         if found:
-            shingles = _shingle_set(words)
+            # Items of fewer words than a shingle has are compared with runs of their own length.
+            sizes = {min(self.sizes[i], WORDS) for i in found}
+            held = {size: _runs(words, size) for size in sizes}
             for item, score in sorted(found.items()):
-                whole, question, answer = self.overlaps(item, shingles)
+                whole, question, answer = self.overlaps(item, held[min(self.sizes[item], WORDS)])
                 if whole >= OVERLAP and min(question, answer) >= PART_OVERLAP:
                     out.append((self.ids[item], round(score, 3), whole, question, answer))
         return out
@@ -284,8 +294,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(_row, doc_id, item_id, score, overlap, question_overlap, answer_overlap)`` per hit.
 
     A hit is an item that some window of the text retrieves and of whose 5-word shingles
-    the text holds ``OVERLAP``, with ``PART_OVERLAP`` of its first and second half. Every
-    window of every text is a query; null or wordless texts and items match nothing;
+    the text holds ``OVERLAP``, with ``PART_OVERLAP`` of its first and second half; an item
+    of one to four words is a hit where they stand one after the other. Every window of every text is a query; null or wordless texts and items match nothing;
     repeated documents are found each, a repeated item counts once per different text.
     Items come in indexes of bounded size, one scan of the texts each.
     """

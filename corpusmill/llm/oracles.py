@@ -58,11 +58,11 @@ _SECRET_KINDS = [
 ORACLES["op1_secret_scan"] = f"""
 WITH {_spans(_SECRET_KINDS)},
 near_by AS (
-  SELECT *, count(*) FILTER (kind IN ('access', 'identifier')) OVER w AS ids,
-    count(*) FILTER (kind IN ('assign', 'hex', 'keylike')) OVER w AS secrets,
-    count(*) FILTER (kind = 'endpoint') OVER w AS endpoints
-  FROM spans
-  WINDOW w AS (PARTITION BY r ORDER BY start RANGE BETWEEN 160 PRECEDING AND 160 FOLLOWING)),
+  SELECT x.r, x.kind, x.rank, x.start, x.stop, count(*) FILTER (o.kind IN ('access', 'identifier')) AS ids,
+    count(*) FILTER (o.kind IN ('assign', 'hex', 'keylike')) AS secrets, count(*) FILTER (o.kind = 'endpoint') AS endpoints
+  FROM spans x LEFT JOIN spans o ON o.r = x.r
+    AND (o.start BETWEEN x.stop AND x.stop + 160 OR o.stop BETWEEN x.start - 160 AND x.start)
+  GROUP BY ALL),
 kept AS (
   SELECT *, kind || ':' || start || ':' || stop AS said FROM near_by
   WHERE rank <= 3 OR (kind = 'identifier' AND secrets > 0) OR (kind = 'keylike' AND ids + endpoints > 0)
@@ -81,6 +81,13 @@ _PLAIN = "replace(value, ' ', '')"
 _MOD97 = f"""length({_PLAIN}) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, list_transform(
   string_split(substr({_PLAIN}, 5) || left({_PLAIN}, 4), ''), lambda c: ascii(c))),
   lambda a, c: (CASE WHEN c < 58 THEN a * 10 + c - 48 ELSE a * 100 + c - 55 END) % 97) = 1"""
+_IBAN = "|".join(f"(?:{c})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n}}}" for n, c in (
+    (11, "NO"), (12, "BE"), (14, "DK|FI|FK|FO|GL|NL|SD"), (15, "MK|SI"), (16, "AT|BA|EE|KZ|LT|LU|MN|XK"),
+    (17, "CH|HR|LI|LV"), (18, "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA"), (19, "AE|GI|IL|IQ|OM|SO|TL"),
+    (20, "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG"), (21, "LY|PT|ST"), (22, "IS|TR"), (23, "BI|DJ|FR|GR|IT|MC|MR|SM"),
+    (24, "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV"), (25, "BR|EG|PS|QA|UA"), (26, "JO|KW|MU|YE"), (27, "MT|SC"),
+    (28, "LC"), (29, "RU"),
+))
 _PII_KINDS = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
     (
@@ -90,7 +97,7 @@ _PII_KINDS = [
     ),
     ("card", r"[0-9]([\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 8 AND 15"),
-    ("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[0-9]{1,3})?", _MOD97),
+    ("iban", _IBAN, _MOD97),
     (
         "ssn",
         r"[0-9-]{11,}",

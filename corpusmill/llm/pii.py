@@ -54,6 +54,20 @@ def _ssn(value: Column) -> Column:
     return value.rlike(parts + "[0-9]{4}$") & ~F.endswith(value, F.lit("0000"))
 
 
+#: Length of an account number by country, as its register says.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+    32: "LC", 33: "RU",
+}
+#: A country, two digits and as many more places as its length says, single blanks between.
+IBAN = "|".join(
+    f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{length - 4}}}"
+    for length, countries in IBAN_LENGTHS.items()
+)
+
 # Possessive loops and the look-behinds change no match: they keep Java's matcher from
 # recursing on long runs and from retrying inside a run that has failed from its start.
 BASE = (
@@ -76,7 +90,7 @@ BASE = (
     ),
 )
 EXTRA = (
-    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[0-9]{1,3})?", valid=mod97),
+    Kind("iban", IBAN, valid=mod97),
     Kind("ssn", r"[0-9-]{11,}", needs="-", valid=_ssn),  # a whole run, so nothing is cut out of a longer number
 )
 BASE_NAMES = tuple(k.name for k in BASE)

@@ -15,6 +15,7 @@ from corpusmill.llm.rows import slices
 from corpusmill.scratch import Scope, materialize
 
 MAX_TRAIN = 20_000  # labelled rows the classifier is fitted on at most
+HASH_BITS = 14  # of a row's hash that tell which rows can be among them
 RIDGE = 1.0  # strength of the pull of weights to 0
 STEPS = 30  # of Newton's method at most
 KEEP = 0.5  # least posterior of a document that is kept
@@ -120,13 +121,14 @@ def train(computed: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> np.n
     """Fit on at most ``most`` labelled rows, those first by a hash of their id."""
     known = labels.select("doc_id", "quality").where(F.col("quality").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = (
-        computed.join(known, "doc_id")
-        .select("x", "quality", F.xxhash64("doc_id").alias("h"), "_row")
-        .orderBy("h", "_row")
-        .limit(most)
-        .collect()
-    )
+    rows = computed.join(known, "doc_id").select("x", "quality", F.xxhash64("doc_id").alias("h"), "_row")
+    # Classes of the hash are counted first, so that hardly more rows than needed are sorted.
+    band = F.shiftright("h", 64 - HASH_BITS)
+    counts = rows.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n")).orderBy("band").collect()
+    total = np.cumsum([r.n for r in counts])
+    if len(counts) and total[-1] > most:
+        rows = rows.where(band <= counts[int(np.searchsorted(total, most))].band)
+    rows = rows.orderBy("h", "_row").limit(most).collect()
     x = np.array([r.x for r in rows]).reshape(-1, len(FEATURES))
     return fit(x, np.array([float(r.quality > 0) for r in rows]))
 

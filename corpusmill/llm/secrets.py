@@ -51,16 +51,16 @@ SCOPE = 160  # code points from the end of one part to the start of another of o
 def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``(_row, doc_id, kind, start, end, value, linked)`` of sure and linked secrets.
 
-    The interval join of parts counts: near a part are those that start by its end plus
-    ``scope``, less those that end before its start less ``scope``. Both counts are range
-    frames over the starts and ends of one text's parts, so parts of any length are near
-    what adjoins them, and no pairs are formed. Sure kinds always stay; ``linked`` counts
+    The interval join of parts counts: near a part are those that start within ``scope``
+    behind its end and those that end within ``scope`` before its start. Both counts are
+    range frames over the starts and ends of one text's parts, so parts of any length are
+    near what adjoins them, and no pairs are formed. A part that overlaps another is no
+    complement of it: one link is not both an endpoint and its own key. Sure kinds always stay; ``linked`` counts
     the complementary parts. Null text counts as empty; every input row, repeated ones
     included, keeps at least one row (null ``kind``).
     """
     order = Window.partitionBy("_row").orderBy("_at")
-    begun = order.rangeBetween(Window.unboundedPreceding, scope)
-    over = order.rangeBetween(Window.unboundedPreceding, -scope - 1)
+    behind, before = order.rangeBetween(0, scope), order.rangeBetween(-scope, 0)
     ends = find_spans(docs, (*BASE, *PARTS)).select(
         "_row", "doc_id", "kind", "start", "end", "value", F.posexplode(F.array("start", "end")).alias("_is_end", "_at")
     )
@@ -70,8 +70,8 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         of_role = F.col("kind").isin(*kinds)
         ends = ends.withColumn(
             f"_{role}",
-            F.when(is_end, F.count_if(of_role & is_start).over(begun)).otherwise(
-                -F.count_if(of_role & is_end).over(over)
+            F.when(is_end, F.count_if(of_role & is_start).over(behind)).otherwise(
+                F.count_if(of_role & is_end).over(before)
             ),
         )
         near[role] = F.sum(f"_{role}").alias(f"_{role}")

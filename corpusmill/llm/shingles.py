@@ -93,6 +93,15 @@ def combine(words: np.ndarray) -> np.ndarray:
     return mix(total)
 
 
+def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Distinct hashes of all runs of ``size < WORDS`` words, as ``combine`` gives them alone."""
+    count = len(words) - size + 1
+    total = np.full(count, size, dtype=np.uint64)
+    for j in range(size):
+        total += words[j : j + count] * _FACTORS[j]
+    return np.unique(mix(total))
+
+
 def shingle_sets(texts: list[str | None], budget: int = PIECE) -> Iterator[np.ndarray]:
     """Per text the sorted distinct hashes of its ``WORDS``-word shingles.
 

@@ -517,3 +517,40 @@ def test_index_grows_as_its_words(documents, monkeypatch):
                     if score >= least - decontaminate.SLACK:
                         want[item] = max(want.get(item, 0.0), score)
         assert whole.retrieve(terms) == pytest.approx(want)
+
+
+def test_short_items(spark, documents):
+    """Items of one to four words are found where they stand together, and nowhere else."""
+    rng = random.Random(31)
+    filler = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    items = spark.createDataFrame(
+        [(1, "quagga"), (2, "Blue Quokka"), (3, "seven tame okapis"), (4, "who wrote the zyzzyva"), (5, "")],
+        "item_id bigint, text string",
+    )
+    texts = [
+        f"{filler(40)} quagga {filler(40)}",
+        f"{filler(10)} blue quokka {filler(3000)}",
+        f"{filler(10)} blue {filler(2)} quokka",
+        f"seven tame okapis {filler(5)} who wrote the zyzzyva",
+        f"seven okapis tame {filler(5)} wrote who the zyzzyva",
+        "blue quokka",
+        filler(60),
+    ]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(documents(texts), items).collect()}
+    assert got == {(0, 1), (1, 2), (3, 3), (3, 4), (5, 2)}
+    clean = decontaminate.clean_documents(documents(texts, "again"), items)
+    assert sorted(r.doc_id for r in clean.collect()) == [2, 4, 6]
+
+
+def test_rows_that_the_classifier_is_fitted_on(spark):
+    """The first by hash, whatever bounds the sort; weights don't depend on it."""
+    rng = np.random.default_rng(2)
+    rows = [(i, i, rng.normal(size=len(quality.FEATURES)).tolist()) for i in range(300)]
+    computed = spark.createDataFrame(rows, "doc_id bigint, _row bigint, x array<double>")
+    labels = spark.createDataFrame([(i, int(x[0] > 0)) for i, _, x in rows if i % 3], "doc_id bigint, quality int")
+    hashes = {r.id: r.h for r in spark.range(300).select("id", F.xxhash64("id").alias("h")).collect()}
+    chosen = sorted((i for i in range(300) if i % 3), key=hashes.get)
+    for most in (1, 40, 200, 1000):
+        own = chosen[:most]
+        want = quality.fit(np.array([rows[i][2] for i in own]), np.array([float(rows[i][2][0] > 0) for i in own]))
+        assert np.allclose(quality.train(computed, labels, most), want)

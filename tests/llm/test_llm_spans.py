@@ -127,3 +127,33 @@ def test_long_parts_are_near_what_adjoins_them(documents):
 def test_no_python_in_the_plan(edge, report):
     plan = report(edge)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_account_numbers_end_where_their_country_says(documents):
+    """What follows a number in capitals is no part of it; letters may stand at its end."""
+    texts = [
+        "BE68 5390 0754 7034 EUR 100",
+        "BE68 5390 0754 7034 100 EUR",
+        "ES91 2100 0418 4502 0005 1332 IBAN",
+        "MT84MALT011000012345MTLCAST001S",
+        "DE89 3704 0044 0532 0130 01",
+        "GB82 WEST 1234 5698 7654 32 DE89 3704 0044 0532 0130 00",
+        "NO9386011117947 and ZZ9386011117947",
+    ]
+    got = {r.doc_id: r.spans for r in pii.pii_report(documents(texts)).collect()}
+    iban = {i: [s for s in spans.split(",") if s.startswith("iban")] for i, spans in got.items()}
+    assert iban == {
+        0: ["iban:0:19"], 1: ["iban:0:19"], 2: ["iban:0:29"], 3: ["iban:0:31"], 4: [],
+        5: ["iban:0:27", "iban:28:55"], 6: ["iban:0:15"],
+    }
+
+
+def test_a_part_is_no_complement_of_itself(documents):
+    texts = [
+        "see https://video.example.com/watch/dQw4w9WgXcQabC12 for more",
+        "client_id=web https://video.example.com/watch/dQw4w9WgXcQabC12",
+        "https://api.example.com/v1 with dQw4w9WgXcQabC1234 as the key",
+        "https://api.example.com/v1 " + "x " * 90 + "dQw4w9WgXcQabC1234",
+    ]
+    got = {r.doc_id: {s.split(":")[0] for s in r.spans.split(",") if s} for r in secrets.secret_report(documents(texts)).collect()}
+    assert got == {0: set(), 1: {"identifier", "keylike"}, 2: {"endpoint", "keylike"}, 3: set()}
