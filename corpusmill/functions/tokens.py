@@ -7,7 +7,7 @@ lookup runs on whole Arrow batches.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -49,47 +49,62 @@ VOCAB_BYTES = 256 << 20  # of tokens that are shipped to every task
 class VocabTokenizer:
     """Tokenizer over a vocabulary table and a token rule.
 
-    Any number of tokens of any length, as long as together they have ``VOCAB_BYTES``.
+    As a function of a column it takes any number of tokens of any length, as long as
+    together they have ``VOCAB_BYTES``. A larger vocabulary does not reach the tasks
+    (``fits`` is false): whole tables are then encoded by joins, see ``encode_table``.
     """
 
     def __init__(self, vocab: DataFrame, split: Callable[[Column], Column] = words):
+        self.vocab, self.split = vocab, split
         size = vocab.agg(F.sum(F.octet_length("token"))).first()[0] or 0
-        if size > VOCAB_BYTES:
-            raise ValueError(f"a vocabulary of {size} bytes; at most {VOCAB_BYTES} reach every task")
+        self.fits = size <= VOCAB_BYTES
+        if not self.fits:
+            return
         rows = vocab.select("token", "id").toArrow().sort_by("id")
         self.tokens = rows["token"].to_pylist()
         self.ids = rows["id"].to_pylist()
-        self.split = split
         shared = vocab.sparkSession.sparkContext.broadcast((self.tokens, self.ids))
 
+        # Tables are made once per task, and distinct tokens of a batch are looked up once.
         @F.arrow_udf("array<int>")
-        def lookup(found: pa.Array) -> pa.Array:
+        def lookup(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             known, ids = shared.value
-            at = pc.index_in(found.flatten(), value_set=pa.array(known, found.type.value_type))
-            coded = pc.fill_null(pc.take(pa.array(ids, pa.int32()), at), UNK_ID)
-            return pa.ListArray.from_arrays(_offsets(found), coded)
+            values, coded_as = pa.array(known, pa.string()), pa.array(ids, pa.int32())
+            for found in batches:
+                tokens = pc.dictionary_encode(found.flatten().cast(pa.string()))
+                at = pc.index_in(tokens.dictionary, value_set=values)
+                by_token = pc.fill_null(pc.take(coded_as, at), UNK_ID)
+                yield pa.ListArray.from_arrays(_offsets(found), pc.take(by_token, tokens.indices))
 
         @F.arrow_udf("string")
-        def spell(found: pa.Array) -> pa.Array:
+        def spell(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             known, ids = shared.value
             by_id = np.full(max(ids, default=0) + 2, None, dtype=object)
             by_id[np.asarray(ids, dtype=np.int64)] = known
-            flat = pc.min_element_wise(found.flatten().cast(pa.int64()), len(by_id) - 1)
-            spelled = pc.take(pa.array(by_id, pa.string()), flat)
-            keep = pc.is_valid(spelled)
-            kept_before = np.concatenate([[0], np.cumsum(keep.to_numpy(zero_copy_only=False))])
-            offsets = kept_before[_offsets(found).to_numpy()].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), spelled.filter(keep))
-            return pc.binary_join(lists, " ")
+            spelling = pa.array(by_id, pa.string())
+            for found in batches:
+                flat = pc.min_element_wise(found.flatten().cast(pa.int64()), len(by_id) - 1)
+                spelled = pc.take(spelling, flat)
+                keep = pc.is_valid(spelled)
+                kept_before = np.concatenate([[0], np.cumsum(keep.to_numpy(zero_copy_only=False))])
+                offsets = kept_before[_offsets(found).to_numpy()].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), spelled.filter(keep))
+                yield pc.binary_join(lists, " ")
 
         self._lookup, self._spell = lookup, spell
 
+    def _must_fit(self) -> None:
+        if not self.fits:
+            raise ValueError(f"a vocabulary of more than {VOCAB_BYTES} bytes reaches no task; encode whole tables")
+
     def encode(self, text: Column) -> Column:
         """Ids of the text's tokens; unknown ones become ``UNK_ID``."""
+        self._must_fit()
         return self._lookup(self.split(F.coalesce(text, F.lit(""))))
 
     def decode(self, ids: Column) -> Column:
         """Tokens joined with spaces; special and unknown ids are skipped."""
+        self._must_fit()
         return self._spell(F.coalesce(ids, F.array().cast("array<int>")))
 
 

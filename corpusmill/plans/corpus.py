@@ -15,7 +15,7 @@ from corpusmill.operators.evaluate import Scorer, table_scorer
 from corpusmill.operators.mix import nested_interleave
 from corpusmill.operators.ordered import global_index
 from corpusmill.operators.pack import assemble, layout, pack
-from corpusmill.operators.vocab import build_vocab, count_tokens, unigram_scores
+from corpusmill.operators.vocab import build_vocab, count_tokens, encode_table, unigram_scores
 from corpusmill.scratch import materialize
 
 
@@ -37,7 +37,9 @@ class Lexicon:
 
 
 def tokenize(docs: DataFrame, tokenizer: Tokenizer, *keys: str) -> DataFrame:
-    """``(keys..., tokens)`` of ``docs (keys..., text)``."""
+    """``(keys..., tokens)`` of ``docs (keys..., text)``, by joins if the vocabulary is too large."""
+    if not getattr(tokenizer, "fits", True):
+        return encode_table(docs, tokenizer.vocab, *keys, split=tokenizer.split)
     return docs.select(*keys, tokenizer.encode(F.col("text")).alias("tokens"))
 
 

@@ -658,6 +658,10 @@ ORACLES: dict[str, str] = {
                                        AS BIGINT))) AS place, n
               FROM (SELECT max(block_idx) + 1 AS n FROM b)) p
         JOIN b ON b.block_idx = p.place % p.n""",
+    "packed_range": _with(*BASE, _packed_corpus("t", "train", (0, 1)), recursive=True) + f"""
+        SELECT block_idx, {_csv("tokens")} AS tokens
+        FROM (SELECT *, max(block_idx) OVER () AS last FROM t WHERE epoch = 1)
+        WHERE block_idx >= last // 4 AND block_idx < last // 2 AND block_idx % 3 = 1""",
     "shuffled_shards": _with(*BASE, _packed_corpus("t", "train", (0, 1)), SHUFFLED, recursive=True) + f"""
         SELECT u.epoch, CAST(turn % 3 AS INT) AS rank, turn // 3 AS slot, u.block_idx, {_csv("tokens")} AS tokens
         FROM turns u JOIN t ON t.epoch = u.epoch AND t.block_idx = u.block_idx""",

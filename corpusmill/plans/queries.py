@@ -181,6 +181,19 @@ def packed_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def packed_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rank's blocks in a range of an epoch, from the files that hold the range."""
+    path = new_path(spark, "packed_range")
+    tokenizer = _lexicon(spark, sf_dir).tokenizer
+    blocks = corpus.packed_corpus(spread_documents(spark, sf_dir), tokenizer, "train", (0, 1))
+    packed.write_packed(blocks, path, "train")
+    last = packed.read_zones(spark, path).where("epoch = 1").agg(F.max("high")).first()[0] or 0
+    # The second quarter of the epoch.
+    found = packed.read_range(spark, path, "train", 1, last // 4, last // 2, 1, WORLD_SIZE)
+    return found.select("block_idx", _joined())
+
+
 @query
 def batch_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = corpus.packed_corpus(spread_documents(spark, sf_dir), _lexicon(spark, sf_dir).tokenizer)

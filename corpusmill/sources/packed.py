@@ -1,4 +1,4 @@
-"""Packed blocks on disk, and evaluation items."""
+"""Packed blocks on disk with a zone map of their files, and evaluation items."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ def write_packed(blocks: DataFrame, path: str, split: str) -> None:
 
     Packing leaves ranges of blocks together, so no further shuffle is needed and readers
     can skip files by the statistics of ``block_idx``. Writing an epoch again
-    replaces that epoch only.
+    replaces that epoch only, in the zone map too.
     """
     ordered = blocks.select("block_idx", "tokens", F.lit(split).alias("split"), "epoch")
     (
@@ -23,6 +23,44 @@ def write_packed(blocks: DataFrame, path: str, split: str) -> None:
         .partitionBy("split", "epoch")
         .parquet(path)
     )
+    _write_zones(blocks.sparkSession, path, split)
+
+
+ZONES = "_zones"  # a folder that readers of the blocks pass over
+ZONE_SCHEMA = "file string, low bigint, high bigint, blocks bigint, split string, epoch int"
+
+
+def _write_zones(spark: SparkSession, path: str, split: str) -> None:
+    """One row per file of a split: its range of blocks. Only the column of numbers is read."""
+    blocks = spark.read.schema(PACKED_SCHEMA).parquet(path).where(F.col("split") == split)
+    zones = blocks.groupBy("split", "epoch", F.col("_metadata.file_path").alias("file")).agg(
+        F.min("block_idx").alias("low"), F.max("block_idx").alias("high"), F.count(F.lit(1)).alias("blocks")
+    )
+    names = ["file", "low", "high", "blocks", "split", "epoch"]
+    writer = zones.select(*names).coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("split", "epoch").parquet(f"{path}/{ZONES}")
+
+
+def read_zones(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, low, high, blocks, split, epoch)``: where blocks lie, a row per file."""
+    return spark.read.schema(ZONE_SCHEMA).parquet(f"{path}/{ZONES}")
+
+
+def read_range(
+    spark: SparkSession, path: str, split: str, epoch: int, low: int, high: int, rank: int = 0, world_size: int = 1
+) -> DataFrame:
+    """Blocks ``low`` to ``high`` (exclusive) of one epoch, or those of them that are a rank's turn.
+
+    The zone map says which files can hold them; no other is listed or opened. What
+    reaches the driver are the names of these files.
+    """
+    zones = read_zones(spark, path).where((F.col("split") == split) & (F.col("epoch") == epoch))
+    own = [r.file for r in zones.where((F.col("high") >= low) & (F.col("low") < high)).select("file").collect()]
+    if not own:
+        return spark.createDataFrame([], PACKED_SCHEMA)
+    found = spark.read.schema("block_idx bigint, tokens array<int>").parquet(*own)
+    wanted = found.where((F.col("block_idx") >= low) & (F.col("block_idx") < high) & (F.col("block_idx") % world_size == rank))
+    return wanted.select("block_idx", "tokens", F.lit(split).alias("split"), F.lit(epoch).alias("epoch"))
 
 
 def read_packed(

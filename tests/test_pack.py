@@ -15,7 +15,7 @@ from corpusmill.operators.pack import (
     token_budget,
 )
 from corpusmill.functions.permute import permuted
-from corpusmill.sources.packed import batch_preview, read_packed, write_packed
+from corpusmill.sources.packed import batch_preview, read_packed, read_range, read_zones, write_packed
 
 
 def by_places(documents, size, lossless=True):
@@ -152,6 +152,26 @@ def test_blocks_lie_in_ranges(spark, tmp_path):
     assert len(ends) > 3 and all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
 
 
+def test_ranges_open_their_files_only(spark, tmp_path):
+    """Also after an epoch was written again, and for ranges that nothing lies in."""
+    path = str(tmp_path / "packed")
+    lists = [[5 + i % 7] * 40 for i in range(300)]
+    write_packed(pack(documents(spark, lists), 4, ranges=6), path, "train")
+    write_packed(pack(documents(spark, lists[:50], 1), 4, ranges=3), path, "train")
+    write_packed(pack(documents(spark, lists[:100]), 4, ranges=4), path, "train")  # epoch 0 anew
+    zones = read_zones(spark, path).collect()
+    assert {z.epoch for z in zones} == {0, 1} and sum(z.blocks for z in zones) == read_packed(spark, path).count()
+    want = {r.block_idx: r.tokens for r in read_packed(spark, path).where("epoch = 0").collect()}
+    part = read_range(spark, path, "train", 0, 100, 160)
+    holding = [z.file for z in zones if z.epoch == 0 and z.high >= 100 and z.low < 160]
+    assert len(part.inputFiles()) == len(holding) < len([z for z in zones if z.epoch == 0])
+    assert {r.block_idx: r.tokens for r in part.collect()} == {i: want[i] for i in range(100, 160)}
+    turns = read_range(spark, path, "train", 0, 100, 160, rank=2, world_size=7).collect()
+    assert sorted(r.block_idx for r in turns) == [i for i in range(100, 160) if i % 7 == 2]
+    assert read_range(spark, path, "train", 0, 10**6, 10**7).count() == 0
+    assert read_range(spark, path, "val", 0, 0, 10).count() == 0
+
+
 def test_budget(spark):
     blocks = pack(documents(spark, [[5] * 4] * 8), 4)
     row = token_budget(blocks, 64, step_blocks=4, passes=64, every=4).first()

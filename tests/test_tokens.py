@@ -1,6 +1,7 @@
 """Vocabulary, tokenizer and score tables."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -11,7 +12,7 @@ from corpusmill.config import BOS_ID, EOS_ID, FIRST_WORD_ID, PAD_ID, UNK_ID
 from corpusmill.functions import tokens as tk
 from corpusmill.operators import evaluate
 from corpusmill.operators.vocab import build_vocab, count_tokens, unigram_scores
-from corpusmill.plans.corpus import Lexicon
+from corpusmill.plans.corpus import Lexicon, tokenize
 
 TEXTS = ["The cat, the hat. the END", "a_b c-d é 😀 \x0b x9", "  ", "the the cat " + "z" * 70]
 
@@ -89,8 +90,31 @@ def test_vocabularies_of_any_length(spark, monkeypatch):
     counts = spark.createDataFrame([(long, 5), ("a", 9)], "token string, n bigint")
     assert [r.token for r in build_vocab(counts).orderBy("id").collect()] == ["a", long]
     monkeypatch.setattr(tk, "VOCAB_BYTES", 1000)
+    larger = tk.VocabTokenizer(rows)
     with pytest.raises(ValueError, match="bytes"):
-        tk.VocabTokenizer(rows)
+        larger.encode(F.col("text"))
+    assert tokenize(df, larger).first().tokens == [38_000, 39_999, UNK_ID]
+
+
+def test_large_vocabularies_give_the_same_ids(spark, monkeypatch):
+    """Without a broadcast, over pages of few tokens and few rows, for all kinds of texts."""
+    from corpusmill.operators import vocab as vocab_module
+
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(400)}" for _ in range(rng.randrange(60))) for _ in range(900)]
+    texts += [None, "", "  ", "!? é", "w1 " * 5000]
+    docs = spark.createDataFrame([(i, str(i % 3), t) for i, t in enumerate(texts)], "ord bigint, source string, text string").repartition(3)
+    small = build_vocab(count_tokens(docs.where("ord % 2 = 0")), 200)
+    want = {r.ord: (r.source, r.tokens) for r in tokenize(docs, tk.VocabTokenizer(small), "ord", "source").collect()}
+    monkeypatch.setattr(tk, "VOCAB_BYTES", 1 << 8)
+    larger = tk.VocabTokenizer(small)
+    assert not larger.fits
+    for tokens, rows in ((1 << 15, 1 << 12), (50, 1 << 12), (1 << 15, 70)):
+        monkeypatch.setattr(vocab_module, "PAGE_TOKENS", tokens)
+        monkeypatch.setattr(vocab_module, "PAGE_ROWS", rows)
+        got = {r.ord: (r.source, r.tokens) for r in tokenize(docs, larger, "ord", "source").collect()}
+        assert got == want and UNK_ID in got[0][1] + got[1][1] + got[2][1]
+    assert tokenize(docs.limit(0), larger, "ord").count() == 0
 
 
 def test_array_helpers(spark):
