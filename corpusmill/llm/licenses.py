@@ -1,4 +1,11 @@
-"""Licence texts in files: the rarest words of phrases point to templates, positions confirm."""
+"""Licence texts in files, by a positional index of each licence's rarest words.
+
+How many documents hold a word decides what is indexed: of every template the words of
+highest inverse document frequency, and the rarest word of each of its mandatory phrases,
+with their places. A file's occurrences of indexed words are looked up; the places that
+several of them agree on, relative to each other, are where a passage may begin. Only there
+are the template's words and its mandatory phrases verified.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +23,24 @@ from pyspark.sql import functions as F
 # The base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 # Telling passages of public licences, and phrases that must stand in them.
-TEMPLATES = {
+_GPL = (
+    "free software you can redistribute it and or modify it under the terms of the gnu {kind} public license as "
+    "published by the free software foundation either version {version} of the license or at your option any later version"
+)
+_COMMONS = (
+    "this work is licensed under the creative commons {kind} 4 0 international license to view a copy of this license visit"
+)
+
+
+def _gpl(kind: str, version: str) -> tuple[str, tuple[str, ...]]:
+    return _GPL.format(kind=kind, version=version), (f"gnu {kind} public license", f"either version {version} of the license")
+
+
+def _commons(kind: str) -> tuple[str, tuple[str, ...]]:
+    return _COMMONS.format(kind=kind), (f"creative commons {kind} 4 0",)
+
+
+TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
     "mit": (
         "permission is hereby granted free of charge to any person obtaining a copy of this "
         "software and associated documentation files to deal in the software without "
@@ -29,18 +53,27 @@ TEMPLATES = {
         "except in compliance with the license you may obtain a copy of the license at",
         ("licensed under the apache license", "compliance with the license"),
     ),
-    "gpl": (
-        "this program is free software you can redistribute it and or modify it under the terms "
-        "of the gnu general public license as published by the free software foundation either "
-        "version 2 of the license or at your option any later version",
-        ("free software", "general public license"),
-    ),
+    "gpl-2.0": _gpl("general", "2"),
+    "gpl-3.0": _gpl("general", "3"),
+    "lgpl-2.1": _gpl("lesser general", "2 1"),
+    "lgpl-3.0": _gpl("lesser general", "3"),
+    "agpl-3.0": _gpl("affero general", "3"),
     "bsd": (
         "redistribution and use in source and binary forms with or without modification are "
         "permitted provided that the following conditions are met redistributions of source "
         "code must retain the above copyright notice this list of conditions",
         ("redistribution and use in source and binary forms",),
     ),
+    "bsd-3-clause": (
+        "neither the name of the copyright holder nor the names of its contributors may be used to "
+        "endorse or promote products derived from this software without specific prior written permission",
+        ("may be used to endorse or promote products derived from this software",),
+    ),
+    "bsd-4-clause": (
+        "all advertising materials mentioning features or use of this software must display the "
+        "following acknowledgement this product includes software developed by",
+        ("all advertising materials mentioning features",),
+    ),
     "isc": (
         "permission to use copy modify and or distribute this software for any purpose with or "
         "without fee is hereby granted provided that the above copyright notice and this "
@@ -52,13 +85,103 @@ TEMPLATES = {
         "copy of the mpl was not distributed with this file you can obtain one at",
         ("mozilla public license",),
     ),
+    "mpl-1.1": (
+        "the contents of this file are subject to the mozilla public license version 1 1 the license "
+        "you may not use this file except in compliance with the license",
+        ("mozilla public license version 1 1",),
+    ),
+    "cddl": (
+        "the contents of this file are subject to the terms of the common development and "
+        "distribution license the license you may not use this file except in compliance with the license",
+        ("common development and distribution license",),
+    ),
+    "epl-1.0": (
+        "this program and the accompanying materials are made available under the terms of the "
+        "eclipse public license v1 0 which accompanies this distribution and is available at",
+        ("eclipse public license v1 0",),
+    ),
+    "epl-2.0": (
+        "this program and the accompanying materials are made available under the terms of the "
+        "eclipse public license 2 0 which is available at",
+        ("eclipse public license 2 0",),
+    ),
+    "eupl": (
+        "licensed under the eupl version 1 2 or as soon they will be approved by the european "
+        "commission subsequent versions of the eupl the licence you may not use this work except in "
+        "compliance with the licence",
+        ("versions of the eupl",),
+    ),
     "unlicense": (
         "this is free and unencumbered software released into the public domain anyone is free "
         "to copy modify publish use compile sell or distribute this software",
         ("released into the public domain",),
     ),
+    "zlib": (
+        "in no event will the authors be held liable for any damages arising from the use of this "
+        "software permission is granted to anyone to use this software for any purpose including "
+        "commercial applications and to alter it and redistribute it freely",
+        ("including commercial applications", "alter it and redistribute it freely"),
+    ),
+    "bsl-1.0": (
+        "boost software license version 1 0 permission is hereby granted free of charge to any "
+        "person or organization obtaining a copy of the software and accompanying documentation "
+        "covered by this license to use reproduce display distribute execute and transmit the software",
+        ("accompanying documentation covered by this license",),
+    ),
+    "artistic-1.0": (
+        "the intent of this document is to state the conditions under which a package may be copied "
+        "such that the copyright holder maintains some semblance of artistic control over the "
+        "development of the package",
+        ("some semblance of artistic control",),
+    ),
+    "artistic-2.0": (
+        "this license establishes the terms under which a given free software package may be copied "
+        "modified distributed and or redistributed the intent is that the copyright holder maintains "
+        "some artistic control over the development of that package",
+        ("maintains some artistic control",),
+    ),
+    "cc0": (
+        "to the extent possible under law the author has dedicated all copyright and related and "
+        "neighboring rights to this software to the public domain worldwide this software is "
+        "distributed without any warranty",
+        ("related and neighboring rights",),
+    ),
+    "cc-by": _commons("attribution"),
+    "cc-by-sa": _commons("attribution sharealike"),
+    "cc-by-nc": _commons("attribution noncommercial"),
+    "cc-by-nd": _commons("attribution noderivatives"),
+    "wtfpl": (
+        "everyone is permitted to copy and distribute verbatim or modified copies of this license "
+        "document and changing it is allowed as long as the name is changed",
+        ("as long as the name is changed",),
+    ),
+    "openssl": (
+        "redistributions of any form whatsoever must retain the following acknowledgment this "
+        "product includes software developed by the openssl project for use in the openssl toolkit",
+        ("openssl project",),
+    ),
+    "postgresql": (
+        "permission to use copy modify and distribute this software and its documentation for any "
+        "purpose without fee and without a written agreement is hereby granted provided that the "
+        "above copyright notice and this paragraph and the following two paragraphs appear in all copies",
+        ("without a written agreement is hereby granted",),
+    ),
+    "ofl-1.1": (
+        "this font software is licensed under the sil open font license version 1 1 this license is "
+        "copied below and is also available with a faq at",
+        ("sil open font license",),
+    ),
+    "psf": (
+        "this license agreement is between the python software foundation psf and the individual or "
+        "organization licensee accessing and otherwise using this software in source or binary form "
+        "and its associated documentation",
+        ("python software foundation",),
+    ),
 }
-LEAST_VOTES = 3  # words that must agree on one place of a template
+# A label that stands for a passage unless one of others is found with it.
+WITHOUT = {"bsd": ("bsd-2-clause", ("bsd-3-clause", "bsd-4-clause"))}
+RARE = 8  # words of a template that are indexed, beside those of its phrases
+LEAST_VOTES = 3  # different indexed words that must agree on one place of a template
 SHARE = 0.7  # of a template's words that must stand at their places
 DRIFT = 4  # words a place may be off, for words added or left out
 PHRASE_SCORE = 0.5  # of a file with a base phrase alone
@@ -72,17 +195,11 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Templates:
-    """Postings ``template -> word -> positions`` of the licence passages."""
+    """The licence passages and phrases as words."""
 
     def __init__(self) -> None:
         self.words = {label: words_of(text) for label, (text, _) in TEMPLATES.items()}
         self.phrases = {label: [words_of(p) for p in keys] for label, (_, keys) in TEMPLATES.items()}
-        self.own: dict[str, dict[bytes, list[int]]] = {}
-        for label, words in self.words.items():
-            places: dict[bytes, list[int]] = defaultdict(list)
-            for place, word in enumerate(words):
-                places[word].append(place)
-            self.own[label] = dict(places)
         self.base = [(words_of(p), label) for p, label in PHRASES.items()]
 
     def vocabulary(self) -> set[bytes]:
@@ -91,62 +208,68 @@ class Templates:
         return set().union(*passages, *[p for keys in self.phrases.values() for p in keys], *[p for p, _ in self.base])
 
 
-def _places(words: list[bytes], phrase: list[bytes], rarest: int = 0) -> list[int]:
-    """Starts at which the phrase's words stand one after the other; its ``rarest`` word is looked up."""
-    found, at = [], rarest - 1
-    while True:
-        try:
-            at = words.index(phrase[rarest], at + 1)
-        except ValueError:
-            return found
-        if words[at - rarest : at - rarest + len(phrase)] == phrase:
-            found.append(at - rarest)
-
-
-def _near(places: list[int], reach: int, end: int) -> Iterator[tuple[int, int]]:
-    """The runs of words within ``reach`` of a place, each word in one run."""
-    runs: list[list[int]] = []
-    for place in places:
-        low, high = max(0, place - reach), min(end, place + reach)
-        if runs and low <= runs[-1][1]:
-            runs[-1][1] = high
-        else:
-            runs.append([low, high])
-    yield from ((low, high) for low, high in runs)
+class Index:
+    """Postings ``word -> [(template, place)]`` of the words that the corpus makes rare."""
 
+    def __init__(self, templates: Templates, idf: Mapping[bytes, float]):
+        self.templates = templates
+        rarity = lambda word: (-idf.get(word, 0.0), word)
+        self.rare: dict[str, set[bytes]] = {}
+        self.postings: dict[bytes, list[tuple[str, int]]] = defaultdict(list)
+        for label, words in templates.words.items():
+            rarest = sorted(set(words), key=rarity)[:RARE]
+            self.rare[label] = {*rarest, *[min(p, key=rarity) for p in templates.phrases[label]]}
+            for place, word in enumerate(words):
+                if word in self.rare[label]:
+                    self.postings[word].append((label, place))
 
-def _matches(templates: Templates, idf: Mapping[bytes, float], words: list[bytes], known: set[bytes]) -> dict[str, float]:
-    """``label -> share`` of the templates found: phrases point to places, words vote, the place is verified.
+    def starts(self, words: list[bytes], known: set[bytes]) -> dict[str, list[int]]:
+        """Per template the places of the file where enough of its indexed words agree."""
+        possible = {l for l, rare in self.rare.items() if len(rare & known) >= LEAST_VOTES}
+        if not possible:
+            return {}
+        asked = {w: [p for p in self.postings[w] if p[0] in possible] for w in known & self.postings.keys()}
+        votes: dict[str, dict[int, set[bytes]]] = {label: defaultdict(set) for label in possible}
+        for at, word in enumerate(words):
+            for label, place in asked.get(word, ()):
+                votes[label][at - place].add(word)
+        found = {}
+        for label, agreed in votes.items():
+            near = lambda s: set().union(*[agreed[s + d] for d in range(-DRIFT, DRIFT + 1) if s + d in agreed])  # noqa: E731, B023
+            found[label] = [s for s in sorted(agreed) if len(near(s)) >= LEAST_VOTES]
+        return found
 
-    A passage holds all phrases of its template, so only words near a phrase can be part
-    of one. There, every word of the template votes.
-    """
-    found: dict[str, float] = {}
-    for label, wanted in templates.words.items():
-        phrases = templates.phrases[label]
-        if not all(known.issuperset(p) for p in phrases):
-            continue
-        rarest = [max(range(len(p)), key=lambda i: (idf.get(p[i], 0.0), -i)) for p in phrases]
-        starts = [_places(words, p, i) for p, i in zip(phrases, rarest, strict=True)]
-        if not all(starts):
-            continue
-        own, width = templates.own[label], len(wanted) + 2 * DRIFT
-        for begin, end in _near(min(starts, key=len), width, len(words)):
-            votes: dict[int, set[bytes]] = defaultdict(set)
-            for at in range(begin, end):
-                for place in own.get(words[at], ()):
-                    votes[at - place].add(words[at])
-            for start in sorted(votes):
-                near = set().union(*[votes.get(start + d, ()) for d in range(-DRIFT, DRIFT + 1)])
-                if len(near) < LEAST_VOTES:
-                    continue
+    def matches(self, words: list[bytes], known: set[bytes]) -> dict[str, float]:
+        """``label -> share``: the best share of a template's words where it is found."""
+        found: dict[str, float] = {}
+        for label, starts in self.starts(words, known).items():
+            wanted, phrases = self.templates.words[label], self.templates.phrases[label]
+            if not starts or not all(known.issuperset(p) for p in phrases):
+                continue
+            stand = [_places(words, p) for p in phrases]
+            for start in starts:
                 low, high = max(0, start - DRIFT), start + len(wanted) + DRIFT
-                if not all(_inside(s, low, high - len(p)) for s, p in zip(starts, phrases, strict=True)):
+                if not all(_inside(s, low, high - len(p)) for s, p in zip(stand, phrases, strict=True)):
                     continue
                 hits = (Counter(wanted) & Counter(words[low:high])).total()
                 if hits >= SHARE * len(wanted):
                     found[label] = max(found.get(label, 0.0), hits / len(wanted))
-    return found
+        for label, (plain, others) in WITHOUT.items():
+            if label in found and not any(o in found for o in others):
+                found[plain] = found[label]
+        return found
+
+
+def _places(words: list[bytes], phrase: list[bytes]) -> list[int]:
+    """Starts at which the phrase's words stand one after the other."""
+    found, at = [], -1
+    while True:
+        try:
+            at = words.index(phrase[0], at + 1)
+        except ValueError:
+            return found
+        if words[at : at + len(phrase)] == phrase:
+            found.append(at)
 
 
 def _inside(places: list[int], low: int, high: int) -> bool:
@@ -179,12 +302,13 @@ def word_frequencies(texts: DataFrame) -> tuple[int, dict[bytes, int]]:
 def license_scan(docs: DataFrame) -> DataFrame:
     """One row per input row: base phrases, labels of base and templates, and a score.
 
-    The first scan counts in how many documents each licence word stands, the second
-    looks up each template's mandatory phrases by their words of highest IDF, lets all of
-    the template's words near a phrase vote for its place, and verifies the place by the
-    template's words and phrases. No word or file is cut off: a passage is found whatever
-    else the file holds. The score is the best share found, or ``PHRASE_SCORE`` for a base phrase
-    alone, else 0. Null text counts as empty; repeated rows count each.
+    The first scan counts in how many documents each licence word stands, which decides
+    the words that are indexed; the second looks up a file's indexed words, wherever they
+    stand, and verifies the places they agree on. A passage is found where at least
+    ``LEAST_VOTES`` of its indexed words keep their relative places, give or take ``DRIFT``
+    words, its phrases stand inside, and ``SHARE`` of its words are there, whatever else the file
+    holds. The score is the best share found, or ``PHRASE_SCORE`` for a base phrase alone,
+    else 0. Null text counts as empty; repeated rows count each.
     """
     templates = Templates()
     total, frequency = word_frequencies(docs)
@@ -192,7 +316,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = templates.vocabulary()
+        wanted, index = templates.vocabulary(), Index(templates, idf)
         for batch in batches:
             out = []
             for text in batch.column(1):
@@ -205,7 +329,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
                         starts += places
                         if places:
                             base.add(label)
-                found = _matches(templates, idf, words, known) if len(known) >= LEAST_VOTES else {}
+                found = index.matches(words, known) if len(known) >= LEAST_VOTES else {}
                 score = max([PHRASE_SCORE if base else 0.0, *found.values()])
                 out.append(
                     (
