@@ -22,10 +22,12 @@ from corpusmill.scratch import Scope, materialize
 SCALE = 1024
 TOP = 10
 QUERY_EVERY = 100
-TREE_ROWS = 1 << 15  # vectors of one tree at most, about
-LEAST_ROWS = 256  # and at least, when cores are plenty
-PAGE = 256  # vectors of a leaf, or children of a node, at most
-_SLACK = 0.01  # scores are whole numbers; rounding errors lie far below this
+TREE_ROWS = 1 << 13  # vectors of one tree at most, about
+PAGE = 128  # vectors of a leaf at most
+FAN = 16  # children of an inner node at most
+PIVOTS = 8  # vectors whose distances to all others a tree stores
+_SLACK = 0.01  # scores are whole numbers; rounding errors lie below this and the next
+_RELATIVE_SLACK = 1e-12  # of the squared length
 
 
 @dataclass
@@ -58,6 +60,11 @@ class MTree:
         extra = np.sqrt((self.most - squares).astype(np.float64))
         self.points = np.concatenate([vectors.astype(np.float64), extra[:, None]], axis=1)
         everything = np.arange(len(ids))
+        self.pivots = self._far_apart()
+        self.to_pivots = np.stack(
+            [np.sqrt(((self.points - self.points[p]) ** 2).sum(axis=1)) for p in self.pivots], axis=1
+        ) if self.pivots else np.zeros((len(ids), 0))
+        self.scored = 0  # rows whose score has been computed, over all searches
         self.root = self._node(everything, self.points.mean(axis=0), None) if len(ids) else None
 
     def _node(self, rows: np.ndarray, center: np.ndarray, parent: np.ndarray | None) -> Node:
@@ -74,29 +81,48 @@ class MTree:
         node.distances = np.array([c.to_parent for c in node.children])
         return node
 
-    def _split(self, rows: np.ndarray) -> list[np.ndarray]:
-        """Parts around spread-out members; equal points are cut by number."""
-        count = min(PAGE, max(2, math.isqrt(len(rows) // PAGE) + 1))
-        points = self.points[rows]
-        chosen = [0]
-        near = ((points - points[0]) ** 2).sum(axis=1)
-        owner = np.zeros(len(rows), dtype=np.int64)
-        while len(chosen) < count and near.max() > 0:
+    def _far_apart(self) -> list[int]:
+        """Rows each as far as can be from those chosen before."""
+        chosen: list[int] = []
+        if not len(self.ids):
+            return chosen
+        near = ((self.points - self.points.mean(axis=0)) ** 2).sum(axis=1)
+        while len(chosen) < PIVOTS and near.max() > 0:
             chosen.append(int(near.argmax()))
-            away = ((points - points[chosen[-1]]) ** 2).sum(axis=1)
-            owner[away < near] = len(chosen) - 1
-            near = np.minimum(near, away)
-        parts = [rows[owner == c] for c in range(len(chosen))]
-        parts = [p for p in parts if len(p)]
-        if len(parts) > 1:
-            return parts
-        by_id = rows[np.argsort(self.ids[rows], kind="stable")]
-        return [p for p in np.array_split(by_id, count) if len(p)]
+            away = ((self.points - self.points[chosen[-1]]) ** 2).sum(axis=1)
+            near = away if len(chosen) == 1 else np.minimum(near, away)
+        return chosen
+
+    def _halves(self, rows: np.ndarray) -> list[np.ndarray]:
+        """Two parts on either side of a plane between far members, a quarter each at least.
+
+        The plane lies in the widest gap that leaves so much; equal points are cut by id.
+        """
+        points = self.points[rows]
+        one = points[((points - points.mean(axis=0)) ** 2).sum(axis=1).argmax()]
+        two = points[((points - one) ** 2).sum(axis=1).argmax()]
+        place = points @ (two - one)
+        order = np.lexsort((self.ids[rows], place))
+        gaps = np.diff(place[order])
+        least = len(rows) // 4
+        inner = gaps[least : len(rows) - least - 1]
+        cut = least + 1 + int(inner.argmax()) if len(inner) and inner.max() > 0 else len(rows) // 2
+        return [rows[order[:cut]], rows[order[cut:]]]
+
+    def _split(self, rows: np.ndarray) -> list[np.ndarray]:
+        """At most ``FAN`` parts, the largest cut first, so that leaves lie at about one depth."""
+        parts = [rows]
+        while len(parts) < FAN:
+            largest = max(range(len(parts)), key=lambda i: len(parts[i]))
+            if len(parts[largest]) <= PAGE:
+                break
+            parts[largest : largest + 1] = self._halves(parts[largest])
+        return parts
 
     @staticmethod
     def _reach(length: int, bound):
         """Largest score at this distance or farther."""
-        return np.floor((length - np.maximum(bound, 0.0) ** 2) / 2 + _SLACK)
+        return np.floor((length - np.maximum(bound, 0.0) ** 2) / 2 + _SLACK + _RELATIVE_SLACK * length)
 
     def search(self, own: int, query: np.ndarray, top: int) -> list[tuple[int, int]]:
         """The ``top`` best ``(score, vec_id)`` but the query's own row, ties to smaller ids."""
@@ -121,6 +147,7 @@ class MTree:
         # Doubles are exact for sums of whole numbers this small, and much faster.
         small = self.most * int((query * query).sum()) < 1 << 104
         exact, asked = (self.points[:, :-1], place[:-1]) if small else (self.vectors, query)
+        to_pivots = np.sqrt(((self.points[self.pivots] - place) ** 2).sum(axis=1))
         away = float(np.sqrt(((place - self.root.center) ** 2).sum()))
         queue, number = [(away - self.root.radius, 0, away, self.root)], 1
         while queue:
@@ -139,7 +166,12 @@ class MTree:
                         heapq.heappush(queue, (d - child.radius, number, d, child))
                         number += 1
                 continue
+            # So they do with rows: those to the page's centre, then those to the pivots.
             rows = node.rows[self._reach(length, np.abs(node.to_center - away)) >= floor()]
+            if self.pivots and len(best) == top:
+                apart = np.abs(self.to_pivots[rows] - to_pivots).max(axis=1, initial=0.0)
+                rows = rows[self._reach(length, apart) >= floor()]
+            self.scored += len(rows)  # the rest is avoided
             scores = exact[rows] @ asked
             better = np.flatnonzero(scores >= floor())
             for row, score in zip(rows[better].tolist(), scores[better].tolist(), strict=True):
@@ -224,15 +256,13 @@ def top_inner_products(vectors: DataFrame, top: int = TOP, query_every: int = QU
             whole_numbers(F.col("embedding")).alias("v"),
         ).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
         whole = scope.keep(whole.withColumn("dim", F.size("v").cast("long")), "vectors")
-        count = whole.count()
-        slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        parts = max(math.ceil(count / TREE_ROWS), min(slots, math.ceil(count / LEAST_ROWS)), 1)
-        part = F.pmod(F.xxhash64("own"), F.lit(parts)).cast("long")
+        parts = max(math.ceil(whole.count() / TREE_ROWS), 1)
+        part = F.pmod(F.xxhash64("own"), F.lit(parts)).cast("int")
         placed = whole.select(part.alias("part"), "dim", F.lit(0).cast("long").alias("is_query"), "own", "vec_id", "v")
-        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part")
+        every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
         queries = whole.where(F.col("vec_id") % query_every == 0)
         asked = queries.select(every, "dim", F.lit(1).cast("long").alias("is_query"), "own", "vec_id", "v")
-        dealt = placed.unionByName(asked).repartition(parts, "part").sortWithinPartitions("part", "dim", "is_query")
+        dealt = placed.unionByName(asked).repartitionById(parts, "part").sortWithinPartitions("part", "dim", "is_query")
         found = dealt.mapInArrow(_search_parts(top), "own bigint, query_id bigint, vec_id bigint, score bigint")
         order = Window.partitionBy("own").orderBy(F.desc("score"), "vec_id")
         ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)

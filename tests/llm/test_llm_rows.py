@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark import cloudpickle
@@ -312,7 +313,9 @@ def test_components(spark):
 
 
 def test_top_inner_products(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "LEAST_ROWS", 90)
+    monkeypatch.setattr(vectors, "TREE_ROWS", 400)
+    monkeypatch.setattr(vectors, "PAGE", 16)
+    monkeypatch.setattr(vectors, "FAN", 4)
     rng = np.random.default_rng(4)
     centers = rng.normal(size=(6, 8))
     points = [(centers[i % 6] + 0.1 * rng.normal(size=8)).tolist() for i in range(900)]
@@ -340,18 +343,49 @@ def test_trees_skip_work():
     rng = np.random.default_rng(0)
     centers = 200 * rng.normal(size=(40, 4))
     points = np.rint(centers[np.arange(8000) % 40] + rng.normal(size=(8000, 4))).astype(np.int64)
-    seen = 0
-
-    class Counting(np.ndarray):
-        def __matmul__(self, other):
-            nonlocal seen
-            seen += len(self)
-            return np.asarray(self) @ np.asarray(other)
-
     tree = vectors.MTree(np.arange(8000), np.arange(8000), points)
-    tree.points = tree.points.view(Counting)
     tree.search(0, points[0], 10)
-    assert 0 < seen < 3000
+    assert 0 < tree.scored < 2000
+
+
+def leaves(node, depth=0):
+    return [(depth, len(node.rows))] if node.rows is not None else [x for c in node.children for x in leaves(c, depth + 1)]
+
+
+def tree_of(folder):
+    rows = duckdb.sql(f"SELECT vec_id, embedding FROM read_parquet('{folder}') ORDER BY vec_id").fetchnumpy()
+    points = np.floor(1024 * np.stack(rows["embedding"]).astype(np.float64)).astype(np.int64)[: vectors.TREE_ROWS]
+    ids = np.asarray(rows["vec_id"])[: vectors.TREE_ROWS]
+    return vectors.MTree(ids, ids, points), ids, points
+
+
+@pytest.mark.parametrize("folder,most", [("sf0.1/embeddings.parquet", 1.0), ("check_s/embeddings.parquet/*.parquet", 0.97)])
+def test_trees_of_the_given_vectors(folder, most):
+    """Balanced trees with inner nodes; how much they avoid depends on how the vectors lie.
+
+    Those of the small tables are random directions, which no bound tells apart.
+    """
+    tree, ids, points = tree_of(f"/root/testdata/{folder}")
+    found = leaves(tree.root)
+    assert min(d for d, _ in found) >= 1 and max(d for d, _ in found) <= min(d for d, _ in found) + 2
+    assert min(n for _, n in found) >= vectors.PAGE // 4 and max(n for _, n in found) <= vectors.PAGE
+    queries = np.flatnonzero(ids % 100 == 0)
+    for q in queries:
+        got = tree.search(int(ids[q]), points[q], 10)
+        scores = points @ points[q]
+        assert got == sorted(((int(s), int(i)) for s, i in zip(scores, ids, strict=True) if i != ids[q]), key=lambda x: (-x[0], x[1]))[:10]
+    assert tree.scored <= most * len(queries) * len(ids)
+
+
+@pytest.mark.parametrize("size", [1e4, 1e6, 1e8])
+def test_bounds_hold_at_any_magnitude(size):
+    rng = np.random.default_rng(9)
+    points = np.rint(size * rng.normal(size=(1500, 16))).astype(np.int64)
+    tree = vectors.MTree(np.arange(1500), np.arange(1500), points)
+    for q in range(0, 1500, 50):
+        scores = points @ points[q]
+        want = sorted(((int(s), i) for i, s in enumerate(scores) if i != q), key=lambda x: (-x[0], x[1]))[:10]
+        assert tree.search(q, points[q], 10) == want
 
 
 # Licences
