@@ -109,9 +109,12 @@ def layout(
         state, blocks = run_table(ordered["n"].to_numpy(), block_size, lossless)
         return pd.DataFrame([(*key, state.tobytes(), blocks.tobytes())], columns=_TABLE_COLUMNS)
 
-    tables = chunked.groupBy("epoch", "id").applyInPandas(to_table, _TABLE)
-    starts = _starts(materialize(tables, "runs"), top, block_size, group_bits)
-    started = chunked.join(starts, ["epoch", "id"])
+    if top == 0:  # a first chunk begins with an empty buffer, and no other asks for its table
+        started = chunked.withColumns({"s0": F.lit(0), "b0": F.lit(0).cast("bigint")})
+    else:
+        tables = chunked.groupBy("epoch", "id").applyInPandas(to_table, _TABLE)
+        starts = _starts(materialize(tables, "runs"), top, block_size, group_bits)
+        started = chunked.join(starts, ["epoch", "id"])
 
     def place(rows: pd.DataFrame) -> pd.DataFrame:
         ordered = rows.sort_values("pos")

@@ -83,20 +83,25 @@ def packed_corpus(
 ) -> DataFrame:
     """Mix, filter, tokenise and pack: ``(epoch, block_idx, tokens)``.
 
-    Each text is tokenised once, whatever the number of epochs; mixing and the packing
-    scan move keys and lengths only. Tokens are shuffled to their mixed place, and once
-    more into their blocks.
+    One scan of the texts gives each record of the split its tokens, whatever the number
+    of epochs; texts of other lengths keep their place in the mixture and no tokens.
+    Mixing and the packing scan move keys and lengths only. Tokens are shuffled to their
+    mixed place, and once more into their blocks.
     """
-    keys = mixed_keys(docs, split, epochs, config)
-    fitting = docs.where(in_split(F.col("text"), split) & length_ok(F.col("text")))
-    coded = tokenize(fitting, tokenizer, "source", "ord").withColumn("n", F.size("tokens"))
+    fits = length_ok(F.col("text"))
+    chosen = docs.where(in_split(F.col("text"), split)).select(
+        "source", "ord", fits.alias("fits"), F.when(fits, F.col("text")).alias("text")
+    )
+    coded = tokenize(chosen, tokenizer, "source", "ord", "fits").withColumn("n", F.size("tokens"))
     coded = materialize(coded, "tokens")
+    keys = nested_interleave(coded, config, SPLIT_SEEDS[split], epochs)
+    coded = coded.where("fits")
     placed_lengths = materialize(
         keys.join(coded.select("source", "ord", "n"), ["source", "ord"]), "mixed"
     )
     placed = layout(placed_lengths.select("epoch", "pos", "n"), block_size, lossless)
     located = placed_lengths.drop("n").join(placed, ["epoch", "pos"])
-    joined = located.join(coded.drop("n"), ["source", "ord"])
+    joined = located.join(coded.select("source", "ord", "tokens"), ["source", "ord"])
     return assemble(joined, block_size, lossless)
 
 
