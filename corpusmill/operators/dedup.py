@@ -7,7 +7,7 @@ copies too, which costs CPU but avoids sending every surviving text through a sh
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.config import DEDUP_THRESHOLD, NUM_PERM
@@ -17,6 +17,7 @@ from corpusmill.operators.ordered import global_index
 from corpusmill.scratch import materialize, new_path
 
 SALTS = 64  # pieces a hot band key is cut into
+CHAINS_FROM = 3  # rounds after which chains of neighbours are walked by doubling
 _LEADERS = "ord bigint, led bigint, shared array<struct<band: int, key: binary>>"
 
 
@@ -120,9 +121,14 @@ def greedy_keep(
         )
         # At most one entry per band and document, so these lists are short.
         shared = F.when(F.col("members") > 1, F.struct("band", "key"))
-        buckets.groupBy("ord").agg(
-            F.count(F.lit(1)).alias("led"), F.collect_list(shared).alias("shared")
-        ).write.parquet(f"{path}/round={step}")
+        leading = buckets.groupBy("ord").agg(F.count(F.lit(1)).alias("led"), F.collect_list(shared).alias("shared"))
+        if step >= CHAINS_FROM:
+            alike = F.transform("keys", lambda key, band: F.struct(band.alias("band"), key.alias("key")))
+            followers = rest.join(_chain_kept(rest, bands), "ord", "left_semi")
+            leading = leading.where(F.col("led") == bands).unionByName(
+                followers.select("ord", F.lit(bands).cast("bigint").alias("led"), alike.alias("shared"))
+            )
+        leading.write.parquet(f"{path}/round={step}")
         kept = leaders.parquet(f"{path}/round={step}").where(F.col("led") == bands)
         hit = kept.select(F.explode("shared").alias("s")).select("s.band", "s.key")
         rest = rest.join(kept.select("ord"), "ord", "left_anti")
@@ -134,6 +140,42 @@ def greedy_keep(
     return leaders.parquet(path).where(F.col("led") == bands).select("ord")
 
 
+def _chain_kept(rest: DataFrame, bands: int) -> DataFrame:
+    """``ord`` of the documents that chains of single earlier neighbours show to be kept.
+
+    A document with exactly one earlier neighbour is kept if that one is not. So it points
+    there, pointers double by parity, and where they end at a document without earlier
+    neighbours, which is kept, those an even number of steps away are kept too. Of a
+    bucket only the first two members count: any other has two earlier neighbours.
+    """
+    order = Window.partitionBy("band", "key").orderBy("ord")
+    rows = band_rows(rest).withColumn("nth", F.row_number().over(order)).where("nth <= 2")
+    pairs = rows.groupBy("band", "key").agg(F.min("ord").alias("first"), F.max("ord").alias("second"))
+    places = F.array(
+        F.struct(F.col("first").alias("ord"), F.lit(None).cast("bigint").alias("before")),
+        F.when(F.col("first") < F.col("second"), F.struct(F.col("second").alias("ord"), F.col("first").alias("before"))),
+    )
+    seen = pairs.select(F.explode(places).alias("p")).where("p is not null").select("p.*")
+    known = seen.groupBy("ord").agg(F.count(F.lit(1)).alias("placed"), F.collect_set("before").alias("before"))
+    known = materialize(known.where(F.col("placed") == bands).drop("placed"), "chains")
+    heads = known.where(F.size("before") == 0).select("ord")
+    links = known.where(F.size("before") == 1).select("ord", F.col("before")[0].alias("root"), F.lit(1).alias("steps"))
+    while True:
+        ahead = links.select(F.col("ord").alias("root"), F.col("root").alias("_far"), F.col("steps").alias("_more"))
+        jumped = links.join(ahead, "root", "left").select(
+            "ord",
+            F.coalesce("_far", "root").alias("root"),
+            ((F.col("steps") + F.coalesce("_more", F.lit(0))) % 2).alias("steps"),
+            F.col("_far").isNotNull().alias("moved"),
+        )
+        jumped = materialize(jumped, "chains")
+        links = jumped.drop("moved")
+        if jumped.where("moved").isEmpty():
+            break
+    even = links.where("steps = 0").join(heads.withColumnRenamed("ord", "root"), "root", "left_semi")
+    return even.select("ord")
+
+
 def label_documents(
     docs: DataFrame, threshold: float = DEDUP_THRESHOLD, num_perm: int = NUM_PERM
 ) -> DataFrame:

@@ -237,3 +237,30 @@ def test_files_stay_few_over_many_groups(spark, tmp_path, monkeypatch):
     index.add(numbers(spark, 50, 60), 5)  # a group repeated after its run was merged
     assert index.present(numbers(spark, 0, 400), 5).count() == 50
     assert index.present(numbers(spark, 0, 400), 30).count() == 300
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """Alternating neighbours, branches and rings of them, against the loop."""
+    rounds = 0
+    real = dedup.materialize
+
+    def counting(df, label):
+        nonlocal rounds
+        rounds += label == "undecided"
+        return real(df, label)
+
+    monkeypatch.setattr(dedup, "materialize", counting)
+    chain = [(i, [f"a{i // 2}", f"b{(i + 1) // 2}"]) for i in range(2000)]
+    assert ords(dedup.greedy_keep(keyed(spark, chain), 2)) == greedy(chain) == list(range(0, 2000, 2))
+    assert rounds <= 15
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chains_among_others(spark, monkeypatch, seed):
+    monkeypatch.setattr(dedup, "CHAINS_FROM", seed % 2)
+    rng = random.Random(seed)
+    rows = []
+    for i in range(400):
+        near = max(0, i - rng.choice([1, 1, 1, 2, 7]))
+        rows.append((3 * i, [f"k{rng.choice([i, near])}" for _ in range(3)]))
+    assert ords(dedup.greedy_keep(keyed(spark, rows), 3)) == greedy(rows)
