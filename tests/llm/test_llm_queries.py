@@ -37,7 +37,13 @@ def test_query(spark, db, name):
     assert normal(got) == normal(want)
 
 
-@pytest.mark.parametrize("name", ["op4_shard", "op6_mix", "op8_top_k", "op10_jaccard_join"])
+@pytest.mark.parametrize(
+    "name",
+    [
+        "op1_secret_scan", "op3_license_scan", "op4_shard", "op5_pii", "op6_mix", "op7_warc", "op8_top_k",
+        "op9_decontaminate", "op10_jaccard_join", "op11_hard_negatives", "op12_sentencepiece", "op13_spelling_variants",
+    ],
+)
 def test_partitioning_does_not_matter(spark, name):
     want = normal(QUERIES[name](spark, FOLDER).toPandas())
     before = spark.conf.get("spark.sql.shuffle.partitions")
@@ -77,3 +83,39 @@ def test_pipeline(spark, tmp_path):
     assert sorted(ids["sharding"]) == sorted(ids["mixing"])
     again = corpus_pipeline.run(spark, FOLDER).toPandas()
     assert normal(again) == normal(seen["sharding"].toPandas())
+
+
+@pytest.mark.parametrize("kind", ["edge", "empty"])
+def test_pipeline_of_odd_rows(spark, tmp_path, edge, empty, kind):
+    """Nulls, empty and long texts, repeated rows, extra columns of clashing names, and no rows."""
+    import corpus_pipeline
+
+    folder = str(tmp_path)
+    docs = {"edge": edge, "empty": empty}[kind]
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels = [(i, i % 2, 0) for i in range(8)] if kind == "edge" else []
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    items = [(1, "a row without an id but with a text"), (2, None), (3, "")] if kind == "edge" else []
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    stage_docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, stage_docs, folder)
+        if name != "sharding":
+            assert out.columns == docs.columns
+        out.write.parquet(f"{folder}/{name}")
+        stage_docs = spark.read.parquet(f"{folder}/{name}")
+        if kind == "empty":
+            assert stage_docs.count() == 0
+    leaked = [r.text for r in spark.read.parquet(f"{folder}/decontamination").select("text").collect()]
+    assert "a row without an id but with a text" not in leaked
+
+
+def test_native_plans_have_no_python(spark, capsys):
+    """Operators 1, 5 and 6 are DataFrame functions all the way."""
+    from corpusmill.llm import mixing, pii, secrets
+    from corpusmill.plans.tables import table
+
+    docs = table(spark, FOLDER, "documents")
+    for df in (secrets.secret_report(docs), pii.pii_report(docs), mixing.mix_report(docs), mixing.mixed_documents(docs)):
+        plan = df._jdf.queryExecution().toString()
+        assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
