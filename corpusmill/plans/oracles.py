@@ -8,29 +8,27 @@ greedy near-duplicate rule.
 from __future__ import annotations
 
 import math
-
-from corpusmill.config import (
-    ACADEMIC_WEIGHTS,
-    BLOCK_SIZE,
-    BOS_ID,
-    EOS_ID,
-    FIRST_WORD_ID,
-    MAX_CHARS,
-    MIN_CHARS,
-    MIX_WEIGHTS,
-    NUM_PERM,
-    PAD_ID,
-    SHINGLE_CHARS,
-    SPLIT_SEEDS,
-    UNK_ID,
-    VAL_PERCENT,
-    VOCAB_SIZE,
-)
-from corpusmill.functions import minhash as mh
-from corpusmill.functions.tokens import SPACE_PATTERN, WORD_PATTERN
-from corpusmill.operators.mix import thresholds
-from corpusmill.plans import queries as q
-from corpusmill.plans.tables import CHOICES, ROLE_ENDS
+from types import SimpleNamespace
+
+# Fixed values, stated here on their own: nothing of the code under test is imported.
+VAL_PERCENT = 5
+MIN_CHARS, MAX_CHARS = 5, 20000  # both exclusive
+MIX_WEIGHTS = {"web": 0.45, "code": 0.25, "math": 0.20, "academic": 0.10}
+ACADEMIC_WEIGHTS = {"arxiv": 0.5, "books": 0.5}
+SPLIT_SEEDS = {"train": 42, "val": 1337}
+SHINGLE_CHARS, NUM_PERM = 5, 128
+SHINGLE_BASE, MIX_1, MIX_2 = 16777619, 2246822507, 3266489909
+VOCAB_SIZE, BLOCK_SIZE = 32000, 1024
+UNK_ID, BOS_ID, EOS_ID, PAD_ID, FIRST_WORD_ID = 0, 1, 2, 2, 3
+WORD_PATTERN = r"[\p{L}\p{N}_]+|[^\s\x0b\p{L}\p{N}_]"
+SPACE_PATTERN = r"[^\s\x0b]+"
+ROLE_ENDS = {"web": 8, "code": 13, "math": 17, "arxiv": 18}
+CHOICES = 4
+_BANDS, _ROWS = 5, 25
+q = SimpleNamespace(
+    FLAT_WEIGHTS={"web": 0.45, "code": 0.25, "math": 0.20, "arxiv": 0.05, "books": 0.05},
+    EPOCHS=(0, 1, 2), BATCH=4, VAL_BATCH=4, VAL_BLOCK=32, CONTEXT=1024, WORLD_SIZE=3,
+)
 
 # The same white space class as the Spark side, in RE2 escapes.
 WHITESPACE = (
@@ -80,7 +78,10 @@ DOCS = f"""d AS MATERIALIZED (
 
 
 def _case(weights: dict[str, float]) -> str:
-    ends = thresholds(weights)
+    total, so_far, ends = sum(weights.values()), 0.0, []
+    for name, weight in weights.items():
+        so_far += weight
+        ends.append((name, round(so_far / total * 2**32)))
     return "CASE " + " ".join(f"WHEN u < {end} THEN '{name}'" for name, end in ends) + " END"
 
 
@@ -435,7 +436,7 @@ def _xor_shift(value: str, bits: int) -> str:
 _MASK = (1 << 32) - 1
 _LEADS = range(SHINGLE_CHARS)
 _POLY = " + ".join(
-    f"c{j} * {pow(mh.SHINGLE_BASE, SHINGLE_CHARS - 1 - j, 1 << 32)}" for j in _LEADS
+    f"c{j} * {pow(SHINGLE_BASE, SHINGLE_CHARS - 1 - j, 1 << 32)}" for j in _LEADS
 )
 _FOLLOWING = ", ".join(
     f"lead(CAST(unicode(c) AS UBIGINT), {j}) OVER w AS c{j}, lead(c, {j}) OVER w AS s{j}"
@@ -450,15 +451,20 @@ grams AS MATERIALIZED (
   SELECT * FROM (SELECT doc_id, {_FOLLOWING} FROM chars WINDOW w AS (PARTITION BY doc_id ORDER BY i))
   WHERE c{SHINGLE_CHARS - 1} IS NOT NULL),
 sh1 AS (SELECT doc_id, {" || ".join(f"s{j}" for j in _LEADS)} AS g, ({_POLY}) & {_MASK} AS h FROM grams),
-sh2 AS (SELECT doc_id, g, ({_xor_shift("h", 16)} * {mh.MIX_1}) & {_MASK} AS h FROM sh1),
-sh3 AS (SELECT doc_id, g, ({_xor_shift("h", 13)} * {mh.MIX_2}) & {_MASK} AS h FROM sh2),
+sh2 AS (SELECT doc_id, g, ({_xor_shift("h", 16)} * {MIX_1}) & {_MASK} AS h FROM sh1),
+sh3 AS (SELECT doc_id, g, ({_xor_shift("h", 13)} * {MIX_2}) & {_MASK} AS h FROM sh2),
 sh AS MATERIALIZED (SELECT doc_id, g, {_xor_shift("h", 16)} AS h FROM sh3)"""
 
 
 def _signature_sql() -> str:
-    a, b = mh.permutations()
+    # Odd multipliers, then offsets, from the high halves of a 64-bit recurrence.
+    state, values = 2654435769, []
+    for _ in range(2 * NUM_PERM):
+        state = (state * 6364136223846793005 + 1442695040888963407) % 2**64
+        values.append(state >> 32)
+    a, b = [v | 1 for v in values[:NUM_PERM]], values[NUM_PERM:]
     minima = ",\n".join(
-        f"min((h * {int(a[i])} + {int(b[i])}) & {_MASK})" for i in range(NUM_PERM)
+        f"min((h * {a[i]} + {b[i]}) & {_MASK})" for i in range(NUM_PERM)
     )
     return f"""
 sig0 AS MATERIALIZED (
@@ -466,11 +472,10 @@ sig0 AS MATERIALIZED (
   FROM (SELECT DISTINCT doc_id, h FROM sh) GROUP BY doc_id),
 sig AS MATERIALIZED (
   SELECT nrm.doc_id,
-         coalesce(sig0.sig, list_transform(range({NUM_PERM}), lambda x: {mh.EMPTY_HASH})) AS sig
+         coalesce(sig0.sig, list_transform(range({NUM_PERM}), lambda x: {_MASK})) AS sig
   FROM nrm LEFT JOIN sig0 USING (doc_id))"""
 
 
-_BANDS, _ROWS = mh.band_shape()
 BAND_ROWS = f"""
 bands AS MATERIALIZED (
   SELECT doc_id, CAST(band AS INT) AS band,
