@@ -551,6 +551,10 @@ ORACLES: dict[str, str] = {
         SELECT item_id, ctx, array_to_string(endings, '|') AS endings, label FROM items
         ORDER BY item_id LIMIT 25""",
     "log_sink_roundtrip": _with(LOG) + "SELECT run_id, step, loss FROM lg",
+    "validation_log": _with(LOG) + """
+        SELECT run_id, count(*) AS validations, min(loss) AS best_loss,
+               arg_min(step, (loss, step)) AS best_step
+        FROM (SELECT run_id, step, round(loss, 4) AS loss FROM lg WHERE step % 5 = 0) GROUP BY run_id""",
     "packed_sink": _with(
         *BASE, _packed_corpus("t", "train", (0, 1)), _packed_corpus("v", "val", (0,)), recursive=True
     ) + """

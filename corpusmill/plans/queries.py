@@ -35,6 +35,7 @@ VAL_BATCH = 4
 VAL_BLOCK = 32  # small, so that there are more batches than a prefix takes
 PREFIX_BATCHES = 10  # of the prefix that is a query of its own
 WORLD_SIZE = 3
+VALIDATE_STEPS = 5  # between validations: runs are short here
 SUBWORD_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # of a public tokenizer
 SHUFFLE_SEED = 7
 FIRST_ITEMS = 25
@@ -166,6 +167,20 @@ def log_sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.read_log(spark, path)
 
 
+@query
+def validation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A validation log, appended line group by line group, and the best loss of each run in it."""
+    log = trainlog.with_steps(training_log(spark, sf_dir)).where(F.col("step") % VALIDATE_STEPS == 0)
+    path = new_path(spark, "val_log")
+    for part in (F.col("step") <= 3 * VALIDATE_STEPS, F.col("step") > 3 * VALIDATE_STEPS):
+        logs.append_log(log.where(part), path, logs.VALIDATION_DIGITS)
+    return logs.read_log(spark, path).groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("validations"),
+        F.min("loss").alias("best_loss"),
+        F.min_by("step", F.struct("loss", "step")).alias("best_step"),
+    )
+
+
 @query
 def packed_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "packed")

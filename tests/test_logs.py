@@ -88,6 +88,8 @@ def test_log_files(spark, tmp_path):
     append_log(log.select("run_id", (F.col("step") + 20).alias("step"), "loss"), path)
     got = sorted((r.step, r.loss) for r in read_log(spark, path).collect())
     assert got == [(10, 2.25), (20, None), (30, 2.25), (40, None)]
+    append_log(spark.createDataFrame([(1, 50, 1.23456)], "run_id bigint, step bigint, loss double"), path, digits=4)
+    assert read_log(spark, path).where("step = 50").first().loss == 1.2346
 
 
 def test_ema_over_long_gaps(spark):
