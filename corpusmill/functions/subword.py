@@ -6,7 +6,7 @@ merged pair by pair, the pair whose joint string has the least rank first; every
 a token of its own, so any text has ids, and its ids give back exactly the text.
 
 Words repeat, so an Arrow batch merges its distinct words only, and a worker remembers
-words within a fixed bound.
+words within a fixed bound. Ids are put to their places piece by piece of a batch.
 """
 
 from __future__ import annotations
@@ -20,12 +20,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.functions.pieces import pieces
+
 # Fixed value: how public byte-level vocabularies of this kind cut a text into words.
 WORD_PATTERN = (
     r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
 RANK_BYTES = 1 << 26  # of a vocabulary file at most: it goes to every task
 REMEMBERED = 1 << 17  # words of a worker
+LISTED = 1 << 14  # words whose ids are lists at once
 
 
 class Ranks:
@@ -78,6 +81,15 @@ class Ranks:
             found = self.words[word] = self.merged(word.encode())
         return found
 
+    def spelled(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and the ids of all; lists of few words exist at a time."""
+        sizes, flat = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+        for at in range(0, len(words), LISTED):
+            rows = [self.ids(w) for w in words.slice(at, LISTED).to_pylist()]
+            sizes.append(np.array([len(r) for r in rows], np.int64))
+            flat.append(np.array([i for r in rows for i in r], np.int32))
+        return np.concatenate(sizes), np.concatenate(flat)
+
 
 class SubwordTokenizer:
     """Tokenizer (see ``functions.tokens``) over ranked byte strings.
@@ -96,23 +108,23 @@ class SubwordTokenizer:
             known = shared.value
             for lists in batches:
                 coded = pc.dictionary_encode(lists.flatten())
-                rows = [known.ids(w) for w in coded.dictionary.to_pylist()]
-                sizes = np.array([len(r) for r in rows], np.int64)
-                flat = np.array([i for r in rows for i in r], np.int32)
-                at = coded.indices.to_numpy(zero_copy_only=False)
-                # Each place takes its word's run of ids.
-                taken = sizes[at]
-                ends = np.cumsum(taken)
-                starts = (np.cumsum(sizes) - sizes)[at]
-                ids = flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - taken), taken)]
-                offsets = lists.offsets.to_numpy()
-                before = np.concatenate([[0], ends])[offsets - offsets[0]].astype(np.int32)
-                yield pa.ListArray.from_arrays(pa.array(before), pa.array(ids))
+                sizes, flat = known.spelled(coded.dictionary)
+                before = np.cumsum(sizes) - sizes
+                for part in pieces([pa.ListArray.from_arrays(pc.subtract(lists.offsets, lists.offsets[0]), coded.indices)]):
+                    at = part.flatten().to_numpy(zero_copy_only=False)
+                    # Each place takes its word's run of ids.
+                    taken = sizes[at]
+                    ends = np.cumsum(taken)
+                    starts = before[at]
+                    ids = flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - taken), taken)]
+                    offsets = part.offsets.to_numpy()
+                    runs = np.concatenate([[0], ends])[offsets - offsets[0]].astype(np.int32)
+                    yield pa.ListArray.from_arrays(pa.array(runs), pa.array(ids))
 
         @F.arrow_udf("string")
         def spell(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             tokens = pa.array([*shared.value.tokens, b""], pa.binary())
-            for lists in batches:
+            for lists in pieces(batches):
                 flat = lists.flatten().cast(pa.int64())
                 inside = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(tokens) - 1))
                 spelled = pc.take(tokens, pc.if_else(inside, flat, len(tokens) - 1))

@@ -2,7 +2,7 @@
 
 A vocabulary is a table ``(token, id, n)`` of the size its maker chose, whatever the size
 of the corpus. Its bytes are counted before it is shipped to every task. Splitting text into tokens stays in the JVM; the
-lookup runs on whole Arrow batches.
+lookup runs on Arrow batches, the rest piece by piece of a batch, of bounded size.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.config import PAD_ID, UNK_ID
+from corpusmill.functions.pieces import pieces
 
 # Fixed values of the two built-in token rules.
 WORD_PATTERN = r"[\p{L}\p{N}_]+|[^\s\x0b\p{L}\p{N}_]"
@@ -74,7 +75,8 @@ class VocabTokenizer:
                 tokens = pc.dictionary_encode(found.flatten().cast(pa.string()))
                 at = pc.index_in(tokens.dictionary, value_set=values)
                 by_token = pc.fill_null(pc.take(coded_as, at), UNK_ID)
-                yield pa.ListArray.from_arrays(_offsets(found), pc.take(by_token, tokens.indices))
+                for part in pieces([pa.ListArray.from_arrays(_offsets(found), tokens.indices)]):
+                    yield pa.ListArray.from_arrays(_offsets(part), pc.take(by_token, part.flatten()))
 
         @F.arrow_udf("string")
         def spell(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -82,7 +84,7 @@ class VocabTokenizer:
             by_id = np.full(max(ids, default=0) + 2, None, dtype=object)
             by_id[np.asarray(ids, dtype=np.int64)] = known
             spelling = pa.array(by_id, pa.string())
-            for found in batches:
+            for found in pieces(batches):
                 flat = pc.min_element_wise(found.flatten().cast(pa.int64()), len(by_id) - 1)
                 spelled = pc.take(spelling, flat)
                 keep = pc.is_valid(spelled)
