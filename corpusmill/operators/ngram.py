@@ -10,6 +10,9 @@ contexts that have one.
 Neither the model nor the sequences reach the driver or are broadcast: windows of
 sequences are made distinct, meet the model in a shuffled join, and go back to their
 places by another.
+
+Inside, an n-gram is a number per position rather than an array: such keys are hashed and
+sorted by generated code, arrays are not.
 """
 
 from __future__ import annotations
@@ -26,29 +29,41 @@ ORDER = 3
 DISCOUNT = 0.75  # taken off every count, below 1
 
 MODEL_SCHEMA = "gram array<int>, log_p double, log_back double"
+NO_ID = 1 << 40  # in the place of a null id, since null keys join with nothing
+ABSENT = 1 << 41  # in the places in front of an n-gram of a lower order
 
 
-def ngram_counts(sequences: DataFrame, order: int = ORDER) -> DataFrame:
-    """``(gram, n)`` of all n-grams of ``sequences (tokens)``, counted before the shuffle.
+def _names(order: int) -> list[str]:
+    """Columns of the positions of an n-gram: the last is ``g1``, the one before ``g2``."""
+    return [f"g{i}" for i in range(order, 0, -1)]
 
-    Beginning ids in front and one end id behind make every token, and the end, the last
-    of exactly one n-gram. Null tokens count as none.
-    """
+
+def _number(token: Column) -> Column:
+    return F.coalesce(token.cast("bigint"), F.lit(NO_ID))
+
+
+def _id(number: Column) -> Column:
+    return F.when(number < NO_ID, number).cast("int")
+
+
+def _counted(sequences: DataFrame, order: int) -> DataFrame:
+    """``ngram_counts`` with a column per position."""
     tokens = F.coalesce("tokens", F.array().cast("array<int>"))
     padded = F.concat(F.array_repeat(F.lit(BOS_ID), order - 1), tokens, F.array(F.lit(EOS_ID)))
-    ends = F.sequence(F.lit(0), F.size("padded") - order)
-    grams = sequences.select(padded.alias("padded")).select(
-        F.explode(F.transform(ends, lambda at: F.slice("padded", at + 1, F.lit(order)))).alias("gram")
-    )
-    return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-
+    held = sequences.select(padded.alias("padded"))
+    size = F.size("padded") - (order - 1)
+    runs = F.arrays_zip(*[F.slice("padded", F.lit(i + 1), size).alias(n) for i, n in enumerate(_names(order))])
+    grams = held.select(F.inline(runs).alias(*_names(order))).select(*[_number(F.col(n)).alias(n) for n in _names(order)])
+    return grams.groupBy(*_names(order)).agg(F.count(F.lit(1)).alias("n"))
 
-def _head(gram: Column) -> Column:
-    return F.slice(gram, F.lit(1), F.size(gram) - 1)
 
+def ngram_counts(sequences: DataFrame, order: int = ORDER) -> DataFrame:
+    """``(gram, n)`` of all n-grams of ``sequences (tokens)``, counted before the shuffle.
 
-def _tail(gram: Column) -> Column:
-    return F.slice(gram, F.lit(2), F.size(gram) - 1)
+    Beginning ids in front and one end id behind make every token, and the end, the last
+    of exactly one n-gram. Null tokens count as none.
+    """
+    return _counted(sequences, order).select(F.array(*[_id(F.col(n)) for n in _names(order)]).alias("gram"), "n")
 
 
 class NgramModel:
@@ -62,39 +77,43 @@ class NgramModel:
         if order < 1 or not 0 < discount < 1:
             raise ValueError("an order of 1 at least and a discount between 0 and 1")
         self.order = order
-        counts = [materialize(ngram_counts(sequences, order), "ngrams")]
-        for _ in range(order - 1):
-            shorter = counts[-1].groupBy(_tail(F.col("gram")).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        counts = [materialize(_counted(sequences, order), "ngrams")]
+        for size in range(order - 1, 0, -1):
+            shorter = counts[-1].groupBy(*_names(size)).agg(F.count(F.lit(1)).alias("n"))
             counts.append(materialize(shorter, "ngrams"))
         counts.reverse()  # from unigrams up
         total, types = counts[0].agg(F.sum("n"), F.count(F.lit(1))).first()
         # Nothing counted: all ids are alike.
         rest = discount * types / total / ids if total else 1.0 / ids
         self.unseen = rest
-        lower = counts[0].select("gram", (F.greatest(F.col("n") - discount, F.lit(0.0)) / F.lit(float(total or 1)) + rest).alias("p"))
+        lower = counts[0].select("g1", (F.greatest(F.col("n") - discount, F.lit(0.0)) / F.lit(float(total or 1)) + rest).alias("p"))
         lower = materialize(lower, "ngram_p")
         probabilities, weights = [lower], []
-        for grams in counts[1:]:
-            contexts = grams.groupBy(_head(F.col("gram")).alias("context")).agg(
+        for size, grams in enumerate(counts[1:], 2):
+            names, tail = _names(size), _names(size - 1)
+            heads = names[:-1]
+            contexts = grams.groupBy(*heads).agg(
                 F.sum("n").alias("total"), (discount * F.count(F.lit(1)) / F.sum("n")).alias("back")
             )
             contexts = materialize(contexts, "ngram_contexts")
-            weights.append(contexts.select(F.col("context").alias("gram"), "back"))
-            keyed = grams.select("gram", "n", _head(F.col("gram")).alias("context"), _tail(F.col("gram")).alias("tail"))
-            known = keyed.join(contexts, "context").join(lower.select(F.col("gram").alias("tail"), F.col("p").alias("below")), "tail")
+            weights.append(contexts.select(*[F.col(h).alias(n) for h, n in zip(heads, tail, strict=True)], "back"))
+            known = grams.join(contexts, heads).join(lower.withColumnRenamed("p", "below"), tail)
             p = F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("total") + F.col("back") * F.col("below")
-            lower = materialize(known.select("gram", p.alias("p")), "ngram_p")
+            lower = materialize(known.select(*names, p.alias("p")), "ngram_p")
             probabilities.append(lower)
         rows = None
-        for part in probabilities:
+        for size, part in enumerate(probabilities, 1):
+            names = _names(size)
+            if size < order:  # contexts of beginning ids are no n-grams themselves
+                part = part.join(weights[size - 1], names, "full")
+            else:
+                part = part.withColumn("back", F.lit(None).cast("double"))
+            absent = [F.lit(ABSENT).alias(n) for n in _names(order)[: order - size]]
+            part = part.select(*absent, *names, F.log("p").alias("log_p"), F.log("back").alias("log_back"))
             rows = part if rows is None else rows.unionByName(part)
-        backs = rows.select("gram", F.lit(1.0).alias("back")).limit(0)
-        for part in weights:
-            backs = backs.unionByName(part)
-        joined = rows.join(backs, "gram", "full")  # contexts of beginning ids are no n-grams themselves
-        self.table = materialize(
-            joined.select("gram", F.log("p").alias("log_p"), F.log("back").alias("log_back")), "ngram_model"
-        )
+        self.numbered = materialize(rows, "ngram_model")
+        gram = F.filter(F.array(*_names(order)), lambda t: t < ABSENT)
+        self.table = self.numbered.select(F.transform(gram, _id).alias("gram"), "log_p", "log_back")
 
     def score(self, windows: DataFrame) -> DataFrame:
         """``(window, nll)`` of distinct ``windows (window)``: a target behind its context.
@@ -110,7 +129,10 @@ class NgramModel:
             F.when(k <= size, F.slice("window", F.greatest(size - k + 1, F.lit(1)), k - 1)).alias("gram"),
         ))
         asked = windows.select("window", F.inline(F.concat(ends, contexts))).where("gram is not null")
-        found = asked.join(self.table, "gram", "left")
+        for i, name in enumerate(reversed(_names(self.order)), 1):
+            number = F.when(F.size("gram") >= i, _number(F.try_element_at("gram", F.lit(-i)))).otherwise(F.lit(ABSENT))
+            asked = asked.withColumn(name, number)
+        found = asked.join(self.numbered, _names(self.order), "left")
         # At most two rows per order of a window.
         known = found.groupBy("window").agg(
             F.max(F.when(~F.col("is_context") & F.col("log_p").isNotNull(), F.struct("k", "log_p"))).alias("best"),

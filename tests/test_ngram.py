@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from corpusmill.config import BOS_ID, EOS_ID
-from corpusmill.operators.ngram import NgramModel, context_val_loss
+from corpusmill.operators.ngram import NgramModel, context_val_loss, ngram_counts
 
 
 class Plain:
@@ -88,3 +88,15 @@ def test_nothing_counted(spark):
 def test_bad_settings(spark):
     with pytest.raises(ValueError, match="discount"):
         NgramModel(sequences(spark, [[3]]), 8, discount=1.0)
+
+
+def test_ngrams_are_no_array_keys(spark):
+    """Joins and groups of the model go by a number per position; ids may be null."""
+    model = NgramModel(sequences(spark, [[3, 4, None], [3, 4, 5], None]), 9)
+    assert model.numbered.columns == ["g3", "g2", "g1", "log_p", "log_back"]
+    assert all(r.gram is not None and 1 <= len(r.gram) <= 3 for r in model.table.collect())
+    found = {tuple(r.gram): r.n for r in ngram_counts(sequences(spark, [[3, 4, None], [3, 4, 5], None])).collect()}
+    assert found == {
+        (BOS_ID, BOS_ID, 3): 2, (BOS_ID, 3, 4): 2, (3, 4, None): 1, (4, None, EOS_ID): 1, (3, 4, 5): 1, (4, 5, EOS_ID): 1,
+        (BOS_ID, BOS_ID, EOS_ID): 1,
+    }
