@@ -22,6 +22,7 @@ def components(links: DataFrame) -> DataFrame:
         labels = scope.keep(
             both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")), "labels"
         )
+        written = labels
         changed = not labels.isEmpty()
         while changed:
             near = both.join(labels.withColumnsRenamed({"node": "b"}), "b").groupBy(F.col("a").alias("node"))
@@ -34,8 +35,7 @@ def components(links: DataFrame) -> DataFrame:
             jumped = stepped.join(far, "next").select("node", "component", "far")
             jumped = scope.keep(jumped, "labels")
             changed = not jumped.where(F.col("far") != F.col("component")).isEmpty()
-            new = jumped.select("node", F.col("far").alias("component"))
-            scope.drop(labels, stepped)
-            labels = scope.keep(new, "labels")
-            scope.drop(jumped)
+            # The next round reads the new labels where they are, without another write.
+            scope.drop(written, stepped)
+            written, labels = jumped, jumped.select("node", F.col("far").alias("component"))
         return materialize(labels, "components")

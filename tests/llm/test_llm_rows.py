@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm import decontaminate, jaccard, licenses, mixing, quality, rows, sharding, vectors, warc
 from corpusmill.llm.graph import components
 from corpusmill.scratch import Scope
+from corpusmill.scratch import Scope
 
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -648,3 +649,11 @@ def test_rows_that_the_classifier_is_fitted_on(spark):
         own = chosen[:most]
         want = quality.fit(np.array([rows[i][2] for i in own]), np.array([float(rows[i][2][0] > 0) for i in own]))
         assert np.allclose(quality.train(computed, labels, most), want)
+
+
+def test_a_round_of_components_writes_two_tables(spark, monkeypatch):
+    written, keep = [], Scope.keep
+    monkeypatch.setattr(Scope, "keep", lambda scope, df, label: written.append(label) or keep(scope, df, label))
+    got = {r.node: r.component for r in components(spark.createDataFrame([(1, 2)], "a bigint, b bigint")).collect()}
+    assert got == {1: 1, 2: 1}
+    assert written == ["links", "labels", "labels", "labels"]  # the first labels and one round
