@@ -66,17 +66,14 @@ class VocabTokenizer:
         self.ids = rows["id"].to_pylist()
         shared = vocab.sparkSession.sparkContext.broadcast((self.tokens, self.ids))
 
-        # Tables are made once per task, and distinct tokens of a batch are looked up once.
+        # Tables are made once per task. Nothing of a batch's size is made beside the batch.
         @F.arrow_udf("array<int>")
         def lookup(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             known, ids = shared.value
             values, coded_as = pa.array(known, pa.string()), pa.array(ids, pa.int32())
-            for found in batches:
-                tokens = pc.dictionary_encode(found.flatten().cast(pa.string()))
-                at = pc.index_in(tokens.dictionary, value_set=values)
-                by_token = pc.fill_null(pc.take(coded_as, at), UNK_ID)
-                for part in pieces([pa.ListArray.from_arrays(_offsets(found), tokens.indices)]):
-                    yield pa.ListArray.from_arrays(_offsets(part), pc.take(by_token, part.flatten()))
+            for found in pieces(batches):
+                at = pc.index_in(found.flatten().cast(pa.string()), value_set=values)
+                yield pa.ListArray.from_arrays(_offsets(found), pc.fill_null(pc.take(coded_as, at), UNK_ID))
 
         @F.arrow_udf("string")
         def spell(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -105,9 +102,12 @@ class VocabTokenizer:
         return self._lookup(self.split(F.coalesce(text, F.lit(""))))
 
     def decode(self, ids: Column) -> Column:
-        """Tokens joined with spaces; special and unknown ids are skipped."""
+        """Tokens joined with spaces; special and unknown ids are skipped, null ids have the empty text.
+
+        Of ids that ``encode`` has just made, the same Python worker makes the text.
+        """
         self._must_fit()
-        return self._spell(F.coalesce(ids, F.array().cast("array<int>")))
+        return self._spell(ids)
 
 
 def _offsets(lists: pa.ListArray) -> pa.Array:

@@ -64,6 +64,16 @@ def test_decode_skips_special_and_foreign_ids(spark, lexicon):
     assert got == [f"{word.token} {word.token}", "", ""]
 
 
+def test_one_python_worker_makes_ids_and_text(spark, lexicon):
+    rows = spark.createDataFrame([(0, "the cat"), (1, None), (2, "")], "ord bigint, text string")
+    back = tokenize(rows, lexicon.tokenizer, "ord").select("ord", lexicon.tokenizer.decode(F.col("tokens")).alias("text"))
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert {r.ord: r.text for r in back.collect()} == {0: "the cat", 1: "", 2: ""}
+    ids = spark.createDataFrame([(None,), ([],), ([FIRST_WORD_ID, None],)], "ids array<int>").coalesce(1)
+    assert [r.t for r in ids.select(lexicon.tokenizer.decode(F.col("ids")).alias("t")).collect()] == ["", "", "the"]
+
+
 def test_lookup_on_sliced_batches(spark, lexicon):
     df = spark.range(500).select(F.concat(F.lit("the cat "), F.col("id")).alias("text"), "id")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
