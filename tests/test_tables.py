@@ -1,5 +1,7 @@
 """The given tables reach the jobs in tasks of bounded size, wherever their rows lie."""
 
+import glob
+
 from pyspark.sql import functions as F
 
 from corpusmill.plans import tables
@@ -21,3 +23,17 @@ def test_more_texts_make_more_tasks(spark, tmp_path, monkeypatch):
     assert sum(held) == 400 and max(held) < 40
     few = tables.spread_documents(spark, str(tmp_path)).where("doc_id < 5")
     assert sorted(r.doc_id for r in few.collect()) == list(range(5))
+
+
+def test_a_delivery_of_rows_from_one_file_is_read_by_all_tasks(spark, tmp_path):
+    _one_file(spark, tmp_path, 600)
+    docs = tables.documents(spark, str(tmp_path)).select("ord", "text")
+    cores, seen = spark.sparkContext.defaultParallelism, 0
+    for step, path in enumerate(tables.arrivals(docs, "deliveries"), 1):
+        files = glob.glob(f"{path.removeprefix('file:')}/*.parquet")
+        assert len(files) == cores * step
+        rows = spark.read.parquet(path)
+        found = sorted(r.ord for r in rows.collect())
+        assert found == list(range(200 * step))
+        seen = rows.count()
+    assert seen == 600
