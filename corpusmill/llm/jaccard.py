@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.graph import components
-from corpusmill.llm.rows import KEY, bit_filter, may_hold, row_key, slices
+from corpusmill.llm.rows import KEY, among, bit_filter, may_hold, row_key, slices
 from corpusmill.llm.shingles import shingle_sets
 from corpusmill.scratch import Scope, materialize
 
@@ -47,9 +47,10 @@ MOST_FREQUENT = 1 << 20  # such shingles at most: 8 MB to broadcast
 DENSE = 32  # classes up to which a column is multiplied out at once
 MAP_WORDS = 32  # of 64 bits each, of the bitmap of a class
 BLOCK_ROWS = 4096  # members of a column in one block of a product, about
+VISIT_ROWS = 8192  # rows that visit a block together, about
 VISITORS = 512  # rows of one product
 PIVOTS = 3  # with which the members of a column are compared one after the other
-COUNTED = 1 << 21  # hashes that a task counts at once
+COUNTED = 1 << 18  # hashes that a task counts at once
 SHARED_BITS = 1 << 26  # of the filter that knows shingles of several documents: 8 MB
 _ZONE_END = np.uint64(int(ZONE * (1 << 64)))
 
@@ -146,9 +147,7 @@ def fingerprints(docs: DataFrame, last: np.ndarray, several: Broadcast) -> DataF
 
     def prefix(hashes: np.ndarray) -> np.ndarray:
         first = _prefix(hashes, late.value)
-        words, bit = several.value, first & np.uint64(64 * len(several.value) - 1)
-        known = (words[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-        return first[known | (first >= _ZONE_END)]
+        return first[among(several.value, first) | (first >= _ZONE_END)]
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
@@ -177,19 +176,24 @@ def class_sets(texts: DataFrame, classes: DataFrame) -> DataFrame:
     """``(cid, shingles)`` of ``classes (cid, digest)``, from the texts that have them.
 
     Sets are computed again rather than kept for all documents. A filter of fixed size
-    drops most texts of other classes before the shuffle that finds the right ones.
+    drops most texts of other classes in the task that computes them, before they leave Python.
     """
-    shared = bit_filter(classes.select(F.xxhash64("digest").alias("hash")))
+    head = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("bigint")
+    shared = bit_filter(classes.select(head.alias("hash")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
             found = [s for s in shingle_sets(batch.column(0).to_pylist()) if len(s)]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found]
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), _lists(found)], ["digest", "shingles"])
+            heads = np.array([int.from_bytes(d[:8]) for d in digests], dtype=np.uint64)
+            own = np.flatnonzero(among(shared.value, heads))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([digests[i] for i in own], pa.binary()), _lists([found[i] for i in own])], ["digest", "shingles"]
+            )
 
     computed = texts.select("text").mapInArrow(sets, "digest binary, shingles array<bigint>")
     # One set per class and task, then one per class: copies add nothing to the shuffle.
-    once = computed.where(may_hold(shared, F.xxhash64("digest"))).groupBy("digest").agg(F.first("shingles").alias("shingles"))
+    once = computed.groupBy("digest").agg(F.first("shingles").alias("shingles"))
     return once.join(classes.select("digest", "cid"), "digest").select("cid", "shingles")
 
 
@@ -253,56 +257,89 @@ def _around(labelled: DataFrame, step: int) -> DataFrame:
     return met.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
 
 
+class _Members:
+    """Rows ``(cid, n, component, bits, columns)`` of a block; bits stay packed."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.cid, self.n, self.component = (rows[c].to_numpy() for c in ("cid", "n", "component"))
+        self.bits = np.stack(rows["bits"].to_numpy()).astype(np.int64).view(np.uint8)
+        marks = np.bitwise_count(self.bits).sum(axis=1, dtype=np.int64)
+        self.rest = self.n - marks  # shingles that share a bit with another one
+        self._columns, self._sets = rows["columns"].to_numpy(), {}
+
+    def columns(self, row: int) -> set[int]:
+        if row not in self._sets:
+            self._sets[row] = set(self._columns[row].tolist())
+        return self._sets[row]
+
+
+def _products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many bits the rows of two packed matrices share, from ``VISITORS`` of either at a time."""
+    unpacked = lambda packed: np.unpackbits(packed, axis=1).astype(np.float32)
+    left, out = unpacked(x), np.empty((len(x), len(y)), np.float32)
+    for at in range(0, len(y), VISITORS):
+        out[:, at : at + VISITORS] = left @ unpacked(y[at : at + VISITORS]).T
+    return out
+
+
+def _pair(a: int, b: int) -> tuple[int, int]:
+    return (int(a), int(b)) if a < b else (int(b), int(a))
+
+
 def _blocked(split: DataFrame, best: bool) -> DataFrame:
     """Promising pairs ``(a, b)`` of members of different components, column by column.
 
     ``split (hash, cid, n, component, bits, columns)``. Of two such members one at least is
     outside of its column's largest component: it visits the blocks, of bounded size, over
-    which the members of its size and the neighbouring ones are dealt. A pair comes out in
-    the first column it shares. With ``best``, only the likeliest partners in a block:
-    linking these first joins most components, so that few pairs are left for the rest.
+    which the members of its size and the neighbouring ones are dealt. The visits to a block
+    are dealt too, so a task never holds more than a block and ``VISIT_ROWS`` visitors, about.
+    A pair comes out in the first column it shares. With ``best``, only the likeliest
+    partners in a block: linking these first joins most components, so that few pairs are
+    left for the rest.
     """
     sized = split.withColumn("size", _size_class(F.col("n")))
     counts = sized.groupBy("hash", "component").agg(F.count(F.lit(1)).alias("members"))
     largest = counts.groupBy("hash").agg(F.max_by("component", F.struct("members", "component")).alias("largest"))
-    blocks = sized.groupBy("hash", "size").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-    members = sized.join(blocks, ["hash", "size"]).withColumn(
-        "block", F.pmod(F.xxhash64("cid"), F.col("blocks").cast("long")).cast("int")
-    )
     outside = sized.join(largest, "hash").where(F.col("component") != F.col("largest"))
     near = outside.withColumn("size", F.explode(F.array(F.col("size") - 1, "size", F.col("size") + 1)))
-    visits = near.join(blocks, ["hash", "size"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    shown = ["hash", "size", "block", "cid", "n", "component", "bits", "columns"]
+    blocks = sized.groupBy("hash", "size").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    rounds = near.groupBy("hash", "size").agg(F.ceil(F.count(F.lit(1)) / VISIT_ROWS).cast("int").alias("rounds"))
+    # Cells that nobody visits make no pairs.
+    cells = blocks.join(rounds, ["hash", "size"])
+    dealt = lambda name, *seed: F.pmod(F.xxhash64("cid", *seed), F.col(name).cast("long")).cast("int")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    members = sized.join(cells, ["hash", "size"]).withColumn("block", dealt("blocks")).withColumn("round", every("rounds"))
+    visits = near.join(cells, ["hash", "size"]).withColumn("round", dealt("rounds", F.lit(1))).withColumn("block", every("blocks"))
+    shown = ["hash", "size", "block", "round", "cid", "n", "component", "bits", "columns"]
     met = members.select(*shown, F.lit(False).alias("visits")).unionByName(visits.select(*shown, F.lit(True).alias("visits")))
 
-    def unpacked(side: pd.DataFrame) -> np.ndarray:
-        packed = np.stack(side["bits"].to_numpy()).astype(np.int64)
-        return np.unpackbits(packed.view(np.uint8), axis=1).astype(np.float32)
-
     def multiply(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        column = key[0]
-        right, visitors = rows[~rows["visits"]], rows[rows["visits"]]
-        out: set[tuple[int, int]] = set()
-        y = unpacked(right) if len(right) and len(visitors) else None
-        for at in range(0, len(visitors) if y is not None else 0, VISITORS):
-            left = visitors.iloc[at : at + VISITORS]
-            x = unpacked(left)
-            n, m = left["n"].to_numpy(), right["n"].to_numpy()
-            a, b = left["cid"].to_numpy(), right["cid"].to_numpy()
-            most = np.minimum.outer(n - x.sum(axis=1), m - y.sum(axis=1)) + x @ y.T
-            fits = most * (100 + PERCENT) >= PERCENT * np.add.outer(n, m)
-            fits &= np.not_equal.outer(left["component"].to_numpy(), right["component"].to_numpy())
-            if best:
-                most = np.where(fits, most, -1)
-                found = [(a[p], b[most[p].argmax()]) for p in np.flatnonzero(fits.any(axis=1))]
-                found += [(a[most[:, q].argmax()], b[q]) for q in np.flatnonzero(fits.any(axis=0))]
-            else:
-                one, two = [set(c) for c in left["columns"]], [set(c) for c in right["columns"]]
-                found = [(a[p], b[q]) for p, q in zip(*np.nonzero(fits), strict=True) if min(one[p] & two[q]) == column]
-            out.update((min(p), max(p)) for p in found)
+        column, out = key[0], set()
+        if rows["visits"].all() or not rows["visits"].any():
+            return pd.DataFrame([], columns=["a", "b"], dtype="int64")
+        visitors, right = _Members(rows[rows["visits"]]), _Members(rows[~rows["visits"]])
+        for at in range(0, len(visitors.cid), VISITORS):
+            chosen = np.arange(at, min(at + VISITORS, len(visitors.cid)))
+            shared = _products(visitors.bits[chosen], right.bits)
+            likeliest, partner = np.full(len(right.cid), -1.0), np.zeros(len(right.cid), np.int64)
+            # Row by row, so that nothing but the product itself is as large as a product.
+            for p, common in zip(chosen, shared, strict=True):
+                most = np.minimum(visitors.rest[p], right.rest) + common.astype(float)
+                fits = most * (100 + PERCENT) >= PERCENT * (visitors.n[p] + right.n)
+                fits &= visitors.component[p] != right.component
+                if best and fits.any():
+                    most[~fits] = -1
+                    out.add(_pair(visitors.cid[p], right.cid[most.argmax()]))
+                    better = most > likeliest
+                    likeliest[better], partner[better] = most[better], visitors.cid[p]
+                elif not best:
+                    for q in np.flatnonzero(fits):
+                        if min(visitors.columns(p) & right.columns(q)) == column:
+                            out.add(_pair(visitors.cid[p], right.cid[q]))
+            out.update(_pair(partner[q], right.cid[q]) for q in np.flatnonzero(likeliest >= 0))
         return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
 
-    return met.groupBy("hash", "size", "block").applyInPandas(multiply, "a bigint, b bigint")
+    return met.groupBy("hash", "size", "block", "round").applyInPandas(multiply, "a bigint, b bigint")
 
 
 def _linked(

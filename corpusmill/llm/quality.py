@@ -232,6 +232,9 @@ def good_documents(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> Da
     def measured(texts: pa.Array) -> pa.Array:
         return pa.array([features(t.as_py()) for t in texts], pa.list_(pa.float64()))
 
+    # Else the filter that Spark derives from the join computes it once more, in a worker of its own.
+    measured = measured.asNondeterministic()
+
     with Scope(docs.sparkSession) as scope:
         computed = scope.keep(document_features(docs), "features")
         weights = train(computed, labels)

@@ -46,14 +46,18 @@ def bit_filter(hashes: DataFrame, bits: int = FILTER_BITS) -> Broadcast:
     return hashes.sparkSession.sparkContext.broadcast(out)
 
 
+def among(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether unsigned hashes may be of a filter's, given its words: always true for those."""
+    bit = hashes & np.uint64(64 * len(words) - 1)
+    return (words[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
 def may_hold(shared: Broadcast, hashes: Column) -> Column:
     """Whether hashes may be of the filter's: always true for those."""
 
     @F.arrow_udf("boolean")
     def seen(values: pa.Array) -> pa.Array:
-        words, bit = shared.value, values.to_numpy(zero_copy_only=False).view(np.uint64)
-        bit = bit & np.uint64(64 * len(words) - 1)
-        return pa.array((words[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1)
+        return pa.array(among(shared.value, values.to_numpy(zero_copy_only=False).view(np.uint64)))
 
     return seen(hashes)
 
