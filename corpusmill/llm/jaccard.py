@@ -302,10 +302,12 @@ def _blocked(split: DataFrame, best: bool) -> DataFrame:
     largest = counts.groupBy("hash").agg(F.max_by("component", F.struct("members", "component")).alias("largest"))
     outside = sized.join(largest, "hash").where(F.col("component") != F.col("largest"))
     near = outside.withColumn("size", F.explode(F.array(F.col("size") - 1, "size", F.col("size") + 1)))
-    blocks = sized.groupBy("hash", "size").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-    rounds = near.groupBy("hash", "size").agg(F.ceil(F.count(F.lit(1)) / VISIT_ROWS).cast("int").alias("rounds"))
-    # Cells that nobody visits make no pairs.
-    cells = blocks.join(rounds, ["hash", "size"])
+    both = sized.select("hash", "size", F.lit(1).alias("own")).unionByName(near.select("hash", "size", F.lit(0).alias("own")))
+    rows, own = F.count(F.lit(1)), F.sum("own")
+    cells = both.groupBy("hash", "size").agg(
+        F.ceil(own / BLOCK_ROWS).cast("int").alias("blocks"), F.ceil((rows - own) / VISIT_ROWS).cast("int").alias("rounds")
+    )
+    cells = cells.where("blocks > 0 and rounds > 0")  # others make no pairs
     dealt = lambda name, *seed: F.pmod(F.xxhash64("cid", *seed), F.col(name).cast("long")).cast("int")
     every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
     members = sized.join(cells, ["hash", "size"]).withColumn("block", dealt("blocks")).withColumn("round", every("rounds"))
@@ -370,7 +372,8 @@ def _linked(
         if step < PIVOTS:
             pairs = _around(split, step)
         else:  # the likeliest partners first, twice, then all others
-            pairs = _blocked(split.join(marked, "cid"), step < PIVOTS + 2).distinct()
+            split = scope.keep(split.join(marked, "cid"), "split")
+            pairs = _blocked(split, step < PIVOTS + 2).distinct()
         pairs = scope.keep(pairs, "pairs")
         if step >= PIVOTS and pairs.isEmpty():
             break
