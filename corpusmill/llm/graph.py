@@ -17,8 +17,9 @@ def components(links: DataFrame) -> DataFrame:
     per round, nothing reaches the driver but whether a label has changed.
     """
     with Scope(links.sparkSession) as scope:
-        both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        both = scope.keep(both.where(F.col("a") != F.col("b")).distinct(), "links")
+        turned = F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+        both = links.where(F.col("a") != F.col("b")).select(F.explode(F.array(F.struct("a", "b"), turned)).alias("_link"))
+        both = scope.keep(both.select("_link.*").distinct(), "links")
         labels = scope.keep(
             both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")), "labels"
         )

@@ -13,11 +13,13 @@ kept small by bounds that lose no pair:
   the overlap and what was counted, with all that may stand beyond the columns, suffices.
 * A column of many classes is not multiplied out. Its members of like size are compared
   with one of them, the pivot, and join its component: first with the class that has most
-  such columns, as a text that all others are copies of has, then with others of the
-  largest component. What remains are the few members outside of a column's largest
-  component. Only these visit the column's blocks: the product of bitmaps counts the bits
-  that a visitor and a member share, and bits that one has and the other lacks are
-  shingles that they don't share, which discards most pairs at once.
+  such columns, as a text that all others are copies of has. Classes whose columns still
+  have several components get new columns, in an order by how often their shingles occur
+  among them alone, and other pivots. Columns with the same largest component, as of
+  copies of one text, then become one. What remains are the few members outside of a
+  column's largest component. Only these visit the column's blocks: the product of bitmaps
+  counts the bits that a visitor and a member share, and bits that one has and the other
+  lacks are shingles that they don't share, which discards most pairs at once.
 
 Compared pairs are then decided by their exact overlap.
 """
@@ -36,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.graph import components
-from corpusmill.llm.rows import KEY, among, bit_filter, may_hold, row_key, slices
+from corpusmill.llm.rows import FILTER_BITS, KEY, among, bit_filter, may_hold, row_key, slices
 from corpusmill.llm.shingles import shingle_sets
 from corpusmill.scratch import Scope, materialize
 
@@ -51,7 +53,7 @@ VISIT_ROWS = 8192  # rows that visit a block together, about
 VISITORS = 512  # rows of one product
 PIVOTS = 3  # with which the members of a column are compared one after the other
 COUNTED = 1 << 18  # hashes that a task counts at once
-SHARED_BITS = 1 << 26  # of the filter that knows shingles of several documents: 8 MB
+SHARED_BITS = 1 << 28  # at most, of the filter that knows shingles of several documents: 32 MB
 _ZONE_END = np.uint64(int(ZONE * (1 << 64)))
 
 
@@ -115,6 +117,11 @@ def frequent_shingles(frequencies: DataFrame) -> np.ndarray:
     return np.sort(rows.column(0).to_numpy().view(np.uint64))
 
 
+def shared_bits(hashes: int) -> int:
+    """Bits of a filter of so many hashes: a sixteenth of them set at most, as far as ``SHARED_BITS`` goes."""
+    return min(SHARED_BITS, max(FILTER_BITS, 1 << (16 * hashes).bit_length()))
+
+
 def _prefix(hashes: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The first shingles of a set in the order, enough to meet any partner."""
     n = len(hashes)
@@ -344,6 +351,74 @@ def _blocked(split: DataFrame, best: bool) -> DataFrame:
     return met.groupBy("hash", "size", "block", "round").applyInPandas(multiply, "a bigint, b bigint")
 
 
+def _rarest_first(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(hash, cid, n)``: the columns of ``members (cid, n)`` in an order by their own frequencies.
+
+    Shingles are counted over whole sets, but only over these classes, and rare ones come
+    first. Two of them that overlap enough still share a column, while passages that many of
+    them have are no longer columns of all. Shingles of one class alone come first of all
+    and make no column.
+    """
+    words = members.join(sets, "cid").select("cid", "n", F.explode("shingles").alias("hash"))
+    counts = words.groupBy("hash").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = words.join(counts, "hash").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "hash"))).alias("own"))
+    left = (F.size("own") - need(F.col("n")) + 1).cast("int")  # the others, of this class alone, are in front
+    first = shared.where(left > 0).select("cid", "n", F.explode(F.slice("own", F.lit(1), left)).alias("_w"))
+    return first.select("_w.hash", "cid", "n")
+
+
+def _split(columns: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of ``columns (hash, cid, ..)`` with their component, where a column has several."""
+    labelled = columns.join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    parts = labelled.groupBy("hash").agg(F.min("component").alias("p"), F.max("component").alias("q"))
+    return labelled.join(parts.where("p < q").select("hash"), "hash", "left_semi")
+
+
+def _merged(split: DataFrame) -> DataFrame:
+    """``(hash, cid, n)`` of ``split (hash, cid, n, component)``, columns that are nearly the same as one.
+
+    Copies of a text share many columns, and a product of each would compare the same pairs
+    over and over. Columns with the same largest component become one group, unless its
+    product has more cells than theirs together. Classes that share a column share a group.
+    """
+    rows = F.count(F.lit(1))
+    counts = split.groupBy("hash", "component").agg(rows.alias("members"))
+    largest = F.max_by("component", F.struct("members", "component")).alias("largest")
+    all_of, most = F.sum("members"), F.max("members")
+    columns = counts.groupBy("hash").agg(largest, (all_of * (all_of - most)).alias("cells"))
+    known = split.join(columns, "hash")
+    apart = columns.groupBy("largest").agg(F.sum("cells").alias("apart"))
+    outside = F.sum((F.col("component") != F.col("largest")).cast("long"))
+    together = known.select("largest", "cid", "component").distinct().groupBy("largest").agg((rows * outside).alias("together"))
+    chosen = apart.join(together, "largest").select("largest", (F.col("together") <= F.col("apart")).alias("one"))
+    group = F.when(F.col("one"), F.xxhash64("largest", F.lit("group"))).otherwise(F.col("hash"))
+    return known.join(chosen, "largest").select(group.alias("hash"), "cid", "n").distinct()
+
+
+def _each_with_each(split: DataFrame) -> DataFrame:
+    """Promising pairs ``(a, b)`` of different components in ``split (hash, cid, n, component, bits)``.
+
+    For groups of few members, whose products are joins. Bits are used as in ``_blocked``.
+    """
+    marks = F.expr("aggregate(bits, 0L, (s, w) -> s + bit_count(w))")
+    sides = split.select("hash", "cid", "n", "component", "bits", (F.col("n") - marks).alias("rest"))
+    both = _sides(sides, sides).where((F.col("x_cid") < F.col("y_cid")) & (F.col("x_component") != F.col("y_component")))
+    shared = F.expr("aggregate(zip_with(x_bits, y_bits, (v, w) -> bit_count(v & w)), 0L, (s, c) -> s + c)")
+    most = F.least("x_rest", "y_rest") + shared
+    return both.where(most * (100 + PERCENT) >= (F.col("x_n") + F.col("y_n")) * PERCENT).select(*_ordered()).distinct()
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels (cid, component)`` after ``links (a, b)`` are added: only components are linked anew."""
+    of = lambda c: labels.select(F.col("cid").alias(c), F.col("component").alias(f"_{c}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    between = ends.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    found = components(between)
+    moved = labels.join(found.select(F.col("node").alias("component"), F.col("component").alias("_next")), "component", "left")
+    fresh = found.withColumnsRenamed({"node": "cid"}).join(labels.select("cid"), "cid", "left_anti")
+    return moved.select("cid", F.coalesce("_next", "component").alias("component")).unionByName(fresh)
+
+
 def _linked(
     scope: Scope, columns: DataFrame, maps: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
@@ -353,32 +428,43 @@ def _linked(
     """
     narrow = columns.where(F.col("members") <= DENSE).select("hash", "cid", "n")
     wide = scope.keep(columns.where(F.col("members") > DENSE).select("hash", "cid", "n"), "wide")
-    own = wide.groupBy("cid").agg(F.collect_list("hash").alias("columns"))  # of a prefix, so few
-    marked = scope.keep(maps.join(own, "cid"), "maps")
-    weighed = scope.keep(wide.join(own.select("cid", F.size("columns").alias("weight")), "cid"), "weighed")
-    alone = _around(weighed.withColumn("component", F.col("cid")), 0)
+    weights = wide.groupBy("cid").agg(F.count(F.lit(1)).alias("weight"))  # of a prefix, so few
+    weighed = scope.keep(wide.join(weights, "cid").withColumn("component", F.col("cid")), "weighed")
+    alone = _around(weighed, 0)
     pairs = scope.keep(_promising(narrow, wide).unionByName(alone).distinct(), "pairs")
     compared = pairs.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(wide.select("cid"))
     sets = sets_of(compared.distinct())
-    links = scope.keep(_overlapping(pairs, sets), "links")
-    for step in range(1, PIVOTS + 3):
-        found = components(links).withColumnsRenamed({"node": "cid"})
-        labelled = weighed.join(found, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-        labelled = scope.keep(labelled, "labelled")
-        parts = labelled.groupBy("hash").agg(F.min("component").alias("p"), F.max("component").alias("q"))
-        split = labelled.join(parts.where("p < q").select("hash"), "hash", "left_semi")
+    labels = components(_overlapping(pairs, sets)).withColumnsRenamed({"node": "cid"})
+    split = scope.keep(_split(wide, labels), "split")
+    if split.isEmpty():
+        return labels
+    members = scope.keep(split.select("cid", "n").distinct(), "members")
+    sets = scope.keep(sets.join(members, "cid", "left_semi"), "sets")
+    split = scope.keep(_split(_rarest_first(members, sets), labels), "split")
+
+    def linked(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+        return scope.keep(_joined(labels, _overlapping(scope.keep(pairs, "pairs"), sets)), "labels")
+
+    for step in range(1, PIVOTS):
+        if split.isEmpty():
+            return labels
+        labels = linked(labels, _around(split, step))
+        split = scope.keep(_split(split.select("hash", "cid", "n"), labels), "split")
+    if split.isEmpty():
+        return labels
+    groups = scope.keep(_merged(split), "groups")
+    counts = groups.groupBy("hash").agg(F.count(F.lit(1)).alias("members"))
+    maps = scope.keep(maps.join(groups.select("cid").distinct(), "cid"), "maps")
+    few = _split(groups.join(counts.where(F.col("members") <= DENSE).select("hash"), "hash"), labels)
+    labels = linked(labels, _each_with_each(few.join(maps, "cid")))
+    many = scope.keep(groups.join(counts.where(F.col("members") > DENSE).select("hash"), "hash"), "many")
+    marked = scope.keep(maps.join(many.groupBy("cid").agg(F.collect_list("hash").alias("columns")), "cid"), "maps")
+    for best in (True, True, False):  # the likeliest partners first, twice, then all others
+        split = scope.keep(_split(many, labels).join(marked, "cid"), "split")
         if split.isEmpty():
             break
-        if step < PIVOTS:
-            pairs = _around(split, step)
-        else:  # the likeliest partners first, twice, then all others
-            split = scope.keep(split.join(marked, "cid"), "split")
-            pairs = _blocked(split, step < PIVOTS + 2).distinct()
-        pairs = scope.keep(pairs, "pairs")
-        if step >= PIVOTS and pairs.isEmpty():
-            break
-        links = scope.keep(links.unionByName(_overlapping(pairs, sets)).distinct(), "links")
-    return components(links).withColumnsRenamed({"node": "cid"})
+        labels = linked(labels, _blocked(split, best).distinct())
+    return labels
 
 
 def jaccard_components(docs: DataFrame, keyed: bool = False) -> DataFrame:
@@ -400,7 +486,7 @@ def jaccard_components(docs: DataFrame, keyed: bool = False) -> DataFrame:
         )
         frequencies = scope.keep(shingle_frequencies(rows), "frequencies")
         last = frequent_shingles(frequencies)
-        several = bit_filter(frequencies.select("hash"), SHARED_BITS)
+        several = bit_filter(frequencies.select("hash"), shared_bits(frequencies.count()))
         prints = scope.keep(fingerprints(rows, last, several), "prints")
         classes = scope.keep(
             prints.where("n > 0")

@@ -102,3 +102,70 @@ def test_visits_of_a_block_are_dealt(spark, monkeypatch):
     )
     sizes = [r.a for r in jaccard._blocked(split, True).collect()]
     assert max(sizes) < 4 * 64 and sum(sizes) > members
+
+
+def similar(one, two):
+    shared = len(one & two)
+    return 100 * shared >= jaccard.PERCENT * (len(one) + len(two) - shared)
+
+
+def near_sets(rng, bases, copies):
+    """Sets around the limit of overlap, with passages that many of them have."""
+    passages, sets = [[rng.getrandbits(62) for _ in range(40)] for _ in range(3)], []
+    for _ in range(bases):
+        base = [rng.getrandbits(62) for _ in range(30)] + rng.choice(passages) + rng.choice(passages)
+        for _ in range(copies):
+            changed = rng.randrange(14)
+            sets.append({*base[changed:], *(rng.getrandbits(62) for _ in range(changed))})
+    return sets
+
+
+def test_new_columns_lose_no_pair(spark):
+    """Sets that overlap enough share a column of the rarest first, and a group of merged columns."""
+    sets = near_sets(random.Random(5), 6, 12)
+    members = spark.createDataFrame([(i, len(s)) for i, s in enumerate(sets)], "cid bigint, n bigint")
+    whole = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "cid bigint, shingles array<bigint>")
+    columns = jaccard._rarest_first(members, whole).localCheckpoint()
+    split = columns.withColumn("component", F.when(F.col("cid") % 12 < 6, F.col("cid") - F.col("cid") % 12).otherwise(F.col("cid")))
+    groups = jaccard._merged(split)
+    pairs = {(i, j) for j in range(len(sets)) for i in range(j) if similar(sets[i], sets[j])}
+    for table in (columns, groups):
+        held = {}
+        for r in table.collect():
+            held.setdefault(r.hash, set()).add(r.cid)
+        assert all(any({*p} <= m for m in held.values()) for p in pairs) and len(pairs) > 50
+    # The passages are of half of all sets; no column is. And copies come once per group, not once per column.
+    assert columns.groupBy("hash").count().agg(F.max("count")).first()[0] < len(sets) / 2
+    assert groups.count() < columns.count() / 4
+
+
+@pytest.mark.parametrize("dense", [4, 16])
+def test_hot_columns_of_copies_are_multiplied_once(spark, monkeypatch, dense):
+    """Copies that share many columns: a member comes to products a few times, not once per column."""
+    monkeypatch.setattr(jaccard, "DENSE", dense)
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(304)]
+    texts = [" ".join(words)]
+    for _ in range(40):  # 6 to 15 words apart changed, five shingles each: 6 are near enough to the text
+        copy = list(words)
+        for at in rng.sample(range(0, 300, 12), rng.randrange(6, 16)):
+            copy[at] = f"v{at}{rng.randrange(2)}"
+        texts.append(" ".join(copy))
+    seen, real = [], jaccard._blocked
+    monkeypatch.setattr(jaccard, "_blocked", lambda split, best: seen.append(split.count()) or real(split, best))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs).collect()}
+    sets, least = [{*s.tolist()} for s in jaccard.shingle_sets(texts)], list(range(len(texts)))
+    for _ in texts:
+        for i in range(len(texts)):
+            for j in range(len(texts)):
+                if similar(sets[i], sets[j]):
+                    least[i] = least[j] = min(least[i], least[j])
+    assert got == dict(enumerate(least))
+    assert max(seen, default=0) <= 8 * len(texts)
+
+
+def test_the_filter_grows_with_its_hashes():
+    assert jaccard.shared_bits(0) == jaccard.shared_bits(1000) == jaccard.FILTER_BITS
+    assert all(16 * n < jaccard.shared_bits(n) <= 32 * n for n in (10**6, 3 * 10**6, 10**7))
+    assert jaccard.shared_bits(10**9) == jaccard.SHARED_BITS
